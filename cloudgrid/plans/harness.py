@@ -1,9 +1,45 @@
-"""Queries over the driver's tables and the SQL that each is held against."""
+"""Queries over the driver's tables and the SQL that each is held against.
+
+The tables hold no geometry: ``pts`` and the other views below are made of their keys by arithmetic that is exact in doubles, with the
+same expressions on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import graphs, images, points, surfaces, tiles3d, voxels
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+LEVEL, SIZE = 5, 32
+#: edge of the rasters
+G = 64
+
+PTS = """pts AS (SELECT cast((l_partkey * 7919 + l_linenumber * 104729) % 4096 AS double) / 4096 AS x, cast((l_orderkey * 6151) % 4096 AS double) / 4096 AS y,
+  l_quantity / 64 AS z, l_extendedprice AS inten FROM lineitem),
+fpts AS (SELECT *, cast(floor(x * 6) * 6 + floor(y * 6) AS int) AS file_id FROM pts)"""
+VOX = f"""{PTS}, vox AS (SELECT cast(floor(x * {SIZE}) AS int) AS x, cast(floor(y * {SIZE}) AS int) AS y, cast(floor(z * {SIZE}) AS int) AS z, count(*) AS n
+  FROM pts WHERE x >= 0 AND x < 1 AND y >= 0 AND y < 1 AND z >= 0 AND z < 1 GROUP BY 1, 2, 3)"""
+GRID = f"grid AS (SELECT cast(a.r AS int) AS y, cast(b.r AS int) AS x FROM range({G}) a(r), range({G}) b(r))"
+MAP = f"""{PTS}, {GRID}, top AS (SELECT cast(least(greatest(floor(y * {G} + 0.5), 0), {G - 1}) AS int) AS y, cast(least(greatest(floor(x * {G} + 0.5), 0), {G - 1}) AS int) AS x, max(z) AS v FROM pts GROUP BY 1, 2),
+img AS (SELECT grid.y, grid.x, coalesce(v, 0::double) AS v, CASE WHEN v IS NULL THEN 0::double ELSE 1::double END AS w FROM grid LEFT JOIN top USING (y, x))"""
+BOXES = f"{PTS}, files AS (SELECT file_id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM fpts GROUP BY file_id)"
+
+
+def query(sql: str | None = None, recursive: bool = False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = f"WITH {'RECURSIVE ' * recursive}{sql}" if not sql.lstrip().startswith("SELECT") else sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
@@ -12,3 +48,357 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return dict(ORACLE)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def pts(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Points of lineitem; only the columns that are asked for are read."""
+    t = table(spark, d, "lineitem")
+    p = t.select(
+        (F.expr("(l_partkey * 7919 + l_linenumber * 104729) % 4096").cast("double") / 4096.0).alias("x"),
+        (F.expr("(l_orderkey * 6151) % 4096").cast("double") / 4096.0).alias("y"),
+        (F.col("l_quantity") / 64.0).alias("z"),
+        F.col("l_extendedprice").alias("inten"),
+    )
+    p = p.withColumn("file_id", (F.floor(F.col("x") * 6.0) * 6 + F.floor(F.col("y") * 6.0)).cast("int"))
+    return p.select("x", "y", "z", *more)
+
+
+def vox(spark, d, level: int = LEVEL) -> DataFrame:
+    return voxels.voxelize(pts(spark, d), level).select("x", "y", "z", "n", F.col("n").cast("double").alias("val"))
+
+
+def img(spark, d) -> DataFrame:
+    return voxels.heightmap(pts(spark, d), G)
+
+
+def files(spark, d) -> DataFrame:
+    return pts(spark, d, "file_id").groupBy("file_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+
+
+def r6(*cols: str):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+# --- points, tiles, transforms ----------------------------------------------------------------------------------------------------
+
+
+@query(f"{PTS} SELECT x, y, z, inten FROM pts WHERE z >= 0.25 AND z < 0.5")
+def filter_z(spark, d):
+    p = pts(spark, d, "inten")
+    return points.confine_z(p.withColumn("z", (F.col("z") - 0.25) * 4)).withColumn("z", F.col("z") / 4 + 0.25)
+
+
+@query(f"{PTS} SELECT x, y, z FROM pts WHERE x >= 0.25 AND x <= 0.5 AND y >= 0.125 AND y <= 0.75")
+def area_filter(spark, d):
+    return points.area(pts(spark, d), 0.25, 0.125, 0.5, 0.75)
+
+
+@query(f"{PTS}, n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY x, y, z, inten) AS r FROM fpts) SELECT x, y, z, inten, file_id FROM n WHERE (r - 1) % 8 = 0")
+def stride_sample(spark, d):
+    return points.stride_sample(pts(spark, d, "inten", "file_id"), 8, "file_id", ["x", "y", "z", "inten"])
+
+
+@query(f"{PTS}, q AS (SELECT quantile_cont(x, [0.2, 0.8]) AS qx, quantile_cont(y, [0.2, 0.8]) AS qy, quantile_cont(z, [0.0015, 0.9985]) AS qz FROM pts) SELECT x, y, z FROM pts, q WHERE x > qx[1] AND x < qx[2] AND y > qy[1] AND y < qy[2] AND z > qz[1] AND z < qz[2]")
+def quantile_trim(spark, d):
+    return points.quantile_trim(pts(spark, d), {"x": (0.2, 0.8), "y": (0.2, 0.8), "z": (0.0015, 0.9985)})
+
+
+@query(f"{PTS}, q AS (SELECT quantile_cont(x, [0.05, 0.95]) AS qx, quantile_cont(y, [0.05, 0.95]) AS qy, quantile_cont(z, [0.0000001, 0.99995]) AS qz FROM pts), e AS (SELECT *, greatest(qx[2] - qx[1], qy[2] - qy[1], qz[2] - qz[1]) AS e FROM q), s AS (SELECT (x - qx[1]) / e AS x, (y - qy[1]) / e AS y, (z - qz[1]) / e AS z FROM pts, e) SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s WHERE x > 0 AND x < 1 AND y > 0 AND y < 1 AND z > 0 AND z < 1")
+def quantile_window(spark, d):
+    return points.quantile_window(pts(spark, d)).select(*r6("x", "y", "z"))
+
+
+_EXT = "e AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS hx, max(y) AS hy, max(z) AS hz FROM pts)"
+
+
+@query(f"{PTS}, {_EXT} SELECT round((x - lx) * (0.99999 / greatest(hx - lx, hy - ly, hz - lz)), 6) AS x, round((y - ly) * (0.99999 / greatest(hx - lx, hy - ly, hz - lz)), 6) AS y, round((z - lz) * (0.99999 / greatest(hx - lx, hy - ly, hz - lz)), 6) AS z FROM pts, e")
+def normalize_unit(spark, d):
+    return points.normalize_unit(pts(spark, d)).select(*r6("x", "y", "z"))
+
+
+@query(f"{PTS}, {_EXT}, m AS (SELECT *, greatest(hx - lx, hy - ly, hz - lz) AS m FROM e) SELECT round((x - lx) / m * 2 - 1, 6) AS x, round((y - ly) / m * 2 - 1, 6) AS y, round((z - lz) / m * 2 - 1, 6) AS z FROM pts, m")
+def normalize_signed(spark, d):
+    return points.normalize_signed(pts(spark, d)).select(*r6("x", "y", "z"))
+
+
+@query(f"{PTS}, {_EXT}, m AS (SELECT *, greatest(hx, hy, hz) AS h FROM e) SELECT round((x - lx) / (h - lx + 0.0001), 6) AS x, round((y - ly) / (h - ly + 0.0001), 6) AS y, round((z - lz) / (h - lz + 0.0001), 6) AS z FROM pts, m")
+def normalize_per_axis(spark, d):
+    return points.normalize_per_axis(pts(spark, d)).select(*r6("x", "y", "z"))
+
+
+_AFFINE = (100.0, 0.5, 0.25, 200.0, -0.25, 0.5)
+
+
+@query(f"{PTS} SELECT x, y, 100 + x * 0.5 + y * 0.25 AS nx, 200 + x * -0.25 + y * 0.5 AS ny, round(x, 6) AS bx, round(y, 6) AS by_ FROM pts")
+def affine_roundtrip(spark, d):
+    p = pts(spark, d)
+    nx, ny = points.affine(F.col("x"), F.col("y"), _AFFINE)
+    p = p.withColumns({"nx": nx, "ny": ny})
+    bx, by = points.affine(F.col("nx"), F.col("ny"), points.affine_inverse(_AFFINE))
+    return p.select("x", "y", "nx", "ny", F.round(bx, 6).alias("bx"), F.round(by, 6).alias("by_"))
+
+
+@query(f"{PTS}, u AS (SELECT x * 8192 AS ux, y * 8192 AS uy FROM pts) SELECT ux, uy, cast(floor(ux / 10000000 * 8192) AS int) AS tx, cast(floor(uy / 10000000 * 8192) AS int) AS ty, cast(ceil(ux / 10000000 * 8192) AS int) AS hx, cast(ceil(uy / 10000000 * 8192) AS int) AS hy, floor(ux / 10000000 * 8192) * 1220.703125 AS x0, (floor(ux / 10000000 * 8192) + 1) * 1220.703125 AS x1, ux / 10000000 AS cx FROM u")
+def tile_assign(spark, d):
+    u = pts(spark, d).select((F.col("x") * 8192.0).alias("ux"), (F.col("y") * 8192.0).alias("uy"))
+    e = points.tile_edge(S.BASE_LEVEL)
+    t = {n: points.tile_of(F.col(c), S.BASE_LEVEL, high) for n, c, high in (("tx", "ux", False), ("ty", "uy", False), ("hx", "ux", True), ("hy", "uy", True))}
+    return u.withColumns(t).select("*", (F.col("tx") * e).alias("x0"), ((F.col("tx") + 1) * e).alias("x1"), (F.col("ux") / S.CHART).alias("cx"))
+
+
+@query(f"{PTS} SELECT cast(floor(x * 4096) AS bigint) AS rx, round(cast(floor(x * 4096) AS bigint) * 0.25 - (1000 - 1024), 6) AS x, round(cast(floor(z * 64) AS bigint) * 0.5 + 3, 6) AS z FROM pts")
+def las_rescale(spark, d):
+    p = pts(spark, d).select(F.floor(F.col("x") * 4096.0).alias("rx"), F.floor(F.col("z") * 64.0).alias("rz"))
+    return p.select("rx", F.round(F.col("rx") * 0.25 - (1000.0 - 1024.0), 6).alias("x"), F.round(F.col("rz") * 0.5 + 3.0, 6).alias("z"))
+
+
+@query(f"{PTS}, l AS (SELECT DISTINCT x * 360 - 180 AS lon, y * 160 - 80 AS lat FROM pts), m AS (SELECT lon, lat, radians(lon) * 6378137 AS mx, ln(tan(0.7853981633974483 + radians(lat) / 2)) * 6378137 AS my FROM l) SELECT lon, lat, round(mx, 3) AS mx, round(my, 3) AS my, round(degrees(mx / 6378137), 6) AS blon, round(degrees(2 * atan(exp(my / 6378137)) - 1.5707963267948966), 6) AS blat FROM m")
+def mercator(spark, d):
+    p = pts(spark, d).select((F.col("x") * 360.0 - 180.0).alias("lon"), (F.col("y") * 160.0 - 80.0).alias("lat")).distinct()
+    p = p.withColumns({"mx": S.mercator_x(F.col("lon")), "my": S.mercator_y(F.col("lat"))})
+    return p.select("lon", "lat", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), F.round(S.mercator_lon(F.col("mx")), 6).alias("blon"), F.round(S.mercator_lat(F.col("my")), 6).alias("blat"))
+
+
+@query(f"{BOXES} SELECT min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM files")
+def extent_union(spark, d):
+    return points.extent(files(spark, d))
+
+
+_PAIRS = f"{BOXES}, t AS (SELECT a.r AS tx, b.r AS ty, a.r / 8.0::double AS x0, b.r / 8.0::double AS y0 FROM range(8) a(r), range(8) b(r)), pairs AS (SELECT file_id, cast(tx AS bigint) AS tx, cast(ty AS bigint) AS ty FROM files, t WHERE min_x <= x0 + 0.125 AND max_x >= x0 AND min_y <= y0 + 0.125 AND max_y >= y0)"
+
+
+@query(f"{_PAIRS} SELECT * FROM pairs")
+def tile_file_overlap(spark, d):
+    return points.tile_file_pairs(files(spark, d), 0.125).select("file_id", "tx", "ty")
+
+
+@query(f"{_PAIRS} SELECT tx, ty, count(*) AS n, string_agg(cast(file_id AS varchar), ',' ORDER BY file_id) AS files FROM pairs GROUP BY tx, ty")
+def files_per_tile(spark, d):
+    t = points.files_per_tile(points.tile_file_pairs(files(spark, d), 0.125), "file_id")
+    return t.select("tx", "ty", "n", F.array_join(F.col("files").cast("array<string>"), ",").alias("files"))
+
+
+@query(f"{_PAIRS} SELECT fpts.file_id, x, y, z FROM fpts JOIN pairs ON pairs.file_id = fpts.file_id WHERE tx = 3 AND ty = 2 AND x >= 0.375 AND x <= 0.5 AND y >= 0.25 AND y <= 0.375")
+def tile_load(spark, d):
+    own = points.tile_file_pairs(files(spark, d), 0.125).where("tx = 3 and ty = 2").select("file_id")
+    return points.area(pts(spark, d, "file_id").join(own, "file_id", "left_semi"), 0.375, 0.25, 0.5, 0.375).select("file_id", "x", "y", "z")
+
+
+@query(f"{MAP} SELECT round(p.x, 6) AS x, round(p.y, 6) AS y, p.z, i.v FROM pts p JOIN img i ON i.x = cast(floor(p.x * {G}) AS int) AND i.y = cast(floor(p.y * {G}) AS int)")
+def color_lookup(spark, d):
+    return points.gather_pixels(pts(spark, d), img(spark, d), G, G).select(*r6("x", "y"), "z", "v")
+
+
+@query("l AS (SELECT cast(r AS int) AS lvl FROM range(4) t(r)), n AS (SELECT lvl, cast((1000 // (1 << lvl) + 255) // 256 AS int) AS nx, cast((700 // (1 << lvl) + 255) // 256 AS int) AS ny FROM l), a AS (SELECT lvl, nx, unnest(range(ny)) AS by_ FROM n), b AS (SELECT lvl, by_, unnest(range(nx)) AS bx FROM a) SELECT lvl, cast(by_ AS int) AS by_, cast(bx AS int) AS bx, cast(bx * (256 << lvl) AS int) AS x0, cast(by_ * (256 << lvl) AS int) AS y0, cast((bx + 1) * (256 << lvl) AS int) AS x1, cast((by_ + 1) * (256 << lvl) AS int) AS y1 FROM b")
+def block_grid(spark, d):
+    return points.block_grid(1000, 700, 256, 4, spark).withColumnRenamed("by", "by_")
+
+
+_WIN = "o AS (SELECT cast(a.r AS int) AS oy, cast(b.r AS int) AS ox FROM range(32) a(r), range(32) b(r))"
+
+
+@query(f"{MAP}, {_WIN} SELECT oy, ox, coalesce(v, 0::double) AS v FROM o LEFT JOIN img ON img.x = cast(floor(40 + (ox + 0.5) * 1.5) AS int) AND img.y = cast(floor(-8 + (oy + 0.5) * 1.5) AS int)")
+def raster_window(spark, d):
+    return points.raster_window(img(spark, d), 40, -8, 88, 40, 32, 32)
+
+
+@query(f"{MAP}, {_WIN}, f AS (SELECT oy, ox, 8 + (ox + 0.5) * 0.75 - 0.5 AS fx, 4 + (oy + 0.5) * 0.75 - 0.5 AS fy FROM o), t AS (SELECT oy, ox, floor(fx) + i.r AS sx, floor(fy) + j.r AS sy, CASE WHEN i.r = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN j.r = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS w FROM f, range(2) i(r), range(2) j(r)) SELECT oy, ox, round(sum(cast(t.w AS double) * coalesce(v, 0::double)), 6) AS v FROM t LEFT JOIN img ON img.x = t.sx AND img.y = t.sy GROUP BY oy, ox")
+def raster_bilinear(spark, d):
+    return points.raster_window(img(spark, d), 8, 4, 32, 28, 32, 32, bilinear=True).select("oy", "ox", *r6("v"))
+
+
+@query(f"{MAP} SELECT y, x, v FROM img WHERE y >= 16 AND y < 32 AND x >= 32 AND x < 48")
+def raster_block(spark, d):
+    return points.raster_block(img(spark, d), 1, 2, 16)
+
+
+_INV = [0.5, 0, 0, 0.125, 0, 0.5, 0, -0.25, 0, 0, 0, -1.0, 0, 0, -0.5, 1.0]
+
+
+@query(f"{MAP} SELECT y, x, round((x / 64::double * 0.5 + 0.125) / (v * -0.5 + 1), 6) AS px, round((y / 64::double * 0.5 - 0.25) / (v * -0.5 + 1), 6) AS py, round(1 / (v * -0.5 + 1), 6) AS pz FROM img")
+def unproject(spark, d):
+    i = img(spark, d).select("y", "x", (F.col("x") / 64.0).alias("u"), (F.col("y") / 64.0).alias("v_"), F.col("v").alias("z")).withColumnRenamed("v_", "v")
+    return points.unproject(i, _INV).select("y", "x", *r6("px", "py", "pz"))
+
+
+@query(f"{MAP} SELECT y, x, CASE WHEN x < 4 OR y < 4 OR x >= 60 OR y >= 60 THEN 0::double ELSE 1 - v END AS v FROM img")
+def elevation(spark, d):
+    return points.elevation(img(spark, d), G, G)
+
+
+@query("n AS (SELECT a.r AS s, b.r AS i, c.r AS j FROM range(17) a(r), range(20) b(r), range(20) c(r)) SELECT cast(s AS int) AS s, cast(i AS int) AS i, cast(j AS int) AS j, round(0.5 + s / 34::double * sin(i * (pi() / 20)) * cos(j * (2 * pi() / 20)), 6) AS x, round(0.5 + s / 34::double * sin(i * (pi() / 20)) * sin(j * (2 * pi() / 20)), 6) AS y, round(0.5 + s / 34::double * cos(i * (pi() / 20)), 6) AS z, CASE WHEN s BETWEEN 6 AND 9 THEN 1::double ELSE 0::double END AS val FROM n")
+def nested_spheres(spark, d):
+    return points.nested_spheres(spark, 17, 20, 20).select("s", "i", "j", *r6("x", "y", "z"), "val")
+
+
+@query("g AS (SELECT a.r / 64::double AS y, b.r / 64::double AS x FROM range(64) a(r), range(64) b(r)) SELECT x, y, CASE WHEN x + y > 0.75 AND x - y < 0.25 AND y < 0.75 THEN 0.5::double WHEN x > 0.75 AND y > 0.5 THEN 0.25::double ELSE 0::double END AS z FROM g")
+def plateau_terrain(spark, d):
+    return points.plateau(spark, 64)
+
+
+# --- voxels and octrees -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"{VOX} SELECT x, y, z, n FROM vox")
+def voxel_count_l5(spark, d):
+    return vox(spark, d).select("x", "y", "z", "n")
+
+
+@query(f"{VOX}, k AS (SELECT x, y, z, (5::bigint << 59) | (z::bigint << 38) | (y::bigint << 19) | x::bigint AS k FROM vox) SELECT k, cast(k >> 59 AS int) AS d, x, y, z FROM k")
+def voxel_key_roundtrip(spark, d):
+    k = vox(spark, d).select(S.voxel_key(F.lit(LEVEL), "x", "y", "z").alias("k"))
+    return k.select("k", *[S.voxel_part(F.col("k"), p).alias(p) for p in "dxyz"])
+
+
+_GOOD = f"{VOX}, off AS (SELECT a.r - 1 AS dx, b.r - 1 AS dy FROM range(3) a(r), range(3) b(r)), near AS (SELECT DISTINCT x + dx AS x, y + dy AS y, z FROM vox, off WHERE n >= 6), kept AS (SELECT p.x, p.y, p.z FROM pts p WHERE EXISTS (SELECT 1 FROM near WHERE near.x = cast(floor(p.x * {SIZE}) AS int) AND near.y = cast(floor(p.y * {SIZE}) AS int) AND near.z = cast(floor(p.z * {SIZE}) AS int)))"
+
+
+@query(f"{_GOOD} SELECT * FROM kept")
+def outlier_filter_l5(spark, d):
+    return voxels.filter_outliers(pts(spark, d), LEVEL)
+
+
+@query(f"{MAP} SELECT y, x, v, w FROM img")
+def heightmap_max(spark, d):
+    return img(spark, d)
+
+
+@query(f"{_GOOD}, {GRID}, top AS (SELECT cast(least(floor(y * {G} + 0.5), {G - 1}) AS int) AS y, cast(least(floor(x * {G} + 0.5), {G - 1}) AS int) AS x, max(z) AS v FROM kept GROUP BY 1, 2) SELECT grid.y, grid.x, coalesce(v, 0::double) AS v, CASE WHEN v IS NULL THEN 0::double ELSE 1::double END AS w FROM grid LEFT JOIN top USING (y, x)")
+def heightmap_filtered(spark, d):
+    return voxels.heightmap(voxels.filter_outliers(pts(spark, d), LEVEL), G)
+
+
+_TREE = f"{PTS}, l AS (SELECT cast(r AS int) AS lvl FROM range(2, 7) t(r)), tree AS (SELECT lvl, cast(floor(x * (1 << lvl)) AS int) AS x, cast(floor(y * (1 << lvl)) AS int) AS y, cast(floor(z * (1 << lvl)) AS int) AS z, count(*) AS n FROM pts, l WHERE z < 1 GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"{_TREE} SELECT * FROM tree")
+def octree_levels(spark, d):
+    return voxels.octree(pts(spark, d), 6, 2).select("lvl", "x", "y", "z", "n")
+
+
+@query(f"{_TREE}, c AS (SELECT lvl, count(*) AS n FROM tree GROUP BY lvl) SELECT lvl, n, cast(coalesce(sum(n) OVER (ORDER BY lvl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start, round(n / cast(lag(n) OVER (ORDER BY lvl DESC) AS double), 6) AS retain FROM c")
+def octree_retain(spark, d):
+    return voxels.level_stats(voxels.octree(pts(spark, d), 6, 2)).select("lvl", "n", "start", *r6("retain"))
+
+
+@query(f"{_TREE} SELECT x, y, z, n, (x + 0.0::double) / 16 AS px, (y + 0.0::double) / 16 AS py, (z + 0.0::double) / 16 AS pz FROM tree WHERE lvl = 4")
+def level_extract(spark, d):
+    """One level of a tree, by its filter, with positions."""
+    t = voxels.octree(pts(spark, d), 6, 2).where("lvl = 4")
+    return voxels.node_centres(t).select("x", "y", "z", "n", "px", "py", "pz")
+
+
+@query(f"{VOX}, " + ", ".join(f"a{i} AS (SELECT x >> {i} AS x, y >> {i} AS y, z >> {i} AS z, sum(n) AS n FROM vox GROUP BY 1, 2, 3)" for i in range(1, 6)) + " SELECT v.x, v.y, v.z, v.n, v.n + " + " + ".join(f"a{i}.n * {0.5**i}::double" for i in range(1, 6)) + " AS density FROM vox v " + " ".join(f"JOIN a{i} ON a{i}.x = v.x >> {i} AND a{i}.y = v.y >> {i} AND a{i}.z = v.z >> {i}" for i in range(1, 6)))
+def density_pyramid(spark, d):
+    return voxels.density(pts(spark, d), LEVEL)
+
+
+@query(f"{VOX}, a AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM vox GROUP BY 1, 2, 3), d AS (SELECT v.x, v.y, v.z, v.n + a.n * 0.5::double AS density FROM vox v JOIN a ON a.x = v.x >> 1 AND a.y = v.y >> 1 AND a.z = v.z >> 1) SELECT * FROM d WHERE density > 12")
+def density_threshold(spark, d):
+    return voxels.density(pts(spark, d), LEVEL, 2).drop("n").where("density > 12")
+
+
+_OFF = lambda r: f"off AS (SELECT cast(a.r - {r} AS int) AS dx, cast(b.r - {r} AS int) AS dy, cast(c.r - {r} AS int) AS dz FROM range({2 * r + 1}) a(r), range({2 * r + 1}) b(r), range({2 * r + 1}) c(r))"
+
+
+@query(f"{VOX}, {_OFF(1)} SELECT v.x, v.y, v.z, count(*) AS k, cast(sum(u.n) AS bigint) AS total FROM vox v, off JOIN vox u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3")
+def neighbors27(spark, d):
+    n = voxels.neighbours(vox(spark, d))
+    return n.groupBy("x", "y", "z").agg(F.count("*").alias("k"), F.sum("nval").cast("long").alias("total"))
+
+
+_TWO = f"{VOX}, fine AS (SELECT x, y, z FROM vox WHERE n >= 4), coarse AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, cast(sum(n) AS double) AS val FROM vox GROUP BY 1, 2, 3)"
+
+
+def _two(spark, d):
+    v = vox(spark, d)
+    return v.where("n >= 4"), voxels.coarser(v)
+
+
+@query(f"{_TWO} SELECT x, y, z, val FROM coarse c WHERE EXISTS (SELECT 1 FROM fine f WHERE f.x >> 1 = c.x AND f.y >> 1 = c.y AND f.z >> 1 = c.z)")
+def children_exist(spark, d):
+    fine, coarse = _two(spark, d)
+    return voxels.with_children(coarse, fine).select("x", "y", "z", "val")
+
+
+@query(f"{_TWO} SELECT 5 AS lvl, x, y, z, cast(n AS double) AS val FROM vox WHERE n >= 4 UNION ALL SELECT 4, x, y, z, val FROM coarse c WHERE NOT EXISTS (SELECT 1 FROM fine f WHERE f.x >> 1 = c.x AND f.y >> 1 = c.y AND f.z >> 1 = c.z)")
+def compress_leaves(spark, d):
+    fine, coarse = _two(spark, d)
+    return voxels.compress({LEVEL: fine, LEVEL - 1: coarse})
+
+
+@query(f"{_TWO}, p AS (SELECT DISTINCT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, (x & 1) * 2 - 1 AS sx, (y & 1) * 2 - 1 AS sy, (z & 1) * 2 - 1 AS sz FROM fine), big AS (SELECT x, y, z, val FROM coarse WHERE val >= 30), c AS (SELECT x + sx AS x, y, z FROM p UNION SELECT x, y + sy, z FROM p UNION SELECT x, y, z + sz FROM p UNION SELECT x + sx, y + sy, z + sz FROM p WHERE sx = sy AND sy = sz), m AS (SELECT * FROM c WHERE x BETWEEN 0 AND 15 AND y BETWEEN 0 AND 15 AND z BETWEEN 0 AND 15 AND NOT EXISTS (SELECT 1 FROM big b WHERE b.x = c.x AND b.y = c.y AND b.z = c.z)) SELECT x, y, z, val FROM big UNION ALL SELECT x, y, z, 1e-9::double FROM m")
+def balance_step(spark, d):
+    fine, coarse = _two(spark, d)
+    big = coarse.where("val >= 30")
+    return voxels.sparse_add(big, voxels.missing_neighbours(big, fine, SIZE // 2))
+
+
+@query(f"{_TWO}, e AS (SELECT a.r AS i, b.r AS j, c.r AS k FROM range(2) a(r), range(2) b(r), range(2) c(r)), s AS (SELECT DISTINCT cast((x >> 1) * 2 + i AS int) AS x, cast((y >> 1) * 2 + j AS int) AS y, cast((z >> 1) * 2 + k AS int) AS z FROM fine, e) SELECT s.x, s.y, s.z, coalesce(cast(v.n AS double), 1e-9::double) AS val FROM s LEFT JOIN (SELECT * FROM vox WHERE n >= 4) v USING (x, y, z)")
+def complete_parents(spark, d):
+    fine, _ = _two(spark, d)
+    return voxels.sparse_add(fine, voxels.missing_siblings(fine))
+
+
+@query(f"{VOX} SELECT x, y, z, (x + 0.5) / 32::double AS px, (y + 0.5) / 32::double AS py, (z + 0.5) / 32::double AS pz FROM vox")
+def node_centers(spark, d):
+    return voxels.node_centres(vox(spark, d).withColumn("lvl", F.lit(LEVEL)), compressed=True).select("x", "y", "z", "px", "py", "pz")
+
+
+def _cov(src: str, name: str, r: int = 2) -> str:
+    return f"{name} AS (SELECT v.x, v.y, v.z, " + ", ".join(f"sum(u.n * {a} * {b} / cast(greatest(dx * dx + dy * dy + dz * dz, 1) AS double)) AS {k}" for k, a, b in voxels._SIX) + f", sum(u.n) AS support FROM {src} v, off JOIN {src} u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3)"
+
+
+_SIX6 = ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k, _, _ in voxels._SIX)
+
+
+def _r0(*cols):
+    return [(F.round(c, 6) + 0.0).alias(c) for c in cols]
+
+
+@query(f"{VOX}, big AS (SELECT * FROM vox WHERE n >= 3), {_OFF(2)}, {_cov('big', 'c')} SELECT x, y, z, {_SIX6}, cast(support AS double) AS support FROM c")
+def cov_sums(spark, d):
+    return voxels.covariances(vox(spark, d).where("n >= 3")).select("x", "y", "z", *_r0("xx", "yy", "zz", "xy", "xz", "yz"), "support")
+
+
+@query(f"{VOX}, b0 AS (SELECT x, y, z, n FROM vox WHERE n >= 3), b1 AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM b0 GROUP BY 1, 2, 3), {_OFF(2)}, {_cov('b0', 'c0')}, {_cov('b1', 'c1')} SELECT b.x, b.y, b.z, " + ", ".join(f"round(CASE WHEN c0.support > 4 THEN c0.{k} ELSE 0 END + CASE WHEN c1.support > 4 THEN c1.{k} * 0.25 ELSE 0 END, 6) + 0.0 AS {k}" for k, _, _ in voxels._SIX) + ", cast(c0.support + c1.support AS double) AS support FROM b0 b JOIN c0 ON c0.x = b.x AND c0.y = b.y AND c0.z = b.z JOIN c1 ON c1.x = b.x >> 1 AND c1.y = b.y >> 1 AND c1.z = b.z >> 1")
+def cov_multilevel(spark, d):
+    return voxels.covariances_multilevel(vox(spark, d).where("n >= 3"), 2).select("x", "y", "z", *_r0("xx", "yy", "zz", "xy", "xz", "yz"), "support")
+
+
+@query(f"{VOX}, c AS (SELECT v.x, v.y, v.z, sum(u.n) AS support FROM vox v JOIN vox u ON u.x BETWEEN v.x - 2 AND v.x + 2 AND u.y BETWEEN v.y - 2 AND v.y + 2 AND u.z = v.z GROUP BY 1, 2, 3) SELECT x, y, z, CASE WHEN support > 40 THEN cast(support AS double) END AS support FROM c")
+def support_filter(spark, d):
+    v = vox(spark, d)
+    n = voxels.neighbours(v, 2).where("dz = 0").groupBy("x", "y", "z").agg(F.sum("nval").alias("support"))
+    return n.select("x", "y", "z", F.when(F.col("support") > 40, F.col("support")).alias("support"))
+
+
+@query()
+def normals(spark, d):
+    n = voxels.normals(voxels.covariances_multilevel(vox(spark, d).where("n >= 3"), 2))
+    return n.select("x", "y", "z", *[F.round(F.element_at("normal", k + 1), 6).alias(f"n{a}") for k, a in enumerate("xyz")])
+
+
+@query()
+def normals_multilevel(spark, d):
+    return voxels.normals_multilevel(vox(spark, d).where("n >= 3"), 2)
+
+
+_VIS = lambda src, name: f"{name} AS (SELECT v.x, v.y, v.z, 255 - coalesce(sum(DISTINCT (1 << cast(r.i AS int))), 0) AS mask FROM {src} v LEFT JOIN (SELECT v2.x, v2.y, v2.z, r.i FROM {src} v2, r JOIN {src} u ON u.x = v2.x + r.dx * r.p AND u.y = v2.y + r.dy * r.p AND u.z >= v2.z + r.p * 5 AND u.z < v2.z + r.p * 5 + 5 AND u.z > v2.z) r ON r.x = v.x AND r.y = v.y AND r.z = v.z GROUP BY 1, 2, 3)"
+_RAYS = "r AS (SELECT i, dx, dy, p.r AS p FROM (VALUES (0, 0, 0), (1, -1, -1), (2, 1, -1), (3, 1, 1), (4, -1, 1)) t(i, dx, dy), range(20) p(r))"
+
+
+@query(f"{VOX}, {_RAYS}, {_VIS('vox', 'm')} SELECT x, y, z, cast(mask AS int) AS mask FROM m")
+def visibility_mask(spark, d):
+    return voxels.visibility(vox(spark, d))
+
+
+@query(f"{VOX}, {_RAYS}, up AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z FROM vox GROUP BY 1, 2, 3), {_VIS('vox', 'm0')}, {_VIS('up', 'm1')} SELECT m0.x, m0.y, m0.z, cast(m0.mask & m1.mask AS int) AS mask, (m0.mask & m1.mask) = 255 AS open FROM m0 JOIN m1 ON m1.x = m0.x >> 1 AND m1.y = m0.y >> 1 AND m1.z = m0.z >> 1")
+def visibility_combine(spark, d):
+    v = vox(spark, d)
+    m = voxels.combine_visibility({0: voxels.visibility(v), 1: voxels.visibility(voxels.coarser(v))})
+    return m.withColumn("open", F.col("mask") == 255)
