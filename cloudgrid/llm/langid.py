@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_arrow
-from .wordcode import U, slices, text_bytes
+from .wordcode import ranges, slices, text_bytes
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
-SAMPLE = 3000
-EPOCHS, RATE, BATCH = 12, 4.0, 32
+SAMPLE = 2000
+EPOCHS, RATE, BATCH = 8, 4.0, 16
 KEEP, REJECT_BELOW = 0.9995, 0.4
 UNKNOWN = "und"
 
@@ -51,19 +51,18 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, orde
 
 
 def _features(data, offsets, buckets, orders):
-    """(bucket ids of all texts one after another, bounds)."""
-    parts, sizes = [], np.zeros(len(offsets) - 1, np.int64)
-    for k, x, off, _ in subwords(data, offsets, buckets, orders):
-        n = np.maximum(np.diff(off) - k + 1, 0)
-        text = np.repeat(np.arange(len(n)), n)
-        at = np.repeat(off[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        parts.append((text, x[at] if len(at) else np.zeros(0, np.int32)))
-        sizes += n
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    t, x = (np.concatenate(v) for v in zip(*parts, strict=True))
-    o = np.argsort(t, kind="stable")
-    return x[o], np.concatenate([[0], np.cumsum(sizes)])
+    """(bucket ids of all texts one after another, bounds); texts go through in slices, so only the ids themselves are held."""
+    out, sizes = [np.zeros(0, np.int32)], np.zeros(len(offsets) - 1, np.int64)
+    for i, j in slices(offsets, 1 << 17):
+        parts = []
+        for k, x, off, _ in subwords(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets, orders):
+            n = np.maximum(np.diff(off) - k + 1, 0)
+            text = np.repeat(np.arange(j - i, dtype=np.int32), n)
+            parts.append((text, x[ranges(off[:-1], n)]))
+            sizes[i:j] += n
+        t, x = (np.concatenate(v) for v in zip(*parts, strict=True))
+        out.append(x[np.argsort(t, kind="stable")])
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
 
 
 class LanguageModel:
@@ -105,6 +104,12 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
     e = r.normal(0, 0.05, (buckets, dim)).astype(np.float32)
     w = r.normal(0, 0.05, (dim, len(labels))).astype(np.float32)
     bias = np.zeros(len(labels), np.float32)
+    # each text's buckets once, with their shares
+    bags = []
+    for k in range(len(y)):
+        u, c = np.unique(x[b[k] : b[k + 1]], return_counts=True)
+        bags.append((u, (c / max(b[k + 1] - b[k], 1)).astype(np.float32)))
+    del x
     fit = np.flatnonzero(~held)
     steps, done = EPOCHS * (len(fit) // BATCH + 1), 0
     for _ in range(EPOCHS):
@@ -113,15 +118,7 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
             rate = RATE * (1 - done / steps)
             done += 1
             rows = order[i : i + BATCH]
-            n = np.maximum(b[rows + 1] - b[rows], 1)
-            ids = np.concatenate([x[b[k] : b[k + 1]] for k in rows]).astype(np.int64)
-            of = np.repeat(np.arange(len(rows)), b[rows + 1] - b[rows])
-            # counts of buckets in each text: embeddings are averaged through a sparse matrix
-            u, inv = np.unique(of * buckets + ids, return_inverse=True)
-            text, bucket = u // buckets, u % buckets
-            weight = (np.bincount(inv) / n[text]).astype(np.float32)
-            mean = np.zeros((len(rows), dim), np.float32)
-            np.add.at(mean, text, e[bucket] * weight[:, None])
+            mean = np.stack([share @ e[u] for u, share in (bags[k] for k in rows)])
             z = mean @ w + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -130,7 +127,9 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
             back = g @ w.T
             w -= rate * (mean.T @ g)
             bias -= 0.1 * rate * g.sum(0)
-            np.add.at(e, bucket, -rate * 20 * back[text] * weight[:, None])
+            for k, step in zip(rows, back, strict=True):
+                u, share = bags[k]
+                e[u] -= (20 * rate) * share[:, None] * step
     model = LanguageModel(labels, np.ascontiguousarray((e @ w).T), bias.astype(float), 1.0, 0.0)
     if held.any():
         some = np.flatnonzero(held)
