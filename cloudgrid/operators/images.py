@@ -94,13 +94,17 @@ def occlusion_walk(depth: DataFrame, slope: float = 0.001, steps: int = 7) -> Da
 
     Dense rows and columns are windows; no join.
     """
+
+    def rises(order: str):
+        return lambda p: (p["v"] <= 0.99999) & (p["v"] >= 0.00001) & (F.col("v") - p["v"] > F.abs(p["o"] - F.col(order)) * slope)
+
     out, dirs = depth, []
     for name, part, order, back in (("r", "y", "x", False), ("l", "y", "x", True), ("d", "x", "y", False), ("u", "x", "y", True)):
         w = Window.partitionBy(part).orderBy(order)
         w = w.rowsBetween(-steps, -1) if back else w.rowsBetween(1, steps)
         seen = F.collect_list(F.struct(F.col(order).alias("o"), "v")).over(w)
         out = out.withColumn(f"_{name}", seen)
-        dirs.append(F.exists(f"_{name}", lambda p, order=order: (p["v"] <= 0.99999) & (p["v"] >= 0.00001) & (F.col("v") - p["v"] > F.abs(p["o"] - F.col(order)) * slope)))
+        dirs.append(F.exists(f"_{name}", rises(order)))
     n = sum((d.cast("int") for d in dirs[1:]), dirs[0].cast("int"))
     back = F.col("v") > 0.9999999
     return out.select("y", "x", F.when(back, 0).otherwise(n).alias("blocked"), (~back & (n >= 3)).alias("masked"))

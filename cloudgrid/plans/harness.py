@@ -156,11 +156,11 @@ def las_rescale(spark, d):
     return p.select("rx", F.round(F.col("rx") * 0.25 - (1000.0 - 1024.0), 6).alias("x"), F.round(F.col("rz") * 0.5 + 3.0, 6).alias("z"))
 
 
-@query(f"{PTS}, l AS (SELECT DISTINCT x * 360 - 180 AS lon, y * 160 - 80 AS lat FROM pts), m AS (SELECT lon, lat, radians(lon) * 6378137 AS mx, ln(tan(0.7853981633974483 + radians(lat) / 2)) * 6378137 AS my FROM l) SELECT lon, lat, round(mx, 3) AS mx, round(my, 3) AS my, round(degrees(mx / 6378137), 6) AS blon, round(degrees(2 * atan(exp(my / 6378137)) - 1.5707963267948966), 6) AS blat FROM m")
+@query(f"{PTS}, l AS (SELECT DISTINCT x * 360 - 180 AS lon, y * 160 - 80 AS lat FROM pts), m AS (SELECT lon, lat, radians(lon) * 6378137 AS mx, ln(tan(0.7853981633974483 + radians(lat) / 2)) * 6378137 AS my FROM l) SELECT lon, lat, round(mx, 3) AS mx, round(my, 3) AS my, cast(floor(degrees(mx / 6378137) * 1000 + 0.37) AS bigint) AS blon, cast(floor(degrees(2 * atan(exp(my / 6378137)) - 1.5707963267948966) * 1000 + 0.37) AS bigint) AS blat FROM m")
 def mercator(spark, d):
     p = pts(spark, d).select((F.col("x") * 360.0 - 180.0).alias("lon"), (F.col("y") * 160.0 - 80.0).alias("lat")).distinct()
     p = p.withColumns({"mx": S.mercator_x(F.col("lon")), "my": S.mercator_y(F.col("lat"))})
-    return p.select("lon", "lat", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), F.round(S.mercator_lon(F.col("mx")), 6).alias("blon"), F.round(S.mercator_lat(F.col("my")), 6).alias("blat"))
+    return p.select("lon", "lat", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), F.floor(S.mercator_lon(F.col("mx")) * 1000 + 0.37).alias("blon"), F.floor(S.mercator_lat(F.col("my")) * 1000 + 0.37).alias("blat"))
 
 
 @query(f"{BOXES} SELECT min(min_x) AS min_x, min(min_y) AS min_y, max(max_x) AS max_x, max(max_y) AS max_y FROM files")
@@ -402,3 +402,340 @@ def visibility_combine(spark, d):
     v = vox(spark, d)
     m = voxels.combine_visibility({0: voxels.visibility(v), 1: voxels.visibility(voxels.coarser(v))})
     return m.withColumn("open", F.col("mask") == 255)
+
+
+# --- images -------------------------------------------------------------------------------------------------------------------------
+
+_TAPS9 = "t AS (SELECT i.y + a.r - 1 AS y, i.x + b.r - 1 AS x, 1 - a.r AS dy, 1 - b.r AS dx, v FROM img i, range(3) a(r), range(3) b(r))"
+
+
+@query(f"{MAP}, {_TAPS9}, g AS (SELECT y, x, sum(-dx * (CASE WHEN dy = 0 THEN 2 ELSE 1 END) * v) / 4 AS gx, sum(-dy * (CASE WHEN dx = 0 THEN 2 ELSE 1 END) * v) / 4 AS gy FROM t GROUP BY y, x) SELECT i.y, i.x, CASE WHEN i.y = 0 OR i.x = 0 THEN 0::double ELSE round(sqrt(gx * gx + gy * gy), 6) END AS v FROM img i JOIN g ON g.y = i.y AND g.x = i.x")
+def sobel_mag(spark, d):
+    return images.sobel(img(spark, d)).select("y", "x", *r6("v"))
+
+
+@query(f"{MAP} SELECT a.y, a.x, quantile_cont(b.v, 0.5) AS v FROM img a JOIN img b ON b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.y, a.x")
+def median5(spark, d):
+    return images.median(img(spark, d), 5)
+
+
+def _k(d: str) -> str:
+    return f"(CASE WHEN {d} IN (0, 1) THEN 3 ELSE 1 END)"
+
+
+def _down(src: str, dst: str, size: int) -> str:
+    t = f"{dst}_s AS (SELECT a.r AS y, b.r AS x, sum(i.v * {_k('i.y - 2 * a.r')} * {_k('i.x - 2 * b.r')} / 64::double) AS a, sum(i.w * {_k('i.y - 2 * a.r')} * {_k('i.x - 2 * b.r')} / 64::double) AS b FROM range({size}) a(r), range({size}) b(r) JOIN {src} i ON i.y BETWEEN 2 * a.r - 1 AND 2 * a.r + 2 AND i.x BETWEEN 2 * b.r - 1 AND 2 * b.r + 2 GROUP BY 1, 2)"
+    return t + f", {dst} AS (SELECT y, x, a / least(greatest(b, 1e-7), 999) * (1 - pow(1 - least(greatest(b, 1e-7), 1), 16)) AS v, 1 - pow(1 - least(greatest(b, 1e-7), 1), 16) AS w FROM {dst}_s)"
+
+
+def _up(fine: str, coarse: str, dst: str) -> str:
+    return f"{dst}_s AS (SELECT f.y, f.x, sum(c.v * {_k('c.y - f.y // 2')} * {_k('c.x - f.x // 2')} / 64::double) AS b FROM {fine} f JOIN {coarse} c ON c.y BETWEEN f.y // 2 - 1 AND f.y // 2 + 2 AND c.x BETWEEN f.x // 2 - 1 AND f.x // 2 + 2 GROUP BY 1, 2), {dst} AS (SELECT f.y, f.x, (1 - f.w) * coalesce(b, 0) + f.w * f.v AS v FROM {fine} f LEFT JOIN {dst}_s s ON s.y = f.y AND s.x = f.x)"
+
+
+@query(f"{MAP}, {_down('img', 'l1', 32)} SELECT cast(y AS int) AS y, cast(x AS int) AS x, round(v, 6) AS v, round(w, 6) AS w FROM l1")
+def push_level(spark, d):
+    return images.push(img(spark, d)).select("y", "x", *r6("v", "w"))
+
+
+@query(f"{MAP}, {_down('img', 'l1', 32)}, {_up('img', 'l1', 'u0')} SELECT cast(y AS int) AS y, cast(x AS int) AS x, round(v, 6) AS v FROM u0")
+def pull_level(spark, d):
+    i = img(spark, d)
+    return images.pull(i, images.push(i)).select("y", "x", *r6("v"))
+
+
+@query(f"{MAP}, {_down('img', 'l1', 32)}, {_down('l1', 'l2', 16)}, {_down('l2', 'l3', 8)}, {_down('l3', 'l4', 4)}, {_up('l3', 'l4', 'u3')}, {_up('l2', 'u3', 'u2')}, {_up('l1', 'u2', 'u1')}, {_up('img', 'u1', 'u0')} SELECT cast(y AS int) AS y, cast(x AS int) AS x, round(v, 6) AS v FROM u0")
+def push_pull(spark, d):
+    return images.push_pull(img(spark, d), 4).select("y", "x", *r6("v"))
+
+
+@query(f"{MAP}, p AS (SELECT y, x, x / 64::double AS px, y / 64::double AS py, 1 - v AS z FROM img), r AS (SELECT *, row_number() OVER (PARTITION BY y // 2, x // 2 ORDER BY z, -(y % 2 * 2 + x % 2)) AS k FROM p) SELECT cast(y // 2 AS int) AS y, cast(x // 2 AS int) AS x, px, py, z FROM r WHERE k = 1")
+def min_pyramid(spark, d):
+    return images.min_pyramid(_xyz(img(spark, d)))
+
+
+def _xyz(i: DataFrame) -> DataFrame:
+    return i.select("y", "x", (F.col("x") / 64.0).alias("px"), (F.col("y") / 64.0).alias("py"), (1.0 - F.col("v")).alias("z"))
+
+
+def _walk(dy: int, dx: int) -> str:
+    return f"(CASE WHEN EXISTS (SELECT 1 FROM dep q, range(1, 8) s(r) WHERE q.y = p.y + {dy} * s.r AND q.x = p.x + {dx} * s.r AND q.v <= 0.99999 AND q.v >= 0.00001 AND p.v - q.v > s.r * 0.001) THEN 1 ELSE 0 END)"
+
+
+@query(f"{MAP}, dep AS (SELECT y, x, 1 - v AS v FROM img), b AS (SELECT y, x, v, {_walk(0, 1)} + {_walk(0, -1)} + {_walk(1, 0)} + {_walk(-1, 0)} AS n FROM dep p) SELECT y, x, cast(CASE WHEN v > 0.9999999 THEN 0 ELSE n END AS int) AS blocked, v <= 0.9999999 AND n >= 3 AS masked FROM b")
+def occlusion_walk(spark, d):
+    return images.occlusion_walk(img(spark, d).select("y", "x", (1.0 - F.col("v")).alias("v")))
+
+
+_RING = "ring AS (SELECT cast(a.r - 1 AS int) AS j, cast(b.r - 1 AS int) AS i, a.r * 3 + b.r AS k FROM range(3) a(r), range(3) b(r) WHERE NOT (a.r = 1 AND b.r = 1))"
+
+
+@query(f"{MAP}, {_RING}, p AS (SELECT y, x, x / 64::double AS px, y / 64::double AS py, 1 - v + 0.125 AS z FROM img), m AS (SELECT y // 2 AS y, x // 2 AS x, arg_min(struct_pack(px := px, py := py, z := z), struct_pack(z := z, o := -(y % 2 * 2 + x % 2))) AS s FROM p GROUP BY 1, 2), lv AS (SELECT 0 AS l, y, x, px, py, z FROM p UNION ALL SELECT 1, y, x, s.px, s.py, s.z FROM m), src AS (SELECT *, least(greatest(floor(log2(16 / z)), 0), 1) AS most FROM p), o AS (SELECT s.y, s.x, ring.k, 1 + ((q.px - s.px) * q.px + (q.py - s.py) * q.py + (q.z - s.z) * q.z) / nullif(sqrt((q.px - s.px) * (q.px - s.px) + (q.py - s.py) * (q.py - s.py) + (q.z - s.z) * (q.z - s.z)) * sqrt(q.px * q.px + q.py * q.py + q.z * q.z), 0) AS occ FROM src s, ring JOIN lv q ON q.l <= s.most AND q.y = (s.y >> q.l) + j AND q.x = (s.x >> q.l) + i), sec AS (SELECT y, x, k, min(occ) AS occ FROM o WHERE occ IS NOT NULL GROUP BY 1, 2, 3) SELECT y, x, round(avg(occ), 6) AS open, avg(occ) < 0.12 AS masked FROM sec GROUP BY y, x")
+def sector_occlusion(spark, d):
+    base = _xyz(img(spark, d)).withColumn("z", F.col("z") + 0.125)
+    return images.sector_occlusion({0: base, 1: images.min_pyramid(base)}).select("y", "x", *r6("open"), "masked")
+
+
+@query(f"{MAP} SELECT y, x, v, lead(v) OVER (PARTITION BY y ORDER BY x) AS xp, lag(v) OVER (PARTITION BY y ORDER BY x) AS xm, lead(v) OVER (PARTITION BY x ORDER BY y) AS yp, lag(v) OVER (PARTITION BY x ORDER BY y) AS ym FROM img")
+def height_steps(spark, d):
+    return images.height_steps(img(spark, d))
+
+
+@query(f"{MAP}, q AS (SELECT a.r AS qy, b.r AS qx, y, x, v FROM range(4) a(r), range(4) b(r) JOIN img ON y - a.r * 16 BETWEEN 0 AND 23 AND x - b.r * 16 BETWEEN 0 AND 23) SELECT cast(qy AS int) AS qy, cast(qx AS int) AS qx, cast(y - qy * 16 + 12 AS int) AS py, cast(x - qx * 16 + 12 AS int) AS px, round(v * least(1, least(x, 64 - x) / 8::double) * least(1, least(y, 64 - y) / 8::double) * pow(sin(pi() * (x - qx * 16) / 24::double), 2) * pow(sin(pi() * (y - qy * 16) / 24::double), 2), 6) AS v FROM q")
+def patch_window(spark, d):
+    return images.patch_window(img(spark, d), G, G, 16, 4, 8).select("qy", "qx", "py", "px", *r6("v"))
+
+
+@query(f"{MAP} SELECT cast((y + 32) % 64 AS int) AS y, cast((x + 32) % 64 AS int) AS x, v FROM img")
+def fft_shift(spark, d):
+    return images.fft_shift(img(spark, d), G, G)
+
+
+@query(f"{MAP}, r AS (SELECT y // 16 AS q, y % 16 AS yy, x, v, row_number() OVER (PARTITION BY y // 16 ORDER BY v DESC, y, x) AS k FROM img) SELECT cast(q AS int) AS q, cast(x - 32 AS int) AS dx, cast(yy - 8 AS int) AS dy, v AS peak FROM r WHERE k = 1")
+def peak_per_patch(spark, d):
+    i = img(spark, d).select(F.expr("y div 16").cast("int").alias("q"), (F.col("y") % 16).alias("y"), "x", "v")
+    return images.peaks(i, ["q"], G, 16)
+
+
+@query()
+def align_offsets(spark, d):
+    i = img(spark, d).select("y", "x", "v")
+    moved = i.select("y", (F.col("x") - 3).alias("x"), "v").where("x >= 0")
+    return images.align(i, moved, G, G, 32, 8)
+
+
+# --- surfaces -----------------------------------------------------------------------------------------------------------------------
+
+_S = 16
+_HILL = f"{PTS}, g16 AS (SELECT cast(a.r AS int) AS y, cast(b.r AS int) AS x FROM range({_S}) a(r), range({_S}) b(r)), t16 AS (SELECT cast(least(floor(y * {_S} + 0.5), {_S - 1}) AS int) AS y, cast(least(floor(x * {_S} + 0.5), {_S - 1}) AS int) AS x, min(z) AS v FROM pts GROUP BY 1, 2), hill AS (SELECT g16.y, g16.x, coalesce(v, 0::double) * 8 AS v FROM g16 LEFT JOIN t16 USING (y, x))"
+_NODES = f"{_HILL}, st AS (SELECT y, x, v, lead(v) OVER (PARTITION BY y ORDER BY x) AS xp, lag(v) OVER (PARTITION BY y ORDER BY x) AS xm, lead(v) OVER (PARTITION BY x ORDER BY y) AS yp, lag(v) OVER (PARTITION BY x ORDER BY y) AS ym FROM hill), lv AS (SELECT cast(unnest(range(cast(floor(least(0, min(v) * {_S})) AS bigint), cast(floor(max(v) * {_S} + 1) AS bigint))) AS int) AS z FROM hill), nd AS (SELECT x, y, z, (CASE WHEN z / {_S}::double > v THEN 1 ELSE 0 END) + " + " + ".join(f"(CASE WHEN z / {_S}::double > {c} AND {c} < (z - 1) / {_S}::double THEN {b} ELSE 0 END)" for c, b in (("xp", 4), ("xm", 8), ("yp", 16), ("ym", 32))) + f" AS mask FROM st, lv WHERE (z - 1) / {_S}::double <= v), nodes AS (SELECT * FROM nd WHERE mask <> 0)"
+_CORNERS = "corner(k, j, ox, oy, oz) AS (VALUES " + ", ".join(map(str, surfaces.face_corners())) + ")"
+_MESH = f"{_NODES}, {_CORNERS}, face AS (SELECT x, y, z, cast(k.r AS int) AS k FROM nodes, range(6) k(r) WHERE (mask >> cast(k.r AS int)) & 1 = 1), quad AS (SELECT f.x, f.y, f.z, f.k, j, f.x + ox AS vx, f.y + oy AS vy, f.z + oz AS vz FROM face f JOIN corner USING (k)), vert AS (SELECT row_number() OVER (ORDER BY vz, vy, vx) - 1 AS vid, vx, vy, vz, vx / {_S}::double AS x, vy / {_S}::double AS y, vz / {_S}::double AS z FROM (SELECT DISTINCT vx, vy, vz FROM quad)), qv AS (SELECT q.x, q.y, q.z, q.k, max(vid) FILTER (j = 0) AS v0, max(vid) FILTER (j = 1) AS v1, max(vid) FILTER (j = 2) AS v2, max(vid) FILTER (j = 3) AS v3 FROM quad q JOIN vert USING (vx, vy, vz) GROUP BY 1, 2, 3, 4), tr AS (SELECT x, y, z, k, 0 AS t, CASE WHEN k IN (1, 3, 4) THEN v1 ELSE v0 END AS a, CASE WHEN k IN (1, 3, 4) THEN v0 ELSE v1 END AS b, v2 AS c FROM qv UNION ALL SELECT x, y, z, k, 1, CASE WHEN k IN (1, 3, 4) THEN v3 ELSE v2 END, CASE WHEN k IN (1, 3, 4) THEN v2 ELSE v3 END, v0 FROM qv), tri AS (SELECT row_number() OVER (ORDER BY z, y, x, k, t) - 1 AS tid, * FROM tr)"
+
+
+def _hill(spark, d) -> DataFrame:
+    at = lambda c: F.least(F.floor(F.col(c) * float(_S) + 0.5), F.lit(_S - 1)).cast("int")
+    low = pts(spark, d).groupBy(at("y").alias("y"), at("x").alias("x")).agg(F.min("z").alias("v"))
+    return points.grid(spark, _S, _S).join(low, ["y", "x"], "left").select("y", "x", (F.coalesce("v", F.lit(0.0)) * 8).alias("v"))
+
+
+def _nodes(spark, d) -> DataFrame:
+    return surfaces.surface_nodes(_hill(spark, d), _S)
+
+
+@query(f"{_NODES} SELECT x, y, z, cast(mask AS int) AS mask FROM nodes")
+def surface_nodes(spark, d):
+    return _nodes(spark, d)
+
+
+@query(f"{_MESH} SELECT vid, x, y, z, (vz::bigint << 32) | (vy::bigint << 16) | vx::bigint AS sig FROM vert")
+def mesh_vertices(spark, d):
+    v = surfaces.vertices(_nodes(spark, d), _S)
+    return v.select("vid", "x", "y", "z", S.vertex_signature(F.col("vx"), F.col("vy"), F.col("vz")).alias("sig"))
+
+
+@query(f"{_MESH} SELECT x, y, z, k, v0, v1, v2, v3 FROM qv")
+def mesh_quads(spark, d):
+    n = _nodes(spark, d)
+    q = surfaces.quads(n).join(surfaces.vertices(n, _S).select("vid", "vx", "vy", "vz"), ["vx", "vy", "vz"])
+    return q.groupBy("x", "y", "z", "k").agg(*[F.max(F.when(F.col("j") == j, F.col("vid"))).alias(f"v{j}") for j in range(4)])
+
+
+@query(f"{_MESH} SELECT tid, x, y, z, k, t, a, b, c FROM tri")
+def mesh_triangles(spark, d):
+    return surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S))
+
+
+_SLOT = f"{_MESH}, vt AS (SELECT tid, k, t, unnest([a, b, c]) AS vid FROM tri), slot AS (SELECT vid, k, t, max(tid) AS tid FROM vt GROUP BY vid, k, t)"
+
+
+@query(f"{_SLOT} SELECT * FROM slot")
+def vert_tri_slots(spark, d):
+    return surfaces.slots(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S)))
+
+
+def _round(src: str, dst: str) -> str:
+    return f"{dst} AS (SELECT v.vid, 0.98 * v.x + 0.02 * m.x AS x, 0.98 * v.y + 0.02 * m.y AS y, 0.98 * v.z + 0.02 * m.z AS z FROM {src} v JOIN (SELECT vid, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z FROM (SELECT s.vid, unnest([a, b, c]) AS o FROM slot s JOIN tri USING (tid)) n JOIN (SELECT vid AS o, x, y, z FROM {src}) o USING (o) GROUP BY vid) m USING (vid))"
+
+
+@query(f"{_SLOT}, {_round('vert', 's1')}, {_round('s1', 's2')} SELECT vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s2")
+def smooth2(spark, d):
+    n = _nodes(spark, d)
+    t = surfaces.numbered(surfaces.triangles(n, _S))
+    return surfaces.smooth(surfaces.vertices(n, _S), surfaces.slots(t), t, 0.98, 2).select("vid", *r6("x", "y", "z"))
+
+
+@query(f"{_MESH} SELECT tid, a AS u, b AS v FROM tri UNION ALL SELECT tid, b, c FROM tri UNION ALL SELECT tid, c, a FROM tri")
+def wireframe(spark, d):
+    return surfaces.wireframe(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S)))
+
+
+@query(f"{_MESH} SELECT vid, 0 AS \"end\", x, y, z FROM vert UNION ALL SELECT vid, 1, x + 0.0, y + 0.0, z + 0.5 FROM vert")
+def normal_lines(spark, d):
+    v = surfaces.vertices(_nodes(spark, d), _S).select("vid", "x", "y", "z", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
+    return surfaces.normal_lines(v, 0.5)
+
+
+@query(f"{_MESH}, m AS (SELECT max(z) AS h FROM vert) SELECT vid, 1::double AS r, z / h AS g, (z / h) * (z / h) AS b, x AS u, 1 - y AS v FROM vert, m")
+def vertex_colors(spark, d):
+    """Colours by height, and texture coordinates."""
+    v = surfaces.vertices(_nodes(spark, d), _S)
+    v = v.crossJoin(F.broadcast(v.agg(F.max("z").alias("h"))))
+    return v.select("vid", F.lit(1.0).alias("r"), (F.col("z") / F.col("h")).alias("g"), (F.col("z") / F.col("h") * (F.col("z") / F.col("h"))).alias("b"), F.col("x").alias("u"), (1.0 - F.col("y")).alias("v"))
+
+
+_BITS = ", ".join(f"coalesce(max(n) FILTER (i = {k}), 0) AS c{k}" for k in range(8))
+_CELLS = f"{VOX}, co(i, ox, oy, oz) AS (VALUES " + ", ".join(str((k, *c)) for k, c in enumerate(surfaces.CORNERS)) + f"), s AS (SELECT x - ox AS x, y - oy AS y, z - oz AS z, i, n FROM vox, co), cell AS (SELECT s.x, s.y, s.z, {_BITS} FROM s WHERE EXISTS (SELECT 1 FROM vox v WHERE v.x = s.x AND v.y = s.y AND v.z = s.z) GROUP BY 1, 2, 3), cube AS (SELECT *, " + " + ".join(f"(CASE WHEN c{k} < 3 THEN {1 << k} ELSE 0 END)" for k in range(8)) + " AS cube FROM cell)"
+
+
+@query(f"{_CELLS} SELECT x, y, z, cast(cube AS int) AS cube FROM cube")
+def mc_cube_index(spark, d):
+    return surfaces.cube_index(surfaces.cells(vox(spark, d), LEVEL), 3.0).select("x", "y", "z", "cube")
+
+
+_COUNT = "cnt(cube, n) AS (VALUES " + ", ".join(f"({i}, {len(surfaces.cube_triangles(i))})" for i in range(256)) + ")"
+
+
+@query(f"{_CELLS}, {_COUNT} SELECT cast(cube AS int) AS cube, count(*) AS cells, cast(sum(n) AS bigint) AS triangles FROM cube JOIN cnt USING (cube) WHERE n > 0 GROUP BY cube")
+def mc_triangle_count(spark, d):
+    v = vox(spark, d)
+    t = surfaces.marching_cubes(v, LEVEL, 3.0).where("corner = 0").groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+    c = surfaces.cube_index(surfaces.cells(v, LEVEL), 3.0).select("x", "y", "z", "cube")
+    return c.join(t, ["x", "y", "z"]).groupBy("cube").agg(F.count("*").alias("cells"), F.sum("n").alias("triangles"))
+
+
+@query()
+def mc_triangles(spark, d):
+    return surfaces.marching_cubes(vox(spark, d), LEVEL, 3.0)
+
+
+@query("n AS (SELECT a.r AS i, b.r AS j FROM range(17) a(r), range(33) b(r)) SELECT cast(i AS int) AS i, cast(j AS int) AS j, round(sin(i * (pi() / 16)) * cos(j * (2 * pi() / 32)), 6) + 0.0 AS x, round(sin(i * (pi() / 16)) * sin(j * (2 * pi() / 32)), 6) + 0.0 AS y, round(cos(i * (pi() / 16)), 6) + 0.0 AS z FROM n")
+def sphere_mesh(spark, d):
+    return surfaces.sphere_mesh(spark).select("i", "j", *_r0("x", "y", "z"))
+
+
+@query()
+def box_mesh(spark, d):
+    return surfaces.box_mesh(spark)
+
+
+@query()
+def delaunay_tets(spark, d):
+    p = voxels.bin_points(pts(spark, d), 2).where("vx = 1 and vy = 1 and vz = 1").select("x", "y", "z").distinct()
+    p = p.withColumn("tile", F.pmod(F.xxhash64("x", "y", "z"), F.lit(64)).cast("int"))
+    return surfaces.delaunay(p, "tile")
+
+
+# --- tile trees ---------------------------------------------------------------------------------------------------------------------
+
+
+def tile_tree(spark, d) -> DataFrame:
+    """root, regions, nations, suppliers as a tree of spheres."""
+    bv = lambda k: F.struct(F.lit("sphere").alias("type"), F.array(*[((k * m) % 16).cast("double") for m in (3, 5, 7)], F.lit(1.0)).alias("vals"))
+    x = F.array(*[F.lit(v) for v in tiles3d.IDENTITY])
+    none = F.lit(None).cast("array<double>")
+    row = lambda t, i, p, g, r, k, m=none: t.select(i.alias("tile_id"), p.alias("parent_id"), F.lit(g).cast("double").alias("geo_error"), F.lit(r).cast("string").alias("refine"), bv(k).alias("bv"), m.alias("xform"))
+    root = row(spark.range(1), F.lit("t"), F.lit(None).cast("string"), 64.0, "REPLACE", F.col("id"), x)
+    reg = row(table(spark, d, "region"), F.concat(F.lit("r"), "r_regionkey"), F.lit("t"), 16.0, "ADD", F.col("r_regionkey"), F.array(*[F.lit(2.0) if i in (0, 5, 10) else F.lit(v) for i, v in enumerate(tiles3d.IDENTITY)]))
+    nat = row(table(spark, d, "nation"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), 4.0, "REPLACE", F.col("n_nationkey"), F.array(*[F.col("n_nationkey").cast("double") if i == 3 else F.lit(v) for i, v in enumerate(tiles3d.IDENTITY)]))
+    sup = row(table(spark, d, "supplier"), F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), None, None, F.col("s_suppkey"))
+    return root.unionByName(reg).unionByName(nat).unionByName(sup)
+
+
+_SPH = lambda k: f"{k} * 3 % 16 AS cx, {k} * 5 % 16 AS cy, {k} * 7 % 16 AS cz"
+_T3 = f"t3 AS (SELECT 't' AS tile_id, NULL::varchar AS parent_id, 64::double AS geo_error, 'REPLACE' AS refine, {_SPH(0)}, 1::double AS s, 0::double AS tx UNION ALL SELECT 'r' || r_regionkey, 't', 16, 'ADD', {_SPH('r_regionkey')}, 2, 0 FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 4, 'REPLACE', {_SPH('n_nationkey')}, 1, n_nationkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, NULL, NULL, {_SPH('s_suppkey')}, NULL, NULL FROM supplier)"
+_INH = f"{_T3}, inh AS (SELECT *, 0 AS depth FROM t3 WHERE parent_id IS NULL UNION ALL SELECT c.tile_id, c.parent_id, coalesce(c.geo_error, p.geo_error), coalesce(c.refine, p.refine), c.cx, c.cy, c.cz, p.s * coalesce(c.s, 1), p.tx + p.s * coalesce(c.tx, 0), p.depth + 1 FROM t3 c JOIN inh p ON c.parent_id = p.tile_id)"
+
+
+@query(f"{_INH} SELECT tile_id, parent_id, depth, geo_error, refine, s AS m00, tx AS m03 FROM inh", recursive=True)
+def inherit(spark, d):
+    t = tiles3d.inherit(tile_tree(spark, d))
+    return t.select("tile_id", "parent_id", "depth", "geo_error", "refine", F.element_at("xform", 1).alias("m00"), F.element_at("xform", 4).alias("m03"))
+
+
+_EYE, _H, _U = (8.0, 8.0, 40.0), 20.0, 1.5
+_SSE = f"{_INH}, mv AS (SELECT *, s * cx + tx AS mx, s * cy AS my, s * cz AS mz FROM inh), se AS (SELECT *, sqrt((mx - 8) * (mx - 8) + (my - 8) * (my - 8) + (mz - 40) * (mz - 40)) AS dist FROM mv), er AS (SELECT *, 20 * geo_error * 1.5::double / dist AS sse FROM se)"
+
+
+def _errors(spark, d) -> DataFrame:
+    t = tiles3d.inherit(tile_tree(spark, d))
+    t = t.withColumn("bv", F.struct(F.col("bv.type").alias("type"), tiles3d.move_volume(F.col("bv.type"), F.col("bv.vals"), F.col("xform")).alias("vals")))
+    return tiles3d.with_error(t, _EYE, _H, _U)
+
+
+@query(f"{_SSE} SELECT tile_id, mx AS cx, my AS cy, mz AS cz, round(dist, 6) AS dist, round(sse, 6) AS sse FROM er", recursive=True)
+def sse(spark, d):
+    return _errors(spark, d).select("tile_id", *[F.element_at("bv.vals", k + 1).alias(c) for k, c in enumerate(("cx", "cy", "cz"))], *r6("dist", "sse"))
+
+
+_VISIT = f"{_SSE}, vis AS (SELECT * FROM er WHERE parent_id IS NULL UNION ALL SELECT c.* FROM er c JOIN vis p ON c.parent_id = p.tile_id WHERE p.sse >= 10)"
+
+
+@query(f"{_VISIT} SELECT tile_id, depth FROM vis", recursive=True)
+def lod_visit(spark, d):
+    return tiles3d.visited(_errors(spark, d)).select("tile_id", "depth")
+
+
+@query(f"{_VISIT} SELECT tile_id, depth, refine FROM vis v WHERE refine = 'ADD' OR NOT EXISTS (SELECT 1 FROM vis c WHERE c.parent_id = v.tile_id)", recursive=True)
+def lod_render_set(spark, d):
+    return tiles3d.drawn(tiles3d.visited(_errors(spark, d))).select("tile_id", "depth", "refine")
+
+
+@query("m AS (SELECT n_nationkey::double AS n FROM nation) SELECT n, n * 2 AS m00, n + 1 AS m03, 2 * n AS m11, n * n + 2 AS px FROM m")
+def mat_mul(spark, d):
+    n = F.col("n_nationkey").cast("double")
+    i = tiles3d.IDENTITY
+    a = F.array(*[n if k in (0, 5, 10) else F.lit(1.0) if k == 3 else F.lit(v) for k, v in enumerate(i)])
+    b = F.array(*[F.lit(2.0) if k in (0, 5, 10) else F.lit(1.0) if k == 3 else F.lit(v) for k, v in enumerate(i)])
+    t = table(spark, d, "nation").select(n.alias("n"), S.matmul4(a, b).alias("m"), S.transform3(a, F.array(n, F.lit(0.0), F.lit(0.0))).alias("p"))
+    return t.select("n", F.element_at("m", 1).alias("m00"), F.element_at("m", 4).alias("m03"), F.element_at("m", 6).alias("m11"), (F.element_at("p", 1) + 1.0).alias("px"))
+
+
+@query("q AS (SELECT n_nationkey::double AS n, sin(n_nationkey * 0.1::double) AS z, cos(n_nationkey * 0.1::double) AS w FROM nation) SELECT n, round((1 - 2 * z * z) * 2, 6) AS m00, round(-2 * z * w * 3, 6) + 0.0 AS m01, round(2 * z * w * 2, 6) + 0.0 AS m10, n AS m03, round((1 - 2 * z * z) * 2, 6) AS l00, round(-2 * z * w * 2, 6) + 0.0 AS l01 FROM q")
+def trs_compose(spark, d):
+    n = F.col("n_nationkey").cast("double")
+    q = [F.lit(0.0), F.lit(0.0), F.sin(n * 0.1), F.cos(n * 0.1)]
+    s = [F.lit(2.0), F.lit(3.0), F.lit(4.0)]
+    t = table(spark, d, "nation").select(n.alias("n"), S.trs([n, F.lit(0.0), F.lit(0.0)], q, s).alias("m"), S.trs([n, F.lit(0.0), F.lit(0.0)], q, s, legacy=True).alias("l"))
+    return t.select("n", *[(F.round(F.element_at(c, k), 6) + 0.0).alias(a) for a, c, k in (("m00", "m", 1), ("m01", "m", 2), ("m10", "m", 5), ("l00", "l", 1), ("l01", "l", 2))], F.element_at("m", 4).alias("m03"))
+
+
+# --- graphs -------------------------------------------------------------------------------------------------------------------------
+
+_EDGES = "ge AS (SELECT c_nationkey AS u, s_nationkey AS v, count(*) AS c FROM (SELECT o_custkey, l_suppkey FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), e AS (SELECT cast(u AS int) AS u, cast(v AS int) AS v, cast(c AS int) AS c FROM ge WHERE u <> v AND (u * 7 + v * 3) % 5 = 0)"
+
+
+def gedges(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    j = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = j.join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("u")), F.col("c_custkey") == F.col("o_custkey"))
+    j = j.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("v")), F.col("s_suppkey") == F.col("l_suppkey"))
+    return j.where("u <> v and (u * 7 + v * 3) % 5 = 0").groupBy("u", "v").agg(F.count("*").cast("int").alias("c"))
+
+
+@query(_EDGES + " SELECT * FROM e")
+def graph_edges(spark, d):
+    return graphs.distinct_edges(gedges(spark, d).select("u", "v", "c"), "c")
+
+
+@query(_EDGES + ", b AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.v, hop + 1 FROM b JOIN e ON e.u = b.node WHERE hop < 8) SELECT cast(node AS int) AS node, cast(min(hop) AS int) AS hop FROM b GROUP BY node", recursive=True)
+def bfs_hops(spark, d):
+    return graphs.hops(gedges(spark, d), 0, 8)
+
+
+def _flow(spark, d) -> DataFrame:
+    return graphs.max_flow(gedges(spark, d).withColumn("g", F.lit(0)), "g", 0, 24)
+
+
+@query()
+def maxflow(spark, d):
+    return _flow(spark, d)
+
+
+@query()
+def mincut_sets(spark, d):
+    return graphs.cut_sides(_flow(spark, d), 0)
+
+
+@query(_EDGES + " SELECT 'digraph {' || chr(10) || string_agg('  ' || u || ' -> ' || v || ' [label=\"0/' || c || '\"];', chr(10) ORDER BY u, v) || chr(10) || '}' AS dot FROM e")
+def graph_dot(spark, d):
+    return graphs.dot(gedges(spark, d).withColumn("flow", F.lit(0)))
