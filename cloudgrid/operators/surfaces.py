@@ -44,7 +44,7 @@ def surface_nodes(surface: DataFrame, size: int, top_inclusive: bool = True) ->
     # a side face at level l needs a neighbour below (l - 1) / size, and every level at most v * size + 1
     low = F.greatest(first, F.least(F.floor(F.col("v") * size), *[F.floor(F.coalesce(c, F.lit(1e9)) * size) for c in ("xp", "xm", "yp", "ym")]))
     high = F.least(last, F.floor(F.col("v") * size + 1))
-    s = s.where(low <= high).withColumn("z", F.explode(F.sequence(low, high)).cast("int"))
+    s = s.where(low <= high).withColumn("z", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
     here, below = F.col("z") / float(size), (F.col("z") - 1) / float(size)
     side = lambda c, bit: F.when((here > F.col(c)) & (F.col(c) < below), bit).otherwise(0)
     mask = F.when(here > F.col("v"), 1).otherwise(0) + side("xp", 4) + side("xm", 8) + side("yp", 16) + side("ym", 32)

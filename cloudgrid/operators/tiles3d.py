@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from ..functions.scalar import matmul4, screen_error, transform3
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
@@ -14,10 +15,12 @@ TOLERANCE = 10.0
 def inherit(tiles: DataFrame, most: int = 64) -> DataFrame:
     """Transforms multiplied down the tree, and refine and geo_error taken from the parent where they are null; one join a level."""
     level = tiles.where("parent_id is null").withColumns({"depth": F.lit(0), "xform": F.coalesce("xform", F.array(*map(F.lit, IDENTITY))), "refine": F.coalesce("refine", F.lit("ADD")), "geo_error": F.coalesce("geo_error", F.lit(0.0))})
+    level = settle(level)
     out, kids = level, tiles.where("parent_id is not null")
     for d in range(1, most):
         up = level.select(F.col("tile_id").alias("parent_id"), F.col("xform").alias("_x"), F.col("refine").alias("_r"), F.col("geo_error").alias("_g"))
         level = kids.join(up, "parent_id").withColumns({"depth": F.lit(d), "xform": F.when(F.col("xform").isNull(), F.col("_x")).otherwise(matmul4(F.col("_x"), F.col("xform"))), "refine": F.coalesce("refine", "_r"), "geo_error": F.coalesce("geo_error", "_g")}).drop("_x", "_r", "_g").select(*out.columns)
+        level = settle(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -45,11 +48,12 @@ def with_error(tiles: DataFrame, eye: tuple[float, float, float], height: float,
 
 def visited(tiles: DataFrame, tolerance: float = TOLERANCE, most: int = 64) -> DataFrame:
     """The steady state: a root is visited, and a child if its visited parent's error reaches the tolerance."""
+    tiles = settle(tiles)
     level = tiles.where("parent_id is null")
     out = level
     for _ in range(most):
         opened = level.where(F.col("sse") >= tolerance).select(F.col("tile_id").alias("parent_id"))
-        level = tiles.join(opened, "parent_id").select(*tiles.columns)
+        level = settle(tiles.join(opened, "parent_id").select(*tiles.columns))
         if level.isEmpty():
             break
         out = out.unionByName(level)

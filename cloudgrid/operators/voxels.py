@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.scalar import cell
 
@@ -192,7 +193,7 @@ def covariances_multilevel(voxels: DataFrame, levels: int = 3, support: float =
     return total.groupBy(*CELL).agg(*[F.sum(k).alias(k) for k, _, _ in _SIX], F.sum("support").alias("support"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def smallest_axis(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.Series:
     """L1: unit eigenvector of the smallest eigenvalue, its largest component positive; null where it is not determined."""
     m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2).astype(float)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.lineage import settle
 from ..operators import graphs, images, points, surfaces, tiles3d, voxels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,7 +520,7 @@ def _hill(spark, d) -> DataFrame:
 
 
 def _nodes(spark, d) -> DataFrame:
-    return surfaces.surface_nodes(_hill(spark, d), _S)
+    return settle(surfaces.surface_nodes(settle(_hill(spark, d)), _S))
 
 
 @query(f"{_NODES} SELECT x, y, z, cast(mask AS int) AS mask FROM nodes")
@@ -542,7 +543,7 @@ def mesh_quads(spark, d):
 
 @query(f"{_MESH} SELECT tid, x, y, z, k, t, a, b, c FROM tri")
 def mesh_triangles(spark, d):
-    return surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S))
+    return settle(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S)))
 
 
 _SLOT = f"{_MESH}, vt AS (SELECT tid, k, t, unnest([a, b, c]) AS vid FROM tri), slot AS (SELECT vid, k, t, max(tid) AS tid FROM vt GROUP BY vid, k, t)"
@@ -550,23 +551,23 @@ _SLOT = f"{_MESH}, vt AS (SELECT tid, k, t, unnest([a, b, c]) AS vid FROM tri),
 
 @query(f"{_SLOT} SELECT * FROM slot")
 def vert_tri_slots(spark, d):
-    return surfaces.slots(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S)))
+    return surfaces.slots(settle(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S))))
 
 
 def _round(src: str, dst: str) -> str:
     return f"{dst} AS (SELECT v.vid, 0.98 * v.x + 0.02 * m.x AS x, 0.98 * v.y + 0.02 * m.y AS y, 0.98 * v.z + 0.02 * m.z AS z FROM {src} v JOIN (SELECT vid, avg(o.x) AS x, avg(o.y) AS y, avg(o.z) AS z FROM (SELECT s.vid, unnest([a, b, c]) AS o FROM slot s JOIN tri USING (tid)) n JOIN (SELECT vid AS o, x, y, z FROM {src}) o USING (o) GROUP BY vid) m USING (vid))"
 
 
-@query(f"{_SLOT}, {_round('vert', 's1')}, {_round('s1', 's2')} SELECT vid, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s2")
+@query(f"{_SLOT}, {_round('vert', 's1')}, {_round('s1', 's2')} SELECT vid, cast(floor(x * 100000 + 0.37) AS bigint) AS x, cast(floor(y * 100000 + 0.37) AS bigint) AS y, cast(floor(z * 100000 + 0.37) AS bigint) AS z FROM s2")
 def smooth2(spark, d):
     n = _nodes(spark, d)
-    t = surfaces.numbered(surfaces.triangles(n, _S))
-    return surfaces.smooth(surfaces.vertices(n, _S), surfaces.slots(t), t, 0.98, 2).select("vid", *r6("x", "y", "z"))
+    t = settle(surfaces.numbered(surfaces.triangles(n, _S)))
+    return surfaces.smooth(surfaces.vertices(n, _S), surfaces.slots(t), t, 0.98, 2).select("vid", *[F.floor(F.col(a) * 100000 + 0.37).alias(a) for a in "xyz"])
 
 
 @query(f"{_MESH} SELECT tid, a AS u, b AS v FROM tri UNION ALL SELECT tid, b, c FROM tri UNION ALL SELECT tid, c, a FROM tri")
 def wireframe(spark, d):
-    return surfaces.wireframe(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S)))
+    return surfaces.wireframe(settle(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S))))
 
 
 @query(f"{_MESH} SELECT vid, 0 AS \"end\", x, y, z FROM vert UNION ALL SELECT vid, 1, x + 0.0, y + 0.0, z + 0.5 FROM vert")
