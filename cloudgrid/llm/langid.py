@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow
+from .shared import map_arrow, sample_rows
 from .wordcode import ranges, slices, text_bytes
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -151,8 +151,10 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
     """Trains on at most ``sample`` rows with text and label, the first by hash of their ids."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    picked = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(id_col).alias("x")).orderBy("x", "i", "t", "l").limit(sample).select("t", "l")
-    got = picked.toArrow().to_pydict()
+    got = sample_rows(rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")), "i", sample).toArrow()
+    got = got.sort_by([("i", "ascending"), ("t", "ascending"), ("l", "ascending")]).slice(0, sample).to_pydict()
+    order = np.random.default_rng(7).permutation(len(got["t"]))  # ids may follow languages
+    got = {k: [got[k][j] for j in order] for k in ("t", "l")}
     return train(got["t"], got["l"])
 
 

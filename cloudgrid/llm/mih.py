@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import prepare, sample_rows
 
 BITS, PART, SAMPLE, SHARE, LEAST = 256, 8, 4096, 0.06, 200
 QUERY_BLOCK = 4096
@@ -147,7 +147,7 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("i is not null and size(v) > 0")
     table, queries = pick(table), pick(queries)
     schema = f"query_id long, `{id_col}` long, score double"
-    _, x = vectors(table.orderBy(F.xxhash64("i"), "i").limit(sample).toArrow().column("v"))
+    _, x = vectors(sample_rows(table, "i", sample).toArrow().sort_by("i").slice(0, sample).column("v"))
     if not len(x):
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     coder = Coder(x)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow
+from .shared import map_arrow, sample_rows
 from .wordcode import U, Words, counts_between, mix, slices, text_bytes
 
 SAMPLE, BUCKETS, EPOCHS, RATE, BATCH, KEEP = 4000, 1 << 16, 6, 20.0, 32, 0.3
@@ -173,7 +173,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     order = np.argsort(p)
     p, n = p[order], n[order]
     good, _, _ = posterior(p, n) if len(p) else (np.zeros(0), 0.5, None)
-    texts = [t or "" for t in docs.orderBy(F.xxhash64("i"), "i", "t").limit(sample).select("t").toArrow().column("t").to_pylist()]
+    picked = sample_rows(docs, "i", sample).toArrow().sort_by([("i", "ascending"), ("t", "ascending")]).slice(0, sample)
+    texts = [t or "" for t in picked.column("t").to_pylist()]
     if texts:
         d, o = text_bytes(pa.array(texts, pa.large_string()))
         scorer = train(texts, good[np.searchsorted(p, pattern(votes(d, o)))])
