@@ -1,9 +1,10 @@
 """Python data source ``las``: uncompressed LAS 1.2 to 1.4 points, formats 0 to 3 and 6 to 8, with rectangle and stride.
 
     spark.dataSource.register(LasSource)
-    spark.read.format("las").option("path", folder).load().where("x > 5 and x < 9")
+    spark.read.format("las").option("path", folder).option("pushdown", "true").load().where("x > 5 and x < 9")
 
-Every file is split into ranges of points; a filter on x or y skips files whose header box lies outside it.  The files must be readable from
+Every file is split into ranges of points; with pushdown (and spark.sql.python.filterPushdown.enabled) a filter on x or y skips files whose
+header box lies outside it.  The files must be readable from
 the executors by path (local or mounted).
 """
 
@@ -72,17 +73,6 @@ class LasReader(DataSourceReader):
         self.path, self.headers_only = options["path"], str(options.get("headers", "false")).lower() == "true"
         self.lo, self.hi = {"x": -np.inf, "y": -np.inf}, {"x": np.inf, "y": np.inf}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on x and y prune files; every filter is still applied by Spark, so rows are never lost or kept wrongly."""
-        for f in filters:
-            name = getattr(f, "attribute", ("",))
-            if len(name) == 1 and name[0] in self.lo and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                if not isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.lo[name[0]] = max(self.lo[name[0]], float(f.value))
-                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.hi[name[0]] = min(self.hi[name[0]], float(f.value))
-            yield f
-
     def partitions(self) -> list[Part]:
         out = []
         for path in list_files(self.path):
@@ -105,8 +95,23 @@ class LasReader(DataSourceReader):
                 yield points(h, i, min(i + (1 << 16), part.stop))
 
 
+class PruningLasReader(LasReader):
+    """Needs spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds on x and y prune files; every filter is still applied by Spark, so rows are never lost or kept wrongly."""
+        for f in filters:
+            name = getattr(f, "attribute", ("",))
+            if len(name) == 1 and name[0] in self.lo and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.lo[name[0]] = max(self.lo[name[0]], float(f.value))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.hi[name[0]] = min(self.hi[name[0]], float(f.value))
+            yield f
+
+
 class LasSource(DataSource):
-    """Options: path (a file or folder), headers (true: one row for each file)."""
+    """Options: path (a file or folder), headers (true: one row for each file), pushdown (true: bounds on x and y skip files)."""
 
     @classmethod
     def name(cls) -> str:
@@ -116,7 +121,8 @@ class LasSource(DataSource):
         return HEADERS if str(self.options.get("headers", "false")).lower() == "true" else SCHEMA
 
     def reader(self, schema) -> LasReader:
-        return LasReader(dict(self.options))
+        push = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (PruningLasReader if push else LasReader)(dict(self.options))
 
 
 def write_las(path: str, xyz: np.ndarray, intensity: np.ndarray | None = None, scale: float = 0.001, form: int = 0) -> None:

@@ -60,8 +60,8 @@ def test_marching_cubes_of_one_corner():
 
 def test_sphere_of_marching_cubes_is_closed(spark):
     v = spark.range(16**3).selectExpr("cast(id % 16 as int) x", "cast(id div 16 % 16 as int) y", "cast(id div 256 as int) z")
-    v = v.withColumn("val", 6.0 - F.sqrt((F.col("x") - 7.3) ** 2 + (F.col("y") - 7.6) ** 2 + (F.col("z") - 7.1) ** 2))
-    t = surfaces.marching_cubes(v, 4, 0.0).toPandas()
+    v = v.withColumn("val", 6.5 - F.sqrt((F.col("x") - 7.3) ** 2 + (F.col("y") - 7.6) ** 2 + (F.col("z") - 7.1) ** 2))
+    t = surfaces.marching_cubes(v, 4, 0.5).toPandas()
     t["p"] = list(zip(t.px.round(7), t.py.round(7), t.pz.round(7), strict=True))
     edges = {}
     for _, g in t.sort_values("corner").groupby(["x", "y", "z", "seq"]):
@@ -128,6 +128,9 @@ def test_las_round_trip_and_pruning(spark, tmp_path):
     assert df.count() == 800
     got = df.where("x < 50").orderBy("pt_idx").toPandas()
     assert np.allclose(got[["x", "y", "z"]], a, atol=1e-3) and list(got.intensity) == list(range(500))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    near = spark.read.format("las").option("path", str(tmp_path)).option("pushdown", "true").load().where("x < 50")
+    assert near.count() == 500 and near.rdd.getNumPartitions() == 1
     h = spark.read.format("las").option("path", str(tmp_path)).option("headers", "true").load().toPandas()
     assert sorted(h.n_points) == [300, 500] and points.extent(spark.createDataFrame(h[["min_x", "min_y", "max_x", "max_y"]])).first().max_x > 100
     s = points.stride_sample(df, 8, "path", ["pt_idx"])
