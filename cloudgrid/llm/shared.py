@@ -22,6 +22,9 @@ def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
+    # workers give freed arrays back to the system, as several of them share an executor's memory
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_MMAP_THRESHOLD_", "2097152"), ("MALLOC_ARENA_MAX", "2")):
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 

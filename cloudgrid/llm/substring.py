@@ -5,11 +5,14 @@ that covers it also starts in a document with a smaller id.  Steps:
 
 1. *candidates*: each window is stood for by the smallest hash among its ``GRAM``-word grams (equal windows have equal ones);
    the grams that stand for windows of two documents or more go into a Bloom filter of bounded size;
-2. *confirmation*: windows whose gram is in the filter are grouped by a 96-bit hash of their words; those of two documents or more
-   recur, and the smallest document is their owner.  Partial aggregation collapses a hot window in each task;
-3. *location*: documents are dealt into shards by id; a shard gets the recurring windows that occur in it with an owner, compiles
-   them into Aho-Corasick automata (a letter for each word, ``PHRASES`` phrases at most in each automaton) and streams its documents
-   through them.
+2. *confirmation*: consecutive windows with one gram are a segment.  Segments whose gram is in the filter are grouped by gram and words.
+   A gram with one segment only has its windows nowhere else, so the segment's smallest document owns them.  For the other grams the
+   windows themselves are grouped by a 96-bit hash of their words, and the smallest document of each is its owner.  Partial
+   aggregation collapses hot segments and windows in each task;
+3. *location*: documents with candidates are dealt into shards by id; a shard gets the recurring segments and windows that occur in it with
+   their owners.  Runs of windows that a document owes to smaller ones are its repeated phrases; they are compiled into Aho-Corasick
+   automata (a letter for each word, ``LETTERS`` letters or one phrase in each automaton), and all documents of the shard are streamed through
+   them: a phrase goes wherever it occurs after the last of its windows' owners.  Documents without candidates are answered where they are.
 
 Defined cases: null or empty text has no words; a document of fewer words than ``width`` keeps them all; copies of a document keep
 the one of the smallest id; rows of one id count as one document (each row is answered); windows that recur only inside one document
@@ -27,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bloom, cut, map_arrow, prepare
-from .wordcode import Words, cover, gram_starts, grams, i64, mix, slices, text_bytes, u64, U
+from .wordcode import U, Words, counts_between, cover, gram_starts, grams, i64, mix, ranges, slices, span_hash, text_bytes, u64
 
 WIDTH = 13
-GRAM = 4
-#: phrases in one automaton
-PHRASES = 20_000
+GRAM = 5
+#: letters of the phrases in one automaton
+LETTERS = 400_000
 #: bytes of text in a shard of documents, about
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 
 
 def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -54,7 +57,7 @@ def _windows(w: Words, width: int):
     at = np.flatnonzero(ok)
     if not len(at):
         return at, np.zeros(0, U)
-    return at, _sliding_min(grams(w.h, gram, 7), width - gram + 1)[at]
+    return at, mix(_sliding_min(grams(w.h, gram, 7), width - gram + 1)[at])  # mixed, as minima are small
 
 
 def _shard(ids: np.ndarray, shards: int) -> np.ndarray:
@@ -74,109 +77,165 @@ def _keys(w: Words, at: np.ndarray, width: int):
     return a, b
 
 
-def recurring_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shards: int = 1) -> DataFrame:
-    """(h, c, shard, owner): windows that start in two documents or more, for each shard in which a larger document than the owner has them."""
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+def _segments(w: Words, width: int):
+    """(first window's position, number of windows, gram, hash of the words) of all runs of windows with one gram."""
+    at, g = _windows(w, width)
+    if not len(at):
+        return at, at, g, g
+    new = np.ones(len(at), bool)
+    new[1:] = (g[1:] != g[:-1]) | (at[1:] != at[:-1] + 1)
+    k = np.flatnonzero(new)
+    n = np.diff(np.append(k, len(at)))
+    return at[k], n, g[k], span_hash(w.h, at[k], at[k] + n - 1 + width)
 
-    def stand(batch):
-        h, d = [], []
-        for ids, w in _each(batch, "i", "t"):
-            at, g = _windows(w, width)
-            if len(at):
-                t = w.text[at]
-                new = np.ones(len(at), bool)
-                new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1])
-                h.append(g[new])
-                d.append(ids[t[new]])
-        return pa.record_batch({"h": i64(np.concatenate(h)), "d": pa.array(np.concatenate(d))}) if h else None
-
-    grams_ = map_arrow(docs, stand, "h long, d long").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h")
-    grams_ = cut(grams_)
-    seen = docs.sparkSession.sparkContext.broadcast(bloom(grams_, "h", grams_.count()))
-
-    def candidates(batch):
-        out = []
-        for ids, w in _each(batch, "i", "t"):
-            at, g = _windows(w, width)
+
+def _first_rows(*cols):
+    """Order of the rows and places of the first of each group of equal rows, the last column left out."""
+    o = np.lexsort(cols[::-1])
+    new = np.ones(len(o), bool)
+    new[1:] = np.logical_or.reduce([c[o][1:] != c[o][:-1] for c in cols[:-1]])
+    return o, np.flatnonzero(new)
+
+
+def _owners(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, s, owner: for the rows (key, s, lo, hi) of each shard that has a document after the owner."""
+    owner = rows.groupBy(*key).agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last").drop("last")
+    return rows.join(owner, key).where("hi > owner").drop("lo", "hi")
+
+
+class Confirmed:
+    """Which grams are candidates (a broadcast filter), and what recurs in which shard: (h, c, s, owner), c being -1 for segments."""
+
+    def __init__(self, docs: DataFrame, width: int, shards: int):
+        spark = docs.sparkSession
+
+        def stand(batch):
+            h, d = [], []
+            for ids, w in _each(batch, "i", "t"):
+                at, _, g, _ = _segments(w, width)
+                h.append(g)
+                d.append(ids[w.text[at]])
+            return pa.record_batch({"h": i64(np.concatenate(h)), "d": pa.array(np.concatenate(d))}) if h else None
+
+        grams_ = cut(map_arrow(docs, stand, "h long, d long").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"))
+        self.seen = seen = spark.sparkContext.broadcast(bloom(grams_, "h", grams_.count()))
+
+        def segments(batch):
+            out = []
+            for ids, w in _each(batch, "i", "t"):
+                at, _, g, h = _segments(w, width)
+                ok = seen.value.has(g)
+                out.append((g[ok], h[ok], ids[w.text[at[ok]]]))
+            g, h, d = (np.concatenate(x) for x in zip(*out, strict=True))
+            s = _shard(d, shards)
+            o, at = _first_rows(g, h, s, d)
             if not len(at):
-                continue
-            new = np.ones(len(at), bool)
-            new[1:] = g[1:] != g[:-1]
-            run = np.cumsum(new) - 1
-            at = at[seen.value.has(g[new])[run]]
-            if len(at):
-                a, b = _keys(w, at, width)
-                out.append((a, b, ids[w.text[at]]))
-        if not out:
-            return None
-        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-        s = _shard(d, shards)
-        # one row for each window and shard of this batch
-        o = np.lexsort((d, s, a))
-        a, b, d, s = a[o], b[o], d[o], s[o]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(first)
-        return pa.record_batch({"h": i64(a[at]), "c": pa.array(b[at].astype(np.int32)), "s": pa.array(s[at].astype(np.int32)), "lo": pa.array(d[at]), "hi": pa.array(np.maximum.reduceat(d, at))})
-
-    found = map_arrow(docs, candidates, "h long, c int, s int, lo long, hi long")
-    # one row for each window, with its shards: a window has as many entries as shards hold it
-    by = found.groupBy("h", "c", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    by = cut(by)
-    owner = by.groupBy("h", "c").agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last").select("h", "c", "owner")
-    return by.join(owner, ["h", "c"]).where("hi > owner").select("h", "c", F.col("s").alias("shard"), "owner")
-
-
-def _automata(w: Words, at: np.ndarray, owner: np.ndarray, width: int):
-    """Automata of the distinct phrases at these places; their values are the owners."""
+                return None
+            return pa.record_batch({"g": i64(g[o][at]), "h": i64(h[o][at]), "s": pa.array(s[o][at].astype(np.int32)), "lo": pa.array(d[o][at]), "hi": pa.array(np.maximum.reduceat(d[o], at))})
+
+        by = map_arrow(docs, segments, "g long, h long, s int, lo long, hi long").groupBy("g", "h", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        by = cut(by)
+        different = by.groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("g")
+        different = cut(different)
+        mixed = spark.sparkContext.broadcast(bloom(different, "g", different.count()))
+
+        def windows(batch):
+            out = []
+            for ids, w in _each(batch, "i", "t"):
+                at, n, g, _ = _segments(w, width)
+                ok = mixed.value.has(g)
+                at = ranges(at[ok], n[ok])
+                if len(at):
+                    a, b = _keys(w, at, width)
+                    out.append((a, b, ids[w.text[at]]))
+            if not out:
+                return None
+            a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
+            s = _shard(d, shards)
+            o, at = _first_rows(a, b, s, d)
+            return pa.record_batch({"h": i64(a[o][at]), "c": pa.array(b[o][at].astype(np.int32)), "s": pa.array(s[o][at].astype(np.int32)), "lo": pa.array(d[o][at]), "hi": pa.array(np.maximum.reduceat(d[o], at))})
+
+        def alone(batch):
+            return batch.filter(pa.array(~mixed.value.has(u64(batch.column("g"))))).drop_columns(["g"])
+
+        single = map_arrow(by, alone, "h long, s int, lo long, hi long")
+        several = cut(map_arrow(docs, windows, "h long, c int, s int, lo long, hi long").groupBy("h", "c", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        whole = _owners(single, ["h"]).select("h", F.lit(-1).alias("c"), "s", "owner")
+        self.rows = whole.unionByName(_owners(several, ["h", "c"]).select("h", "c", "s", "owner"))
+
+
+def _automata(w: Words, start: np.ndarray, end: np.ndarray, owner: np.ndarray):
+    """(texts with a letter for each word, automata of the distinct phrases start..end); a phrase's value: its length and last owner."""
     letters, codes = np.unique(w.h, return_inverse=True)
     codes = codes.astype(np.uint32) + 1
     codes[codes >= 0xD800] += 0x800  # not the surrogates
     if len(letters) > 0x10F000:
         raise ValueError("a shard has more words than letters")
     whole = codes.tobytes().decode("utf-32-le")
-    made = []
-    for i in range(0, len(at), PHRASES):
-        a = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
-        for p, o in zip(at[i : i + PHRASES].tolist(), owner[i : i + PHRASES].tolist(), strict=True):
-            a.add_word(whole[p : p + width], o)
+    _, one = np.unique(span_hash(w.h, start, end), return_index=True)
+    made, size = [], LETTERS
+    for p, e, o in zip(start[one].tolist(), end[one].tolist(), owner[one].tolist(), strict=True):
+        if size + e - p > LETTERS:
+            made.append(ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING))
+            size = 0
+        made[-1].add_word(whole[p:e], (e - p, o))
+        size += e - p
+    for a in made:
         a.make_automaton()
-        made.append(a)
     return whole, made
 
 
+def _lookup(h, c, owner, a, b):
+    """Owners of the keys (a, b) by the sorted keys (h, c); no owner: the largest long."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(a), none)
+    if not len(h):
+        return out
+    k = np.searchsorted(h, a)
+    todo = np.arange(len(a))
+    while len(todo):  # equal first halves, if any, lie side by side
+        k, todo = k[k < len(h)], todo[k < len(h)]
+        same = h[k] == a[todo]
+        k, todo = k[same], todo[same]
+        hit = c[k] == b[todo]
+        out[todo[hit]] = owner[k[hit]]
+        k, todo = k[~hit] + 1, todo[~hit]
+    return out
+
+
 def dedup_shard(ids: np.ndarray, w: Words, h: np.ndarray, c: np.ndarray, owner: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Which words of a shard's documents go, given its recurring windows (h, c) and their owners."""
+    """Which words of a shard's documents go, given its recurring segments (h, -1) and windows (h, c), sorted, and their owners."""
     n = len(w.start)
-    at = np.flatnonzero(gram_starts(w.bounds, width, n))
-    if not len(at) or not len(h):
+    if not n or not len(h):
+        return np.zeros(n, bool)
+    at, count, _, hash_ = _segments(w, width)
+    if not len(at):
         return np.zeros(n, bool)
+    whole = np.repeat(_lookup(h, c, owner, hash_, np.full(len(at), -1)), count)
+    at = ranges(at, count)
     a, b = _keys(w, at, width)
-    o = np.lexsort((c, h))
-    h, c, owner = h[o], c[o], owner[o]
-    k = np.minimum(np.searchsorted(h, a), len(h) - 1)
-    hit = np.zeros(len(at), bool)
-    which = k.copy()
-    while True:  # equal first halves, if any, lie side by side
-        same = (h[which] == a) & ~hit
-        good = same & (c[which] == b)
-        k[good], hit = which[good], hit | good
-        nxt = np.minimum(which + 1, len(h) - 1)
-        if not (same & ~good & (nxt > which)).any():
-            break
-        which = np.where(same & ~good, nxt, which)
-    at, k = at[hit], k[hit]
-    _, one = np.unique(k, return_index=True)
-    whole, made = _automata(w, at[one], owner[k[one]], width)
-    starts = []
+    own = np.minimum(whole, _lookup(h, c, owner, a, b))
+    # runs of windows owed to smaller documents
+    text = w.text[at]
+    hit = own < ids[text]
+    at, own, text = at[hit], own[hit], text[hit]
+    if not len(at):
+        return np.zeros(n, bool)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    whole, made = _automata(w, at[first], at[last] + width, np.maximum.reduceat(own, first))
+    starts, lengths = [], []
     lo, hi = w.bounds[:-1].tolist(), w.bounds[1:].tolist()
-    busy = np.zeros(len(ids), bool)
-    busy[w.text[at]] = True
-    for d in np.flatnonzero(busy).tolist():
-        i, text = int(ids[d]), whole[lo[d] : hi[d]]
-        for a in made:
-            starts += [lo[d] + e - width + 1 for e, own in a.iter(text) if own < i]
-    return cover(np.array(starts, np.int64), width, n)
+    for d in np.unique(text).tolist():
+        i, letters = int(ids[d]), whole[lo[d] : hi[d]]
+        for automaton in made:
+            for e, (size, owner_) in automaton.iter(letters):
+                if owner_ < i:
+                    starts.append(lo[d] + e + 1 - size)
+                    lengths.append(size)
+    return cover(np.array(starts, np.int64), np.array(lengths, np.int64), n)
 
 
 def kept_text(w: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,29 +260,54 @@ def kept_text(w: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept_text]) for each row with an id."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 1
-    again = recurring_windows(docs, "i", "t", width, shards)
-    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
+    found = Confirmed(docs, width, shards)
+    seen = found.seen
+    kinds = [(id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text
+    schema = ", ".join(f"`{n}` {'long' if t == pa.int64() else 'string'}" for n, t in kinds)
+
+    def answer(ids, w: Words, gone: np.ndarray) -> pa.RecordBatch:
+        b, off = kept_text(w, gone)
+        mem = memoryview(b)
+        sha = [hashlib.sha256(mem[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        cols = [pa.array(ids), pa.array(np.diff(w.bounds)), pa.array(counts_between(gone, w.bounds)), pa.array(sha)]
+        if keep_text:
+            cols.append(pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(b.tobytes())]).cast(pa.string()))
+        return pa.RecordBatch.from_arrays(cols, names=[n for n, _ in kinds])
+
+    def busy(w: Words) -> np.ndarray:
+        """Texts with candidates."""
+        at, _, g, _ = _segments(w, width)
+        out = np.zeros(len(w.bounds) - 1, bool)
+        out[w.text[at[seen.value.has(g)]]] = True
+        return out
+
+    def alone(batch):
+        out = []
+        for ids, w in _each(batch, "i", "t"):
+            some = ~busy(w)
+            if some.all():
+                out.append(answer(ids, w, np.zeros(len(w.start), bool)))
+            elif some.any():
+                out.append(answer(ids, w, np.zeros(len(w.start), bool)).filter(pa.array(some)))
+        return pa.Table.from_batches(out) if out else None
+
+    def deal(batch):
+        at = np.flatnonzero(np.concatenate([busy(w) for _, w in _each(batch, "i", "t")]))
+        ids = batch.column("i").take(pa.array(at))
+        return pa.RecordBatch.from_arrays([pa.array(_shard(ids.to_numpy(zero_copy_only=False), shards).astype(np.int32)), ids, batch.column("t").take(pa.array(at))], names=["s", "i", "t"])
 
     def one(key, left, right):
-        out = []
-        right = right.sort_by("h") if right.num_rows else right
         h, c, own = u64(right.column("h")), right.column("c").to_numpy().astype(np.int64), right.column("owner").to_numpy()
+        o = np.lexsort((c, h))
+        h, c, own = h[o], c[o], own[o]
+        out = []
         for batch in left.combine_chunks().to_batches():
-            for ids, w in _each(batch, "i", "t"):
-                gone = dedup_shard(ids, w, h, c, own, width)
-                b, off = kept_text(w, gone)
-                mem = memoryview(b)
-                cut_ = np.concatenate([[0], np.cumsum(gone)])
-                lists = [pa.array(ids), pa.array(np.diff(w.bounds)), pa.array(cut_[w.bounds[1:]] - cut_[w.bounds[:-1]]), pa.array([hashlib.sha256(mem[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])]
-                if keep_text:
-                    lists.append(pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(b.tobytes())]).cast(pa.string()))
-                out.append(pa.Table.from_arrays(lists, names=[id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: len(lists)]))
-        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in [(id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text})
-
-    deal = map_arrow(docs, lambda b: pa.RecordBatch.from_arrays([pa.array(_shard(b.column("i").to_numpy(zero_copy_only=False), shards).astype(np.int32)), b.column("i"), b.column("t")], names=["shard", "i", "t"]), "shard int, i long, t string")
-    return deal.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(one, schema)
+            out += [answer(ids, w, dedup_shard(ids, w, h, c, own, width)) for ids, w in _each(batch, "i", "t")]
+        return pa.Table.from_batches(out, pa.schema(kinds))
+
+    dealt = map_arrow(docs, deal, "s int, i long, t string").groupBy("s").cogroup(found.rows.groupBy("s")).applyInArrow(one, schema)
+    return map_arrow(docs, alone, schema).unionByName(dealt)

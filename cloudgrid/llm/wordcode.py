@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15 | 1)
 _Q = U(0xD6E8FEB86659FD93)
@@ -142,6 +142,15 @@ def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(a)
 
 
+def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the items start..end, of any lengths."""
+    p, q = _pow(len(h) + 1)
+    with np.errstate(over="ignore"):
+        s = np.zeros(len(h) + 1, U)
+        np.cumsum(mix(h + U(5)) * p[: len(h)], out=s[1:])
+        return mix((s[end] - s[start]) * q[start] + (end - start).astype(U))
+
+
 def gram_starts(bounds: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of the ``n - k + 1`` positions have k items in one text."""
     m = n - k + 1
