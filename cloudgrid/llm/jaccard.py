@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bloom, components, cut, map_arrow, prepare
@@ -143,6 +143,12 @@ def forest(sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, i
     return out
 
 
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(U).ravel()
+
+
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) for each row with an id; component_id: the smallest id reachable by links."""
     spark = docs.sparkSession
@@ -176,10 +182,17 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         off = col.offsets.to_numpy()
         keys = u64(col.values)[off[0] : off[-1]]
         ok = np.flatnonzero(seen.value.has(keys))
-        sig = np.repeat(u64(batch.column("sig")), np.diff(off))
-        return pa.record_batch({"k": i64(keys[ok]), "sig": i64(sig[ok])})
-
-    ties = map_arrow(nodes.where("n > 0").select("sig", "keys"), candidates, "k long, sig long").distinct().join(shared, "k").where("sig <> lo").select(F.col("sig").alias("a"), F.col("lo").alias("b")).distinct()
+        sig = np.repeat(u64(batch.column("sig")), np.diff(off))[ok]
+        keys = keys[ok]
+        o = np.lexsort((sig, keys))  # copies in a batch are one node
+        new = np.ones(len(o), bool)
+        new[1:] = (keys[o][1:] != keys[o][:-1]) | (sig[o][1:] != sig[o][:-1])
+        return pa.record_batch({"k": i64(keys[o[new]]), "sig": i64(sig[o[new]])})
+
+    ties = map_arrow(nodes.where("n > 0").select("sig", "keys"), candidates, "k long, sig long").join(shared, "k").select("sig", "lo")
+    # a node is tied to the smallest of those it meets, and that one to the others
+    ties = cut(ties.withColumn("m", F.min("lo").over(Window.partitionBy("sig"))))
+    ties = ties.select(F.col("sig").alias("a"), F.col("m").alias("b")).union(ties.select("lo", "m")).where("a <> b").distinct()
     maybe = components(ties)  # node, root: all links lie within a root's nodes
     maybe = cut(maybe)
     picked = spark.sparkContext.broadcast(bloom(maybe.select("node"), "node", maybe.count()))
@@ -191,7 +204,8 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _, one = np.unique(sig, return_index=True)
             one = one[(sig[one] != 0) & picked.value.has(sig[one])]
             for k in one.tolist():
-                out.append((sig[k], h[bounds[k] : bounds[k + 1]].tobytes()))
+                # 6 bytes of each hash tell the few shingles of two texts apart
+                out.append((sig[k], np.ascontiguousarray(h[bounds[k] : bounds[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
         return pa.record_batch({"node": i64(np.array([x for x, _ in out], U)), "set": pa.array([x for _, x in out], pa.binary())}) if out else None
 
     sets = map_arrow(docs, whole, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
@@ -204,7 +218,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         node, x, y, at = rows.column("node").to_numpy(), key[1].as_py(), key[2].as_py(), rows.column("b").to_numpy()
         order = np.lexsort((node, at))
         raw = rows.column("set")
-        sets_ = [np.frombuffer(raw[k].as_py(), U) for k in order.tolist()]
+        sets_ = [_unpack(raw[k].as_py()) for k in order.tolist()]
         left = int((at == x).sum())
         found = forest(sets_, left, percent)
         return pa.table({"a": pa.array([int(node[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(node[order[j]]) for _, j in found], pa.int64())})

@@ -111,8 +111,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round is a table in the shared folder.
     """
     spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    one = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
+    both = one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("root").alias("near"))
