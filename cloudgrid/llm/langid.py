@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, sample_rows
+from .shared import map_arrow, sample_rows, trim
 from .wordcode import ranges, slices, text_bytes
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
@@ -98,7 +98,6 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
     labels = sorted(set(langs))
     y = np.searchsorted(labels, langs)
     data, off = text_bytes(pa.array(texts, pa.large_string()))
-    x, b = _features(data, off, buckets, ORDERS)
     r = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     e = r.normal(0, 0.05, (buckets, dim)).astype(np.float32)
@@ -106,10 +105,11 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
     bias = np.zeros(len(labels), np.float32)
     # each text's buckets once, with their shares
     bags = []
-    for k in range(len(y)):
-        u, c = np.unique(x[b[k] : b[k + 1]], return_counts=True)
-        bags.append((u, (c / max(b[k + 1] - b[k], 1)).astype(np.float32)))
-    del x
+    for i, j in slices(off, 1 << 17):
+        x, b = _features(data[off[i] : off[j]], off[i : j + 1] - off[i], buckets, ORDERS)
+        for k in range(j - i):
+            u, c = np.unique(x[b[k] : b[k + 1]], return_counts=True)
+            bags.append((u, (c / max(b[k + 1] - b[k], 1)).astype(np.float32)))
     fit = np.flatnonzero(~held)
     steps, done = EPOCHS * (len(fit) // BATCH + 1), 0
     for _ in range(EPOCHS):
@@ -155,7 +155,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     got = got.sort_by([("i", "ascending"), ("t", "ascending"), ("l", "ascending")]).slice(0, sample).to_pydict()
     order = np.random.default_rng(7).permutation(len(got["t"]))  # ids may follow languages
     got = {k: [got[k][j] for j in order] for k in ("t", "l")}
-    return train(got["t"], got["l"])
+    model = train(got["t"], got["l"])
+    del got
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
