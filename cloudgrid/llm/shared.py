@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .wordcode import Bloom, u64
+from .wordcode import Bloom, slices, text_bytes, u64
 
 #: Largest Bloom filter that is broadcast: 32 MB.  Beyond, it lets more candidates through and loses none.
 MAX_BLOOM_BITS = 1 << 28
+#: Bytes of text that a step over pieces of batches takes at once.
+PIECE_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -57,12 +59,18 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
-    """mapInArrow with ``step(batch) -> RecordBatch | Table | None``."""
+def pieces(batch: pa.RecordBatch, text: str):
+    """Parts of a batch of at most ``PIECE_BYTES`` of a text column, or of one row."""
+    for i, j in slices(text_bytes(batch.column(text))[1], PIECE_BYTES):
+        yield batch.slice(i, j - i)
+
+
+def map_arrow(df: DataFrame, step, schema: str, text: str | None = None) -> DataFrame:
+    """mapInArrow with ``step(batch) -> RecordBatch | Table | None``; with ``text``, for pieces of batches, as a batch is bounded in rows only."""
     prepare(df.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in batches if text is None else (x for b in batches for x in pieces(b, text)):
             if b.num_rows and (out := step(b)) is not None and out.num_rows:
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 

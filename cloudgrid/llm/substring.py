@@ -117,7 +117,7 @@ class Confirmed:
                 d.append(ids[w.text[at]])
             return pa.record_batch({"h": i64(np.concatenate(h)), "d": pa.array(np.concatenate(d))}) if h else None
 
-        grams_ = cut(map_arrow(docs, stand, "h long, d long").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"))
+        grams_ = cut(map_arrow(docs, stand, "h long, d long", "t").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"))
         self.seen = seen = spark.sparkContext.broadcast(bloom(grams_, "h", grams_.count()))
 
         def segments(batch):
@@ -133,7 +133,7 @@ class Confirmed:
                 return None
             return pa.record_batch({"g": i64(g[o][at]), "h": i64(h[o][at]), "s": pa.array(s[o][at].astype(np.int32)), "lo": pa.array(d[o][at]), "hi": pa.array(np.maximum.reduceat(d[o], at))})
 
-        by = map_arrow(docs, segments, "g long, h long, s int, lo long, hi long").groupBy("g", "h", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        by = map_arrow(docs, segments, "g long, h long, s int, lo long, hi long", "t").groupBy("g", "h", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         by = cut(by)
         different = by.groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("g")
         different = cut(different)
@@ -159,7 +159,7 @@ class Confirmed:
             return batch.filter(pa.array(~mixed.value.has(u64(batch.column("g"))))).drop_columns(["g"])
 
         single = map_arrow(by, alone, "h long, s int, lo long, hi long")
-        several = cut(map_arrow(docs, windows, "h long, c int, s int, lo long, hi long").groupBy("h", "c", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        several = cut(map_arrow(docs, windows, "h long, c int, s int, lo long, hi long", "t").groupBy("h", "c", "s").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
         whole = _owners(single, ["h"]).select("h", F.lit(-1).alias("c"), "s", "owner")
         self.rows = whole.unionByName(_owners(several, ["h", "c"]).select("h", "c", "s", "owner"))
 
@@ -309,5 +309,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out += [answer(ids, w, dedup_shard(ids, w, h, c, own, width)) for ids, w in _each(batch, "i", "t")]
         return pa.Table.from_batches(out, pa.schema(kinds))
 
-    dealt = map_arrow(docs, deal, "s int, i long, t string").groupBy("s").cogroup(found.rows.groupBy("s")).applyInArrow(one, schema)
-    return map_arrow(docs, alone, schema).unionByName(dealt)
+    dealt = map_arrow(docs, deal, "s int, i long, t string", "t").groupBy("s").cogroup(found.rows.groupBy("s")).applyInArrow(one, schema)
+    return map_arrow(docs, alone, schema, "t").unionByName(dealt)
