@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bloom, components, cut, map_arrow, prepare
+from .shared import bloom, components, cut, map_arrow, prepare, release
 from .wordcode import U, Words, grams, i64, mix, slices, text_bytes, u64
 
 WIDTH, PERCENT = 3, 90
@@ -153,6 +153,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_shingles, component_id) for each row with an id; component_id: the smallest id reachable by links."""
     spark = docs.sparkSession
     prepare(spark)
+    release(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
     table = (b := bands(percent), differences(b, percent))
 
@@ -195,6 +196,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ties = ties.select(F.col("sig").alias("a"), F.col("m").alias("b")).union(ties.select("lo", "m")).where("a <> b").distinct()
     maybe = components(ties)  # node, root: all links lie within a root's nodes
     maybe = cut(maybe)
+    release(spark)
     picked = spark.sparkContext.broadcast(bloom(maybe.select("node"), "node", maybe.count()))
 
     def whole(batch):

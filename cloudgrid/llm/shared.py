@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,13 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts that nothing refers to any more: it does so only when the driver collects garbage."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def pieces(batch: pa.RecordBatch, text: str):
     """Parts of a batch of at most ``PIECE_BYTES`` of a text column, or of one row."""
     for i, j in slices(text_bytes(batch.column(text))[1], PIECE_BYTES):

@@ -4,7 +4,7 @@ A window is ``width`` consecutive words of one document (words ``[^\\x20\\x09-\\
 that covers it also starts in a document with a smaller id.  Steps:
 
 1. *candidates*: each window is stood for by the smallest hash among its ``GRAM``-word grams (equal windows have equal ones);
-   the grams that stand for windows of two documents or more go into a Bloom filter of bounded size;
+   the grams that stand for windows of two rows or more go into a Bloom filter of bounded size;
 2. *confirmation*: consecutive windows with one gram are a segment.  Segments whose gram is in the filter are grouped by gram and words.
    A gram with one segment only has its windows nowhere else, so the segment's smallest document owns them.  For the other grams the
    windows themselves are grouped by a 96-bit hash of their words, and the smallest document of each is its owner.  Partial
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, cut, map_arrow, prepare
+from .shared import bloom, cut, map_arrow, prepare, release
 from .wordcode import U, Words, counts_between, cover, gram_starts, grams, i64, mix, ranges, slices, span_hash, text_bytes, u64
 
 WIDTH = 13
@@ -110,14 +110,16 @@ class Confirmed:
         spark = docs.sparkSession
 
         def stand(batch):
-            h, d = [], []
-            for ids, w in _each(batch, "i", "t"):
+            h = []
+            for _, w in _each(batch, "i", "t"):
                 at, _, g, _ = _segments(w, width)
-                h.append(g)
-                d.append(ids[w.text[at]])
-            return pa.record_batch({"h": i64(np.concatenate(h)), "d": pa.array(np.concatenate(d))}) if h else None
+                o, one = _first_rows(g, w.text[at], np.zeros(len(at), np.int8))
+                h.append(g[o][one])  # once for each document
+            h, n = np.unique(np.concatenate(h), return_counts=True)
+            return pa.record_batch({"h": i64(h), "n": pa.array(n)})
 
-        grams_ = cut(map_arrow(docs, stand, "h long, d long", "t").groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h"))
+        # rows of one id count apart here, which only adds candidates
+        grams_ = cut(map_arrow(docs, stand, "h long, n long", "t").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
         self.seen = seen = spark.sparkContext.broadcast(bloom(grams_, "h", grams_.count()))
 
         def segments(batch):
@@ -261,11 +263,13 @@ def kept_text(w: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_text: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept_text]) for each row with an id."""
     prepare(docs.sparkSession)
+    release(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 1
     found = Confirmed(docs, width, shards)
     seen = found.seen
+    release(docs.sparkSession)
     kinds = [(id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text
     schema = ", ".join(f"`{n}` {'long' if t == pa.int64() else 'string'}" for n, t in kinds)
 
