@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bloom, components, cut, map_arrow, prepare, release
+from .shared import bloom, components, cut, drop, map_arrow, prepare, release
 from .wordcode import U, Words, grams, i64, mix, slices, text_bytes, u64
 
 WIDTH, PERCENT = 3, 90
@@ -192,10 +192,12 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ties = map_arrow(nodes.where("n > 0").select("sig", "keys"), candidates, "k long, sig long").join(shared, "k").select("sig", "lo")
     # a node is tied to the smallest of those it meets, and that one to the others
-    ties = cut(ties.withColumn("m", F.min("lo").over(Window.partitionBy("sig"))))
-    ties = ties.select(F.col("sig").alias("a"), F.col("m").alias("b")).union(ties.select("lo", "m")).where("a <> b").distinct()
+    tied = cut(ties.withColumn("m", F.min("lo").over(Window.partitionBy("sig"))))
+    drop(shared)
+    ties = tied.select(F.col("sig").alias("a"), F.col("m").alias("b")).union(tied.select("lo", "m")).where("a <> b").distinct()
     maybe = components(ties)  # node, root: all links lie within a root's nodes
     maybe = cut(maybe)
+    drop(tied)
     release(spark)
     picked = spark.sparkContext.broadcast(bloom(maybe.select("node"), "node", maybe.count()))
 
@@ -229,5 +231,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = components(links).withColumnRenamed("root", "class")
     out = nodes.select("i", "n", "sig").join(groups, nodes.sig == groups.node, "left").select("i", "n", F.coalesce("class", "sig").alias("class"))
     out = cut(out)
+    for table in (nodes, maybe, groups):  # the result needs ``out`` only
+        drop(table)
     first = out.where("n > 0").groupBy("class").agg(F.min("i").alias("component_id"))
     return out.join(first, "class", "left").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i")).alias("component_id"))

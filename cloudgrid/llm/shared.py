@@ -159,4 +159,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         drop(labels)
         labels = new.select("u", "root")
         if not changed:
+            drop(one)
             return labels.withColumnRenamed("u", "node")

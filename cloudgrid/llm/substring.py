@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, cut, map_arrow, prepare, release
+from .shared import bloom, cut, drop, map_arrow, prepare, release
 from .wordcode import U, Words, counts_between, cover, gram_starts, grams, i64, mix, ranges, slices, span_hash, text_bytes, u64
 
 WIDTH = 13
@@ -121,6 +121,7 @@ class Confirmed:
         # rows of one id count apart here, which only adds candidates
         grams_ = cut(map_arrow(docs, stand, "h long, n long", "t").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
         self.seen = seen = spark.sparkContext.broadcast(bloom(grams_, "h", grams_.count()))
+        drop(grams_)
 
         def segments(batch):
             out = []
@@ -140,6 +141,7 @@ class Confirmed:
         different = by.groupBy("g").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("g")
         different = cut(different)
         mixed = spark.sparkContext.broadcast(bloom(different, "g", different.count()))
+        drop(different)
 
         def windows(batch):
             out = []
