@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from cloudgrid.llm import decontaminate, jaccard, langid, packing, registry, shared, substring
 
 
+#: The stage's own shingles and threshold; the thin op7 query has jaccard's defaults.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
@@ -23,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
-    groups = jaccard.link_groups(docs.select("doc_id", "text"))
+    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more) stays, that of the smallest id."""
+    groups = jaccard.link_groups(docs.select("doc_id", "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*_columns(docs))
 

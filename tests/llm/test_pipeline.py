@@ -36,3 +36,17 @@ def test_stages(spark, tmp_path):
     assert passage in after[41] and passage not in after[51] and all(after[i] == before[i] for i in after if i != 51)
     assert {x.doc_id for x in cp.run(spark, str(tmp_path)).collect()} == kept[4]
     assert "pipeline" in entry.queries()
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    r = random.Random(8)
+    text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, b, c = text(200), text(200), text(200)
+    edited = [f"x{i}" if i in (50, 120) else w for i, w in enumerate(a)]  # 186 of 206 five-word shingles
+    rows = [(1, a), (2, edited), (3, b), (4, b + text(35)), (5, c), (6, c + text(70))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    three = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in rows}
+    share = lambda s, i, j: len(s[i] & s[j]) / len(s[i] | s[j])
+    assert share(sets, 1, 2) >= 0.8 and 0.8 <= share(sets, 3, 4) < 0.9 and share(three, 3, 4) < 0.9 and share(sets, 5, 6) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in cp.jaccard_join(spark, docs, "").select("doc_id").collect()} == {1, 3, 5, 6}
