@@ -1,14 +1,15 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with a log-frequency Bloom filter in shards.
 
 Tokens of a text: A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+``, then one end.  From all training documents come exact counts of tokens and of
-pairs of neighbours whose words each make up ``MIN_SHARE`` of all tokens (so there are at most 1 / MIN_SHARE of these words).  A count c is
-quantised to the level 1 + floor(log_BASE c); the filter holds each n-gram once for each level up to its own, and a probe for
-levels 1, 2, ... until one misses gives the level back.  It holds all tokens, the pairs seen twice or more, and for each first word the
-sum over its pairs; its size follows the number of entries up to ``MAX_BITS``, beyond which the rarest levels are left out of the model
-(the exact base is not affected).  A token's probability is its pair count, smoothed with ALPHA times its own add-one probability.
-
-The exact base: sum of log10((c + 1) / (N + V + 1)).  The counts are looked up in a broadcast table of MAX_WORDS tokens at most;
-when there are more, tokens of documents are joined with the table of counts instead.
+pairs of neighbours whose words each make up ``MIN_SHARE`` of all tokens.  A count c is quantised to the level 1 + floor(log_BASE c); the filter holds each token and
+pair once for each level up to its own, and a probe for levels 1, 2, ... until one misses gives the level back.  A token's probability is its
+pair count, smoothed with ALPHA times its own add-one probability.
+
+The filter is dealt by hash into shards of bounded size, whose number follows the training tokens, so no level is dropped and nothing of
+it is broadcast or reaches the driver.  Documents are dealt into buckets of about ``BUCKET_BYTES``; each bucket asks each shard for its
+distinct tokens and pairs, and the answers come back in the order of their hashes.  Shards also hold the exact counts of their tokens.
+
+The exact base: sum of log10((c + 1) / (N + V + 1)).
 Defined cases: null or empty text is the end token alone; no training documents: N = V = 0 and base 0; rows of one id are scored each;
 other columns are ignored.
 """
@@ -17,20 +18,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bloom, cut, map_arrow, prepare
-from .wordcode import Table, U, Words, counts_between, i64, mix, slices, text_bytes, u64
+from .shared import cut, drop, prepare, release
+from .wordcode import Bloom, U, Words, counts_between, i64, mix, slices, text_bytes, u64
 
 BASE = 1.5
 MIN_SHARE = 1e-5
 ALPHA = 2000.0
-MAX_BITS = 1 << 29
 BITS_PER_ENTRY = 12
-MAX_WORDS = 5_000_000
+PROBES = 5
+#: of a shard: training tokens (so distinct pairs at most), and words with exact counts
+MAX_PAIRS, MAX_WORDS = 1_000_000, 250_000
+BUCKET_BYTES = 4 << 20
 END = mix(np.array([20], U))[0]
-_PAIR, _FIRST = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
+_PAIR = U(0xA24BAED4963EE407)
+#: Within a shard, 5 bytes of a pair's hash are its key.
+_KEY = U((1 << 40) - 1)
 
 
 def level_value(base: float = BASE, most: int = 400) -> np.ndarray:
@@ -40,8 +45,8 @@ def level_value(base: float = BASE, most: int = 400) -> np.ndarray:
     return np.concatenate([[0.0], np.where(hi >= lo, (lo + hi) / 2, lo)])
 
 
-def level_of(c: Column, base: float = BASE) -> Column:
-    return (F.floor(F.log(c.cast("double")) / float(np.log(base)) + 1e-9) + 1).cast("int")
+def level_of(c: np.ndarray, base: float = BASE) -> np.ndarray:
+    return np.floor(np.log(c.astype(float)) / np.log(base) + 1e-9).astype(np.int64) + 1
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,10 +54,6 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * _PAIR + b)
 
 
-def first(a: np.ndarray) -> np.ndarray:
-    return mix(a ^ _FIRST)
-
-
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(hashes with an end after each text, bounds)."""
     bounds = w.bounds + np.arange(len(w.bounds))
@@ -77,152 +78,204 @@ def _texts(col):
         yield i, j, h, bounds
 
 
-def _counted(df: DataFrame, what) -> DataFrame:
-    """(h, c): counts of the hashes that ``what(h, bounds)`` names, added up in each task first."""
+def _whole(col) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of all texts of a bucket."""
+    parts = [(h, bounds) for _, _, h, bounds in _texts(col)]
+    size = np.concatenate([np.diff(b) for _, b in parts])
+    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], np.cumsum(size)])
+
+
+def _sums(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, inv = np.unique(h, return_inverse=True)
+    return u, np.bincount(inv, weights=c, minlength=len(u)).astype(np.int64)
+
+
+def _summed(parts, room: int = 1_500_000):
+    """(sorted hashes, counts) of a task's parts, added up as far as ``room`` allows."""
+    have, size = [], 0
+    for part in parts:
+        have.append(part)
+        size += len(part[0])
+        if size > room:
+            have = [_sums(*(np.concatenate(x) for x in zip(*have, strict=True)))]
+            size = len(have[0][0])
+            if size > room // 2:
+                yield have[0]
+                have, size = [], 0
+    if have:
+        yield _sums(*(np.concatenate(x) for x in zip(*have, strict=True)))
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """Grows with the hash."""
+    return ((h >> U(40)) * U(shards) >> U(24)).astype(np.int64)
+
+
+def _borders(h: np.ndarray, shards: int) -> np.ndarray:
+    """Where the shards begin and end in sorted hashes."""
+    return np.searchsorted(_shard(h, shards), np.arange(shards + 1))
+
+
+def _low(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _high(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view(U).ravel()
+
+
+def _joined(col) -> bytes:
+    return b"".join(col.to_pylist())
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """(h, c): counts of tokens, added up in each task first."""
     prepare(df.sparkSession)
 
-    def run(batches, room=1_500_000):
-        have: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def add():
-            h, c = (np.concatenate(x) for x in zip(*have, strict=True))
-            u, inv = np.unique(h, return_inverse=True)
-            return u, np.bincount(inv, weights=c).astype(np.int64)
-
-        def out(u, c):
-            return pa.record_batch({"h": i64(u), "c": pa.array(c)})
-
-        for b in batches:
-            for _, _, h, bounds in _texts(b.column("t")):
-                u, c = np.unique(what(h, bounds), return_counts=True)
-                have.append((u, c))
-                size += len(u)
-            if size > room:
-                have = [add()]
-                size = len(have[0][0])
-                if size > room // 2:
-                    yield out(*have[0])
-                    have, size = [], 0
-        if have:
-            yield out(*add())
+    def run(batches):
+        for u, c in _summed(np.unique(h, return_counts=True) for b in batches for _, _, h, _ in _texts(b.column("t"))):
+            yield pa.record_batch({"h": i64(u), "c": pa.array(c)})
 
     return df.select("t").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Model:
-    """What workers need: the filter, the frequent words, N and V."""
+class Filter:
+    """The bits of a shard: each key with all levels up to its own."""
 
-    def __init__(self, filter_, frequent: np.ndarray, n: int, v: int, alpha: float):
-        self.filter, self.frequent, self.n, self.v, self.alpha = filter_, np.sort(frequent), n, v, alpha
-        self.value = level_value()
+    @staticmethod
+    def build(h: np.ndarray, level: np.ndarray) -> bytes:
+        key = np.repeat(mix(h & _KEY), level)
+        lv = np.arange(len(key)) - np.repeat(np.cumsum(level) - level, level) + 1
+        blocks = len(key) * BITS_PER_ENTRY // Bloom.BLOCK_BITS + 1
+        bits = np.zeros(blocks * Bloom.BLOCK_BITS, bool)
+        base = Bloom.block(key, blocks) * Bloom.BLOCK_BITS
+        for i in range(PROBES):
+            bits[base + Bloom.bit(key, lv, i)] = True
+        return np.packbits(bits, bitorder="little").tobytes()
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        u, inv = np.unique(h, return_inverse=True)
-        return self.value[self.filter.level(u)][inv]
+    @staticmethod
+    def read(data: bytes) -> Bloom:
+        return Bloom(np.frombuffer(data, np.uint8), len(data) * 8 // Bloom.BLOCK_BITS, PROBES)
 
-    def is_frequent(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(h), bool)
-        return self.frequent[np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)] == h
+    @staticmethod
+    def levels(bits: Bloom, key: np.ndarray) -> np.ndarray:
+        return bits.level(mix(key & _KEY)).astype(np.uint8)
 
-    def log10(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        one = (self.counts(h) + 1) / (self.n + self.v + 1)
-        p = one.copy()
-        often = self.is_frequent(h)
-        before = _previous(h, bounds)
-        at = np.flatnonzero(often & np.where(np.arange(len(h)) == 0, True, np.concatenate([[True], often[:-1]]) | (before == END)))
-        if len(at):
-            both = self.counts(pair(before[at], h[at]))
-            total = np.maximum(self.counts(first(before[at])), both)
-            p[at] = (both + self.alpha * one[at]) / (total + self.alpha)
-        return np.log10(np.minimum(p, 1.0))
 
+def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_words: int = MAX_WORDS) -> tuple[DataFrame, int, int, int]:
+    """((s, bits, h, c): shards of the filter with the exact counts of their tokens; number of shards; N; V).
 
-def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, alpha: float = ALPHA, max_bits: int = MAX_BITS) -> tuple[Model, DataFrame]:
-    """The model, and the table of exact counts (h, c)."""
+    min_share: pairs of rarer words are left out.
+    """
     spark = train.sparkSession
     train = train.select(F.col(text_col).alias("t"))
-    words = cut(_counted(train, lambda h, bounds: h))
+    words = cut(_counted(train))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, int(np.ceil(n * min_share)))
-    frequent = np.array([r.h for r in words.where(F.col("c") >= least).select("h").collect()], np.int64).view(U)  # 1 / min_share at most
-    often = spark.sparkContext.broadcast(np.sort(frequent))
-
-    def pairs(h, bounds):
-        f = often.value
-        if not len(f):
-            return np.zeros(0, U)
-        known = f[np.minimum(np.searchsorted(f, h), len(f) - 1)] == h
-        before = _previous(h, bounds)
-        ok = known.copy()
-        ok[1:] &= known[:-1] | (before[1:] == END)
-        a, b = before[ok], h[ok]
-        return np.concatenate([pair(a, b), first(a)])
-
-    two = _counted(train, pairs).where("c > 1")
-    grams = cut(words.unionByName(two).withColumn("lv", level_of(F.col("c"))))
-    sizes = {r.lv: r.n for r in grams.groupBy("lv").agg(F.count("*").alias("n")).collect()}
-    skip, room = 0, max_bits // BITS_PER_ENTRY
-    while sizes and sum(k * x for k, x in sizes.items() if k > skip) > room and skip < max(sizes):
-        skip += 1
-    kept = grams.where(F.col("lv") > skip)
-    entries = sum(k * x for k, x in sizes.items() if k > skip)
-    return Model(bloom(kept, "h", entries, level="lv", bits_per_entry=BITS_PER_ENTRY, k=5, most=max_bits), frequent, n, v, alpha), words
-
-
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, **options) -> DataFrame:
+    shards = max(1, -(-n // MAX_PAIRS), -(-v // max_words))
+    often = None
+    if min_share > 0:  # 1 / min_share at most
+        often = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in words.where(F.col("c") >= int(np.ceil(n * min_share))).select("h").collect()], np.int64).view(U)))
+
+    def dealt(u, c, word):
+        at = _borders(u, shards)
+        s = np.flatnonzero(np.diff(at))
+        h, c = u.tobytes(), c.astype(np.int64).tobytes()
+        cuts = [(8 * int(at[k]), 8 * int(at[k + 1])) for k in s]
+        return pa.record_batch({"s": pa.array(s), "w": pa.array([word] * len(s), pa.bool_()), "h": pa.array([h[a:b] for a, b in cuts], pa.binary()), "c": pa.array([c[a:b] for a, b in cuts], pa.binary())})
+
+    def pairs(batches):
+        def parts():
+            for b in batches:
+                for _, _, h, bounds in _texts(b.column("t")):
+                    before = _previous(h, bounds)
+                    if often is not None:
+                        ok = np.isin(h, often.value) & (np.isin(before, often.value) | (before == END))
+                        before, h = before[ok], h[ok]
+                    yield np.unique(pair(before, h), return_counts=True)
+
+        for u, c in _summed(parts()):
+            yield dealt(u, c, False)
+
+    def exact(batches):
+        for u, c in _summed((u64(b.column("h")), b.column("c").to_numpy()) for b in batches):
+            yield dealt(u, c, True)
+
+    def build(key, table):
+        word = table.column("w").to_numpy(zero_copy_only=False)
+        h, c = [], []
+        for kind in (True, False):
+            rows = table.filter(pa.array(word == kind))
+            u, k = _sums(np.frombuffer(_joined(rows.column("h")), U), np.frombuffer(_joined(rows.column("c")), np.int64))
+            h.append(u)
+            c.append(k)
+        bits = Filter.build(np.concatenate(h), level_of(np.concatenate(c)))
+        return pa.table({"s": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary()), "h": pa.array([h[0].tobytes()], pa.binary()), "c": pa.array([c[0].tobytes()], pa.binary())})
+
+    schema = "s long, w boolean, h binary, c binary"
+    table = cut(train.mapInArrow(pairs, schema).unionByName(words.mapInArrow(exact, schema)).groupBy("s").applyInArrow(build, "s long, bits binary, h binary, c binary"))
+    drop(words)
+    return table, shards, n, v
+
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, **options) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for each row with an id."""
     spark = docs.sparkSession
-    model, words = fit(train, text_col, **options)
+    model, shards, n, v = fit(train, text_col, **options)
+    release(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
-    shared = spark.sparkContext.broadcast(model)
-    whole = float(np.log10(model.n + model.v + 1))
-    if model.v > max_words:
-        return _joined(docs, words, shared, id_col, whole)
-    t = words.toArrow()
-    h, c = u64(t.column("h")), t.column("c").to_numpy()
-    order = np.argsort(h)
-    exact = spark.sparkContext.broadcast((h[order], np.minimum(c[order], 2**62)))
-    tables: dict[str, Table] = {}
-
-    def step(batch):
-        if "t" not in tables:
-            k, v = exact.value
-            tables["t"] = Table(len(k))
-            tables["t"].put(k, v)
-        out = []
-        for i, j, h, bounds in _texts(batch.column("t")):
-            c = tables["t"].get(h, 0)
-            base = np.add.reduceat(np.log10(c + 1.0), bounds[:-1]) - np.diff(bounds) * whole
-            own = np.add.reduceat(shared.value.log10(h, bounds), bounds[:-1])
-            out.append(pa.record_batch({id_col: batch.column("i")[i:j], "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(counts_between(c > 0, bounds)), "train_tokens": pa.array(np.full(j - i, shared.value.n, np.int64)), "base_score": pa.array(base), "score": pa.array(own)}))
-        return pa.Table.from_batches(out)
-
-    return map_arrow(docs, step, f"`{id_col}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _joined(docs: DataFrame, words: DataFrame, shared, id_col: str, whole: float) -> DataFrame:
-    """score() where the exact counts are too many to broadcast."""
-
-    def step(batch, rows: bool):
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    docs = docs.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(size // BUCKET_BYTES + 1)))
+    whole = float(np.log10(n + v + 1))
+
+    def ask(key, table):
+        h, bounds = _whole(table.column("t"))
+        u, p = np.unique(h), np.unique(pair(_previous(h, bounds), h))
+        a, b = _borders(u, shards), _borders(p, shards)
+        s = np.flatnonzero(np.diff(a) + np.diff(b))
+        return pa.table({"b": pa.array(np.full(len(s), key[0].as_py(), np.int64)), "s": pa.array(s), "u": pa.array([u[a[k] : a[k + 1]].tobytes() for k in s], pa.binary()), "p": pa.array([_low(p[b[k] : b[k + 1]]) for k in s], pa.binary())})
+
+    def answer(key, asked, shard):
+        bits = Filter.read(shard.column("bits")[0].as_py() if shard.num_rows else b"")
+        known = np.frombuffer(shard.column("h")[0].as_py() if shard.num_rows else b"", U)
+        count = np.frombuffer(shard.column("c")[0].as_py() if shard.num_rows else b"", np.int64)
         out = []
-        for i, j, h, bounds in _texts(batch.column("t")):
-            if rows:
-                text = np.repeat(np.arange(i, j), np.diff(bounds))
-                o = np.lexsort((h, text))
-                new = np.ones(len(o), bool)
-                new[1:] = (h[o][1:] != h[o][:-1]) | (text[o][1:] != text[o][:-1])
-                at = np.flatnonzero(new)
-                out.append(pa.record_batch({"i": batch.column("i").take(pa.array(text[o][at])), "x": batch.column("x").take(pa.array(text[o][at])), "h": i64(h[o][at]), "f": pa.array(np.diff(np.append(at, len(o))))}))
-            else:
-                own = np.add.reduceat(shared.value.log10(h, bounds), bounds[:-1])
-                out.append(pa.record_batch({"i": batch.column("i")[i:j], "x": batch.column("x")[i:j], "n_tokens": pa.array(np.diff(bounds)), "score": pa.array(own)}))
-        return pa.Table.from_batches(out)
-
-    docs = docs.select("i", "t", F.coalesce(F.xxhash64("t"), F.lit(0)).alias("x"))
-    scored = map_arrow(docs, lambda b: step(b, False), "i long, x long, n_tokens long, score double")
-    found = map_arrow(docs.dropDuplicates(["i", "x"]), lambda b: step(b, True), "i long, x long, h long, f long").join(words, "h", "left")
-    base = found.groupBy("i", "x").agg(F.sum(F.when(F.col("c") > 0, F.col("f")).otherwise(0)).alias("n_known"), F.sum(F.col("f") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - whole)).alias("base_score"))
-    return scored.join(base, ["i", "x"]).select(F.col("i").alias(id_col), "n_tokens", "n_known", F.lit(shared.value.n).cast("long").alias("train_tokens"), "base_score", "score")
+        for i in range(0, asked.num_rows, 256):
+            part = asked.slice(i, 256)
+            u, p = np.frombuffer(_joined(part.column("u")), U), _high(_joined(part.column("p")))
+            c = np.zeros(len(u), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                c = np.where(known[at] == u, count[at], 0)
+            lu, lp, c = Filter.levels(bits, u).tobytes(), Filter.levels(bits, p).tobytes(), c.tobytes()
+            a = np.concatenate([[0], np.cumsum([len(x) // 8 for x in part.column("u").to_pylist()])]).tolist()
+            b = np.concatenate([[0], np.cumsum([len(x) // 5 for x in part.column("p").to_pylist()])]).tolist()
+            k = range(part.num_rows)
+            out.append(pa.table({"b": part.column("b"), "s": part.column("s"), "u": pa.array([lu[a[j] : a[j + 1]] for j in k], pa.binary()), "c": pa.array([c[8 * a[j] : 8 * a[j + 1]] for j in k], pa.binary()), "p": pa.array([lp[b[j] : b[j + 1]] for j in k], pa.binary())}))
+        return pa.concat_tables(out) if out else pa.table({"b": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "u": pa.array([], pa.binary()), "c": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
+
+    def rate(key, table, answers):
+        h, bounds = _whole(table.column("t"))
+        answers = answers.sort_by("s")
+        value = level_value()
+        _, inv = np.unique(h, return_inverse=True)
+        have = value[np.frombuffer(_joined(answers.column("u")), np.uint8)][inv]
+        c = np.frombuffer(_joined(answers.column("c")), np.int64)[inv]
+        before = np.empty_like(have)
+        before[1:] = have[:-1]
+        before[bounds[:-1]] = have[bounds[1:] - 1]  # of the end, which each text has
+        _, inv = np.unique(pair(_previous(h, bounds), h), return_inverse=True)
+        both = value[np.frombuffer(_joined(answers.column("p")), np.uint8)][inv]
+        one = (have + 1) / (n + v + 1)
+        p = (both + alpha * one) / (np.maximum(before, both) + alpha)
+        own = np.add.reduceat(np.log10(np.minimum(p, 1.0)), bounds[:-1])
+        base = np.add.reduceat(np.log10(c + 1.0), bounds[:-1]) - np.diff(bounds) * whole
+        return pa.table({id_col: table.column("i"), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(counts_between(c > 0, bounds)), "train_tokens": pa.array(np.full(table.num_rows, n, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
+
+    prepare(spark)
+    asked = docs.groupBy("b").applyInArrow(ask, "b long, s long, u binary, p binary")
+    answers = cut(asked.groupBy("s").cogroup(model.groupBy("s")).applyInArrow(answer, "b long, s long, u binary, c binary, p binary"))
+    drop(model)
+    release(spark)
+    return docs.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(rate, f"`{id_col}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

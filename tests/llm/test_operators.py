@@ -372,3 +372,15 @@ def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(i, "u", h, "text") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     out = html_text.extract(df)
     assert out.columns == [*df.columns, "_text"] and {r.page_id: r._text for r in out.collect()} == {i: w for i, (_, w) in enumerate(PAGES)}
+
+
+def test_language_model_keeps_all_levels(spark, docs, monkeypatch):
+    """However many shards the tokens need, each has its exact count and its level, also where it occurs once."""
+    monkeypatch.setattr(lm_bloom, "MAX_PAIRS", 2_000)
+    table, shards, n, v = lm_bloom.fit(docs)
+    seen = 0
+    for x in table.collect():
+        h, c = np.frombuffer(x.h, U), np.frombuffer(x.c, np.int64)
+        seen += len(h)
+        assert (lm_bloom.Filter.levels(lm_bloom.Filter.read(x.bits), h) >= lm_bloom.level_of(c)).all()
+    assert shards > 10 and seen == v and len(np.unique([r.s for r in table.select("s").collect()])) <= shards
