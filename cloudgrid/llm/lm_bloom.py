@@ -1,7 +1,7 @@
 """Language-model scoring with a log-frequency Bloom filter in shards.
 
 Tokens of a text: A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+``, then one end.  From all training documents come exact counts of tokens and of
-pairs of neighbours whose words each make up ``MIN_SHARE`` of all tokens.  A count c is quantised to the level 1 + floor(log_BASE c); the filter holds each token and
+all pairs of neighbours, whatever their counts.  A count c is quantised to the level 1 + floor(log_BASE c); the filter holds each token and
 pair once for each level up to its own, and a probe for levels 1, 2, ... until one misses gives the level back.  A token's probability is its
 pair count, smoothed with ALPHA times its own add-one probability.
 
@@ -25,7 +25,7 @@ from .shared import cut, drop, prepare, release
 from .wordcode import Bloom, U, Words, counts_between, i64, mix, slices, text_bytes, u64
 
 BASE = 1.5
-MIN_SHARE = 1e-5
+MIN_SHARE = 0.0
 ALPHA = 2000.0
 BITS_PER_ENTRY = 12
 PROBES = 5
@@ -167,7 +167,7 @@ class Filter:
 def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_words: int = MAX_WORDS) -> tuple[DataFrame, int, int, int]:
     """((s, bits, h, c): shards of the filter with the exact counts of their tokens; number of shards; N; V).
 
-    min_share: pairs of rarer words are left out.
+    min_share: pairs of rarer words are left out; by default none are.
     """
     spark = train.sparkSession
     train = train.select(F.col(text_col).alias("t"))

@@ -384,3 +384,35 @@ def test_language_model_keeps_all_levels(spark, docs, monkeypatch):
         seen += len(h)
         assert (lm_bloom.Filter.levels(lm_bloom.Filter.read(x.bits), h) >= lm_bloom.level_of(c)).all()
     assert shards > 10 and seen == v and len(np.unique([r.s for r in table.select("s").collect()])) <= shards
+
+
+def test_language_model_counts_all_pairs(spark, monkeypatch):
+    """Every token has the score of a brute-force model in which each pair counts, however rare, over many shards and buckets."""
+    import math
+    from collections import Counter
+
+    for name, to in (("MAX_PAIRS", 60_000), ("BUCKET_BYTES", 100_000)):
+        monkeypatch.setattr(lm_bloom, name, to)
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice("abc") + str(int(r.paretovariate(0.3)) % 10**6) for _ in range(300))) for i in range(600)]
+    rows[7] = (7, "once seen pair " + rows[7][1])
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        w = [None, *t.split(), None]
+        one.update(w[1:])
+        two.update(zip(w, w[1:], strict=False))
+    value = lm_bloom.level_value()
+    near = lambda c: value[int(lm_bloom.level_of(np.array([c]))[0])] if c else 0.0
+    n, v = sum(one.values()), len(one)
+    assert min(one["once"], one["seen"]) == 1 and 1 / n < 1e-5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in lm_bloom.score(df, df).collect()}
+    want, cut = {}, {}
+    for i, t in rows:
+        w = [None, *t.split(), None]
+        rare = [near(one[b]) + 1 if min(one[a], one[b]) < 2 else 0 for a, b in zip(w, w[1:], strict=False)]
+        p = [(near(two[a, b]) + 2000 * (near(one[b]) + 1) / (n + v + 1)) / (max(near(one[a]), near(two[a, b])) + 2000) for a, b in zip(w, w[1:], strict=False)]
+        want[i] = sum(math.log10(x) for x in p) / len(p)
+        cut[i] = sum(math.log10(k / (n + v + 1) if k else x) for x, k in zip(p, rare, strict=True)) / len(p)
+    off = [abs(got[i].score / got[i].n_tokens - want[i]) for i in want]
+    assert max(off) < 0.01 < max(abs(got[i].score / got[i].n_tokens - cut[i]) for i in want), max(off)
