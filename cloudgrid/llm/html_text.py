@@ -3,9 +3,10 @@
 A page becomes a DOM tree in one pass (void elements, implied end tags, raw-text elements, broken markup).  Elements that are no part of an
 article by their nature (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out with
 all they hold.  Every other node has a density: its characters per tag, adjusted by its share of link characters and link tags.
-A node's density sum adds up its children's; the node of the largest sum is the core of the article.  The least density on the path from it
-to the body is the threshold: what stands beside that path and reaches it belongs to the text too, as does all of an article element that
-holds the core.
+A node's density sum adds up its children's; the node of the largest sum is the core of the text.  The least density on the path from it
+to the body is the threshold: what stands beside that path and reaches it belongs to the text too, if less than half of it is links.  An
+article element is a weight only: within one, an eighth of the threshold is enough, and running text (paragraphs, headings) needs none.  From
+all that is chosen, blocks that are half links or more and stay below the threshold are left out, but for headings.
 
 Text: character references decoded, white space (also between inline parts) one space within a block, blocks in page order joined by one
 space.  Defined cases: null or empty html, or a page of nothing but boilerplate, gives an empty text; ties go to the earlier node; nesting
@@ -34,6 +35,11 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist disqus consent cookie cookies copyright cta disclaimer footer form gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 KEPT = frozenset(("html", "body", "article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The share of the threshold that nodes within an article element must reach.
+ARTICLE = 1 / 8
+#: Elements of running text: within an article they need not reach it, as a short sentence never would.
+PROSE = HEADINGS | frozenset("p pre blockquote".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _P_CLOSERS = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -153,36 +159,41 @@ class Page:
             total[self.parent[i]] += density[i]
         return density, total, links, chars
 
-    def content(self) -> set[int]:
-        """Roots of the subtrees that make up the article."""
+    def content(self) -> list[bool]:
+        """Which nodes make up the article."""
         density, total, links, chars = self.measure()
         n = len(self.tag)
         if n == 1 or not chars[0]:
-            return {0} if chars[0] else set()
+            return [chars[0] > 0] * n
         core = max(range(n), key=lambda i: (total[i], -i))
         if not total[core]:
-            return {0}
+            return [True] * n
         path = [core]
         while path[-1]:
             path.append(self.parent[path[-1]])
         body = next((k for k, i in enumerate(path) if self.tag[i] == "body"), len(path) - 1)
-        article = next((k for k in range(body, -1, -1) if self.tag[path[k]] == "article"), None)
-        if article is not None:
-            return {path[article]}
         path = path[: body + 1]
         least = min((density[i] for i in path if i), default=0.0)
         on, out = set(path), {core}
+        article = [False] * n
         for i in range(1, n):
-            if i not in on and self.parent[i] in on and self.parent[i] != core and density[i] >= least and links[i] * 2 < chars[i]:
-                out.add(i)
-        # a node on the path that has sentences of its own is content as a whole
-        return out | {node for node, t in self.events if node in on and isinstance(t, str) and len(t.split()) >= 8}
-
-    def text(self) -> str:
-        roots = self.content()
+            article[i] = article[self.parent[i]] or self.tag[i] == "article"
+            if i not in on and self.parent[i] in on and self.parent[i] != core and links[i] * 2 < chars[i]:
+                if density[i] >= least * (ARTICLE if article[i] else 1) or article[i] and self.tag[i] in PROSE:
+                    out.add(i)
+        # a node on the path that has sentences of its own is content
+        return self._pruned(out | {node for node, t in self.events if node in on and isinstance(t, str) and len(t.split()) >= 8}, on, [density[i] < least and links[i] * 2 >= chars[i] > 0 for i in range(n)])
+
+    def _pruned(self, roots: set[int], on: set[int], low: list[bool]) -> list[bool]:
+        """Which nodes are kept: the roots with all they hold, but for blocks of links below the threshold; headings stay."""
         keep = [False] * len(self.tag)
         for i in range(len(keep)):
-            keep[i] = i in roots or (i > 0 and keep[self.parent[i]])
+            inside = i in roots or (i > 0 and keep[self.parent[i]])
+            keep[i] = inside and (i in on or not low[i] or self.tag[i] in INLINE or self.tag[i] in HEADINGS)
+        return keep
+
+    def text(self) -> str:
+        keep = self.content()
         parts = []
         for node, text in self.events:
             if text is None or isinstance(text, int):

@@ -416,3 +416,22 @@ def test_language_model_counts_all_pairs(spark, monkeypatch):
         cut[i] = sum(math.log10(k / (n + v + 1) if k else x) for x, k in zip(p, rare, strict=True)) / len(p)
     off = [abs(got[i].score / got[i].n_tokens - want[i]) for i in want]
     assert max(off) < 0.01 < max(abs(got[i].score / got[i].n_tokens - cut[i]) for i in want), max(off)
+
+
+_LONG = "This sentence of the article has words enough, with clauses and commas, to be taken for text by any measure of density."
+_LINKS = "".join(f"<li><a href='/{k}'>Another story number {k}</a></li>" for k in range(8))
+ARTICLES = [
+    # unnamed link list and teaser in the one article
+    (f"<body><div><article><h1>Head</h1><p>{_LONG}</p><p>Short.</p><div><ul>{_LINKS}</ul></div><p>{_LONG}</p><div><h3><a href=x>A teaser of a story</a></h3><a href=x>go on</a></div></article></div></body>", f"Head {_LONG} Short. {_LONG}"),
+    # text split over two articles
+    (f"<body><main><article><h2>One</h2><p>{_LONG}</p><p>{_LONG}</p></article><article><h2>Two</h2><p>{_LONG}</p></article></main></body>", f"One {_LONG} {_LONG} Two {_LONG}"),
+    # a link list beside two articles
+    (f"<body><main><article><p>{_LONG}</p></article><div>{_LINKS}</div><article><p>{_LONG}</p></article></main></body>", f"{_LONG} {_LONG}"),
+    # links within running text stay
+    (f"<body><article><p>{_LONG} <a href=x>A link</a>, then on.</p><p>{_LONG}</p></article></body>", f"{_LONG} A link, then on. {_LONG}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), ARTICLES)
+def test_density_chooses_within_articles(page, want):
+    assert html_text.main_text(page) == want
