@@ -72,8 +72,12 @@ def differences(b: np.ndarray, percent: int) -> np.ndarray:
     return (small + large) * (100 - percent) // (100 + percent)
 
 
-def _segments(h: np.ndarray, bounds: np.ndarray, percent: int, table: tuple[np.ndarray, np.ndarray]):
-    """(keys, set index) of the segments of all sets in both of their band pairs."""
+def _segments(h: np.ndarray, bounds: np.ndarray, percent: int, table: tuple[np.ndarray, np.ndarray], spare: int = 0):
+    """(keys, set index) of the segments of all sets in both of their band pairs.
+
+    With ``spare``, there are so many more segments (percent, and 3), and whole hashes are flipped.  Linked sets then agree in more than those;
+    a set with no more empty segments than spare ones agrees with each of its partners in one that isn't empty, and leaves its empty ones out.
+    """
     low, diff = table
     n = np.diff(bounds)
     keys, of = [], []
@@ -82,7 +86,9 @@ def _segments(h: np.ndarray, bounds: np.ndarray, percent: int, table: tuple[np.n
     for back in (0, 1):
         pair = band - back
         ok = (n > 0) & (pair >= 0)
-        m = np.where(ok, diff[np.maximum(pair, 0)] + 1, 0)
+        d = diff[np.maximum(pair, 0)]
+        more = d * spare // 100 + 3 if spare else np.zeros_like(d)
+        m = np.where(ok, d + 1 + more, 0)
         at = np.concatenate([[0], np.cumsum(m)])
         if not at[-1]:
             continue
@@ -90,11 +96,17 @@ def _segments(h: np.ndarray, bounds: np.ndarray, percent: int, table: tuple[np.n
         per = np.repeat(m, n)
         use = per > 0
         slot = np.repeat(at[:-1], n)[use] + ((mixed[use] >> U(32)) * per[use].astype(U) >> U(32)).astype(np.int64)
-        bit = U(1) << (mixed[use] & U(63))
+        bit = mix(mixed[use]) if spare else U(1) << (mixed[use] & U(63))
         np.bitwise_xor.at(seg, slot, bit)
         owner = np.repeat(np.arange(len(n)), m)
         index = np.arange(at[-1]) - np.repeat(at[:-1], m)
-        keys.append(mix(seg ^ mix((pair[owner].astype(U) << U(40)) + index.astype(U) + U(1))))
+        key = mix(seg ^ mix((pair[owner].astype(U) << U(40)) + index.astype(U) + U(1)))
+        if spare:
+            full = np.bincount(slot, minlength=at[-1]) > 0
+            hollow = np.bincount(owner[~full], minlength=len(n)) > more
+            met = full | hollow[owner]
+            key, owner = key[met], owner[met]
+        keys.append(key)
         of.append(owner)
     return (np.concatenate(keys), np.concatenate(of)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
 
@@ -149,8 +161,11 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id) for each row with an id; component_id: the smallest id reachable by links."""
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, spare: int = 0) -> DataFrame:
+    """(id, n_shingles, component_id) for each row with an id; component_id: the smallest id reachable by links.
+
+    spare: for low thresholds, where segments hold few shingles and many are empty; the result is the same.
+    """
     spark = docs.sparkSession
     prepare(spark)
     release(spark)
@@ -166,7 +181,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(batch):
         out = []
         for i, j, h, bounds in each(batch):
-            keys, of = _segments(h, bounds, percent, table)
+            keys, of = _segments(h, bounds, percent, table, spare)
             o = np.argsort(of, kind="stable")
             off = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int32)
             out.append(pa.record_batch({"i": batch.column("i")[i:j], "n": pa.array(np.diff(bounds)), "sig": i64(_signature(h, bounds)), "keys": pa.ListArray.from_arrays(pa.array(off), i64(keys[o]))}))

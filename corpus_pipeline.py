@@ -28,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more) stays, that of the smallest id."""
-    groups = jaccard.link_groups(docs.select("doc_id", "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    groups = jaccard.link_groups(docs.select("doc_id", "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT, spare=8)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*_columns(docs))
 

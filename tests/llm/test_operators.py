@@ -435,3 +435,22 @@ ARTICLES = [
 @pytest.mark.parametrize(("page", "want"), ARTICLES)
 def test_density_chooses_within_articles(page, want):
     assert html_text.main_text(page) == want
+
+
+def test_spare_segments_meet_linked_sets_and_not_others():
+    """At 0.8, all linked pairs share a key; without spare segments, unrelated sets meet in empty ones."""
+    r = np.random.default_rng(5)
+    b = jaccard.bands(80)
+    table, keys = (b, jaccard.differences(b, 80)), {}
+    sets = []
+    for n in [*range(1, 40), 100, 300, 700] * 4:
+        a = r.integers(1, 1 << 63, n, dtype=np.int64).view(U)
+        gone = n // 9  # the same number goes and comes: 8 of 10 stay
+        sets += [np.sort(a), np.sort(np.concatenate([a[gone:], r.integers(1, 1 << 63, gone, dtype=np.int64).view(U)]))]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    for spare in (0, 8):
+        k, of = jaccard._segments(np.concatenate(sets), bounds, 80, table, spare)
+        keys[spare] = [set(k[of == i].tolist()) for i in range(len(sets))]
+        assert all(jaccard.linked(sets[i], sets[i + 1], 80) and keys[spare][i] & keys[spare][i + 1] for i in range(0, len(sets), 2))
+    met = {s: sum(bool(x[i] & x[j]) for i in range(0, len(sets), 2) for j in range(0, i, 2)) for s, x in keys.items()}
+    assert met[8] * 10 < met[0], met
