@@ -7,7 +7,7 @@ occurrences that follow one another in both texts join to the longest verbatim m
 
 Items go to the workers in blocks of ``BLOCK_WORDS`` words at most, one pass of the same stage for each block.  No shuffle takes place.
 Defined cases: null or empty text has no words, is never hit and hits nothing; items of one id are one item; an empty benchmark hits
-nothing; documents of one id are answered each; other columns are ignored.
+nothing; documents of one id, or without one, are answered each, items without an id are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow
+from .shared import map_arrow, unused, with_fields
 from .wordcode import ALNUM, Table, U, Words, counts_between, cover, grams, ranges, slices, text_bytes
 
 WIDTH = 10
@@ -103,15 +103,25 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, width: int):
     yield Items(ids, texts, width)
 
 
+NAMES = ("_n_words", "_n_hit", "_items", "_longest", "_matches")
+
+
+def outputs(docs: DataFrame) -> list[str]:
+    """The names that mark_contamination() gives its columns beside those of docs, in the order of NAMES."""
+    return unused(docs.columns, *NAMES)
+
+
 def mark_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
-    """All rows of docs as they are, with ``_n_words``, ``_n_hit``, ``_items`` (sorted item ids), ``_longest`` (words of the longest verbatim match) and ``_matches`` (item, item word, document word, words: the maximal matches)."""
+    """All rows of docs as they are, with ``_n_words``, ``_n_hit``, ``_items`` (sorted item ids), ``_longest`` (words of the longest verbatim match) and ``_matches`` (item, item word, document word, words: the maximal matches); where docs has such a name, see ``outputs``."""
     out = docs
+    names = dict(zip(NAMES, outputs(docs), strict=True))
     fields = "struct<item:bigint,item_at:bigint,doc_at:bigint,words:bigint>"
     types = [pa.field(x, pa.int64()) for x in ("item", "item_at", "doc_at", "words")]
     for items in _blocks(bench, item_col, item_text, width):
         block = docs.sparkSession.sparkContext.broadcast(items)
         first = out is docs
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields] + [f"_n_words long, _n_hit long, _items array<long>, _longest long, _matches array<{fields}>"] * first)
+        added = zip(names.values(), ("long", "long", "array<long>", "long", f"array<{fields}>"), strict=True)
+        schema = with_fields(out, *added) if first else out.schema
 
         def step(batch, block=block, first=first):
             data, off = text_bytes(batch.column(text_col))
@@ -131,7 +141,7 @@ def mark_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
                 mt, mi, mp, md = t[at], it[at], pl[at], p[at]
                 ml = p[end] - p[at] + ln[end]
                 if not first:  # earlier blocks' matches
-                    old = batch.column("_matches")[i:j]
+                    old = batch.column(names["_matches"])[i:j]
                     flat, k = old.flatten(), np.repeat(np.arange(j - i), [len(x) for x in old])
                     get = lambda name, flat=flat: flat.field(name).to_numpy()
                     mt, mi, mp, md, ml = (np.concatenate(x) for x in ((k, mt), (get("item"), mi), (get("item_at"), mp), (get("doc_at") + w.bounds[:-1][k], md), (get("words"), ml)))
@@ -148,10 +158,10 @@ def mark_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
                 pair = np.unique(np.stack([mt, mi], 1), axis=0) if len(mt) else np.zeros((0, 2), np.int64)
                 o32 = np.concatenate([[0], np.cumsum(np.bincount(pair[:, 0], minlength=j - i))]).astype(np.int32)
                 made["_items"].append(pa.ListArray.from_arrays(pa.array(o32), pa.array(pair[:, 1])))
-            cols = {n: batch.column(n) for n in batch.schema.names} | {k: pa.chunked_array(v).combine_chunks() for k, v in made.items()}
+            cols = {n: batch.column(n) for n in batch.schema.names} | {names[k]: pa.chunked_array(v).combine_chunks() for k, v in made.items()}
             return pa.Table.from_pydict(cols)
 
-        out = map_arrow(out, step, schema)
+        out = map_arrow(out, step, schema, text_col)
     return out
 
 
@@ -162,4 +172,5 @@ def items_digest(items) -> str:
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, **names) -> DataFrame:
     """The rows of docs that no window of the benchmark occurs in, with their columns."""
-    return mark_contamination(docs, bench, **names).where("_n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    hit = outputs(docs)[NAMES.index("_n_hit")]
+    return mark_contamination(docs, bench, **names).where(F.col(hit) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

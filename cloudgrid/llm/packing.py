@@ -8,7 +8,7 @@ its open bins (less than one bin of each class) are cut into powers of two, and
 into sequences of powers of two, which need no padding.
 
 No shuffle takes place; a worker holds its open bins only.
-Defined cases: null text is empty, and an empty document has the end id alone; rows of one id are packed each; other columns are ignored;
+Defined cases: null text is empty, and an empty document has the end id alone; rows of one id, or without one, are packed each; other columns are ignored;
 texts that hold the tokenizer's special strings are encoded whole, as the tokenizer does.
 """
 
@@ -171,9 +171,9 @@ class Bins:
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, most: int = MOST, keep_ids: bool = False) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece of each row with an id."""
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for each piece of each row."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = ", ".join(f"`{n}` long" for n in names) + ", ids array<int>" * keep_ids
     lengths = class_lengths(capacity, most).tolist()

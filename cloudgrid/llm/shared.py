@@ -13,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .wordcode import Bloom, slices, text_bytes, u64
 
 #: Largest Bloom filter that is broadcast: 32 MB.  Beyond, it lets more candidates through and loses none.
 MAX_BLOOM_BITS = 1 << 28
+#: Bytes of text of a training sample that reach the driver.
+SAMPLE_BYTES = 64 << 20
 #: Bytes of text that a step over pieces of batches takes at once.
 PIECE_BYTES = 4 << 20
 
@@ -34,9 +37,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests on one machine), a folder of our own."""
+    """spark.checkpoint.dir; only where it is unset and all runs on one machine, a folder of our own."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     at = getattr(spark, "_own_checkpoint_dir", None)
     if not at:
         at = spark._own_checkpoint_dir = "file://" + tempfile.mkdtemp(prefix="cloudgrid-")
@@ -60,6 +65,23 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with so many underscores before them that none is among ``names`` (which Spark compares without case)."""
+    taken = {n.lower() for n in names}
+    lead = ""
+    while any((lead + w).lower() in taken for w in wanted):
+        lead += "_"
+    return [lead + w for w in wanted]
+
+
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """The schema of df with further (name, type) fields."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in fields:
+        out = out.add(StructField(name, _parse_datatype_string(kind)))
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files and broadcasts that nothing refers to any more: it does so only when the driver collects garbage."""
     gc.collect()
@@ -73,7 +95,7 @@ def pieces(batch: pa.RecordBatch, text: str):
         yield batch.slice(i, j - i)
 
 
-def map_arrow(df: DataFrame, step, schema: str, text: str | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, step, schema: str | StructType, text: str | None = None) -> DataFrame:
     """mapInArrow with ``step(batch) -> RecordBatch | Table | None``; with ``text``, for pieces of batches, as a batch is bounded in rows only."""
     prepare(df.sparkSession)
 
@@ -85,11 +107,13 @@ def map_arrow(df: DataFrame, step, schema: str, text: str | None = None) -> Data
     return df.mapInArrow(run, schema)
 
 
-def sample_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The rows of the first n ids by their hash.
+def sample_rows(df: DataFrame, id_col: str, n: int, text_col: str | None = None, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
+    """Rows of the first n ids by their hash, in that order: one of each id (the least by a hash of the whole row), and of those the
+    first that hold ``most_bytes`` of text together, one at least.
 
     Ids are picked first, so no text is sorted or gathered to pick them.  Rows are counted by the first 16 bits of the hash before, and
-    only the least of those that hold n rows are sorted, so what reaches the driver doesn't grow with the number of partitions.
+    only the least of those that hold n rows are sorted, so what reaches the driver doesn't grow with the number of partitions.  The
+    rows of the picked ids, however many and long, stay a table in the shared folder; the driver gets one of each id within the bound.
     """
     own = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.xxhash64(id_col).alias("h")).withColumn("b", F.shiftright("h", 48))
     have, last = 0, None
@@ -98,9 +122,21 @@ def sample_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
         if have >= n:
             break
     if last is None:
-        return df.limit(0)
-    least = own.where(F.col("b") <= last).orderBy("h", "i").limit(n)
-    return df.where(F.col(id_col).isin([r.i for r in least.collect()]))
+        return df.limit(0).toArrow()
+    ids = [r.i for r in own.where(F.col("b") <= last).select("h", "i").distinct().orderBy("h", "i").limit(n).collect()]
+    size = F.lit(0) if text_col is None else F.coalesce(F.octet_length(text_col), F.lit(0))
+    picked = cut(df.where(F.col(id_col).isin(ids)).select("*", F.xxhash64(*df.columns).alias("_row"), size.alias("_size")))
+    one = {r[id_col]: r.least for r in picked.groupBy(id_col).agg(F.min(F.struct("_row", "_size")).alias("least")).collect()}
+    rows, total = [], 0
+    for i in ids:
+        total += one[i]["_size"]
+        if rows and total > most_bytes:
+            break
+        rows.append(one[i]["_row"])
+    out = picked.where(F.col("_row").isin(rows)).dropDuplicates(["_row"]).toArrow()
+    drop(picked)
+    at = {r: k for k, r in enumerate(rows)}
+    return out.take(pa.array(sorted(range(out.num_rows), key=[at[r] for r in out.column("_row").to_pylist()].__getitem__), pa.int64())).drop_columns(["_row", "_size"])
 
 
 def trim() -> None:
