@@ -4,17 +4,21 @@ The set of a document: hashes of its distinct ``width``-word shingles (A-Z lower
 whole sequence as one).  Two sets link if 100 * intersection >= percent * union.  Equal sets are one node.
 
 1. *sketch*: a set of size n lies in a size band, and each pair of linked sets in one band or two neighbouring ones.  For each of its two
-   band pairs a set is dealt by hash into d + 1 segments, d being the largest symmetric difference that a link in that band pair allows;
-   each segment is a parity word (every shingle flips one of its 64 bits), so the sketches' Hamming distance never exceeds the symmetric
-   difference, and by pigeonhole linked sets agree in one segment at least.
+   band pairs a set has a bit sketch that every shingle flips one bit of, so the sketches' Hamming distance never exceeds the symmetric
+   difference.  The sketch is 2^64 bits wide, and is cut by hash into d + 1 + s segments, d being the largest symmetric difference
+   that a link in that band pair allows; a segment is held as the XOR of the hashes of its set bits.  By pigeonhole linked sets agree in
+   s + 1 segments at least.  Segments of few set bits, in which unrelated sets agree by chance, are left out where a set has no more than s of
+   them; a set with more is dealt again with another seed, beside its other segments (``SEEDS`` times; then it keeps all).
 2. *join*: nodes that share a segment are tied to the smallest of them (no pairs within a segment); connected components of these ties
    hold all links, as a link's ends share a segment.
-3. *verify*: within a component, blocks of ``BLOCK`` nodes meet block by block.  A pair not yet connected there is compared by a long
-   parity sketch first, then exactly; a block keeps a forest of its links.  Components of the verified links are the result.
+3. *verify*: the nodes of a component are dealt into blocks bounded in nodes and bytes.  Within a block a pair not yet connected is
+   compared by a long parity sketch first, then exactly, and a forest of the links is kept.  A component of several blocks goes on: the
+   smallest nodes of its classes meet in blocks, as long as that joins classes; then all nodes outside its largest class meet all others
+   of another class, block by block.  So a large group of near copies is not compared in all pairs, and no link between classes is lost.
 
-A hot component is many blocks, so tasks stay bounded; copies never meet in pairs.
 Defined cases: null or empty text or text without words has an empty set, is alone, and counts 0 shingles; rows of one id are answered
-each; other columns are ignored; an empty table gives an empty result.
+each; a row with a null id links by its text, and its component is the smallest id there or, if none, null; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bloom, components, cut, drop, map_arrow, prepare, release
-from .wordcode import U, Words, grams, i64, mix, slices, text_bytes, u64
+from .wordcode import U, Words, grams, i64, mix, ranges, slices, text_bytes, u64
 
 WIDTH, PERCENT = 3, 90
-#: nodes of a block in verification
-BLOCK = 1024
+#: spare segments, in per cent of the differences, besides three; how often sets of few shingles a segment are dealt
+SPARE, SEEDS = 8, 6
+#: nodes of a block in verification, and bytes of their sets
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: a class of more than one of so many rows is hot
+HOT = 1024
 #: 64-bit words of the long sketch in verification
 SKETCH = 32
 
@@ -72,43 +80,48 @@ def differences(b: np.ndarray, percent: int) -> np.ndarray:
     return (small + large) * (100 - percent) // (100 + percent)
 
 
-def _segments(h: np.ndarray, bounds: np.ndarray, percent: int, table: tuple[np.ndarray, np.ndarray], spare: int = 0):
+def segments_of(percent: int) -> tuple[np.ndarray, ...]:
+    """(lower bounds of the bands; for each band pair: largest difference, spare segments, segments, bits that a segment must hold to stay)."""
+    low = bands(percent)
+    d = differences(low, percent)
+    more = 3 + d * SPARE // 100
+    m = d + 1 + more
+    return low, d, more, m, np.where(low[:-1] >= 5 * m, 2, 1)
+
+
+def _segments(h: np.ndarray, bounds: np.ndarray, plan: tuple[np.ndarray, ...]):
     """(keys, set index) of the segments of all sets in both of their band pairs.
 
-    With ``spare``, there are so many more segments (percent, and 3), and whole hashes are flipped.  Linked sets then agree in more than those;
-    a set with no more empty segments than spare ones agrees with each of its partners in one that isn't empty, and leaves its empty ones out.
+    Two linked sets in a band pair agree in s + 1 segments or more.  If one of them has s small ones at most, a segment that isn't small is among
+    those, and both keep it; if both have more, they meet again with the next seed, and with the last one they keep all.  Where a link
+    allows no difference, linked sets are equal, so one node, and need no key.
     """
-    low, diff = table
+    low, diff, spare, count, least = plan
     n = np.diff(bounds)
-    keys, of = [], []
     band = np.searchsorted(low, np.maximum(n, 1), side="right") - 1
-    mixed = mix(h ^ U(0x5BD1E995))
+    keys, sets = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for back in (0, 1):
         pair = band - back
-        ok = (n > 0) & (pair >= 0)
-        d = diff[np.maximum(pair, 0)]
-        more = d * spare // 100 + 3 if spare else np.zeros_like(d)
-        m = np.where(ok, d + 1 + more, 0)
-        at = np.concatenate([[0], np.cumsum(m)])
-        if not at[-1]:
-            continue
-        seg = np.zeros(at[-1], U)
-        per = np.repeat(m, n)
-        use = per > 0
-        slot = np.repeat(at[:-1], n)[use] + ((mixed[use] >> U(32)) * per[use].astype(U) >> U(32)).astype(np.int64)
-        bit = mix(mixed[use]) if spare else U(1) << (mixed[use] & U(63))
-        np.bitwise_xor.at(seg, slot, bit)
-        owner = np.repeat(np.arange(len(n)), m)
-        index = np.arange(at[-1]) - np.repeat(at[:-1], m)
-        key = mix(seg ^ mix((pair[owner].astype(U) << U(40)) + index.astype(U) + U(1)))
-        if spare:
-            full = np.bincount(slot, minlength=at[-1]) > 0
-            hollow = np.bincount(owner[~full], minlength=len(n)) > more
-            met = full | hollow[owner]
-            key, owner = key[met], owner[met]
-        keys.append(key)
-        of.append(owner)
-    return (np.concatenate(keys), np.concatenate(of)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+        of = np.flatnonzero((n > 0) & (pair >= 0) & (diff[np.maximum(pair, 0)] > 0))
+        for seed in range(SEEDS):
+            if not len(of):
+                break
+            p, size = pair[of], n[of]
+            m = count[p]
+            at = np.concatenate([[0], np.cumsum(m)])
+            x = mix(h[ranges(bounds[:-1][of], size)] ^ (U(0x5BD1E995) + U(seed)))
+            slot = np.repeat(at[:-1], size) + ((x >> U(32)) * np.repeat(m, size).astype(U) >> U(32)).astype(np.int64)
+            seg = np.zeros(at[-1], U)
+            np.bitwise_xor.at(seg, slot, mix(x))
+            owner = np.repeat(np.arange(len(of)), m)
+            small = np.bincount(slot, minlength=at[-1]) < least[p][owner]
+            hollow = np.bincount(owner[small], minlength=len(of)) > spare[p]
+            ok = ~small if seed < SEEDS - 1 else ~small | hollow[owner]
+            name = (p[owner].astype(U) << U(40)) + (U(seed) << U(56)) + (np.arange(at[-1]) - at[:-1][owner]).astype(U) + U(1)
+            keys.append(mix(seg ^ mix(name))[ok])
+            sets.append(of[owner[ok]])
+            of = of[hollow]
+    return np.concatenate(keys), np.concatenate(sets)
 
 
 def _signature(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -132,15 +145,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter) > 0
 
 
-def forest(sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what all links among the sets connect; with left < len(sets), only links across that border are needed."""
+def forest(sets: list[np.ndarray], left: int, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links among the sets connect; with left < len(sets), only links across that border are needed.
+
+    label: sets of one label are taken as connected already.
+    """
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
     sk = np.zeros((n, SKETCH), U)
     for i, x in enumerate(sets):
         m = mix(x)
         np.bitwise_xor.at(sk[i], (m >> U(40)).astype(np.int64) % SKETCH, U(1) << (m & U(63)))
-    label, out = np.arange(n), []
+    label, out = np.arange(n) if label is None else label.copy(), []
     for i in range(left):
         start = i + 1 if left == n else left
         j = start + np.flatnonzero((label[start:] != label[i]) & (100 * np.minimum(size[start:], size[i]) >= percent * np.maximum(size[start:], size[i])))
@@ -161,16 +177,69 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, spare: int = 0) -> DataFrame:
-    """(id, n_shingles, component_id) for each row with an id; component_id: the smallest id reachable by links.
+def _parts(of: DataFrame, by: str, block: int, most: int) -> DataFrame:
+    """(by, m) where rows (by, set) need more than one block; a few rows, as each stands for a full block."""
+    m = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("set")) / F.lit(most)))
+    return of.groupBy(by).agg(m.cast("int").alias("m")).where("m > 1")
 
-    spare: for low thresholds, where segments hold few shingles and many are empty; the result is the same.
-    """
+
+def _dealt(of: DataFrame, parts: DataFrame, by: str) -> DataFrame:
+    """Rows with the number m of blocks of theirs and their own block b."""
+    return of.join(parts, by, "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+
+
+def _verified(placed: DataFrame, percent: int, block: int, most: int) -> DataFrame:
+    """Links (a, b) that connect what all links among the (root, node, set) of each root connect."""
+
+    def verify(key, rows):
+        node, side, label = (rows.column(c).to_numpy() for c in ("node", "side", "label"))
+        order = np.lexsort((node, side))
+        raw = rows.column("set")
+        sets_ = [_unpack(raw[k].as_py()) for k in order.tolist()]
+        left = int((side == 0).sum())
+        _, label = np.unique(label[order], return_inverse=True)
+        found = forest(sets_, left, percent, label)
+        return pa.table({"a": pa.array([int(node[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(node[order[j]]) for _, j in found], pa.int64())})
+
+    def meet(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).applyInArrow(verify, "a long, b long")
+
+    parts = cut(_parts(placed, "root", block, most))
+    links = cut(meet(_dealt(placed, parts, "root").withColumns({"side": F.lit(0), "label": F.col("node")}), "root", "b"))
+    if parts.isEmpty():
+        return links
+    large = cut(placed.join(parts, "root"))  # the components of several blocks
+    have = None
+    while True:
+        classes = components(links)
+        named = large.join(classes, "node", "left").select(large["root"], large["node"], "set", "m", F.coalesce(classes["root"], large["node"]).alias("label"))
+        heads = named.where("node = label").drop("m")
+        n = heads.count()
+        if have is not None and n * 10 > have * 9:
+            break
+        have = n
+        more = meet(_dealt(heads, _parts(heads, "root", block, most), "root").withColumn("side", F.lit(0)), "root", "b")
+        links = cut(links.unionByName(more))
+    named = cut(named.drop("m"))
+    sizes = named.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label")).alias("s"), F.count("*").alias("k")).where("k > 1").select("root", F.col("s.label").alias("main"))
+    named = cut(named.join(sizes, "root"))  # of components of several classes
+    rest = named.where("label <> main")
+    x = _dealt(rest, _parts(rest, "root", block, most), "root").select("root", "node", "set", "label", F.col("b").alias("x"), F.col("m").alias("mx"))
+    y = _dealt(named, _parts(named, "root", block, most), "root").select("root", "node", "set", "label", F.col("b").alias("y"), F.col("m").alias("my"))
+    of = x.groupBy("root").agg(F.max("mx").alias("mx")).join(y.groupBy("root").agg(F.max("my").alias("my")), "root")
+    to = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    first = x.join(of.select("root", "my"), "root").select("root", "node", "set", "label", "x", to("my").alias("y"), F.lit(0).alias("side"))
+    second = y.join(of.select("root", "mx"), "root").select("root", "node", "set", "label", to("mx").alias("x"), "y", F.lit(1).alias("side"))
+    return links.unionByName(meet(first.unionByName(second), "root", "x", "y"))
+
+
+def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, most: int = BLOCK_BYTES) -> DataFrame:
+    """(id, n_shingles, component_id) for each row; component_id: the smallest id reachable by links."""
     spark = docs.sparkSession
     prepare(spark)
     release(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
-    table = (b := bands(percent), differences(b, percent))
+    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    plan = segments_of(percent)
 
     def each(batch):
         data, off = text_bytes(batch.column("t"))
@@ -181,13 +250,13 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sketch(batch):
         out = []
         for i, j, h, bounds in each(batch):
-            keys, of = _segments(h, bounds, percent, table, spare)
+            keys, of = _segments(h, bounds, plan)
             o = np.argsort(of, kind="stable")
             off = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int32)
             out.append(pa.record_batch({"i": batch.column("i")[i:j], "n": pa.array(np.diff(bounds)), "sig": i64(_signature(h, bounds)), "keys": pa.ListArray.from_arrays(pa.array(off), i64(keys[o]))}))
         return pa.Table.from_batches(out)
 
-    nodes = cut(map_arrow(docs, sketch, "i long, n long, sig long, keys array<long>"))
+    nodes = cut(map_arrow(docs, sketch, "i long, n long, sig long, keys array<long>", "t"))
     # segments that two different sets share, with the smallest of the sets
     shared = nodes.where("n > 0").select("sig", F.explode("keys").alias("k")).groupBy("k").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("k", "lo")
     shared = cut(shared)
@@ -227,26 +296,18 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append((sig[k], np.ascontiguousarray(h[bounds[k] : bounds[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
         return pa.record_batch({"node": i64(np.array([x for x, _ in out], U)), "set": pa.array([x for _, x in out], pa.binary())}) if out else None
 
-    sets = map_arrow(docs, whole, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    # nodes of a component are dealt by hash into so many blocks that each holds about ``block`` of them
-    blocks = maybe.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("m"))
-    placed = maybe.join(blocks, "root").join(sets, "node").select("root", "node", "set", "m", F.pmod(F.xxhash64("node"), F.col("m")).cast("int").alias("b"))
-    met = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", "node", "set", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-
-    def verify(key, rows):
-        node, x, y, at = rows.column("node").to_numpy(), key[1].as_py(), key[2].as_py(), rows.column("b").to_numpy()
-        order = np.lexsort((node, at))
-        raw = rows.column("set")
-        sets_ = [_unpack(raw[k].as_py()) for k in order.tolist()]
-        left = int((at == x).sum())
-        found = forest(sets_, left, percent)
-        return pa.table({"a": pa.array([int(node[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(node[order[j]]) for _, j in found], pa.int64())})
-
-    links = met.groupBy("root", "x", "y").applyInArrow(verify, "a long, b long")
+    sets = map_arrow(docs, whole, "node long, set binary", "t").groupBy("node").agg(F.first("set").alias("set"))
+    placed = cut(maybe.join(sets, "node").select("root", "node", "set"))
+    release(spark)
+    links = _verified(placed, percent, block, most)
     groups = components(links).withColumnRenamed("root", "class")
     out = nodes.select("i", "n", "sig").join(groups, nodes.sig == groups.node, "left").select("i", "n", F.coalesce("class", "sig").alias("class"))
     out = cut(out)
-    for table in (nodes, maybe, groups):  # the result needs ``out`` only
+    for table in (nodes, maybe, placed, groups):  # the result needs ``out`` only
         drop(table)
-    first = out.where("n > 0").groupBy("class").agg(F.min("i").alias("component_id"))
-    return out.join(first, "class", "left").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i")).alias("component_id"))
+    first = cut(out.where("n > 0").groupBy("class").agg(F.min("i").alias("component_id"), F.count("*").alias("rows")))
+    # classes that hold more than one of HOT rows, HOT at most, are told to all tasks; the others are joined by class
+    hot = F.broadcast(first.where(F.col("rows") * HOT > first.agg(F.sum("rows")).first()[0]).select("class", "component_id"))
+    many = out.where("n > 0").join(hot, "class")
+    few = out.join(hot, "class", "left_anti").join(first.select("class", "component_id"), "class", "left")
+    return many.unionByName(few).select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("i")).alias("component_id"))
