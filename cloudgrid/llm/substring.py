@@ -9,14 +9,16 @@ that covers it also starts in a document with a smaller id.  Steps:
    A gram with one segment only has its windows nowhere else, so the segment's smallest document owns them.  For the other grams the
    windows themselves are grouped by a 96-bit hash of their words, and the smallest document of each is its owner.  Partial
    aggregation collapses hot segments and windows in each task;
-3. *location*: documents with candidates are dealt into shards by id; a shard gets the recurring segments and windows that occur in it with
-   their owners.  Runs of windows that a document owes to smaller ones are its repeated phrases; they are compiled into Aho-Corasick
-   automata (a letter for each word, ``LETTERS`` letters or one phrase in each automaton), and all documents of the shard are streamed through
-   them: a phrase goes wherever it occurs after the last of its windows' owners.  Documents without candidates are answered where they are.
+3. *phrases*: documents with candidates are dealt into shards by id, and a shard gets the recurring segments and windows that occur in it
+   with their owners.  Pieces that always follow one another in the shard and have one owner are joined to one phrase, whose words are taken
+   from its first occurrence; all distinct phrases that a document of the shard owes to a smaller one are compiled into Aho-Corasick
+   automata (two letters for each word, ``LETTERS`` letters or one phrase in each automaton);
+4. *location*: all documents of the shard are streamed through its automata, and only what these report is removed: an occurrence of a
+   phrase in a document after the phrase's owner.  A document none of whose grams is in the filter holds no phrase and is answered where it is.
 
 Defined cases: null or empty text has no words; a document of fewer words than ``width`` keeps them all; copies of a document keep
-the one of the smallest id; rows of one id count as one document (each row is answered); windows that recur only inside one document
-stay; other columns are ignored.
+the one of the smallest id; rows of one id count as one document (each row is answered); a row with a null id stands after and before no
+other: it is answered, loses no word and takes none away; windows that recur only inside one document stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -168,22 +170,75 @@ class Confirmed:
         self.rows = whole.unionByName(_owners(several, ["h", "c"]).select("h", "c", "s", "owner"))
 
 
-def _automata(w: Words, start: np.ndarray, end: np.ndarray, owner: np.ndarray):
-    """(texts with a letter for each word, automata of the distinct phrases start..end); a phrase's value: its length and last owner."""
+def phrases(w: Words, h: np.ndarray, c: np.ndarray, owner: np.ndarray, width: int):
+    """(first word, end, owner) of one occurrence of each distinct phrase of a shard, given its recurring segments (h, -1) and windows (h, c), sorted.
+
+    A piece is a recurring segment, or a recurring window of other segments.  Piece v is joined to u if every u of the shard is followed by v,
+    every v follows u, and both have one owner; so a phrase occurs wherever one of its pieces does.
+    """
+    none = np.zeros(0, np.int64)
+    at, count, _, hash_ = _segments(w, width)
+    if not len(at) or not len(h):
+        return none, none, none
+    absent = np.iinfo(np.int64).max
+    whole = _lookup(h, c, owner, hash_, np.full(len(at), -1))
+    ok = whole != absent
+    single = ranges(at[~ok], count[~ok])
+    a, b = _keys(w, single, width)
+    own = _lookup(h, c, owner, a, b)
+    hit = own != absent
+    start = np.concatenate([at[ok], single[hit]])
+    size = np.concatenate([count[ok], np.ones(int(hit.sum()), np.int64)])
+    own = np.concatenate([whole[ok], own[hit]])
+    key = np.concatenate([hash_[ok], mix(a[hit] ^ mix(b[hit].view(U)))])
+    if not len(start):
+        return none, none, none
+    o = np.argsort(start, kind="stable")
+    start, size, own, key = start[o], size[o], own[o], key[o]
+    text = np.searchsorted(w.bounds, start, side="right") - 1
+    _, first, unit = np.unique(key, return_index=True, return_inverse=True)
+    beside = (start[1:] == start[:-1] + size[:-1]) & (text[1:] == text[:-1]) & (own[1:] == own[:-1])
+    after, before = np.full(len(unit), -1), np.full(len(unit), -1)
+    after[:-1] = np.where(beside, unit[1:], -1)
+    before[1:] = np.where(beside, unit[:-1], -1)
+
+    def only(x):
+        """The one value that all of a piece's occurrences have, or -1."""
+        lo, hi = np.full(len(first), len(unit)), np.full(len(first), -1)
+        np.minimum.at(lo, unit, x)
+        np.maximum.at(hi, unit, x)
+        return np.where(lo == hi, hi, -1)
+
+    after, before = only(after), only(before)
+    goes = (after >= 0) & (before[after] == np.arange(len(first)))  # a piece joined to the next one
+    comes = np.zeros(len(first), bool)
+    comes[after[goes]] = True
+    ends = np.flatnonzero(~goes[unit])
+    begin = np.sort(first[~comes])
+    last = ends[np.searchsorted(ends, begin)]
+    return start[begin], start[last] + size[last] - 1 + width, own[begin]
+
+
+def automata(w: Words, start: np.ndarray, end: np.ndarray, owner: np.ndarray):
+    """(texts with two letters for each word, automata of the phrases start..end); a phrase's value: its length in words and its owner.
+
+    A word's letters are the two digits of its number, from two alphabets: no match begins or ends within a word, and no node of an automaton has
+    more than a few hundred children, among which it looks one after another.
+    """
     letters, codes = np.unique(w.h, return_inverse=True)
-    codes = codes.astype(np.uint32) + 1
-    codes[codes >= 0xD800] += 0x800  # not the surrogates
-    if len(letters) > 0x10F000:
+    base = max(2, int(np.ceil(np.sqrt(len(letters) + 1))))
+    if base >= 0x5000:
         raise ValueError("a shard has more words than letters")
-    whole = codes.tobytes().decode("utf-32-le")
-    _, one = np.unique(span_hash(w.h, start, end), return_index=True)
+    pair = np.empty((len(codes), 2), np.uint32)
+    pair[:, 0], pair[:, 1] = 0x100 + codes // base, 0x6000 + codes % base
+    whole = pair.tobytes().decode("utf-32-le")
     made, size = [], LETTERS
-    for p, e, o in zip(start[one].tolist(), end[one].tolist(), owner[one].tolist(), strict=True):
-        if size + e - p > LETTERS:
+    for p, e, o in zip(start.tolist(), end.tolist(), owner.tolist(), strict=True):
+        if size + 2 * (e - p) > LETTERS:
             made.append(ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING))
             size = 0
-        made[-1].add_word(whole[p:e], (e - p, o))
-        size += e - p
+        made[-1].add_word(whole[2 * p : 2 * e], (e - p, o))
+        size += 2 * (e - p)
     for a in made:
         a.make_automaton()
     return whole, made
@@ -210,34 +265,15 @@ def _lookup(h, c, owner, a, b):
 def dedup_shard(ids: np.ndarray, w: Words, h: np.ndarray, c: np.ndarray, owner: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Which words of a shard's documents go, given its recurring segments (h, -1) and windows (h, c), sorted, and their owners."""
     n = len(w.start)
-    if not n or not len(h):
-        return np.zeros(n, bool)
-    at, count, _, hash_ = _segments(w, width)
-    if not len(at):
-        return np.zeros(n, bool)
-    whole = np.repeat(_lookup(h, c, owner, hash_, np.full(len(at), -1)), count)
-    at = ranges(at, count)
-    a, b = _keys(w, at, width)
-    own = np.minimum(whole, _lookup(h, c, owner, a, b))
-    # runs of windows owed to smaller documents
-    text = w.text[at]
-    hit = own < ids[text]
-    at, own, text = at[hit], own[hit], text[hit]
-    if not len(at):
-        return np.zeros(n, bool)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    whole, made = _automata(w, at[first], at[last] + width, np.maximum.reduceat(own, first))
+    whole, made = automata(w, *phrases(w, h, c, owner, width)) if n else ("", [])
     starts, lengths = [], []
     lo, hi = w.bounds[:-1].tolist(), w.bounds[1:].tolist()
-    for d in np.unique(text).tolist():
-        i, letters = int(ids[d]), whole[lo[d] : hi[d]]
+    for d, i in enumerate(ids.tolist()):
+        letters = whole[2 * lo[d] : 2 * hi[d]]
         for automaton in made:
             for e, (size, owner_) in automaton.iter(letters):
                 if owner_ < i:
-                    starts.append(lo[d] + e + 1 - size)
+                    starts.append(lo[d] + (e + 1) // 2 - size)
                     lengths.append(size)
     return cover(np.array(starts, np.int64), np.array(lengths, np.int64), n)
 
@@ -263,10 +299,11 @@ def kept_text(w: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_text: bool = False) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept_text]) for each row with an id."""
+    """(id, n_words, n_removed, kept_sha256[, kept_text]) for each row."""
     prepare(docs.sparkSession)
     release(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    docs, nameless = rows.where("i is not null"), rows.where("i is null")
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 1
     found = Confirmed(docs, width, shards)
@@ -279,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         b, off = kept_text(w, gone)
         mem = memoryview(b)
         sha = [hashlib.sha256(mem[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        cols = [pa.array(ids), pa.array(np.diff(w.bounds)), pa.array(counts_between(gone, w.bounds)), pa.array(sha)]
+        cols = [pa.array(ids, pa.int64()), pa.array(np.diff(w.bounds)), pa.array(counts_between(gone, w.bounds)), pa.array(sha)]
         if keep_text:
             cols.append(pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(b.tobytes())]).cast(pa.string()))
         return pa.RecordBatch.from_arrays(cols, names=[n for n, _ in kinds])
@@ -316,4 +353,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_batches(out, pa.schema(kinds))
 
     dealt = map_arrow(docs, deal, "s int, i long, t string", "t").groupBy("s").cogroup(found.rows.groupBy("s")).applyInArrow(one, schema)
-    return map_arrow(docs, alone, schema, "t").unionByName(dealt)
+
+    def whole(batch):
+        ids, data, off = batch.column("i").cast(pa.int64()), *text_bytes(batch.column("t"))
+        w = [Words(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in slices(off)]
+        at = [i for i, _ in slices(off)]
+        return pa.Table.from_batches([answer(ids[i : i + len(x.bounds) - 1], x, np.zeros(len(x.start), bool)) for i, x in zip(at, w, strict=True)])
+
+    return map_arrow(docs, alone, schema, "t").unionByName(dealt).unionByName(map_arrow(nameless, whole, schema, "t"))
