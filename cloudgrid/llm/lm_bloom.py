@@ -1,16 +1,24 @@
 """Language-model scoring with a log-frequency Bloom filter in shards.
 
 Tokens of a text: A-Z lower-cased words ``[^\\x20\\x09-\\x0D]+``, then one end.  From all training documents come exact counts of tokens and of
-all pairs of neighbours, whatever their counts.  A count c is quantised to the level 1 + floor(log_BASE c); the filter holds each token and
-pair once for each level up to its own, and a probe for levels 1, 2, ... until one misses gives the level back.  A token's probability is its
-pair count, smoothed with ALPHA times its own add-one probability.
+all pairs of neighbours, whatever their counts.  The filter holds each pair once for each level up to that of its count, and a probe
+for levels 1, 2, ... until one misses gives the level back.  Levels stand for counts that grow by BASE; a count between two of them takes
+the upper one with just the probability (by a hash of the pair) that makes its mean right, so sums over pairs stay right too.
+
+A token w after v has the probability
+
+    p(w | v) = (c(v, w) + a(v) p(w)) / (c(v) + a(v)),    p(w) = (c(w) + 1) / (N + V + 1),    a(v) = ALPHA * c(v) ** POWER
+
+with c(v, w) from the filter, c(v, w) <= min(c(v), c(w)), and c(v), c(w) exact, as the base needs these anyway.  With exact counts this adds
+up to 1 over the V words and one unknown word, after every v: the sum of c(v, w) over w is c(v), as each token but an end is followed by one, and
+each end is taken to begin a document.  a(v) estimates how many different words follow v, which is what Witten-Bell smoothing takes.
 
 The filter is dealt by hash into shards of bounded size, whose number follows the training tokens, so no level is dropped and nothing of
 it is broadcast or reaches the driver.  Documents are dealt into buckets of about ``BUCKET_BYTES``; each bucket asks each shard for its
 distinct tokens and pairs, and the answers come back in the order of their hashes.  Shards also hold the exact counts of their tokens.
 
 The exact base: sum of log10((c + 1) / (N + V + 1)).
-Defined cases: null or empty text is the end token alone; no training documents: N = V = 0 and base 0; rows of one id are scored each;
+Defined cases: null or empty text is the end token alone; no training documents: N = V = 0 and base 0; rows of one id, or without one, are scored each;
 other columns are ignored.
 """
 
@@ -25,8 +33,7 @@ from .shared import cut, drop, prepare, release
 from .wordcode import Bloom, U, Words, counts_between, i64, mix, slices, text_bytes, u64
 
 BASE = 1.5
-MIN_SHARE = 0.0
-ALPHA = 2000.0
+ALPHA, POWER = 2.0, 0.8
 BITS_PER_ENTRY = 12
 PROBES = 5
 #: of a shard: training tokens (so distinct pairs at most), and words with exact counts
@@ -39,14 +46,19 @@ _KEY = U((1 << 40) - 1)
 
 
 def level_value(base: float = BASE, most: int = 400) -> np.ndarray:
-    """The count that a level stands for: the mean of the whole numbers in it, or its lower bound."""
-    lo = np.ceil(base ** np.arange(most, dtype=float) - 1e-9)
-    hi = np.ceil(base ** np.arange(1, most + 1, dtype=float) - 1e-9) - 1
-    return np.concatenate([[0.0], np.where(hi >= lo, (lo + hi) / 2, lo)])
+    """The counts that the levels stand for: 0, 1, 2, ... and on by about ``base``."""
+    out = [0, 1]
+    while len(out) < most and out[-1] < 1 << 60:
+        out.append(max(out[-1] + 1, int(out[-1] * base)))
+    return np.array(out, np.float64)
 
 
-def level_of(c: np.ndarray, base: float = BASE) -> np.ndarray:
-    return np.floor(np.log(c.astype(float)) / np.log(base) + 1e-9).astype(np.int64) + 1
+def level_of(c: np.ndarray, key: np.ndarray, base: float = BASE) -> np.ndarray:
+    """Levels of counts, rounded up with the share of the way to the next level, by the key's hash: the mean value of a count's levels is the count."""
+    value = level_value(base)
+    low = np.searchsorted(value, c.astype(float), side="right") - 1
+    way = (c - value[low]) / (value[np.minimum(low + 1, len(value) - 1)] - value[low] + (low == len(value) - 1))
+    return low + ((mix(key ^ U(0x2545F491)) >> U(11)).astype(float) / 2.0**53 < way)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,22 +173,15 @@ class Filter:
 
     @staticmethod
     def levels(bits: Bloom, key: np.ndarray) -> np.ndarray:
-        return bits.level(mix(key & _KEY)).astype(np.uint8)
+        return bits.level(mix(key & _KEY), 200).astype(np.uint8)
 
 
-def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE, max_words: int = MAX_WORDS) -> tuple[DataFrame, int, int, int]:
-    """((s, bits, h, c): shards of the filter with the exact counts of their tokens; number of shards; N; V).
-
-    min_share: pairs of rarer words are left out; by default none are.
-    """
-    spark = train.sparkSession
+def fit(train: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> tuple[DataFrame, int, int, int]:
+    """((s, bits, h, c): shards of the filter of pairs with the exact counts of the shard's tokens; number of shards; N; V)."""
     train = train.select(F.col(text_col).alias("t"))
     words = cut(_counted(train))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-n // MAX_PAIRS), -(-v // max_words))
-    often = None
-    if min_share > 0:  # 1 / min_share at most
-        often = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in words.where(F.col("c") >= int(np.ceil(n * min_share))).select("h").collect()], np.int64).view(U)))
 
     def dealt(u, c, word):
         at = _borders(u, shards)
@@ -186,16 +191,7 @@ def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE,
         return pa.record_batch({"s": pa.array(s), "w": pa.array([word] * len(s), pa.bool_()), "h": pa.array([h[a:b] for a, b in cuts], pa.binary()), "c": pa.array([c[a:b] for a, b in cuts], pa.binary())})
 
     def pairs(batches):
-        def parts():
-            for b in batches:
-                for _, _, h, bounds in _texts(b.column("t")):
-                    before = _previous(h, bounds)
-                    if often is not None:
-                        ok = np.isin(h, often.value) & (np.isin(before, often.value) | (before == END))
-                        before, h = before[ok], h[ok]
-                    yield np.unique(pair(before, h), return_counts=True)
-
-        for u, c in _summed(parts()):
+        for u, c in _summed(np.unique(pair(_previous(h, bounds), h), return_counts=True) for b in batches for _, _, h, bounds in _texts(b.column("t"))):
             yield dealt(u, c, False)
 
     def exact(batches):
@@ -210,7 +206,7 @@ def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE,
             u, k = _sums(np.frombuffer(_joined(rows.column("h")), U), np.frombuffer(_joined(rows.column("c")), np.int64))
             h.append(u)
             c.append(k)
-        bits = Filter.build(np.concatenate(h), level_of(np.concatenate(c)))
+        bits = Filter.build(h[1], level_of(c[1], h[1]))
         return pa.table({"s": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary()), "h": pa.array([h[0].tobytes()], pa.binary()), "c": pa.array([c[0].tobytes()], pa.binary())})
 
     schema = "s long, w boolean, h binary, c binary"
@@ -219,12 +215,19 @@ def fit(train: DataFrame, text_col: str = "text", min_share: float = MIN_SHARE,
     return table, shards, n, v
 
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, **options) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row with an id."""
+def smoothed(c_pair, c_before, c_word, n: int, v: int, alpha: float = ALPHA, power: float = POWER):
+    """p(w | v) of the module's formula."""
+    one = (c_word + 1) / (n + v + 1)
+    a = alpha * np.maximum(c_before, 1.0) ** power
+    return (np.minimum(c_pair, np.minimum(c_before, c_word)) + a * one) / (c_before + a)
+
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, power: float = POWER, **options) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     spark = docs.sparkSession
     model, shards, n, v = fit(train, text_col, **options)
     release(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     docs = docs.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(size // BUCKET_BYTES + 1)))
     whole = float(np.log10(n + v + 1))
@@ -248,34 +251,31 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             if len(known):
                 at = np.minimum(np.searchsorted(known, u), len(known) - 1)
                 c = np.where(known[at] == u, count[at], 0)
-            lu, lp, c = Filter.levels(bits, u).tobytes(), Filter.levels(bits, p).tobytes(), c.tobytes()
+            lp, c = Filter.levels(bits, p).tobytes(), c.tobytes()
             a = np.concatenate([[0], np.cumsum([len(x) // 8 for x in part.column("u").to_pylist()])]).tolist()
             b = np.concatenate([[0], np.cumsum([len(x) // 5 for x in part.column("p").to_pylist()])]).tolist()
             k = range(part.num_rows)
-            out.append(pa.table({"b": part.column("b"), "s": part.column("s"), "u": pa.array([lu[a[j] : a[j + 1]] for j in k], pa.binary()), "c": pa.array([c[8 * a[j] : 8 * a[j + 1]] for j in k], pa.binary()), "p": pa.array([lp[b[j] : b[j + 1]] for j in k], pa.binary())}))
-        return pa.concat_tables(out) if out else pa.table({"b": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "u": pa.array([], pa.binary()), "c": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
+            out.append(pa.table({"b": part.column("b"), "s": part.column("s"), "c": pa.array([c[8 * a[j] : 8 * a[j + 1]] for j in k], pa.binary()), "p": pa.array([lp[b[j] : b[j + 1]] for j in k], pa.binary())}))
+        return pa.concat_tables(out) if out else pa.table({"b": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "c": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
 
     def rate(key, table, answers):
         h, bounds = _whole(table.column("t"))
         answers = answers.sort_by("s")
         value = level_value()
         _, inv = np.unique(h, return_inverse=True)
-        have = value[np.frombuffer(_joined(answers.column("u")), np.uint8)][inv]
         c = np.frombuffer(_joined(answers.column("c")), np.int64)[inv]
-        before = np.empty_like(have)
-        before[1:] = have[:-1]
-        before[bounds[:-1]] = have[bounds[1:] - 1]  # of the end, which each text has
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[bounds[:-1]] = c[bounds[1:] - 1]  # of the end, which each text has
         _, inv = np.unique(pair(_previous(h, bounds), h), return_inverse=True)
         both = value[np.frombuffer(_joined(answers.column("p")), np.uint8)][inv]
-        one = (have + 1) / (n + v + 1)
-        p = (both + alpha * one) / (np.maximum(before, both) + alpha)
-        own = np.add.reduceat(np.log10(np.minimum(p, 1.0)), bounds[:-1])
+        own = np.add.reduceat(np.log10(smoothed(both, before, c, n, v, alpha, power)), bounds[:-1])
         base = np.add.reduceat(np.log10(c + 1.0), bounds[:-1]) - np.diff(bounds) * whole
         return pa.table({id_col: table.column("i"), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(counts_between(c > 0, bounds)), "train_tokens": pa.array(np.full(table.num_rows, n, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
     prepare(spark)
     asked = docs.groupBy("b").applyInArrow(ask, "b long, s long, u binary, p binary")
-    answers = cut(asked.groupBy("s").cogroup(model.groupBy("s")).applyInArrow(answer, "b long, s long, u binary, c binary, p binary"))
+    answers = cut(asked.groupBy("s").cogroup(model.groupBy("s")).applyInArrow(answer, "b long, s long, c binary, p binary"))
     drop(model)
     release(spark)
     return docs.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(rate, f"`{id_col}` long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
