@@ -3,12 +3,16 @@
 Subwords are the byte n-grams (``ORDERS``) of a text whose ASCII letters are lower-cased and whose other ASCII bytes are one border sign.  Each is
 hashed to one of ``BUCKETS`` rows of an embedding matrix; a text is the mean of its subwords' rows, and a linear softmax over that mean
 predicts the language.  Both are trained by mini-batch stochastic gradient descent in numpy on at most ``SAMPLE`` labelled texts, taken by
-hash of their ids; a part of them is held back to fit a temperature, so that scores are calibrated, and to set the rejection threshold
-at the score that ``KEEP`` of the rightly predicted held-back texts exceed.
+hash of their ids, and on noise made of them (``noise``), which is one more class: what is none of the learned languages.
+
+A part of both is held back.  It fits a temperature, so that scores are calibrated, and the rejection threshold: in log odds, the
+middle between the score that ``KEEP`` of the rightly predicted texts exceed and that which ``CATCH`` of the noise stays below, or the
+former, if that is less.  A text's label is its likeliest language,
+and its score that language's probability, noise being possible too.
 
 Prediction uses whole texts: as the classifier is linear, each bucket's row is multiplied out once, and a text's score is a mean of those.
 Defined cases: null text, or text without a letter, is ``und`` with score 1 and is rejected; with no labelled text at all everything is
-``und`` with score 0; ties go to the smaller label; rows of one id are answered each.
+``und`` with score 0 and what has a letter is not rejected; ties go to the smaller label; rows of one id, or without one, are answered each.
 """
 
 from __future__ import annotations
@@ -18,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, sample_rows, trim
+from .shared import map_arrow, sample_rows, trim, unused, with_fields
 from .wordcode import ranges, slices, text_bytes
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 SAMPLE = 2000
 EPOCHS, RATE, BATCH = 8, 4.0, 16
-KEEP, REJECT_BELOW = 0.9995, 0.4
+#: of held-back texts: rightly predicted ones that must not be rejected, and noise that must be
+KEEP, CATCH = 0.9995, 0.95
+#: texts of noise for each labelled text, and the longest of them in characters
+NOISE, NOISE_CHARS = 0.5, 2000
 UNKNOWN = "und"
+#: Where the letters of some scripts lie in Unicode.
+SCRIPTS = ((0x430, 0x44F), (0x3B1, 0x3C9), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x561, 0x586), (0x10D0, 0x10F0))
 
 _FOLD = np.full(256, 1, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -65,18 +74,38 @@ def _features(data, offsets, buckets, orders):
     return np.concatenate(out), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def noise(text: str, kind: int, r: np.random.Generator) -> str:
+    """Something with the text's lengths of words that is no language: letters drawn evenly, shuffled within and across words, another script's letters, or
+    names, numbers and signs as in data and programs."""
+    words = text[:NOISE_CHARS].split() or ["x"]
+    if kind % 4 == 0:
+        return " ".join("".join(chr(97 + c) for c in r.integers(0, 26, len(w))) for w in words)
+    if kind % 4 == 1:
+        letters = list("".join(words))
+        r.shuffle(letters)
+        letters, at = "".join(letters), np.cumsum([0] + [len(w) for w in words])
+        return " ".join(letters[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+    if kind % 4 == 2:
+        lo, hi = SCRIPTS[int(r.integers(len(SCRIPTS)))]
+        some = r.integers(lo, hi + 1, 40)
+        return " ".join("".join(chr(c) for c in some[r.integers(0, 40, len(w))]) for w in words)
+    signs = '{}[]()<>:;,."=+-*/_#&|'
+    name = lambda n: "".join("abcdefghijklmnopqrstuvwxyz0123456789_"[c] for c in r.integers(0, 37, n))
+    return " ".join(f"{name(len(w))}{signs[int(r.integers(len(signs)))]}{int(r.integers(10**4))}{signs[int(r.integers(len(signs)))]}" for w in words)
+
+
 class LanguageModel:
-    """Labels, a score row for each bucket, the bias, the temperature and the rejection threshold."""
+    """Labels, a score row for each bucket and class (the labels', then that of noise), the bias, the temperature and the rejection threshold."""
 
     def __init__(self, labels, rows, bias, temperature, threshold):
         self.labels, self.rows, self.bias, self.temperature, self.threshold = labels, rows, bias, temperature, threshold
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        out, count = np.zeros((n, len(self.labels))), np.zeros(n)
+        out, count = np.zeros((n, len(self.rows))), np.zeros(n)
         for k, x, off, _ in subwords(data, offsets, len(self.rows[0])):
             stop = np.maximum(off[1:] - k + 1, off[:-1])
-            for c in range(len(self.labels)):
+            for c in range(len(self.rows)):
                 s = np.zeros(len(x) + 1)
                 np.cumsum(self.rows[c][x], out=s[1:], dtype=np.float64)
                 lo, hi = np.minimum(off[:-1], len(x)), np.minimum(stop, len(x))
@@ -86,23 +115,39 @@ class LanguageModel:
 
     def predict(self, data, offsets) -> tuple[np.ndarray, np.ndarray]:
         """(index of the label, calibrated probability)."""
-        z = self.logits(data, offsets) / self.temperature
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        p = probabilities(self.logits(data, offsets), self.temperature)[:, : len(self.labels)]
         return p.argmax(1), p.max(1)
 
 
+def probabilities(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+    z = z / temperature
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def threshold_of(right: np.ndarray, wrong: np.ndarray, keep: float = KEEP, catch: float = CATCH) -> float:
+    """The score below which a text is rejected, from scores of texts to keep and of noise."""
+    if not len(right):
+        return 0.0
+    odds = lambda x: np.log(np.clip(x, 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(x, 1e-12, 1 - 1e-12))
+    hi = float(np.quantile(odds(right), 1 - keep, method="lower"))
+    lo = float(np.quantile(odds(wrong), catch, method="higher")) if len(wrong) else hi
+    return float(1 / (1 + np.exp(-(hi + min(lo, hi)) / 2)))
+
+
 def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCKETS, dim: int = DIM) -> LanguageModel | None:
     if not texts:
         return None
     labels = sorted(set(langs))
-    y = np.searchsorted(labels, langs)
-    data, off = text_bytes(pa.array(texts, pa.large_string()))
     r = np.random.default_rng(seed)
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    every = max(1, round(1 / NOISE))
+    made = [noise(t, k, r) for k, t in enumerate(texts[::every])]
+    y = np.concatenate([np.searchsorted(labels, langs), np.full(len(made), len(labels))])
+    data, off = text_bytes(pa.array(texts + made, pa.large_string()))
+    held = np.concatenate([np.arange(len(texts)) % 5 == 4, np.arange(len(made)) % 5 == 4]) if len(texts) >= 50 else np.zeros(len(y), bool)
     e = r.normal(0, 0.05, (buckets, dim)).astype(np.float32)
-    w = r.normal(0, 0.05, (dim, len(labels))).astype(np.float32)
-    bias = np.zeros(len(labels), np.float32)
+    w = r.normal(0, 0.05, (dim, len(labels) + 1)).astype(np.float32)
+    bias = np.zeros(len(labels) + 1, np.float32)
     # each text's buckets once, with their shares
     bags = []
     for i, j in slices(off, 1 << 17):
@@ -110,18 +155,16 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
         for k in range(j - i):
             u, c = np.unique(x[b[k] : b[k + 1]], return_counts=True)
             bags.append((u, (c / max(b[k + 1] - b[k], 1)).astype(np.float32)))
-    fit = np.flatnonzero(~held)
-    steps, done = EPOCHS * (len(fit) // BATCH + 1), 0
+    some = np.flatnonzero(~held)
+    steps, done = EPOCHS * (len(some) // BATCH + 1), 0
     for _ in range(EPOCHS):
-        order = r.permutation(fit)
+        order = r.permutation(some)
         for i in range(0, len(order), BATCH):
             rate = RATE * (1 - done / steps)
             done += 1
             rows = order[i : i + BATCH]
             mean = np.stack([share @ e[u] for u, share in (bags[k] for k in rows)])
-            z = mean @ w + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            p = probabilities(mean @ w + bias)
             p[np.arange(len(rows)), y[rows]] -= 1
             g = p / len(rows)
             back = g @ w.T
@@ -132,43 +175,40 @@ def train(texts: list[str], langs: list[str], seed: int = 1, buckets: int = BUCK
                 e[u] -= (20 * rate) * share[:, None] * step
     model = LanguageModel(labels, np.ascontiguousarray((e @ w).T), bias.astype(float), 1.0, 0.0)
     if held.any():
-        some = np.flatnonzero(held)
-        z = np.concatenate([model.logits(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]])) for k in some])
-
-        def loss(t):
-            q = z / t - (z / t).max(1, keepdims=True)
-            return float((np.log(np.exp(q).sum(1)) - q[np.arange(len(some)), y[some]]).mean())
-
-        model.temperature = min(np.geomspace(0.5, 4, 40), key=loss)
-        q = np.exp((z - z.max(1, keepdims=True)) / model.temperature)
-        q /= q.sum(1, keepdims=True)
-        right = q.argmax(1) == y[some]
-        if right.any():
-            model.threshold = float(min(np.quantile(q.max(1)[right], 1 - KEEP), REJECT_BELOW))
+        back = np.flatnonzero(held)
+        z = np.concatenate([model.logits(data[off[k] : off[k + 1]], np.array([0, off[k + 1] - off[k]])) for k in back])
+        loss = lambda t: -np.log(np.maximum(probabilities(z, t)[np.arange(len(back)), y[back]], 1e-12)).mean()
+        model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
+        p = probabilities(z, model.temperature)[:, : len(labels)]
+        model.threshold = threshold_of(p.max(1)[p.argmax(1) == y[back]], p.max(1)[y[back] == len(labels)])
     return model
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
     """Trains on at most ``sample`` rows with text and label, the first by hash of their ids."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    got = sample_rows(rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")), "i", sample).toArrow()
-    got = got.sort_by([("i", "ascending"), ("t", "ascending"), ("l", "ascending")]).slice(0, sample).to_pydict()
-    order = np.random.default_rng(7).permutation(len(got["t"]))  # ids may follow languages
-    got = {k: [got[k][j] for j in order] for k in ("t", "l")}
+    got = sample_rows(rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")), "i", sample, "t").to_pydict()
     model = train(got["t"], got["l"])
     del got
     trim()
     return model
 
 
+def outputs(docs: DataFrame) -> list[str]:
+    """The names that predict() gives its columns beside those of docs: language, score, rejected."""
+    return unused(docs.columns, "_lang", "_score", "_rejected", "_letter")[:3]
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs with ``_lang``, ``_score`` and ``_rejected``."""
+    """All rows and columns of docs with ``_lang``, ``_score`` and ``_rejected`` (where docs has such a name, see ``outputs``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["_lang string", "_score double", "_rejected boolean"])
+    lang_, score_, rejected_ = outputs(docs)
+    letter_ = unused(docs.columns, "_lang", "_score", "_rejected", "_letter")[3]
+    schema = with_fields(docs, (lang_, "string"), (score_, "double"), (rejected_, "boolean"))
     letter = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
 
     def step(batch):
-        m, has = shared.value, batch.column("_letter").to_numpy(zero_copy_only=False)
+        m, has = shared.value, batch.column(letter_).to_numpy(zero_copy_only=False)
         lang, score = np.full(len(has), UNKNOWN, object), np.where(has, 0.0, 1.0)
         reject = ~has
         if m is not None:
@@ -179,7 +219,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
                 lang[i:j] = np.where(ok, np.array(m.labels, object)[k], lang[i:j])
                 score[i:j] = np.where(ok, p, score[i:j])
                 reject[i:j] |= p < m.threshold
-        cols = {n: batch.column(n) for n in batch.schema.names if n != "_letter"}
-        return pa.RecordBatch.from_pydict(cols | {"_lang": pa.array(lang.tolist(), pa.string()), "_score": pa.array(score), "_rejected": pa.array(reject)})
+        cols = {n: batch.column(n) for n in batch.schema.names if n != letter_}
+        return pa.RecordBatch.from_pydict(cols | {lang_: pa.array(lang.tolist(), pa.string()), score_: pa.array(score), rejected_: pa.array(reject)})
 
-    return map_arrow(docs.withColumn("_letter", letter), step, schema)
+    return map_arrow(docs.withColumn(letter_, letter), step, schema, text_col)
