@@ -7,7 +7,8 @@ on which a logistic scorer over hashed words and word shapes is trained by stoch
 every whole text; a text is kept if its score is KEEP or more.
 
 No true label is read.  Defined cases: null or empty text, or text without words, is bad on every labeller that judges it and scores as the
-bias alone; an empty table gives an empty result; rows of one id are answered each.
+bias alone; an empty table gives an empty result; rows of one id, or without one, are answered each (and count in the labellers' statistics; the
+scorer is trained on rows with an id, one of each).
 """
 
 from __future__ import annotations
@@ -39,7 +40,14 @@ _STOP = _lut(".,;:?")
 _BANG = _lut("!")
 _NOT_LINE = np.ones(256, bool)
 _NOT_LINE[[10, 13]] = False
-NAMES = ("symbols", "capitals", "bare_words", "shouting", "digits", "short_words", "sentences", "repeated_lines", "length")
+NAMES = ("symbols", "capitals", "bare_words", "shouting", "digits", "short_words", "sentences", "repeated_lines", "length", "lone_signs", "repeated_words")
+
+
+def _again(w: Words) -> np.ndarray:
+    """Words that are the same as the one before in their text."""
+    out = np.zeros(len(w.h), bool)
+    out[1:] = (w.h[1:] == w.h[:-1]) & (w.text[1:] == w.text[:-1])
+    return out
 
 
 def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -78,6 +86,11 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     repeated = 1 - counts_between(new, lines.bounds) / np.maximum(total, 1)
     vote(7, (total >= 4) & (repeated > 0.4), (total >= 4) & (repeated < 0.1))
     vote(8, words < 3, words >= 50)
+    spelled = np.concatenate([[0], np.cumsum((_LETTER | _DIGIT)[data])])
+    lone = counts_between(spelled[w.end] == spelled[w.start], w.bounds) / at_least
+    vote(9, lone > 0.1, lone < 0.02)
+    again = counts_between(_again(w), w.bounds) / at_least
+    vote(10, again > 0.2, again < 0.05)
     return out
 
 
@@ -113,7 +126,7 @@ _SHAPE[_BANG] = 6
 
 
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all words and of their shapes, the words' bounds)."""
+    """(buckets of all words, of their shapes, and of whether they repeat the word before; the words' bounds)."""
     w = Words(data, offsets, lower=False)
     shapes = Words(_SHAPE[data] + 64, offsets, hashes=False)
     shapes.start, shapes.end, shapes.bounds = w.start, w.end, w.bounds
@@ -124,8 +137,8 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> t
         shape = mix(sum(k << U(8 * i) for i, k in enumerate(kinds)) + (np.minimum(e - s, 12).astype(U) << U(40)))
     else:
         shape = np.zeros(0, U)
-    both = np.stack([w.h & U(buckets // 2 - 1), (shape & U(buckets // 2 - 1)) + U(buckets // 2)], 1).astype(np.int64)
-    return both, w.bounds
+    half = U(buckets // 2)
+    return np.stack([w.h & (half - U(1)), (shape & (half - U(1))) + half, U(buckets - 2) + _again(w).astype(U)], 1).astype(np.int64), w.bounds
 
 
 class Scorer:
@@ -153,14 +166,14 @@ def train(texts: list[str], targets: np.ndarray, seed: int = 3, buckets: int = B
             of = np.repeat(np.arange(len(rows)), n)
             z = np.bincount(of, weights=w[ids].sum(1), minlength=len(rows)) / np.maximum(n, 1) + bias
             g = (targets[rows] - 1 / (1 + np.exp(-np.clip(z, -500, 500)))) / max(len(rows), 1)
-            np.add.at(w, ids.ravel(), np.repeat(rate * g[of] / n[of], 2))
+            np.add.at(w, ids.ravel(), np.repeat(rate * g[of] / n[of], x.shape[1]))
             bias += 0.05 * rate * g.sum()
     return Scorer(w, bias)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """(id, pattern, posterior, score, keep) for each row with an id."""
-    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    """(id, pattern, posterior, score, keep) for each row."""
+    docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
 
     def vote(batch):
         data, off = text_bytes(batch.column("t"))
@@ -173,8 +186,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     order = np.argsort(p)
     p, n = p[order], n[order]
     good, _, _ = posterior(p, n) if len(p) else (np.zeros(0), 0.5, None)
-    picked = sample_rows(docs, "i", sample).toArrow().sort_by([("i", "ascending"), ("t", "ascending")]).slice(0, sample)
-    texts = [t or "" for t in picked.column("t").to_pylist()]
+    texts = [t or "" for t in sample_rows(docs, "i", sample, "t").column("t").to_pylist()]
     if texts:
         d, o = text_bytes(pa.array(texts, pa.large_string()))
         scorer = train(texts, good[np.searchsorted(p, pattern(votes(d, o)))])
