@@ -6,11 +6,10 @@ with an L2 penalty, in numpy, on at most ``SAMPLE`` labelled texts taken by hash
 them and whose share in graded texts differs from that in clean ones by MIN_Z standard errors, at most FEATURES of them.  Expected
 severity is the sum of P(grade > k); a text is toxic if P(grade > 0) >= CUT.  All texts are scored whole.
 
-Labels of 0 and 1 only are graded first (``grade_labels``): texts labelled 1 that hold more of the selected words that favour label 1 than half of
-the others get grade 2.
+The grades are those of the labels: labels of 0 and 1 give one threshold, grades 0..K-1 give K-1 of them.
 
 Defined cases: null or empty text has no features and gets the prior; no labelled text at all gives severity 0 to all; a text labelled more
-than once takes the highest grade; labels of texts that don't exist are ignored; rows of one id are answered each.
+than once takes the highest grade; labels of texts that don't exist are ignored; rows of one id, or without one, are answered each.
 """
 
 from __future__ import annotations
@@ -20,19 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow
+from .shared import cut, drop, map_arrow
 from .wordcode import ALNUM, U, Words, i64, slices, text_bytes, u64
 
 SAMPLE, MIN_Z, FEATURES = 8000, 3.5, 4096
 PENALTY, STEPS, RATE, CUT = 0.02, 600, 0.3, 0.3
 MIN_TEXTS = 4
-
-
-def grade_labels(labels: np.ndarray, text: np.ndarray, word: np.ndarray, favours: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 from labels 0 and 1 and the (text, word) places of a 0/1 matrix."""
-    held = np.bincount(text[favours[word]], minlength=len(labels))
-    yes = labels > 0
-    return np.where(yes, 1 + (held > np.median(held[yes])), 0) if yes.any() else labels
+#: distinct words of the sample's texts that reach the driver
+WORDS = 4_000_000
 
 
 class OrdinalModel:
@@ -90,7 +84,10 @@ def fit_ordinal(text: np.ndarray, word: np.ndarray, grades: np.ndarray, words: i
 
 
 def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE) -> OrdinalModel:
-    """Trains on at most ``sample`` graded texts, the first by hash of their ids."""
+    """Trains on at most ``sample`` graded texts, the first by hash of their ids: one row of each id, the least by hash of its text.
+
+    Of each text its distinct words reach the driver as hashes, of the first texts that hold WORDS of them together.
+    """
     none = OrdinalModel(np.zeros(0, U), np.zeros(0), np.zeros(0))
     picked = grades.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(grade_col).cast("int").alias("g"))
     picked = picked.orderBy(F.xxhash64("i"), "i").limit(sample).toArrow()
@@ -109,9 +106,13 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
         return pa.record_batch({"i": pa.array(i[at]), "h": pa.array([np.unique(w.h[a:b]).view(np.int64) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)], pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
-    got = map_arrow(rows, step, "i long, h array<long>").toArrow().combine_chunks()
-    if not got.num_rows:
+    found = cut(map_arrow(rows, step, "i long, h array<long>", "t").groupBy("i").agg(F.min("h").alias("h")))
+    sizes = found.select("i", F.size("h").alias("n")).toArrow().sort_by("i")
+    if not sizes.num_rows:
         return none
+    held = sizes.column("i").to_numpy()[: max(1, int((np.cumsum(sizes.column("n").to_numpy()) <= WORDS).sum()))]
+    got = found.where(F.col("i").isin(held.tolist())).toArrow().sort_by("i").combine_chunks()
+    drop(found)
     g = dict(zip(picked.column("i").to_pylist(), picked.column("g").to_pylist(), strict=True))
     y = np.array([g[i] for i in got.column("i").to_pylist()])
     lists = got.column("h").combine_chunks()
@@ -127,14 +128,12 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
     place = np.full(len(u), -1)
     place[use] = np.arange(len(use))
     ok = place[inv] >= 0
-    if y.max(initial=0) == 1:
-        y = grade_labels(y, text[ok], place[inv][ok], (a / na > b / nb)[use])
     weights, thresholds = fit_ordinal(text[ok], place[inv][ok], y, len(use))
     return OrdinalModel(u[use], weights, thresholds)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """(id, severity, grade, toxic) for each row with an id; grade: the likeliest."""
+    """(id, severity, grade, toxic) for each row; grade: the likeliest."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch):
@@ -145,5 +144,5 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         each = -np.diff(np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1), axis=1)
         return pa.record_batch({id_col: batch.column("i"), "severity": pa.array(p.sum(1)), "grade": pa.array(each.argmax(1).astype(np.int32)), "toxic": pa.array(p[:, 0] >= cut if p.shape[1] else np.zeros(n, bool))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     return map_arrow(rows, step, f"`{id_col}` long, severity double, grade int, toxic boolean")
