@@ -7,21 +7,25 @@ substring, postings by value.  By pigeonhole a code within r agrees with the que
 within that distance are probed, the whole codes are compared, and every code within r is reranked by the float vectors in double precision.
 The tasks' best are merged for each query by a grouped top-k.
 
-Queries go to the workers in blocks of ``QUERY_BLOCK``; each block is one pass.  Equal vectors of a hot value stay rows of their own task, of
-which each hands on k at most, so no task gathers them.
-Defined cases: vectors that are null, empty, zero, of another length than the first valid one's, or hold null or non-finite components take no
-part, neither as query nor as candidate; a query's own id is never its neighbour; ties go to the smaller id; fewer candidates than k give fewer
-rows; an empty table gives none; ids are taken as distinct.
+Queries go to the workers in blocks of ``QUERY_BLOCK``; each block is one pass whose results are written to the shared folder, so the plan doesn't
+grow with the queries and a lost executor costs one pass at most.  Equal vectors of a hot value stay rows of their own task, of which each hands
+on k at most, so no task gathers them.
+Defined cases: vectors that are null, empty, zero, of another length than the commonest of all in the table (the shorter one, if two
+are as common), or hold null or non-finite components take no part, neither as query nor as candidate, nor do rows without an id; rows of one id are
+one candidate and one query, and their distance is the smallest of any two of their vectors; a query's own id is never its neighbour;
+ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare, sample_rows
+from .shared import folder, prepare, sample_rows
 
 BITS, PART, SAMPLE, SHARE, LEAST = 256, 8, 4096, 0.06, 200
 QUERY_BLOCK = 4096
@@ -31,21 +35,19 @@ K = 10
 _POP = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
-def vectors(col) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the valid vectors, their components as doubles); all of the commonest valid length in a batch are taken."""
+def vectors(col, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the valid vectors of this length, their components as doubles)."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    n = len(col)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
+    none = np.zeros(0, np.int64), np.zeros((0, width))
+    if not len(col):
+        return none
     off = col.offsets.to_numpy()
     size = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, np.diff(off))
-    flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    ok = size > 0
-    if not ok.any():
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    width = np.bincount(size[ok]).argmax()
     at = np.flatnonzero(size == width)
+    if not len(at):
+        return none
+    flat = col.values.to_numpy(zero_copy_only=False).astype(np.float64)
     x = flat[off[:-1][at][:, None] + np.arange(width)]
     good = np.isfinite(x).all(1) & (x != 0).any(1)
     return at[good], x[good]
@@ -124,6 +126,12 @@ class Index:
         return at[np.bitwise_count(self.long[at] ^ own).sum(1, dtype=np.int64) <= radius]
 
 
+def _first(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest different ids, nearest first, ties to the smaller id."""
+    o = np.lexsort((ids, d))
+    return o[np.sort(np.unique(ids[o], return_index=True)[1])[:k]]
+
+
 def _best(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids, q, q_codes, radii, k: int):
     """(query, id, score) of each query's k best in a chunk."""
     index, out = Index(codes), []
@@ -132,14 +140,26 @@ def _best(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids, q, q_codes,
         at = at[ids[at] != q_ids[i]]
         if len(at):
             d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-            if len(at) > 4 * k:
-                near = d <= np.partition(d, k - 1)[k - 1]
-                at, d = at[near], d[near]
-            o = np.lexsort((ids[at], d))[:k]
+            near = np.flatnonzero(d <= np.partition(d, 4 * k - 1)[4 * k - 1]) if len(at) > 4 * k else np.arange(len(at))
+            o = near[_first(ids[at[near]], d[near], k)]
+            if len(o) < k and len(near) < len(at):  # repeated ids
+                o = _first(ids[at], d, k)
             out.append((np.full(len(o), q_ids[i]), ids[at[o]], d[o]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
+def _merged(both: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k best of (query, id, score), one row for each pair of ids."""
+    o = np.lexsort((both[2], both[1], both[0]))
+    both = [c[o] for c in both]
+    new = np.ones(len(o), bool)
+    new[1:] = (both[0][1:] != both[0][:-1]) | (both[1][1:] != both[1][:-1])
+    both = [c[new] for c in both]
+    o = np.lexsort((both[1], both[2], both[0]))
+    both = [c[o] for c in both]
+    return [c[np.arange(len(o)) - np.searchsorted(both[0], both[0]) < k] for c in both]
+
+
 def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest found of each query, nearest first."""
     spark = table.sparkSession
@@ -147,18 +167,23 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("i is not null and size(v) > 0")
     table, queries = pick(table), pick(queries)
     schema = f"query_id long, `{id_col}` long, score double"
-    _, x = vectors(sample_rows(table, "i", sample).toArrow().sort_by("i").slice(0, sample).column("v"))
+    none = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    common = table.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if common is None:
+        return none
+    dim = common.d
+    table, queries = table.where(F.size("v") == dim), queries.where(F.size("v") == dim)
+    _, x = vectors(sample_rows(table, "i", sample).column("v"), dim)
     if not len(x):
-        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+        return none
     coder = Coder(x)
     wide = spark.sparkContext.broadcast(coder)
-    found = None
 
     def blocks():
         ids, vecs = [], []
         for r in queries.toLocalIterator():
             v = np.array([np.nan if y is None else y for y in r.v])
-            if len(v) == coder.dim and np.isfinite(v).all() and v.any():
+            if np.isfinite(v).all() and v.any():
                 ids.append(r.i)
                 vecs.append(v)
             if len(ids) == QUERY_BLOCK:
@@ -167,6 +192,8 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
         if ids:
             yield np.array(ids), np.array(vecs)
 
+    found = f"{folder(spark)}/cloudgrid-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(found)
     for q_ids, q in blocks():
         codes = coder.code(q)
         block = spark.sparkContext.broadcast((q_ids, q, codes, coder.radius(codes, share)))
@@ -181,15 +208,11 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
                 got = _best(ids, x, wide.value.code(x), *block.value, k)
                 if got is None:
                     return best
-                both = got if best is None else [np.concatenate(c) for c in zip(best, got, strict=True)]
-                o = np.lexsort((both[1], both[2], both[0]))
-                both = [c[o] for c in both]
-                first = np.searchsorted(both[0], both[0])
-                return [c[np.arange(len(o)) - first < k] for c in both]
+                return _merged(got if best is None else [np.concatenate(c) for c in zip(best, got, strict=True)], k)
 
             for b in batches:
-                at, x = vectors(b.column("v"))
-                if len(at) and x.shape[1] == wide.value.dim:
+                at, x = vectors(b.column("v"), dim)
+                if len(at):
                     held.append((b.column("i").to_numpy(zero_copy_only=False)[at], x))
                 if sum(len(i) for i, _ in held) >= ROWS:
                     best = work(best)
@@ -198,14 +221,11 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
             if best is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", id_col, "score"])
 
-        part = table.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+        table.mapInArrow(run, schema).write.mode("append").parquet(found)
+        block.destroy()
 
     def top(key, t):
-        o = np.lexsort((t.column(id_col).to_numpy(), t.column("score").to_numpy()))[:k]
-        t = t.take(pa.array(o))
-        return pa.table({"query_id": t.column("query_id"), "rank": pa.array(np.arange(1, len(o) + 1, dtype=np.int32)), id_col: t.column(id_col), "score": t.column("score")})
+        q, i, d = _merged([t.column(c).to_numpy() for c in ("query_id", id_col, "score")], k)
+        return pa.table({"query_id": pa.array(q), "rank": pa.array(np.arange(1, len(q) + 1, dtype=np.int32)), id_col: pa.array(i), "score": pa.array(d)})
 
-    return found.groupBy("query_id").applyInArrow(top, f"query_id long, rank int, `{id_col}` long, score double")
+    return spark.read.schema(schema).parquet(found).groupBy("query_id").applyInArrow(top, f"query_id long, rank int, `{id_col}` long, score double")
