@@ -1,16 +1,23 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a DOM tree in one pass (void elements, implied end tags, raw-text elements, broken markup).  Elements that are no part of an
-article by their nature (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out with
-all they hold.  Every other node has a density: its characters per tag, adjusted by its share of link characters and link tags.
-A node's density sum adds up its children's; the node of the largest sum is the core of the text.  The least density on the path from it
-to the body is the threshold: what stands beside that path and reaches it belongs to the text too, if less than half of it is links.  An
-article element is a weight only: within one, an eighth of the threshold is enough, and running text (paragraphs, headings) needs none.  From
-all that is chosen, blocks that are half links or more and stay below the threshold are left out, but for headings.
+A page becomes a DOM tree in one pass (void elements, implied end tags, raw-text elements, broken markup).  What is shown to nobody as text
+(scripts, styles, forms, hidden elements) is left out with all it holds, and so are blocks that no density can tell from an article, as they
+are plain text too: footers, page headers, side bars, notices, adverts, reader comments.  They are told by element, role or a class or id that names
+nothing else, and only where they hold no article, main or h1 element.
+
+Every other node has a density: its characters per tag, adjusted by its share of link characters and link tags.  A node's density sum adds up
+its children's; the node of the largest sum is the core of the text.  The least density on the path from it to the body is the threshold.  Of what
+stands beside that path (menus, lists of links, teasers and further parts of the text) these belong to the text, if less than half of them is links:
+
+* within an article element, what reaches an eighth of the threshold, and running text (paragraphs, headings) at any density;
+* elsewhere, what reaches the threshold and holds a ``LEAST`` of the core's characters, and first and second headings before the core;
+* of a path node's own words, runs of ``WORDS`` or more, with the inline elements beside them.
+
+From all that is chosen, blocks that are half links or more and stay below the threshold are left out, but for headings.
 
 Text: character references decoded, white space (also between inline parts) one space within a block, blocks in page order joined by one
 space.  Defined cases: null or empty html, or a page of nothing but boilerplate, gives an empty text; ties go to the earlier node; nesting
-may be of any depth; pages of one id are answered each.
+may be of any depth; pages of one id, or without one, are answered each.
 """
 
 from __future__ import annotations
@@ -22,20 +29,28 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import map_arrow
+from .shared import map_arrow, unused, with_fields
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_VALUES = re.compile(r"""(?<!aria-hidden)\s*=\s*(?:"[^"]*"|'[^']*')""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript template iframe svg canvas object embed nav header footer aside form button select option textarea input dialog menu title audio video map applet".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist disqus consent cookie cookies copyright cta disclaimer footer form gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
+#: never text that is read
+UNSEEN = frozenset("head script style noscript template iframe svg canvas object embed form button select option textarea input dialog title audio video map applet".split())
+#: text, but by its element, role or name not the article's
+ASIDE = frozenset("header footer aside".split())
+ASIDE_ROLES = frozenset("banner contentinfo complementary search dialog alert alertdialog toolbar form".split())
+ASIDE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner comment comments commentlist disqus consent cookie cookies copyright cta disclaimer footer form gdpr header login masthead modal newsletter notice notices popup promo promoted promotion replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: parts of names that say where or how, not what
+NEUTRAL = frozenset("area bar block bottom box container footer global group header inner item items left list main message outer page panel post reader right section site text top user wrap wrapper".split())
 KEPT = frozenset(("html", "body", "article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The share of the core's characters that a block beside the path needs outside article elements, and the words of a path node's own text.
+LEAST, WORDS = 0.1, 8
 #: The share of the threshold that nodes within an article element must reach.
 ARTICLE = 1 / 8
 #: Elements of running text: within an article they need not reach it, as a short sentence never would.
@@ -47,29 +62,37 @@ _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 _WALLS = frozenset(("table", "td", "th", "body", "html", "article", "section", "div", "blockquote"))
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _named(value: str) -> bool:
+    """Whether a class or id names boilerplate: one of its words does, whole or beside parts that say nothing else."""
+    for word in value.split():
+        parts = [x for x in re.split(r"[_\-]+", word) if x]
+        if not ASIDE_NAMES.isdisjoint(parts) and all(x in ASIDE_NAMES or x in NEUTRAL or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+def _kind(tag: str, attrs: str) -> int:
+    """0: text, 1: beside the article if it holds none, 2: not seen."""
+    if tag in UNSEEN:
+        return 2
+    kind = int(tag in ASIDE)
     if not attrs or tag in KEPT:
-        return False
+        return kind
     for name, a, b, c in _ATTR.findall(attrs):
         value, name = (a or b or c).lower(), name.lower()
-        if name == "role":
-            if value in DROPPED_ROLES:
-                return True
-        elif name == "style":
+        if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        elif not DROPPED_NAMES.isdisjoint(re.split(r"[\s_\-]+", value)):
-            return True
-    return bool(_HIDDEN.search(attrs))
+                return 2
+        elif value in ASIDE_ROLES if name == "role" else tag not in HEADINGS and _named(value):
+            kind = 1
+    return 2 if _HIDDEN.search(_VALUES.sub("", attrs)) else kind
 
 
 class Page:
     """The kept nodes of a page in document order, and what stands in them."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.events = ["#root"], [-1], []
+        self.tag, self.parent, self.aside, self.events = ["#root"], [-1], [False], []
         stack = [(0, "#root", True)]  # (node, tag, kept)
         at, n = 0, len(source)
         while at < n:
@@ -88,11 +111,13 @@ class Page:
                 self._close(stack, tag)
                 continue
             self._imply(stack, tag)
-            kept = stack[-1][2] and not _boilerplate(tag, attrs)
+            kind = _kind(tag, attrs)
+            kept = stack[-1][2] and kind < 2
             node = stack[-1][0]
             if kept:
                 self.tag.append(tag)
                 self.parent.append(node)
+                self.aside.append(kind == 1)
                 node = len(self.tag) - 1
                 self.events.append((node, None))
             if tag in RAW:
@@ -100,6 +125,17 @@ class Page:
                 at = end.end() if end else n
             elif tag not in VOID and not attrs.endswith("/") or tag in ("p", "div", "span", "a", "b", "i"):
                 stack.append((node, tag, kept))
+        self._leave_out_asides()
+
+    def _leave_out_asides(self):
+        """Marks what lies in boilerplate; an element that holds an article, main or h1 element is none."""
+        n = len(self.tag)
+        holds = [t in ("article", "main", "h1") for t in self.tag]
+        for i in range(n - 1, 0, -1):
+            holds[self.parent[i]] |= holds[i]
+        for i in range(1, n):
+            self.aside[i] = self.aside[self.parent[i]] or self.aside[i] and not holds[i]
+        self.events = [(i, t) for i, t in self.events if not (self.aside[i] and isinstance(t, str))]
 
     def _close(self, stack, tag):
         for k in range(len(stack) - 1, 0, -1):
@@ -159,15 +195,15 @@ class Page:
             total[self.parent[i]] += density[i]
         return density, total, links, chars
 
-    def content(self) -> list[bool]:
-        """Which nodes make up the article."""
+    def content(self) -> tuple[list[bool], set[int]]:
+        """(which nodes make up the article, path nodes of whose own words the long runs do)."""
         density, total, links, chars = self.measure()
         n = len(self.tag)
         if n == 1 or not chars[0]:
-            return [chars[0] > 0] * n
+            return [chars[0] > 0] * n, set()
         core = max(range(n), key=lambda i: (total[i], -i))
         if not total[core]:
-            return [True] * n
+            return [True] * n, set()
         path = [core]
         while path[-1]:
             path.append(self.parent[path[-1]])
@@ -175,14 +211,21 @@ class Page:
         path = path[: body + 1]
         least = min((density[i] for i in path if i), default=0.0)
         on, out = set(path), {core}
+        own = {node for node, t in self.events if node in on and node != core and isinstance(t, str) and len(t.split()) >= WORDS}
         article = [False] * n
         for i in range(1, n):
             article[i] = article[self.parent[i]] or self.tag[i] == "article"
-            if i not in on and self.parent[i] in on and self.parent[i] != core and links[i] * 2 < chars[i]:
-                if density[i] >= least * (ARTICLE if article[i] else 1) or article[i] and self.tag[i] in PROSE:
-                    out.add(i)
-        # a node on the path that has sentences of its own is content
-        return self._pruned(out | {node for node, t in self.events if node in on and isinstance(t, str) and len(t.split()) >= 8}, on, [density[i] < least and links[i] * 2 >= chars[i] > 0 for i in range(n)])
+            if i in on or self.parent[i] not in on or self.parent[i] == core or links[i] * 2 >= chars[i]:
+                continue
+            if article[i]:
+                chosen = density[i] >= least * ARTICLE or self.tag[i] in PROSE
+            elif self.tag[i] in INLINE:
+                chosen = self.parent[i] in own
+            else:
+                chosen = density[i] >= least and chars[i] >= LEAST * chars[core] or self.tag[i] in ("h1", "h2") and i < core
+            if chosen:
+                out.add(i)
+        return self._pruned(out, on, [density[i] < least and links[i] * 2 >= chars[i] > 0 for i in range(n)]), own
 
     def _pruned(self, roots: set[int], on: set[int], low: list[bool]) -> list[bool]:
         """Which nodes are kept: the roots with all they hold, but for blocks of links below the threshold; headings stay."""
@@ -193,14 +236,14 @@ class Page:
         return keep
 
     def text(self) -> str:
-        keep = self.content()
+        keep, own = self.content()
         parts = []
         for node, text in self.events:
             if text is None or isinstance(text, int):
                 i = node if text is None else text
                 if self.tag[i] not in INLINE:
                     parts.append(" ")
-            elif keep[node]:
+            elif keep[node] or node in own and len(text.split()) >= WORDS:
                 parts.append(text)
         return " ".join("".join(parts).split())
 
@@ -210,11 +253,11 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """All rows and columns of pages with ``_text``."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields] + ["_text string"])
+    """All rows and columns of pages with ``_text`` (with more underscores, where pages has that name), the last column."""
+    name = unused(pages.columns, "_text")[0]
 
     def step(batch):
         found = [main_text(x) for x in batch.column(html_col).to_pylist()]
-        return pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | {"_text": pa.array(found, pa.string())})
+        return pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | {name: pa.array(found, pa.string())})
 
-    return map_arrow(pages, step, schema)
+    return map_arrow(pages, step, with_fields(pages, (name, "string")), html_col)
