@@ -38,6 +38,37 @@ def test_stages(spark, tmp_path):
     assert "pipeline" in entry.queries()
 
 
+ODD = "_lang _score _rejected _letter _own _times _text _id _n_words _n_hit _items _longest _matches _row _size _h c i t s b h n sig class node root owner label side kept_text component_id".split()
+
+
+def test_stages_take_clashing_names_nulls_and_repeated_ids(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"the{r.randrange(200)}ing" for _ in range(n))
+    rows = [(i, text(60), "en") for i in range(1, 61)]
+    rows += [(1, rows[0][1], "en"), (2, text(60), "en"), (None, text(60), "en"), (None, rows[2][1], None), (70, None, "en"), (71, "", None)]
+    odd = [f"{n} string" for n in ODD]
+    docs = spark.createDataFrame([(*x, "s", 0, *ODD) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(odd))
+    bench = spark.createDataFrame([(1, text(20))], "item_id long, text string")
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/odd"
+    bench.write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    sizes = []
+    for k, (name, stage) in enumerate(cp.STAGES):
+        new = stage(spark, docs, folder)
+        new.write.mode("overwrite").parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k < 4:
+            assert docs.columns == new.columns and docs.columns[5:] == ODD, name
+            assert docs.select(*ODD).distinct().count() == 1
+        sizes.append(docs.count())
+    assert sizes[0] == 64 and sizes[1] == 62  # without text; the second rows of 1 and 2
+    again = {k: spark.read.parquet(f"{folder}/1").where(f"doc_id = {k}").count() for k in (1, 2)}
+    assert again == {1: 1, 2: 1} and spark.read.parquet(f"{folder}/1").where("doc_id is null").count() == 2
+    empty = docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        out = stage(spark, empty, folder)
+        assert out.count() == 0, name
+
+
 def test_near_copies_of_four_fifths_go(spark):
     r = random.Random(8)
     text = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
