@@ -5,7 +5,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudgrid.llm import decontaminate, jaccard, langid, packing, registry, shared, substring
@@ -20,36 +22,51 @@ def _columns(docs: DataFrame) -> list:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: those without a letter, and those that the calibrated classifier can't tell."""
+    """Rejected documents go: those without a letter (null and empty ones too), and those that the calibrated classifier takes for noise.
+
+    Repeated rows, and rows without an id, are judged each by their text.
+    """
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model)
-    return found.where(~F.col("_rejected")).select(*_columns(docs))
+    rejected = langid.outputs(docs)[2]
+    return langid.predict(docs, model).where(~F.col(rejected)).select(*_columns(docs))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more) stays, that of the smallest id."""
-    groups = jaccard.link_groups(docs.select("doc_id", "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT, spare=8)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*_columns(docs))
+    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more) stays, that of the smallest id.
+
+    Documents without a word link with nothing and stay, each id once.  Of several rows of an id that stays, the first in the order of all columns does.
+    Rows without an id stay: none of them could be the one of the smallest id.
+    """
+    groups = jaccard.link_groups(docs.select("doc_id", "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    own, times = shared.unused(docs.columns, "_own", "_times")
+    keep = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(times), F.min("component_id").alias("c")).where(F.col("c") == F.col(own)).drop("c")
+    kept = docs.join(keep, F.col("doc_id") == F.col(own))
+    first = Window.partitionBy("doc_id").orderBy(*_columns(docs))
+    several = kept.where(F.col(times) > 1).withColumn(times, F.row_number().over(first)).where(F.col(times) == 1)
+    parts = [kept.where(F.col(times) == 1), several, docs.where("doc_id is null")]
+    return reduce(DataFrame.unionAll, [p.select(*_columns(docs)) for p in parts])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; a document that loses none keeps its text as it is, and one that loses all goes."""
-    found = substring.remove_repeats(docs.select("doc_id", "text"), keep_text=True).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_text"))
-    text = F.coalesce("_text", "text")
-    changed = F.col("_id").isNotNull()
-    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left").where(~changed | (F.col("_text") != "")).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    """Words of repeated passages go; a document that loses none keeps its text as it is, and one that loses all goes.
+
+    Rows without an id, with null text or with too few words lose nothing and stay.  Ids are unique here, but for rows without one.
+    """
+    own, text = shared.unused(docs.columns, "_own", "_text")
+    found = substring.remove_repeats(docs.select("doc_id", "text"), keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias(own), F.col("kept_text").alias(text))
+    changed = F.col(own).isNotNull()
+    new = {"text": F.when(changed, F.col(text)).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
+    both = docs.join(found, F.col("doc_id") == F.col(own), "left").where(~changed | (F.col(text) != ""))
+    return both.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; rows without an id or text are judged by their words, and an empty benchmark keeps all."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences; null text is the end id alone, and rows without an id are packed too."""
     return packing.pack(docs.select("doc_id", "text"), registry.tokenizer_path())
 
 
