@@ -35,7 +35,7 @@ WIDTH, PERCENT = 3, 90
 #: spare segments, in per cent of the differences, besides three; how often sets of few shingles a segment are dealt
 SPARE, SEEDS = 8, 6
 #: nodes of a block in verification, and bytes of their sets
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 256, 32 << 20
 #: a class of more than one of so many rows is hot
 HOT = 1024
 #: 64-bit words of the long sketch in verification
