@@ -9,18 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     at = getattr(spark, "_cloudgrid_folder", None)
     if not at:
         at = spark._cloudgrid_folder = "file://" + tempfile.mkdtemp(prefix="cloudgrid-")
     return at
 
 
+def fresh(spark: SparkSession, kind: str) -> str:
+    """A new folder's name in the shared one."""
+    return f"{folder(spark)}/{kind}-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows and reads them again; lost executors lose nothing, and later steps plan from a table."""
     spark = df.sparkSession
-    at = f"{folder(spark)}/settled-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    at = fresh(spark, "settled")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

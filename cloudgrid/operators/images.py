@@ -7,16 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .points import grid
-
-#: the 4x4 low-pass kernel of the pyramid is the product of these by themselves, over 64
-TAPS = (1, 3, 3, 1)
-
-
-def _row(n: int, back: bool = False):
-    w = Window.partitionBy("y").orderBy("x")
-    return w.rowsBetween(-n, -1) if back else w.rowsBetween(1, n)
-
 
 def shifted(image: DataFrame, deltas: list[tuple[int, int]], cols: tuple[str, ...] = ("v",)) -> DataFrame:
     """Every pixel handed to the pixels at these offsets from it: (y, x, dy, dx, cols), dy and dx being the source's place seen from the target."""
@@ -205,7 +195,3 @@ def align(first: DataFrame, second: DataFrame, width: int, height: int, step: in
     # the flip turns pixel i into pitch - 1 - i: without a shift the peak lies one before the origin
     move = lambda k: F.pmod(F.col(k) + 1 + pitch // 2, F.lit(pitch)) - pitch // 2
     return p.select("qy", "qx", move("dx").cast("int").alias("dx"), move("dy").cast("int").alias("dy"), "peak")
-
-
-def blank(spark, width: int, height: int) -> DataFrame:
-    return grid(spark, height, width).withColumn("v", F.lit(0.0))

@@ -97,6 +97,12 @@ def numbered(tris: DataFrame) -> DataFrame:
     return tris.withColumn("r", r).join(start, "z").select((F.col("s") + F.col("r") - 1).alias("tid"), "x", "y", "z", "k", "t", "a", "b", "c")
 
 
+def vertex_colors(verts: DataFrame) -> DataFrame:
+    """(vid, r, g, b, u, v): colour (1, h, h^2) by the height's share of the greatest, and texture coordinates (x, 1 - y)."""
+    h = verts.crossJoin(F.broadcast(verts.agg(F.max("z").alias("_h")))).withColumn("_h", F.col("z") / F.col("_h"))
+    return h.select("vid", F.lit(1.0).alias("r"), F.col("_h").alias("g"), (F.col("_h") * F.col("_h")).alias("b"), F.col("x").alias("u"), (1.0 - F.col("y")).alias("v"))
+
+
 def slots(tris: DataFrame, adjacency: str = "last") -> DataFrame:
     """(vid, k, t, tid): the triangle in each slot of a vertex; 'full' keeps all."""
     v = tris.select("tid", "k", "t", F.explode(F.array("a", "b", "c")).alias("vid"))
@@ -252,6 +258,9 @@ def sphere_mesh(spark: SparkSession, rings: int = 16, sectors: int = 32) -> Data
     return n.select("i", "j", (F.sin(th) * F.cos(ph)).alias("x"), (F.sin(th) * F.sin(ph)).alias("y"), F.cos(th).alias("z"))
 
 
+_FACES = np.array(list(itertools.combinations(range(4), 3)))
+
+
 def tetrahedra(points: np.ndarray) -> np.ndarray:
     """I8: Delaunay tetrahedra of points by insertion: those whose sphere holds a new point give way to a fan on their hull."""
     n = len(points)
@@ -261,31 +270,41 @@ def tetrahedra(points: np.ndarray) -> np.ndarray:
     far = mid + 50 * span * np.array([[1, 1, 1], [-1, -1, 1], [-1, 1, -1], [1, -1, -1]], float)
     p = np.concatenate([points, far])
 
-    def sphere(t):
-        a = p[t[0]]
-        m = 2 * (p[list(t[1:])] - a)
-        if abs(np.linalg.det(m)) < 1e-12:
-            return None
-        c = np.linalg.solve(m, (p[list(t[1:])] ** 2).sum(1) - (a**2).sum())
-        return c, ((c - a) ** 2).sum()
-
-    tets = {tuple(range(n, n + 4)): sphere(tuple(range(n, n + 4)))}
+    def spheres(t):
+        """(which are no flat ones, their centres, their squared radii)."""
+        a = p[t[:, 0]]
+        m = 2 * (p[t[:, 1:]] - a[:, None])
+        ok = np.abs(np.linalg.det(m)) >= 1e-12
+        a, m, t = a[ok], m[ok], t[ok]
+        c = np.linalg.solve(m, ((p[t[:, 1:]] ** 2).sum(2) - (a**2).sum(1)[:, None])[:, :, None])[:, :, 0]
+        return ok, c, ((c - a) ** 2).sum(1)
+
+    room = 16 * n + 64
+    tets, center, radius, used = np.zeros((room, 4), np.int64), np.zeros((room, 3)), np.full(room, -1.0), 1
+    tets[0] = np.arange(n, n + 4)
+    _, center[:1], radius[:1] = spheres(tets[:1])
     for i in range(n):
-        gone = [t for t, s in tets.items() if s is None or ((s[0] - p[i]) ** 2).sum() < s[1] * (1 - 1e-12)]
-        count: dict[frozenset, tuple] = {}
-        for t in gone:
-            for f in itertools.combinations(t, 3):
-                key = frozenset(f)
-                count[key] = None if key in count else f
-        for t in gone:
-            del tets[t]
-        for f in count.values():
-            if f is not None:
-                t = (*f, i)
-                s = sphere(t)
-                if s is not None:
-                    tets[t] = s
-    return np.array(sorted(tuple(sorted(t)) for t in tets if max(t) < n), int).reshape(-1, 4)
+        gone = np.flatnonzero(((center[:used] - p[i]) ** 2).sum(1) < radius[:used] * (1 - 1e-12))
+        if not len(gone):
+            continue
+        f = np.sort(tets[gone][:, _FACES].reshape(-1, 3), axis=1)
+        _, first, times = np.unique((f[:, 0] * (n + 4) + f[:, 1]) * (n + 4) + f[:, 2], return_index=True, return_counts=True)
+        new = np.concatenate([f[first[times == 1]], np.full((int((times == 1).sum()), 1), i)], axis=1)
+        ok, c, r = spheres(new)
+        new = new[ok]
+        radius[gone] = -1.0
+        more = max(0, len(new) - len(gone))
+        if used + more > room:
+            room = 2 * (used + more)
+            grown = np.zeros((room, 4), np.int64), np.zeros((room, 3)), np.full(room, -1.0)
+            for old, g in zip((tets, center, radius), grown, strict=True):
+                g[:used] = old[:used]
+            tets, center, radius = grown
+        at = np.concatenate([gone, np.arange(used, used + more)])[: len(new)]
+        used += more
+        tets[at], center[at], radius[at] = new, c, r
+    whole = tets[:used][(radius[:used] >= 0) & (tets[:used].max(1) < n)]
+    return whole[np.lexsort(whole.T[::-1])]
 
 
 def delaunay(points: DataFrame, tile: str) -> DataFrame:
@@ -300,3 +319,41 @@ def delaunay(points: DataFrame, tile: str) -> DataFrame:
         return pa.table({tile: pa.array([key[0].as_py()] * len(tets), t.schema.field(tile).type)} | {c: pa.array(tets[:, i].astype(np.int64)) for i, c in enumerate("abcd")})
 
     return points.groupBy(tile).applyInArrow(one, f"{tile} {dict(points.dtypes)[tile]}, a long, b long, c long, d long")
+
+
+def delaunay_edge(points: DataFrame, each: int = 32) -> float:
+    """The edge of a power of two of tiles of the unit cube that hold about ``each`` points to eight times as many."""
+    return 0.5 ** (max(0, int(math.log2(max(points.count() / each, 1)))) // 3)
+
+
+def delaunay_tiles(points: DataFrame, edge: float, halo: float) -> DataFrame:
+    """I8 over any number of points: (tx, ty, tz, and the corners ax..dz) of tetrahedra, made tile by tile.
+
+    A tile is triangulated with the points within ``halo`` of it, and keeps the tetrahedra whose sphere's centre lies in it and whose sphere stays
+    within the halo: there no point outside can lie in the sphere, so these are tetrahedra of all points' triangulation, and each is made by one
+    tile.  Larger tetrahedra (across gaps wider than the halo) belong to no tile and are not made.
+    """
+    box = lambda a: F.sequence(F.floor((F.col(a) - halo) / edge), F.floor((F.col(a) + halo) / edge))
+    p = points.select("x", "y", "z").distinct()
+    for a in "xyz":
+        p = p.withColumn(f"t{a}", F.explode(box(a)))
+    names = [f"{c}{a}" for c in "abcd" for a in "xyz"]
+
+    def one(key, t):
+        at = np.array([k.as_py() for k in key], float)
+        xyz = np.unique(np.stack([t.column(a).to_numpy() for a in "xyz"], 1), axis=0)
+        tets = tetrahedra(xyz)
+        if len(tets):
+            a = xyz[tets[:, 0]]
+            m = 2 * (xyz[tets[:, 1:]] - a[:, None])
+            sound = np.abs(np.linalg.det(m)) > 1e-12
+            tets, a, m = tets[sound], a[sound], m[sound]
+            right = (xyz[tets[:, 1:]] ** 2).sum(2) - (a**2).sum(1)[:, None]
+            center = np.linalg.solve(m, right[:, :, None])[:, :, 0]
+            radius = np.sqrt(((center - a) ** 2).sum(1))
+            inside = (np.floor(center / edge) == at).all(1) & ((center - radius[:, None] >= at * edge - halo) & (center + radius[:, None] <= (at + 1) * edge + halo)).all(1)
+            tets = tets[inside]
+        corners = xyz[tets].reshape(len(tets), 12)
+        return pa.table({f"t{a}": pa.array(np.full(len(tets), int(k))) for a, k in zip("xyz", at, strict=True)} | {n: pa.array(corners[:, i]) for i, n in enumerate(names)})
+
+    return p.groupBy("tx", "ty", "tz").applyInArrow(one, "tx long, ty long, tz long, " + ", ".join(f"{n} double" for n in names))

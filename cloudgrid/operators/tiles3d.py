@@ -12,19 +12,22 @@ IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0
 TOLERANCE = 10.0
 
 
-def inherit(tiles: DataFrame, most: int = 64) -> DataFrame:
-    """Transforms multiplied down the tree, and refine and geo_error taken from the parent where they are null; one join a level."""
+def inherit(tiles: DataFrame) -> DataFrame:
+    """Transforms multiplied down the tree, and refine and geo_error taken from the parent where they are null; one join a level,
+    however many there are (tiles that no root leads to are left out)."""
     level = tiles.where("parent_id is null").withColumns({"depth": F.lit(0), "xform": F.coalesce("xform", F.array(*map(F.lit, IDENTITY))), "refine": F.coalesce("refine", F.lit("ADD")), "geo_error": F.coalesce("geo_error", F.lit(0.0))})
     level = settle(level)
-    out, kids = level, tiles.where("parent_id is not null")
-    for d in range(1, most):
+    out, kids, d = level, tiles.where("parent_id is not null"), 0
+    while True:
+        d += 1
         up = level.select(F.col("tile_id").alias("parent_id"), F.col("xform").alias("_x"), F.col("refine").alias("_r"), F.col("geo_error").alias("_g"))
         level = kids.join(up, "parent_id").withColumns({"depth": F.lit(d), "xform": F.when(F.col("xform").isNull(), F.col("_x")).otherwise(matmul4(F.col("_x"), F.col("xform"))), "refine": F.coalesce("refine", "_r"), "geo_error": F.coalesce("geo_error", "_g")}).drop("_x", "_r", "_g").select(*out.columns)
         level = settle(level)
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+        if d % 16 == 0:
+            out = settle(out)
 
 
 def move_volume(kind: Column, vals: Column, xform: Column) -> Column:
@@ -46,18 +49,20 @@ def with_error(tiles: DataFrame, eye: tuple[float, float, float], height: float,
     return tiles.withColumn("dist", distance(F.col("bv.type"), F.col("bv.vals"), eye)).withColumn("sse", screen_error(F.col("dist"), F.col("geo_error"), height, u))
 
 
-def visited(tiles: DataFrame, tolerance: float = TOLERANCE, most: int = 64) -> DataFrame:
-    """The steady state: a root is visited, and a child if its visited parent's error reaches the tolerance."""
+def visited(tiles: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """The steady state: a root is visited, and a child if its visited parent's error reaches the tolerance; to any depth."""
     tiles = settle(tiles)
     level = tiles.where("parent_id is null")
-    out = level
-    for _ in range(most):
+    out, d = level, 0
+    while True:
+        d += 1
         opened = level.where(F.col("sse") >= tolerance).select(F.col("tile_id").alias("parent_id"))
         level = settle(tiles.join(opened, "parent_id").select(*tiles.columns))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
+        if d % 16 == 0:
+            out = settle(out)
 
 
 def drawn(seen: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ CELL = ["x", "y", "z"]
 STRUCTURE = 1e-9
 
 
-def offsets(r: int) -> F.Column:
-    """Array of all offsets of a cube of edge 2r + 1."""
-    return F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(k).alias("dz")) for k in range(-r, r + 1) for j in range(-r, r + 1) for i in range(-r, r + 1)])
+def offsets(r: int, flat: bool = False) -> F.Column:
+    """Array of all offsets of a cube of edge 2r + 1; flat: of its middle layer."""
+    return F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), F.lit(k).alias("dz")) for k in ([0] if flat else range(-r, r + 1)) for j in range(-r, r + 1) for i in range(-r, r + 1)])
 
 
 def bin_points(points: DataFrame, level: int) -> DataFrame:
@@ -96,9 +96,9 @@ def heightmap(points: DataFrame, width: int, height: int | None = None, dense: b
     return g.join(top, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0.0)).alias("v"), F.when(F.col("v").isNotNull(), 1.0).otherwise(0.0).alias("w"))
 
 
-def neighbours(voxels: DataFrame, r: int = 1) -> DataFrame:
+def neighbours(voxels: DataFrame, r: int = 1, flat: bool = False) -> DataFrame:
     """Each cell's existing neighbours (itself too): cell, offset, the neighbour's val."""
-    d = voxels.select(*CELL).withColumn("_d", F.explode(offsets(r)))
+    d = voxels.select(*CELL).withColumn("_d", F.explode(offsets(r, flat)))
     at = d.select(*CELL, F.col("_d.dx").alias("dx"), F.col("_d.dy").alias("dy"), F.col("_d.dz").alias("dz"), *[(F.col(a) + F.col(f"_d.d{a}")).alias(f"n{a}") for a in CELL])
     return at.join(voxels.select(*[F.col(a).alias(f"n{a}") for a in CELL], F.col("val").alias("nval")), ["nx", "ny", "nz"])
 
@@ -193,6 +193,12 @@ def covariances_multilevel(voxels: DataFrame, levels: int = 3, support: float =
     return total.groupBy(*CELL).agg(*[F.sum(k).alias(k) for k, _, _ in _SIX], F.sum("support").alias("support"))
 
 
+def layer_support(voxels: DataFrame, r: int = 2, least: float = 40.0) -> DataFrame:
+    """(x, y, z, support): the value of the (2r+1)^2 cells about each at its height, null where that is ``least`` at most."""
+    n = neighbours(voxels, r, flat=True).groupBy(*CELL).agg(F.sum("nval").alias("support"))
+    return n.select(*CELL, F.when(F.col("support") > least, F.col("support")).alias("support"))
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def smallest_axis(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.Series:
     """L1: unit eigenvector of the smallest eigenvalue, its largest component positive; null where it is not determined."""

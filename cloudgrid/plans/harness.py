@@ -154,7 +154,7 @@ def tile_assign(spark, d):
 @query(f"{PTS} SELECT cast(floor(x * 4096) AS bigint) AS rx, round(cast(floor(x * 4096) AS bigint) * 0.25 - (1000 - 1024), 6) AS x, round(cast(floor(z * 64) AS bigint) * 0.5 + 3, 6) AS z FROM pts")
 def las_rescale(spark, d):
     p = pts(spark, d).select(F.floor(F.col("x") * 4096.0).alias("rx"), F.floor(F.col("z") * 64.0).alias("rz"))
-    return p.select("rx", F.round(F.col("rx") * 0.25 - (1000.0 - 1024.0), 6).alias("x"), F.round(F.col("rz") * 0.5 + 3.0, 6).alias("z"))
+    return points.las_rescale(p, {"x": "rx", "z": "rz"}, {"x": 0.25, "z": 0.5}, {"x": 1024.0, "z": 3.0}, {"x": 1000.0}).select("rx", *r6("x", "z"))
 
 
 @query(f"{PTS}, l AS (SELECT DISTINCT x * 360 - 180 AS lon, y * 160 - 80 AS lat FROM pts), m AS (SELECT lon, lat, radians(lon) * 6378137 AS mx, ln(tan(0.7853981633974483 + radians(lat) / 2)) * 6378137 AS my FROM l) SELECT lon, lat, round(mx, 3) AS mx, round(my, 3) AS my, cast(floor(degrees(mx / 6378137) * 1000 + 0.37) AS bigint) AS blon, cast(floor(degrees(2 * atan(exp(my / 6378137)) - 1.5707963267948966) * 1000 + 0.37) AS bigint) AS blat FROM m")
@@ -185,8 +185,8 @@ def files_per_tile(spark, d):
 
 @query(f"{_PAIRS} SELECT fpts.file_id, x, y, z FROM fpts JOIN pairs ON pairs.file_id = fpts.file_id WHERE tx = 3 AND ty = 2 AND x >= 0.375 AND x <= 0.5 AND y >= 0.25 AND y <= 0.375")
 def tile_load(spark, d):
-    own = points.tile_file_pairs(files(spark, d), 0.125).where("tx = 3 and ty = 2").select("file_id")
-    return points.area(pts(spark, d, "file_id").join(own, "file_id", "left_semi"), 0.375, 0.25, 0.5, 0.375).select("file_id", "x", "y", "z")
+    pairs = points.tile_file_pairs(files(spark, d), 0.125)
+    return points.tile_points(pts(spark, d, "file_id"), pairs, 3, 2, 0.125, "file_id").select("file_id", "x", "y", "z")
 
 
 @query(f"{MAP} SELECT round(p.x, 6) AS x, round(p.y, 6) AS y, p.z, i.v FROM pts p JOIN img i ON i.x = cast(floor(p.x * {G}) AS int) AND i.y = cast(floor(p.y * {G}) AS int)")
@@ -270,7 +270,11 @@ def heightmap_max(spark, d):
 
 @query(f"{_GOOD}, {GRID}, top AS (SELECT cast(least(floor(y * {G} + 0.5), {G - 1}) AS int) AS y, cast(least(floor(x * {G} + 0.5), {G - 1}) AS int) AS x, max(z) AS v FROM kept GROUP BY 1, 2) SELECT grid.y, grid.x, coalesce(v, 0::double) AS v, CASE WHEN v IS NULL THEN 0::double ELSE 1::double END AS w FROM grid LEFT JOIN top USING (y, x)")
 def heightmap_filtered(spark, d):
-    return voxels.heightmap(voxels.filter_outliers(pts(spark, d), LEVEL), G)
+    return filtered_heightmap(spark, d, LEVEL)
+
+
+def filtered_heightmap(spark, d, level: int) -> DataFrame:
+    return voxels.heightmap(voxels.filter_outliers(pts(spark, d), level), G)
 
 
 _TREE = f"{PTS}, l AS (SELECT cast(r AS int) AS lvl FROM range(2, 7) t(r)), tree AS (SELECT lvl, cast(floor(x * (1 << lvl)) AS int) AS x, cast(floor(y * (1 << lvl)) AS int) AS y, cast(floor(z * (1 << lvl)) AS int) AS z, count(*) AS n FROM pts, l WHERE z < 1 GROUP BY 1, 2, 3, 4)"
@@ -373,9 +377,7 @@ def cov_multilevel(spark, d):
 
 @query(f"{VOX}, c AS (SELECT v.x, v.y, v.z, sum(u.n) AS support FROM vox v JOIN vox u ON u.x BETWEEN v.x - 2 AND v.x + 2 AND u.y BETWEEN v.y - 2 AND v.y + 2 AND u.z = v.z GROUP BY 1, 2, 3) SELECT x, y, z, CASE WHEN support > 40 THEN cast(support AS double) END AS support FROM c")
 def support_filter(spark, d):
-    v = vox(spark, d)
-    n = voxels.neighbours(v, 2).where("dz = 0").groupBy("x", "y", "z").agg(F.sum("nval").alias("support"))
-    return n.select("x", "y", "z", F.when(F.col("support") > 40, F.col("support")).alias("support"))
+    return voxels.layer_support(vox(spark, d))
 
 
 @query()
@@ -578,10 +580,7 @@ def normal_lines(spark, d):
 
 @query(f"{_MESH}, m AS (SELECT max(z) AS h FROM vert) SELECT vid, 1::double AS r, z / h AS g, (z / h) * (z / h) AS b, x AS u, 1 - y AS v FROM vert, m")
 def vertex_colors(spark, d):
-    """Colours by height, and texture coordinates."""
-    v = surfaces.vertices(_nodes(spark, d), _S)
-    v = v.crossJoin(F.broadcast(v.agg(F.max("z").alias("h"))))
-    return v.select("vid", F.lit(1.0).alias("r"), (F.col("z") / F.col("h")).alias("g"), (F.col("z") / F.col("h") * (F.col("z") / F.col("h"))).alias("b"), F.col("x").alias("u"), (1.0 - F.col("y")).alias("v"))
+    return surfaces.vertex_colors(surfaces.vertices(_nodes(spark, d), _S))
 
 
 _BITS = ", ".join(f"coalesce(max(n) FILTER (i = {k}), 0) AS c{k}" for k in range(8))
@@ -604,9 +603,15 @@ def mc_triangle_count(spark, d):
     return c.join(t, ["x", "y", "z"]).groupBy("cube").agg(F.count("*").alias("cells"), F.sum("n").alias("triangles"))
 
 
-@query()
+_CASES = "cases(cube, seq, corner, i, j, ix, iy, iz, jx, jy, jz) AS (VALUES " + ", ".join(str((c, s, k, *surfaces.EDGES[e], *(p for end in surfaces.EDGES[e] for p in surfaces.CORNERS[end]))) for c in range(256) for s, t in enumerate(surfaces.cube_triangles(c)) for k, e in enumerate(t)) + ")"
+
+
+@query(
+    f"{_CELLS}, {_CASES}, ends AS (SELECT cube.x, cube.y, cube.z, seq, corner, ix, iy, iz, jx, jy, jz, cast([c0, c1, c2, c3, c4, c5, c6, c7][i + 1] AS double) AS v, cast([c0, c1, c2, c3, c4, c5, c6, c7][j + 1] AS double) AS w FROM cube JOIN cases USING (cube)), "
+    "way AS (SELECT *, CASE WHEN abs(3 - v) < 1e-5 THEN 0 WHEN abs(3 - w) < 1e-5 THEN 1 WHEN abs(v - w) < 1e-5 THEN 0 ELSE (3 - v) / (w - v) END AS t FROM ends) SELECT x, y, z, seq, corner, " + ", ".join(f"round(({a} + i{a} + t * (j{a} - i{a})) / 32::double, 6) AS p{a}" for a in "xyz") + " FROM way"
+)
 def mc_triangles(spark, d):
-    return surfaces.marching_cubes(vox(spark, d), LEVEL, 3.0)
+    return surfaces.marching_cubes(vox(spark, d), LEVEL, 3.0).select("x", "y", "z", "seq", "corner", *r6("px", "py", "pz"))
 
 
 @query("n AS (SELECT a.r AS i, b.r AS j FROM range(17) a(r), range(33) b(r)) SELECT cast(i AS int) AS i, cast(j AS int) AS j, round(sin(i * (pi() / 16)) * cos(j * (2 * pi() / 32)), 6) + 0.0 AS x, round(sin(i * (pi() / 16)) * sin(j * (2 * pi() / 32)), 6) + 0.0 AS y, round(cos(i * (pi() / 16)), 6) + 0.0 AS z FROM n")
@@ -614,16 +619,11 @@ def sphere_mesh(spark, d):
     return surfaces.sphere_mesh(spark).select("i", "j", *_r0("x", "y", "z"))
 
 
-@query()
-def box_mesh(spark, d):
-    return surfaces.box_mesh(spark)
-
-
 @query()
 def delaunay_tets(spark, d):
-    p = voxels.bin_points(pts(spark, d), 2).where("vx = 1 and vy = 1 and vz = 1").select("x", "y", "z").distinct()
-    p = p.withColumn("tile", F.pmod(F.xxhash64("x", "y", "z"), F.lit(64)).cast("int"))
-    return surfaces.delaunay(p, "tile")
+    p = pts(spark, d)
+    edge = surfaces.delaunay_edge(p)
+    return surfaces.delaunay_tiles(p, edge, edge / 2)
 
 
 # --- tile trees ---------------------------------------------------------------------------------------------------------------------
@@ -702,7 +702,7 @@ def trs_compose(spark, d):
 
 # --- graphs -------------------------------------------------------------------------------------------------------------------------
 
-_EDGES = "ge AS (SELECT c_nationkey AS u, s_nationkey AS v, count(*) AS c FROM (SELECT o_custkey, l_suppkey FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), e AS (SELECT cast(u AS int) AS u, cast(v AS int) AS v, cast(c AS int) AS c FROM ge WHERE u <> v AND (u * 7 + v * 3) % 5 = 0)"
+_EDGES = "ge AS (SELECT c_nationkey AS u, s_nationkey AS v, count(*) AS c FROM (SELECT o_custkey, l_suppkey FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), e AS (SELECT cast(u AS int) AS u, cast(v AS int) AS v, cast(c AS int) AS c FROM ge WHERE u <> v)"
 
 
 def gedges(spark, d) -> DataFrame:
@@ -710,7 +710,7 @@ def gedges(spark, d) -> DataFrame:
     j = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("u")), F.col("c_custkey") == F.col("o_custkey"))
     j = j.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("v")), F.col("s_suppkey") == F.col("l_suppkey"))
-    return j.where("u <> v and (u * 7 + v * 3) % 5 = 0").groupBy("u", "v").agg(F.count("*").cast("int").alias("c"))
+    return j.where("u <> v").groupBy("u", "v").agg(F.count("*").cast("int").alias("c"))
 
 
 @query(_EDGES + " SELECT * FROM e")
@@ -718,9 +718,9 @@ def graph_edges(spark, d):
     return graphs.distinct_edges(gedges(spark, d).select("u", "v", "c"), "c")
 
 
-@query(_EDGES + ", b AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.v, hop + 1 FROM b JOIN e ON e.u = b.node WHERE hop < 8) SELECT cast(node AS int) AS node, cast(min(hop) AS int) AS hop FROM b GROUP BY node", recursive=True)
+@query(_EDGES + ", b AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.v, hop + 1 FROM b JOIN e ON e.u = b.node WHERE hop < (SELECT count(*) FROM nation)) SELECT cast(node AS int) AS node, cast(min(hop) AS int) AS hop FROM b GROUP BY node", recursive=True)
 def bfs_hops(spark, d):
-    return graphs.hops(gedges(spark, d), 0, 8)
+    return graphs.hops(gedges(spark, d), 0)
 
 
 def _flow(spark, d) -> DataFrame:

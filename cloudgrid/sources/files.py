@@ -1,0 +1,28 @@
+"""Single files in the shared folder: what Spark's writers can't name, written by executors that share its path."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from .las import local
+
+
+def write_each(rows: DataFrame, folder: str) -> DataFrame:
+    """(name, n): rows (name, content) as one file each.  A file is moved to its name when it is whole, so a task that runs again replaces it."""
+    at = local(folder)
+
+    def put(batches):
+        for pdf in batches:
+            os.makedirs(at, exist_ok=True)
+            for name, content in zip(pdf.name, pdf.content, strict=True):
+                tmp = f"{at}/.{uuid.uuid4().hex}"
+                with open(tmp, "wb") as f:
+                    f.write(bytes(content))
+                os.replace(tmp, f"{at}/{name}")
+            yield pd.DataFrame({"name": pdf.name, "n": [len(c) for c in pdf.content]})
+
+    return rows.select("name", "content").mapInPandas(put, "name string, n long")

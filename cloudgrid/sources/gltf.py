@@ -169,3 +169,51 @@ def write_models(models: DataFrame) -> DataFrame:
             yield pd.DataFrame({"model_id": pdf.model_id, "content": body})
 
     return models.select("model_id", "json", "bin").mapInPandas(pack, "model_id string, content binary")
+
+
+#: entity -> members of its JSON entry, as SQL; null members are left out
+_MEMBERS = {
+    "nodes": "CASE WHEN mesh >= 0 THEN mesh END mesh, xform matrix, CASE WHEN size(children) > 0 THEN children END children",
+    "buffers": "byte_length byteLength, uri",
+    "buffer_views": "buffer, byte_length byteLength, byte_offset byteOffset, CASE WHEN byte_stride > 0 THEN byte_stride END byteStride, CASE WHEN target > 0 THEN target END target",
+    "accessors": "buffer_view bufferView, byte_offset byteOffset, component_type componentType, data_type type, count, max, min",
+    "meshes": "name, primitives",
+    "scenes": "name, base_nodes nodes",
+    "images": "uri, mime_type mimeType, CASE WHEN buffer_view >= 0 THEN buffer_view END bufferView",
+    "textures": "CASE WHEN sampler >= 0 THEN sampler END sampler, CASE WHEN source >= 0 THEN source END source",
+    "samplers": "min_filter minFilter, mag_filter magFilter, wrap_s wrapS, wrap_t wrapT",
+    "materials": "name, named_struct('baseColorTexture', CASE WHEN base_color_texture >= 0 THEN named_struct('index', base_color_texture) END, 'baseColorFactor', base_color_factor, 'metallicFactor', metallic, 'roughnessFactor', roughness) pbrMetallicRoughness, emissive emissiveFactor",
+}
+
+
+def from_tables(tables: dict[str, DataFrame], data: DataFrame | None = None) -> DataFrame:
+    """(model_id, json, bin) from the entity tables of ``entities`` (those that are given) and the bytes (model_id, bin) of buffer 0.
+
+    Every table is grouped by model; a model is one document, so its entries are one group.
+    """
+    tables = dict(tables)
+    if "meshes" in tables and "primitives" in tables:
+        p = tables["primitives"].selectExpr("model_id", "mesh", "idx", "named_struct('attributes', attribs, 'indices', CASE WHEN indices >= 0 THEN indices END, 'material', CASE WHEN material >= 0 THEN material END, 'mode', mode) p")
+        p = p.groupBy("model_id", F.col("mesh").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.to_json("p").alias("j")))), lambda x: x["j"]).alias("j"))
+        p = p.select("model_id", "idx", F.from_json(F.concat(F.lit("["), F.concat_ws(",", "j"), F.lit("]")), f"array<{_PRIMITIVE}>").alias("primitives"))
+        tables["meshes"] = tables["meshes"].join(p, ["model_id", "idx"], "left")
+    parts = None
+    for name, cols in _MEMBERS.items():
+        if name not in tables:
+            continue
+        entry = tables[name].select("model_id", "idx", F.to_json(F.struct(*[F.expr(c) for c in _split(cols)])).alias("j"))
+        whole = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("idx", "j"))), lambda x: x["j"]))
+        part = entry.groupBy("model_id").agg(F.concat(F.lit(f'"{_MEMBER.get(name, name)}":['), whole, F.lit("]")).alias("part"))
+        parts = part if parts is None else parts.unionByName(part)
+    out = parts.groupBy("model_id").agg(F.concat(F.lit('{"asset":{"version":"2.0"},'), F.array_join(F.array_sort(F.collect_list("part")), ","), F.lit("}")).alias("json"))
+    return out.withColumn("bin", F.lit(None).cast("binary")) if data is None else out.join(data.select("model_id", "bin"), "model_id", "left")
+
+
+def as_b3dm(models: DataFrame) -> DataFrame:
+    """(model_id, content) as b3dm from (model_id, content) as GLB: a header with empty tables before it (A14's inverse)."""
+
+    def pack(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"model_id": pdf.model_id, "content": [struct.pack("<7I", B3DM_MAGIC, 1, B3DM_HEADER + len(c), 0, 0, 0, 0) + bytes(c) for c in pdf.content]})
+
+    return models.select("model_id", "content").mapInPandas(pack, "model_id string, content binary")

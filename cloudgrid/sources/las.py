@@ -1,21 +1,25 @@
 """Python data source ``las``: uncompressed LAS 1.2 to 1.4 points, formats 0 to 3 and 6 to 8, with rectangle and stride.
 
-    spark.dataSource.register(LasSource)
-    spark.read.format("las").option("path", folder).option("pushdown", "true").load().where("x > 5 and x < 9")
+    las.scan(spark, folder).where("x > 5 and x < 9")
+    las.load_area(spark, folder, 5, 5, 9, 9, stride=8)
 
-Every file is split into ranges of points; with pushdown (and spark.sql.python.filterPushdown.enabled) a filter on x or y skips files whose
-header box lies outside it.  The files must be readable from
-the executors by path (local or mounted).
+Every file is split into ranges of points; a filter on x or y skips files whose header box lies outside it (``scan`` turns
+spark.sql.python.filterPushdown.enabled on, which that needs).  Headers are read by several threads at once.  The files must be readable
+from the driver and the executors by path (local or mounted); a file: address is taken as its path.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "path string, pt_idx long, x double, y double, z double, intensity int, scan_angle int"
@@ -26,8 +30,14 @@ ANGLES = {0: (16, "i1"), 1: (16, "i1"), 2: (16, "i1"), 3: (16, "i1"), 6: (18, "<
 RANGE = 1 << 20
 
 
+def local(path: str) -> str:
+    """The path of a file: address."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 def list_files(path: str) -> list[str]:
     """A1: .las and .laz files of a folder, by the last three letters in any case."""
+    path = local(path)
     if os.path.isfile(path):
         return [path]
     return sorted(os.path.join(path, f) for f in os.listdir(path) if f[-3:].lower() in ("las", "laz"))
@@ -75,8 +85,10 @@ class LasReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         out = []
-        for path in list_files(self.path):
-            h = header(path)
+        with ThreadPoolExecutor(32) as pool:
+            headers = list(pool.map(header, list_files(self.path)))
+        for h in headers:
+            path = h["path"]
             x0, y0, x1, y1 = h["box"]
             if not self.headers_only and (x1 < self.lo["x"] or x0 > self.hi["x"] or y1 < self.lo["y"] or y0 > self.hi["y"]):
                 continue
@@ -111,7 +123,7 @@ class PruningLasReader(LasReader):
 
 
 class LasSource(DataSource):
-    """Options: path (a file or folder), headers (true: one row for each file), pushdown (true: bounds on x and y skip files)."""
+    """Options: path (a file or folder), headers (true: one row for each file), pushdown (true: bounds on x and y skip files; ``scan`` sets it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -143,3 +155,45 @@ def write_las(path: str, xyz: np.ndarray, intensity: np.ndarray | None = None, s
     struct.pack_into("<6d", h, 179, hi[0], lo[0], hi[1], lo[1], hi[2], lo[2])
     with open(path, "wb") as f:
         f.write(bytes(h) + rec.tobytes())
+
+
+def scan(spark: SparkSession, path: str, headers: bool = False) -> DataFrame:
+    """A1-A4: the points (or headers) of a file or folder, files skipped by bounds on x and y."""
+    spark.dataSource.register(LasSource)
+    if not headers:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("las").option("path", path).option("headers", str(headers).lower()).option("pushdown", str(not headers).lower()).load()
+
+
+def load_area(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float, stride: int = 1) -> DataFrame:
+    """A3: every stride-th point, counted in file order among those inside a closed rectangle, of each file."""
+    from ..operators import points as P
+
+    inside = P.area(scan(spark, path), x0, y0, x1, y1)
+    return inside if stride == 1 else P.stride_sample(inside, stride, "path", ["pt_idx"])
+
+
+def load_tile(spark: SparkSession, path: str, tx: int, ty: int, edge: float, stride: int = 1, overlap: float = 0.0) -> DataFrame:
+    """A tile's points from the files whose header box meets it."""
+    from ..operators import points as P
+
+    pairs = P.tile_file_pairs(scan(spark, path, headers=True), edge, overlap).select("path", "tx", "ty")
+    return P.tile_points(scan(spark, path), pairs, tx, ty, edge, "path", "pt_idx", stride)
+
+
+def write_files(points: DataFrame, folder: str, file: str, order: list[str], scale: float = 0.001, intensity: str | None = None) -> DataFrame:
+    """Points (x, y, z) as one LAS file for each value of a column, <value>.las, in an order; (file, n) is returned.
+
+    A file is written under another name and moved when it is whole, so a task that runs again replaces it.  Files are as large as their groups.
+    """
+    at = local(folder)
+
+    def one(key, t):
+        os.makedirs(at, exist_ok=True)
+        t = t.sort_by([(c, "ascending") for c in order])
+        name, tmp = f"{at}/{key[0].as_py()}.las", f"{at}/.{uuid.uuid4().hex}"
+        write_las(tmp, np.stack([t.column(a).to_numpy() for a in "xyz"], 1), None if intensity is None else t.column(intensity).to_numpy() % 65536, scale)
+        os.replace(tmp, name)
+        return pa.table({"file": pa.array([str(key[0].as_py())]), "n": pa.array([t.num_rows])})
+
+    return points.groupBy(F.col(file)).applyInArrow(one, "file string, n long")

@@ -34,6 +34,51 @@ def test_block_of_eight_needs_no_balance(spark):
     assert voxels.leaves(voxels.coarser(fine, sums=("val",)), fine).count() == 0
 
 
+def test_outliers_go_and_their_neighbours_stay(spark):
+    at = lambda i, j, k, n: [((i + 0.5) / 8, (j + 0.5) / 8, (k + 0.5) / 8)] * n
+    p = frame(spark, at(2, 2, 2, 6) + at(3, 3, 2, 1) + at(4, 2, 2, 1) + at(2, 2, 3, 5) + at(7, 7, 7, 5) + [(1.5, 0.1, 0.1)], "x double, y double, z double")
+    kept = voxels.filter_outliers(p, 3).groupBy("x", "y", "z").count().collect()
+    assert {(int(r.x * 8), int(r.y * 8), int(r.z * 8)): r["count"] for r in kept} == {(2, 2, 2): 6, (3, 3, 2): 1}
+
+
+def test_normal_of_a_tilted_plane_at_two_levels(spark):
+    """x + z = constant: the normal is (1, 0, 1) / sqrt 2 on both levels."""
+    v = spark.range(16 * 16).selectExpr("cast(id % 16 as int) x", "cast(id div 16 as int) y", "cast(20 - id % 16 as int) z", "1D val")
+    n = voxels.normals_multilevel(v, 2).where("x between 5 and 10 and y between 5 and 10").collect()
+    assert len(n) == 36
+    for r in n:
+        assert abs(r.nx) == pytest.approx(0.5**0.5, abs=0.05) and r.nx * r.nz > 0 and abs(r.ny) < 1e-6 and r.nx**2 + r.ny**2 + r.nz**2 == pytest.approx(1)
+
+
+def test_box_mesh_is_closed(spark):
+    t = surfaces.box_mesh(spark).toPandas()
+    edges = {}
+    for _, g in t.sort_values("corner").groupby("tid"):
+        p = list(zip(g.x, g.y, g.z, strict=True))
+        for a, b in zip(p, p[1:] + p[:1], strict=True):
+            edges[a, b] = edges.get((a, b), 0) + 1
+    assert len(t) == 36 and all(n == 1 and (b, a) in edges for (a, b), n in edges.items())
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    columns = {"a": r.lognormal(0, 5, 5000), "b": np.round(r.random(5000), 2), "c": np.full(5000, 7.0)}
+    q = (0.0, 1e-4, 0.25, 0.5, 0.9985, 1.0)
+    df = spark.createDataFrame(list(zip(*(x.tolist() for x in columns.values()), strict=True)) + [(None, float("nan"), None)], "a double, b double, c double")
+    for exact in (1 << 16, 3):
+        monkeypatch.setattr(points, "EXACT", exact)
+        got = points.exact_quantiles(df, dict.fromkeys(columns, q))
+        for c, x in columns.items():
+            assert np.allclose(got[c], np.quantile(x, q), rtol=1e-12), c
+    assert points.exact_quantiles(df.limit(0), {"a": (0.5,)}) == {"a": [None]} and points.quantile_trim(df.limit(0), {"a": (0.1, 0.9)}).count() == 0
+
+
+def test_ranks(spark):
+    x = np.random.default_rng(4).integers(0, 50, 3000).tolist()
+    got = points.ranked(spark.createDataFrame([(v,) for v in x], "v long").repartition(7), "v").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(3000)) and [r.v for r in got] == sorted(x)
+
+
 def test_normal_of_a_plane(spark):
     v = spark.range(81).selectExpr("cast(id % 9 as int) x", "cast(id div 9 as int) y", "4 z", "1D val")
     n = voxels.normals(voxels.covariances(v)).where("x = 4 and y = 4").first().normal
@@ -108,6 +153,54 @@ def test_flow_equals_cut(spark):
     assert "0 -> 1" in graphs.dot(f).first().dot
 
 
+def test_a_chain_of_a_hundred(spark):
+    """Neither breadth-first search nor a tile tree ends before its data does."""
+    e = spark.range(100).selectExpr("cast(id as int) u", "cast(id + 1 as int) v")
+    assert {r.node: r.hop for r in graphs.hops(e, 0).collect()} == {i: i for i in range(101)}
+    with pytest.raises(ValueError, match="more than 20 edges"):
+        graphs.hops(e, 0, 20)
+    t = spark.range(100).selectExpr("cast(id as string) tile_id", "case when id > 0 then cast(id - 1 as string) end parent_id", "case when id = 0 then 5D end geo_error", "case when id = 0 then 'ADD' end refine", "named_struct('type', 'sphere', 'vals', array(0D, 0D, 0D, 1D)) bv", "cast(array(1,0,0,1, 0,1,0,0, 0,0,1,0, 0,0,0,1) as array<double>) xform")
+    got = {int(r.tile_id): r for r in tiles3d.inherit(t).collect()}
+    assert len(got) == 100 and all(r.depth == i and r.xform[3] == i + 1 and r.geo_error == 5 and r.refine == "ADD" for i, r in got.items())
+    assert tiles3d.visited(tiles3d.inherit(t).withColumn("sse", F.lit(99.0))).count() == 100
+
+
+def test_utm_of_known_places(spark):
+    """On a zone's meridian the easting is the false one, and the northing 0.9996 times the meridian's length."""
+    p = frame(spark, [(3.0, 0.0), (3.0, 45.0), (9.0, -45.0), (2.2945, 48.8582)], "lon double, lat double").withColumn("zone", scalar.utm_zone(F.col("lon")))
+    e, n = scalar.utm_forward(F.col("lon"), F.col("lat"), F.col("zone"))
+    r = p.select("zone", e.alias("e"), n.alias("n")).collect()
+    assert [x.zone for x in r] == [31, 31, 32, 31] and [x.e for x in r[:3]] == pytest.approx([5e5] * 3, abs=1e-6)
+    assert [x.n for x in r[:3]] == pytest.approx([0, 0.9996 * 4984944.378, 1e7 - 0.9996 * 4984944.378], abs=2e-3)
+    assert (r[3].e, r[3].n) == pytest.approx((448252, 5411943), abs=15)
+
+
+def test_png_round_trip_of_all_filters(spark):
+    r = np.random.default_rng(5)
+    for channels in (1, 2, 3, 4):
+        im = r.integers(0, 256, (11, 7, channels), dtype=np.uint8)
+        assert (raster.png_pixels(raster.png_bytes(im, (0, 1, 2, 3, 4))) == im).all()
+    got = raster.read_png(frame(spark, [("a.png", bytearray(raster.png_bytes(im)))], "path string, content binary")).toPandas()
+    assert len(got) == im.size and got[(got.y == 3) & (got.x == 2) & (got.band == 1)].v.iloc[0] == im[3, 2, 1]
+
+
+def test_tiff_with_overviews():
+    for kind in (np.uint8, np.int16, np.float32):
+        im = (np.arange(12 * 10 * 3).reshape(12, 10, 3) % 120).astype(kind)
+        data = raster.tiff_bytes(im, (7.0, 9.0), (0.5, 0.25), 2)
+        assert raster.tiff_meta(data)[:4] == (10, 12, 3, im.itemsize * 8) and raster.tiff_meta(data)[4:10] == (7, 0.5, 0, 9, 0, -0.25) and raster.tiff_meta(data)[10] == 3
+        assert (raster.tiff_pixels(data) == im).all() and (raster.tiff_pixels(data, 2) == im[::4, ::4]).all()
+
+
+def test_delaunay_by_tiles_is_that_of_all_points(spark):
+    """Every tetrahedron of the tiles is one of the whole triangulation, and each that fits into a halo is made once."""
+    q = np.random.default_rng(2).random((300, 3))
+    whole = surfaces.tetrahedra(np.unique(q, axis=0))
+    known = {tuple(sorted(map(tuple, np.unique(q, axis=0)[t]))) for t in whole}
+    got = [tuple(sorted((tuple(r[f"{c}{a}"] for a in "xyz") for c in "abcd"))) for r in surfaces.delaunay_tiles(frame(spark, q.tolist(), "x double, y double, z double"), 0.5, 0.25).collect()]
+    assert len(got) == len(set(got)) and set(got) <= known and len(got) > 0.7 * len(known)
+
+
 def test_delaunay_spheres_are_empty():
     p = np.random.default_rng(1).random((25, 3))
     t = surfaces.tetrahedra(p)
