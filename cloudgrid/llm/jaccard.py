@@ -8,9 +8,10 @@ whole sequence as one).  Two sets link if 100 * intersection >= percent * union.
    difference.  The sketch is 2^64 bits wide, and is cut by hash into d + 1 + s segments, d being the largest symmetric difference
    that a link in that band pair allows; a segment is held as the XOR of the hashes of its set bits.  By pigeonhole linked sets agree in
    s + 1 segments at least.  Segments of few set bits, in which unrelated sets agree by chance, are left out where a set has no more than s of
-   them; a set with more is dealt again with another seed, beside its other segments (``SEEDS`` times; then it keeps all).
-2. *join*: nodes that share a segment are tied to the smallest of them (no pairs within a segment); connected components of these ties
-   hold all links, as a link's ends share a segment.
+   them (``segments_of``); a set with more is dealt again with another seed, beside its other segments (``SEEDS`` times; then it keeps all).
+2. *join*: nodes that share a segment are tied if they may link by their sizes and long parity sketches of SKETCH words, first each to the smallest
+   node it meets, then, in segments whose nodes that leaves apart, all of different classes (a forest of these ties, no list of pairs).
+   Connected components of the ties hold all links, as a link's ends share a segment and pass the sketches.
 3. *verify*: the nodes of a component are dealt into blocks bounded in nodes and bytes.  Within a block a pair not yet connected is
    compared by a long parity sketch first, then exactly, and a forest of the links is kept.  A component of several blocks goes on: the
    smallest nodes of its classes meet in blocks, as long as that joins classes; then all nodes outside its largest class meet all others
@@ -23,6 +24,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,10 +35,12 @@ from .shared import bloom, components, cut, drop, map_arrow, prepare, release
 from .wordcode import U, Words, grams, i64, mix, ranges, slices, text_bytes, u64
 
 WIDTH, PERCENT = 3, 90
-#: spare segments, in per cent of the differences, besides three; how often sets of few shingles a segment are dealt
-SPARE, SEEDS = 8, 6
+#: standard deviations above the mean number of small segments that the spare ones allow; how often sets with more of them are dealt
+SURE, SEEDS = 0.8, 8
 #: nodes of a block in verification, and bytes of their sets
 BLOCK, BLOCK_BYTES = 256, 32 << 20
+#: rows of shared segments that are looked at in one call, about
+ROWS = 4096
 #: a class of more than one of so many rows is hot
 HOT = 1024
 #: 64-bit words of the long sketch in verification
@@ -81,12 +86,29 @@ def differences(b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def segments_of(percent: int) -> tuple[np.ndarray, ...]:
-    """(lower bounds of the bands; for each band pair: largest difference, spare segments, segments, bits that a segment must hold to stay)."""
+    """(lower bounds of the bands; for each band pair: largest difference, spare segments, segments, bits that a segment must hold to stay).
+
+    A segment must hold as many bits (3 at most) as there is a number of spare segments for, not above the others, with which most sets of
+    the pair's least size have no more small ones.  The more bits, the fewer unrelated sets agree, as those that share some shingles do in segments of
+    one or two.
+    """
     low = bands(percent)
     d = differences(low, percent)
-    more = 3 + d * SPARE // 100
-    m = d + 1 + more
-    return low, d, more, m, np.where(low[:-1] >= 5 * m, 2, 1)
+    spare, least = 3 + d // 12, np.ones(len(d), np.int64)
+    for i in np.flatnonzero((d > 0) & (low[:-1] < 1 << 20)):
+        more = np.arange(3, d[i] + 5)
+        m = d[i] + 1 + more
+        load = low[i] / m
+        for bits in (3, 2):
+            p = np.exp(-load) * sum(load**k / math.factorial(k) for k in range(bits))
+            ok = np.flatnonzero(m * p + SURE * np.sqrt(m * p * (1 - p)) <= more)
+            if len(ok):
+                spare[i], least[i] = more[ok[0]], bits
+                break
+    last = np.flatnonzero(low[:-1] < 1 << 20)[-1]
+    beyond = np.arange(len(d)) > last
+    spare[beyond], least[beyond] = d[beyond] * spare[last] // max(d[last], 1) + 3, least[last]
+    return low, d, spare, d + 1 + spare, least
 
 
 def _segments(h: np.ndarray, bounds: np.ndarray, plan: tuple[np.ndarray, ...]):
@@ -145,27 +167,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter) > 0
 
 
-def forest(sets: list[np.ndarray], left: int, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links among the sets connect; with left < len(sets), only links across that border are needed.
+def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Long parity sketches of all sets: SKETCH words each, every shingle flips one bit."""
+    out = np.zeros((len(bounds) - 1) * SKETCH, U)
+    m = mix(h)
+    np.bitwise_xor.at(out, np.repeat(np.arange(len(bounds) - 1) * SKETCH, np.diff(bounds)) + (m >> U(40)).astype(np.int64) % SKETCH, U(1) << (m & U(63)))
+    return out.reshape(-1, SKETCH)
+
+
+def _near(size: np.ndarray, sk: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Those of j that may link with i by size and sketch: the sketches differ in no more bits than linked sets do in shingles."""
+    j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+    return j[_popcount(sk[j] ^ sk[i]) <= (size[j] + size[i]) * (100 - percent) // (100 + percent)]
 
-    label: sets of one label are taken as connected already.
+
+def forest(sets: list[np.ndarray] | None, left: int, percent: int, label: np.ndarray | None = None, marks: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links among the sets connect; with left < all, only links across that border are needed.
+
+    label: sets of one label are taken as connected already.  marks: sizes and long sketches; without sets, pairs are taken as linked by these.
     """
-    n = len(sets)
-    size = np.array([len(x) for x in sets], np.int64)
-    sk = np.zeros((n, SKETCH), U)
-    for i, x in enumerate(sets):
-        m = mix(x)
-        np.bitwise_xor.at(sk[i], (m >> U(40)).astype(np.int64) % SKETCH, U(1) << (m & U(63)))
+    if marks is None:
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        marks = np.diff(bounds), sketches(np.concatenate(sets) if sets else np.zeros(0, U), bounds)
+    size, sk = marks
+    n = len(size)
     label, out = np.arange(n) if label is None else label.copy(), []
     for i in range(left):
         start = i + 1 if left == n else left
-        j = start + np.flatnonzero((label[start:] != label[i]) & (100 * np.minimum(size[start:], size[i]) >= percent * np.maximum(size[start:], size[i])))
-        if not len(j):
-            continue
-        limit = (size[j] + size[i]) * (100 - percent) // (100 + percent)
-        far = _popcount(sk[j] ^ sk[i])
-        for k in j[far <= limit].tolist():
-            if label[k] != label[i] and linked(sets[i], sets[k], percent):
+        j = start + np.flatnonzero(label[start:] != label[i])
+        for k in _near(size, sk, i, j, percent).tolist() if len(j) else ():
+            if label[k] != label[i] and (sets is None or linked(sets[i], sets[k], percent)):
                 out.append((i, k))
                 label[label == label[k]] = label[i]
     return out
@@ -177,19 +208,79 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def _parts(of: DataFrame, by: str, block: int, most: int) -> DataFrame:
-    """(by, m) where rows (by, set) need more than one block; a few rows, as each stands for a full block."""
-    m = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.octet_length("set")) / F.lit(most)))
-    return of.groupBy(by).agg(m.cast("int").alias("m")).where("m > 1")
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
 
+def _bits(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), U).reshape(-1, SKETCH)
 
-def _dealt(of: DataFrame, parts: DataFrame, by: str) -> DataFrame:
-    """Rows with the number m of blocks of theirs and their own block b."""
-    return of.join(parts, by, "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+
+def _may_link(size, bits, percent: int) -> np.ndarray:
+    """Which pairs of (sizes, sketches) may link."""
+    ok = 100 * np.minimum(*size) >= percent * np.maximum(*size)
+    return ok & (_popcount(bits[0] ^ bits[1]) <= (size[0] + size[1]) * (100 - percent) // (100 + percent))
+
+
+def _tightened(tied: DataFrame, marks: DataFrame, percent: int, block: int) -> DataFrame:
+    """Ties (a, b) among those that share a segment, (k, sig, lo), whose components hold all links and little else.
+
+    Every node's tie to the smallest of those it meets is held against the long sketches first.  Segments whose nodes are not all connected
+    by that are looked at whole, one of each set of nodes: their nodes of different classes meet, in blocks, and a forest of the pairs that may link
+    by their sketches is kept.
+    """
+    least = tied.withColumn("m", F.min("lo").over(Window.partitionBy("sig")))
+    star = least.select(F.col("sig").alias("a"), F.col("m").alias("b")).union(least.select("lo", "m")).where("a <> b").distinct()
+    ends = [marks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sk").alias(f"s{c}")) for c in "ab"]
+
+    def may(batch):
+        ok = _may_link([batch.column(f"n{c}").to_numpy() for c in "ab"], [_bits(batch.column(f"s{c}")) for c in "ab"], percent)
+        return batch.select(["a", "b"]).filter(pa.array(ok))
+
+    near = cut(map_arrow(star.join(ends[0], "a").join(ends[1], "b"), may, "a long, b long"))
+    classes = components(near)
+    named = cut(tied.select("k", F.col("sig").alias("node")).join(classes, "node", "left").select("k", "node", F.coalesce("root", "node").alias("label")).distinct())
+    whole = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")]
+    open_ = named.groupBy("k").agg(*whole, F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").dropDuplicates(["rows", "p", "q"])
+    open_ = cut(open_.select("k", "rows", F.ceil(F.col("rows") / F.lit(block)).cast("int").alias("m")))
+    groups = (open_.agg(F.sum(F.col("rows") * F.col("m"))).first()[0] or 0) // ROWS + 1  # small segments share a task's call
+    rows = named.join(open_, "k").join(marks, "node").withColumn("b", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("k", "node", "label", "n", "sk", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+
+    def look(key, rows):
+        k, x, y, b, node, label, n = (rows.column(c).to_numpy() for c in ("k", "x", "y", "b", "node", "label", "n"))
+        sk = _bits(rows.column("sk"))
+        o = np.lexsort((node, b, y, x, k))
+        new = np.ones(len(o), bool)
+        new[1:] = (k[o][1:] != k[o][:-1]) | (x[o][1:] != x[o][:-1]) | (y[o][1:] != y[o][:-1])
+        at = np.append(np.flatnonzero(new), len(o))
+        size = np.diff(at)
+        i, j = o[at[:-1][size == 2]], o[at[:-1][size == 2] + 1]
+        apart = (label[i] != label[j]) & ((x[i] == y[i]) | (b[i] != b[j]))
+        i, j = i[apart], j[apart]
+        ok = _may_link((n[i], n[j]), (sk[i], sk[j]), percent)
+        a, c = [node[i[ok]]], [node[j[ok]]]
+        for s in np.flatnonzero(size > 2).tolist():
+            of = o[at[s] : at[s + 1]]
+            _, own = np.unique(label[of], return_inverse=True)
+            found = np.array(forest(None, int((b[of] == x[of[0]]).sum()), percent, own, (n[of], sk[of])), np.int64).reshape(-1, 2)
+            a.append(node[of[found[:, 0]]])
+            c.append(node[of[found[:, 1]]])
+        return _pairs(np.concatenate(a), np.concatenate(c))
+
+    more = met.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(groups)).alias("g")).applyInArrow(look, "a long, b long")
+    return cut(near.unionByName(more).distinct())
+
+
+def _dealt(of: DataFrame, block: int, most: int) -> DataFrame:
+    """Rows (root, node, bytes) with the number m of blocks that their root's rows need and their own block b."""
+    m = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("bytes") / F.lit(most))).cast("int")
+    parts = cut(of.groupBy("root").agg(m.alias("m")).where("m > 1"))  # a few rows, as each stands for a full block
+    return of.join(parts, "root", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
 
 
 def _verified(placed: DataFrame, percent: int, block: int, most: int) -> DataFrame:
-    """Links (a, b) that connect what all links among the (root, node, set) of each root connect."""
+    """Links (a, b) that connect what all links among the (root, node, bytes, set) of each root connect."""
 
     def verify(key, rows):
         node, side, label = (rows.column(c).to_numpy() for c in ("node", "side", "label"))
@@ -198,39 +289,40 @@ def _verified(placed: DataFrame, percent: int, block: int, most: int) -> DataFra
         sets_ = [_unpack(raw[k].as_py()) for k in order.tolist()]
         left = int((side == 0).sum())
         _, label = np.unique(label[order], return_inverse=True)
-        found = forest(sets_, left, percent, label)
-        return pa.table({"a": pa.array([int(node[order[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(node[order[j]]) for _, j in found], pa.int64())})
+        found = np.array(forest(sets_, left, percent, label), np.int64).reshape(-1, 2)
+        return _pairs(node[order[found[:, 0]]], node[order[found[:, 1]]])
 
     def meet(rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.groupBy(*keys).applyInArrow(verify, "a long, b long")
-
-    parts = cut(_parts(placed, "root", block, most))
-    links = cut(meet(_dealt(placed, parts, "root").withColumns({"side": F.lit(0), "label": F.col("node")}), "root", "b"))
-    if parts.isEmpty():
+        # dealt by all keys: a join by root alone would leave the blocks of a root in one task
+        return rows.repartition(*keys).groupBy(*keys).applyInArrow(verify, "a long, b long")
+
+    own = placed.select("root", "node", "bytes")
+    sets = placed.select("node", "set")
+    dealt = _dealt(placed, block, most)
+    links = cut(meet(dealt.withColumns({"side": F.lit(0), "label": F.col("node")}), "root", "b"))
+    large = cut(_dealt(own, block, most).where("m > 1").select("root", "node", "bytes"))  # the components of several blocks
+    if large.isEmpty():
         return links
-    large = cut(placed.join(parts, "root"))  # the components of several blocks
     have = None
     while True:
-        classes = components(links)
-        named = large.join(classes, "node", "left").select(large["root"], large["node"], "set", "m", F.coalesce(classes["root"], large["node"]).alias("label"))
-        heads = named.where("node = label").drop("m")
+        classes = components(links).withColumnRenamed("root", "class")
+        named = large.join(classes, "node", "left").select("root", "node", "bytes", F.coalesce("class", "node").alias("label"))
+        heads = cut(named.where("node = label"))
         n = heads.count()
         if have is not None and n * 10 > have * 9:
             break
         have = n
-        more = meet(_dealt(heads, _parts(heads, "root", block, most), "root").withColumn("side", F.lit(0)), "root", "b")
+        more = meet(_dealt(heads, block, most).join(sets, "node").withColumn("side", F.lit(0)), "root", "b")
         links = cut(links.unionByName(more))
-    named = cut(named.drop("m"))
-    sizes = named.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label")).alias("s"), F.count("*").alias("k")).where("k > 1").select("root", F.col("s.label").alias("main"))
+    sizes = cut(named.groupBy("root", "label").agg(F.count("*").alias("n")).groupBy("root").agg(F.max(F.struct("n", "label")).alias("s"), F.count("*").alias("k")).where("k > 1").select("root", F.col("s.label").alias("main")))
     named = cut(named.join(sizes, "root"))  # of components of several classes
-    rest = named.where("label <> main")
-    x = _dealt(rest, _parts(rest, "root", block, most), "root").select("root", "node", "set", "label", F.col("b").alias("x"), F.col("m").alias("mx"))
-    y = _dealt(named, _parts(named, "root", block, most), "root").select("root", "node", "set", "label", F.col("b").alias("y"), F.col("m").alias("my"))
-    of = x.groupBy("root").agg(F.max("mx").alias("mx")).join(y.groupBy("root").agg(F.max("my").alias("my")), "root")
+    x = cut(_dealt(named.where("label <> main"), block, most).select("root", "node", "label", F.col("b").alias("x"), F.col("m").alias("mx")))
+    y = cut(_dealt(named, block, most).select("root", "node", "label", F.col("b").alias("y"), F.col("m").alias("my")))
+    of = cut(x.groupBy("root").agg(F.max("mx").alias("mx")).join(y.groupBy("root").agg(F.max("my").alias("my")), "root"))
     to = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    first = x.join(of.select("root", "my"), "root").select("root", "node", "set", "label", "x", to("my").alias("y"), F.lit(0).alias("side"))
-    second = y.join(of.select("root", "mx"), "root").select("root", "node", "set", "label", to("mx").alias("x"), "y", F.lit(1).alias("side"))
-    return links.unionByName(meet(first.unionByName(second), "root", "x", "y"))
+    first = x.join(of.select("root", "my"), "root").select("root", "node", "label", "x", to("my").alias("y"), F.lit(0).alias("side"))
+    second = y.join(of.select("root", "mx"), "root").select("root", "node", "label", to("mx").alias("x"), "y", F.lit(1).alias("side"))
+    return links.unionByName(meet(first.unionByName(second).join(sets, "node"), "root", "x", "y"))
 
 
 def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK, most: int = BLOCK_BYTES) -> DataFrame:
@@ -247,41 +339,41 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             h, bounds = sets_of(Words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True), width)
             yield i, j, h, bounds
 
-    def sketch(batch):
+    def size(batch):
+        out = [(np.diff(bounds), _signature(h, bounds), sketches(h, bounds)) for _, _, h, bounds in each(batch)]
+        n, sig, sk = (np.concatenate(x) for x in zip(*out, strict=True))
+        sk = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1, dtype=np.int32) * SKETCH * 8).tobytes()), pa.py_buffer(sk.tobytes())])
+        return pa.record_batch({"i": batch.column("i"), "n": pa.array(n), "sig": i64(sig), "sk": sk})
+
+    def keyed(batch, seen=None):
+        """The segments' keys and the sets they are of, once each in a piece, where copies are one node."""
         out = []
-        for i, j, h, bounds in each(batch):
+        for _, _, h, bounds in each(batch):
             keys, of = _segments(h, bounds, plan)
-            o = np.argsort(of, kind="stable")
-            off = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=j - i))]).astype(np.int32)
-            out.append(pa.record_batch({"i": batch.column("i")[i:j], "n": pa.array(np.diff(bounds)), "sig": i64(_signature(h, bounds)), "keys": pa.ListArray.from_arrays(pa.array(off), i64(keys[o]))}))
-        return pa.Table.from_batches(out)
-
-    nodes = cut(map_arrow(docs, sketch, "i long, n long, sig long, keys array<long>", "t"))
-    # segments that two different sets share, with the smallest of the sets
-    shared = nodes.where("n > 0").select("sig", F.explode("keys").alias("k")).groupBy("k").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("k", "lo")
-    shared = cut(shared)
-    seen = spark.sparkContext.broadcast(bloom(shared, "k", shared.count()))
-
-    def candidates(batch):
-        col = batch.column("keys")
-        off = col.offsets.to_numpy()
-        keys = u64(col.values)[off[0] : off[-1]]
-        ok = np.flatnonzero(seen.value.has(keys))
-        sig = np.repeat(u64(batch.column("sig")), np.diff(off))[ok]
-        keys = keys[ok]
-        o = np.lexsort((sig, keys))  # copies in a batch are one node
+            sig = _signature(h, bounds)[of]
+            if seen is not None:
+                ok = seen.value.has(keys)
+                keys, sig = keys[ok], sig[ok]
+            out.append((keys, sig))
+        keys, sig = (np.concatenate(x) for x in zip(*out, strict=True))
+        o = np.lexsort((sig, keys))
         new = np.ones(len(o), bool)
         new[1:] = (keys[o][1:] != keys[o][:-1]) | (sig[o][1:] != sig[o][:-1])
         return pa.record_batch({"k": i64(keys[o[new]]), "sig": i64(sig[o[new]])})
 
-    ties = map_arrow(nodes.where("n > 0").select("sig", "keys"), candidates, "k long, sig long").join(shared, "k").select("sig", "lo")
-    # a node is tied to the smallest of those it meets, and that one to the others
-    tied = cut(ties.withColumn("m", F.min("lo").over(Window.partitionBy("sig"))))
+    nodes = cut(map_arrow(docs, size, "i long, n long, sig long, sk binary", "t"))
+    # segments that two different sets share, with the smallest of the sets; keys are made again for the join, as they are as large as the texts
+    shared = map_arrow(docs, keyed, "k long, sig long", "t").groupBy("k").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("k", "lo")
+    shared = cut(shared)
+    release(spark)  # of the segments' shuffle, the largest
+    seen = spark.sparkContext.broadcast(bloom(shared, "k", shared.count()))
+    tied = cut(map_arrow(docs, lambda batch: keyed(batch, seen), "k long, sig long", "t").join(shared, "k").select("k", "sig", "lo").distinct())
     drop(shared)
-    ties = tied.select(F.col("sig").alias("a"), F.col("m").alias("b")).union(tied.select("lo", "m")).where("a <> b").distinct()
-    maybe = components(ties)  # node, root: all links lie within a root's nodes
+    marks = cut(nodes.join(tied.select("sig").distinct(), "sig", "left_semi").groupBy(F.col("sig").alias("node")).agg(F.min("n").alias("n"), F.min("sk").alias("sk")))
+    maybe = components(_tightened(tied, marks, percent, block))  # node, root: all links lie within a root's nodes
     maybe = cut(maybe)
     drop(tied)
+    drop(marks)
     release(spark)
     picked = spark.sparkContext.broadcast(bloom(maybe.select("node"), "node", maybe.count()))
 
@@ -297,7 +389,7 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.record_batch({"node": i64(np.array([x for x, _ in out], U)), "set": pa.array([x for _, x in out], pa.binary())}) if out else None
 
     sets = map_arrow(docs, whole, "node long, set binary", "t").groupBy("node").agg(F.first("set").alias("set"))
-    placed = cut(maybe.join(sets, "node").select("root", "node", "set"))
+    placed = cut(maybe.join(sets, "node").select("root", "node", F.octet_length("set").alias("bytes"), "set"))
     release(spark)
     links = _verified(placed, percent, block, most)
     groups = components(links).withColumnRenamed("root", "class")

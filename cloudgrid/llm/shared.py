@@ -103,6 +103,7 @@ def map_arrow(df: DataFrame, step, schema: str | StructType, text: str | None =
         for b in batches if text is None else (x for b in batches for x in pieces(b, text)):
             if b.num_rows and (out := step(b)) is not None and out.num_rows:
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        trim()  # the next task may run in another worker of the executor
 
     return df.mapInArrow(run, schema)
 
