@@ -9,7 +9,7 @@ whole sequence as one).  Two sets link if 100 * intersection >= percent * union.
    that a link in that band pair allows; a segment is held as the XOR of the hashes of its set bits.  By pigeonhole linked sets agree in
    s + 1 segments at least.  Segments of few set bits, in which unrelated sets agree by chance, are left out where a set has no more than s of
    them (``segments_of``); a set with more is dealt again with another seed, beside its other segments (``SEEDS`` times; then it keeps all).
-2. *join*: nodes that share a segment are tied if they may link by their sizes and long parity sketches of SKETCH words, first each to the smallest
+2. *join*: nodes that share a segment are tied if they may link by their sizes and long parity sketches (a bit for each shingle or more), first each to the smallest
    node it meets, then, in segments whose nodes that leaves apart, all of different classes (a forest of these ties, no list of pairs).
    Connected components of the ties hold all links, as a link's ends share a segment and pass the sketches.
 3. *verify*: the nodes of a component are dealt into blocks bounded in nodes and bytes.  Within a block a pair not yet connected is
@@ -43,7 +43,7 @@ BLOCK, BLOCK_BYTES = 256, 32 << 20
 ROWS = 4096
 #: a class of more than one of so many rows is hot
 HOT = 1024
-#: 64-bit words of the long sketch in verification
+#: 64-bit words of the long sketch, at least
 SKETCH = 32
 
 
@@ -167,12 +167,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter) > 0
 
 
-def sketches(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Long parity sketches of all sets: SKETCH words each, every shingle flips one bit."""
-    out = np.zeros((len(bounds) - 1) * SKETCH, U)
-    m = mix(h)
-    np.bitwise_xor.at(out, np.repeat(np.arange(len(bounds) - 1) * SKETCH, np.diff(bounds)) + (m >> U(40)).astype(np.int64) % SKETCH, U(1) << (m & U(63)))
-    return out.reshape(-1, SKETCH)
+def sketch_words(n: np.ndarray | int) -> np.ndarray:
+    """64-bit words of the long sketch of a set of n: SKETCH, doubled until it has a bit for each shingle, as fuller sketches tell nothing apart."""
+    return SKETCH << np.ceil(np.log2(np.maximum(np.asarray(n) / (64 * SKETCH), 1))).astype(np.int64)
+
+
+def sketches(h: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(long parity sketches of all sets one after another, bounds), of these numbers of words; every shingle flips one bit."""
+    at = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(at[-1], U)
+    m, n = mix(h), np.diff(bounds)
+    np.bitwise_xor.at(out, np.repeat(at[:-1], n) + ((m >> U(40)) & (np.repeat(words, n) - 1).astype(U)).astype(np.int64), U(1) << (m & U(63)))
+    return out, at
+
+
+def folded(sk: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) brought to fewer words: bits that fall on one another are added, so distances only shrink."""
+    while sk.shape[1] > words:
+        half = sk.shape[1] // 2
+        sk = sk[:, :half] ^ sk[:, half:]
+    return sk
 
 
 def _near(size: np.ndarray, sk: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
@@ -188,7 +202,8 @@ def forest(sets: list[np.ndarray] | None, left: int, percent: int, label: np.nda
     """
     if marks is None:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        marks = np.diff(bounds), sketches(np.concatenate(sets) if sets else np.zeros(0, U), bounds)
+        words = int(sketch_words(np.diff(bounds).max(initial=1)))
+        marks = np.diff(bounds), sketches(np.concatenate(sets) if sets else np.zeros(0, U), bounds, np.full(len(sets), words))[0].reshape(-1, words)
     size, sk = marks
     n = len(size)
     label, out = np.arange(n) if label is None else label.copy(), []
@@ -212,8 +227,13 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _bits(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), U).reshape(-1, SKETCH)
+def _bits(raw: list[bytes]) -> np.ndarray:
+    """Rows of sketches, all brought to the shortest's words."""
+    sizes = np.array([len(x) for x in raw])
+    if len(sizes) and (sizes != sizes.min()).any():
+        words = int(sizes.min()) // 8
+        return np.concatenate([folded(np.frombuffer(x, U)[None], words) for x in raw])
+    return np.frombuffer(b"".join(raw), U).reshape(len(raw), -1)
 
 
 def _may_link(size, bits, percent: int) -> np.ndarray:
@@ -234,7 +254,13 @@ def _tightened(tied: DataFrame, marks: DataFrame, percent: int, block: int) -> D
     ends = [marks.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sk").alias(f"s{c}")) for c in "ab"]
 
     def may(batch):
-        ok = _may_link([batch.column(f"n{c}").to_numpy() for c in "ab"], [_bits(batch.column(f"s{c}")) for c in "ab"], percent)
+        size, raw = ([batch.column(f"{x}{c}") for c in "ab"] for x in "ns")
+        size, ok = [x.to_numpy() for x in size], np.zeros(batch.num_rows, bool)
+        words = np.minimum(*(sketch_words(x) for x in size))
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            bits = [folded(np.concatenate([folded(np.frombuffer(col[k].as_py(), U)[None], w) for k in at.tolist()]), w) for col in raw]
+            ok[at] = _may_link([x[at] for x in size], bits, percent)
         return batch.select(["a", "b"]).filter(pa.array(ok))
 
     near = cut(map_arrow(star.join(ends[0], "a").join(ends[1], "b"), may, "a long, b long"))
@@ -249,7 +275,7 @@ def _tightened(tied: DataFrame, marks: DataFrame, percent: int, block: int) -> D
 
     def look(key, rows):
         k, x, y, b, node, label, n = (rows.column(c).to_numpy() for c in ("k", "x", "y", "b", "node", "label", "n"))
-        sk = _bits(rows.column("sk"))
+        sk = rows.column("sk").to_pylist()
         o = np.lexsort((node, b, y, x, k))
         new = np.ones(len(o), bool)
         new[1:] = (k[o][1:] != k[o][:-1]) | (x[o][1:] != x[o][:-1]) | (y[o][1:] != y[o][:-1])
@@ -258,12 +284,16 @@ def _tightened(tied: DataFrame, marks: DataFrame, percent: int, block: int) -> D
         i, j = o[at[:-1][size == 2]], o[at[:-1][size == 2] + 1]
         apart = (label[i] != label[j]) & ((x[i] == y[i]) | (b[i] != b[j]))
         i, j = i[apart], j[apart]
-        ok = _may_link((n[i], n[j]), (sk[i], sk[j]), percent)
+        ok = np.zeros(len(i), bool)
+        words = np.minimum(sketch_words(n[i]), sketch_words(n[j]))
+        for w in np.unique(words).tolist():
+            of = np.flatnonzero(words == w)
+            ok[of] = _may_link((n[i[of]], n[j[of]]), [np.concatenate([folded(np.frombuffer(sk[t], U)[None], w) for t in x[of].tolist()]) for x in (i, j)], percent)
         a, c = [node[i[ok]]], [node[j[ok]]]
         for s in np.flatnonzero(size > 2).tolist():
             of = o[at[s] : at[s + 1]]
             _, own = np.unique(label[of], return_inverse=True)
-            found = np.array(forest(None, int((b[of] == x[of[0]]).sum()), percent, own, (n[of], sk[of])), np.int64).reshape(-1, 2)
+            found = np.array(forest(None, int((b[of] == x[of[0]]).sum()), percent, own, (n[of], _bits([sk[t] for t in of.tolist()]))), np.int64).reshape(-1, 2)
             a.append(node[of[found[:, 0]]])
             c.append(node[of[found[:, 1]]])
         return _pairs(np.concatenate(a), np.concatenate(c))
@@ -340,9 +370,10 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield i, j, h, bounds
 
     def size(batch):
-        out = [(np.diff(bounds), _signature(h, bounds), sketches(h, bounds)) for _, _, h, bounds in each(batch)]
+        out = [(np.diff(bounds), _signature(h, bounds), sketches(h, bounds, sketch_words(np.diff(bounds)))[0]) for _, _, h, bounds in each(batch)]
         n, sig, sk = (np.concatenate(x) for x in zip(*out, strict=True))
-        sk = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1, dtype=np.int32) * SKETCH * 8).tobytes()), pa.py_buffer(sk.tobytes())])
+        at = np.concatenate([[0], np.cumsum(8 * sketch_words(n))]).astype(np.int32)
+        sk = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(sk.tobytes())])
         return pa.record_batch({"i": batch.column("i"), "n": pa.array(n), "sig": i64(sig), "sk": sk})
 
     def keyed(batch, seen=None):

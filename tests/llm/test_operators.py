@@ -198,6 +198,21 @@ def test_linked_sets_share_a_segment(percent):
     assert seen > 200 and met.sum() <= 2, met.sum()
 
 
+def test_long_sketches_tell_long_sets_apart():
+    """Linked sets pass whatever their sizes, also folded; unrelated ones don't, however long they are."""
+    r = np.random.default_rng(6)
+    for n in (30, 2000, 2600, 9000, 70_000):
+        a = np.unique(r.integers(0, 2**64, n, dtype=U))
+        near = np.sort(np.concatenate([a[n // 20 :], r.integers(0, 2**64, n // 12, dtype=U)]))
+        far = np.unique(r.integers(0, 2**64, n, dtype=U))
+        sizes = np.array([len(a), len(near), len(far)])
+        words = jaccard.sketch_words(sizes)
+        sk, at = jaccard.sketches(np.concatenate([a, near, far]), np.concatenate([[0], np.cumsum(sizes)]), words)
+        bits = jaccard._bits([sk[x:y].tobytes() for x, y in zip(at[:-1], at[1:])])
+        assert jaccard.linked(a, near, 80) and jaccard._near(sizes, bits, 0, np.array([1, 2]), 80).tolist() == [1], n
+        assert jaccard.forest([a, near, far], 3, 80) == [(0, 1)]
+
+
 def test_sets_of_few_shingles_a_segment_are_dealt_again():
     """Also where every set is taken as hollow, down to the last seed, linked sets meet."""
     low, d, spare, m, least = jaccard.segments_of(80)
@@ -337,6 +352,18 @@ def test_language_id(spark, empty):
     assert langid.predict(empty, m).count() == 0
 
 
+def test_language_id_rejects_noise(spark):
+    r = random.Random(14)
+    words = {k: ["".join(r.choices(s, k=r.randrange(2, 5))) for _ in range(60)] for k, s in {"aa": ["th", "er", "ing", "on", "at"], "bb": ["sch", "ei", "un", "ge", "ü"], "cc": ["ci", "ó", "el", "as", "que"]}.items()}
+    rows = [(i, " ".join(r.choices(words[k], k=r.randrange(5, 60))), k) for i, k in enumerate(r.choices(list(words), k=600))]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["Съешь ещё этих мягких французских булок, да выпей чаю", "qzxv wkjq pxzf vvkq zzkp", '{"x1": 12, "k_9": [3, 4], "zq": "w7"}', "这是一个中文句子，模型从未见过"]
+    new = [(1000 + i, " ".join(r.choices(words[k], k=30)), k) for i, k in enumerate(r.choices(list(words), k=200))]
+    got = langid.predict(spark.createDataFrame([(i, t, None) for i, t in enumerate(odd)] + new, "doc_id long, text string, lang string"), m).collect()
+    assert all(x._rejected for x in got if x.doc_id < 1000) and np.mean([x._rejected for x in got if x.doc_id >= 1000]) < 0.01
+    assert all(x._lang in words for x in got)
+
+
 def test_ordinal_regression(spark, empty):
     r = random.Random(6)
     rows, grades = [], []
