@@ -195,6 +195,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         changed = new.where("old <> root").limit(1).count()
         drop(labels)
         labels = new.select("u", "root")
+        release(spark)  # the rounds' plans and metrics would fill the driver
         if not changed:
             drop(one)
             return labels.withColumnRenamed("u", "node")
