@@ -400,7 +400,9 @@ def link_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = spark.sparkContext.broadcast(bloom(shared, "k", shared.count()))
     tied = cut(map_arrow(docs, lambda batch: keyed(batch, seen), "k long, sig long", "t").join(shared, "k").select("k", "sig", "lo").distinct())
     drop(shared)
-    marks = cut(nodes.join(tied.select("sig").distinct(), "sig", "left_semi").groupBy(F.col("sig").alias("node")).agg(F.min("n").alias("n"), F.min("sk").alias("sk")))
+    # copies are brought to one row in their own tasks, before any is shuffled for the join
+    one = nodes.groupBy("sig").agg(F.min("n").alias("n"), F.min("sk").alias("sk"))
+    marks = cut(one.join(tied.select("sig").distinct(), "sig", "left_semi").withColumnRenamed("sig", "node"))
     maybe = components(_tightened(tied, marks, percent, block))  # node, root: all links lie within a root's nodes
     maybe = cut(maybe)
     drop(tied)
