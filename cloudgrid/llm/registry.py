@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, langid, lm_bloom, mih, packing, quality, substring, toxicity
+from . import decontaminate, fim, html_text, jaccard, langid, licenses, lm_bloom, mih, packing, quality, resample, substring, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -76,6 +76,40 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", _fold(7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("_n_features").alias("n_features"), F.col("_weight").alias("weight"), F.col("_score").alias("score"), F.col("_rank").alias("rank"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = lambda *lists: F.array_join(F.array_sort(F.array_distinct(F.concat(*lists))), ",")
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        F.size("_base").cast("long").alias("n_base"),
+        F.array_min("_base.first").alias("first_word"),
+        F.array_max("_base.first").alias("last_word"),
+        named(F.col("_base.label")).alias("base_labels"),
+        named(F.col("_base.label"), F.col("_detections.label")).alias("labels"),
+        F.col("_score").alias("score"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id",
+        F.col("_n").alias("n"),
+        F.col("_form").alias("form"),
+        F.col("_prefix_chars").alias("prefix_chars"),
+        F.col("_middle_chars").alias("middle_chars"),
+        digest("_output").alias("output_sha256"),
+        digest(fim.restored(F.col("_output"), F.col("_form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
