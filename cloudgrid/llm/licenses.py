@@ -132,9 +132,10 @@ documentation | 2 | gfdl-1.2 | (?:gnu )?free documentation license version 1 2
 documentation | 2 | gfdl-1.3 | (?:gnu )?free documentation license version 1 3
 documentation | 4 | gfdl | (?:gnu )?free documentation licen[sc]e
 redistribution | 1 | bsd | redistribution and use in source and binary forms with or without modification are permitted
-redistributions | 1 | bsd-4-clause | all advertising materials mentioning features or use of this software must display
-contributors | 1 | bsd-3-clause | neither the name of(?: [^ ]+){1,8} nor the names of its contributors may be used to endorse or promote
-bsd | 2 | bsd-2-clause | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?
+advertising | 1 | bsd-4-clause | all advertising materials mentioning features or use of this software must display
+contributors | 1 | bsd-3-clause | neither the name of(?: \\S+){1,8} nor the names of its contributors may be used to endorse or promote
+bsd | 2 | bsd-2-clause | (?:bsd 2 clause|2 clause bsd|simplified bsd)(?: license)?
+freebsd | 2 | bsd-2-clause | freebsd license
 bsd | 2 | bsd-3-clause | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?
 bsd | 2 | bsd-4-clause | (?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?
 bsd | 2 | 0bsd | (?:bsd zero clause|zero clause bsd)(?: license)?
@@ -168,7 +169,7 @@ free | 1 | unlicense | this is free and unencumbered software released into the
 unlicense | 4 | unlicense | the unlicense
 unlicense | 3 | unlicense | unlicense org
 wtfpl | 4 | wtfpl | wtfpl
-want | 2 | wtfpl | do what the f[^ ]{0,4} you want to public license
+want | 2 | wtfpl | do what the f\\S{0,4} you want to public license
 domain | 1 | public-domain | (?:is |are )?(?:released|placed|dedicated) (?:into|in|to) the public domain
 domain | 5 | public-domain | public domain
 dedication | 1 | cc0-1.0 | cc0 1 0 universal(?: cc0 1 0)? public domain dedication
@@ -201,7 +202,7 @@ academic | 4 | afl | academic free licen[sc]e
 european | 2 | eupl-1.1 | european union public licen[sc]e(?: version| v)? ?1 1
 european | 2 | eupl-1.2 | european union public licen[sc]e(?: version| v)? ?1 2
 european | 4 | eupl | european union public licen[sc]e
-cecill | 3 | cecill-2.1 | cecill(?: version| v)? ?2 1
+cecill | 3 | cecill-2.1 | cecill(?: version| v)? 2 1
 cecill | 4 | cecill | cecill(?: [bc])?(?: free software)? licen[sc]e
 microsoft | 2 | ms-pl | microsoft public license(?: ms pl)?
 microsoft | 2 | ms-rl | microsoft reciprocal license(?: ms rl)?
@@ -224,7 +225,7 @@ sleepycat | 4 | sleepycat | sleepycat licen[sc]e
 ibm | 4 | ipl-1.0 | ibm public licen[sc]e
 apple | 2 | apsl-2.0 | apple public source license(?: version)? 2 0
 apple | 4 | apsl | apple public source licen[sc]e
-qt | 4 | qpl | q public licen[sc]e
+q | 4 | qpl | q public licen[sc]e
 server | 4 | sspl-1.0 | server side public licen[sc]e
 business | 2 | busl-1.1 | business source license(?: version)? 1 1
 business | 4 | busl | business source licen[sc]e
@@ -235,10 +236,9 @@ proprietary | 4 | proprietary | proprietary licen[sc]e
 confidential | 1 | proprietary | proprietary and confidential
 rights | 5 | copyright | all rights reserved
 copyright | 5 | copyright | copyright(?: c)? [0-9]{4}
-reuse | 5 | notice | see(?: the)? license file for
+license | 5 | notice | see(?: the)? license file for
 license | 5 | notice | see(?: the)? (?:file )?licen[sc]e(?: file)? for(?: more| further)?(?: details| information)
-eula | 4 | eula | end user licen[sc]e agreement
-agreement | 4 | eula | end user license agreement(?: eula)?
+agreement | 4 | eula | end user licen[sc]e agreement(?: eula)?
 commercial | 5 | commercial | commercial licen[sc]e
 dual | 5 | dual | dual licen[sc]ed
 """
@@ -256,7 +256,7 @@ def _families() -> list[Rule]:
     for i in _IDENTIFIERS:
         words = i.lower().replace("-", " ").replace(".", " ")
         out.append(Rule("spdx", 3, i.lower(), f"spdx license identifier {words}"))
-        out.append(Rule("licenses", 3, i.lower(), f"(?:opensource|spdx|choosealicense) (?:org|com) licenses? {words}"))
+        out.append(Rule("licenses", 3, i.lower(), f"(?:opensource|spdx|choosealicense) (?:org|com) licenses {words}"))
     long = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
     for kind in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         name = " ".join(long[k] for k in kind.split())

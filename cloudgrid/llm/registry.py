@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,8 +120,60 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 
+#: crc32 of the UTF-8 bytes of a word, by the table of its polynomial
+_CRC = """tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+byte AS (SELECT word, list_transform(range(1, len(hex(encode(word))) + 1, 2), lambda i: ('0x' || substr(hex(encode(word)), i, 2))::bigint) AS b FROM (SELECT DISTINCT word FROM words)),
+crc AS (SELECT word, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM byte, tab)"""
+
+
+def _licenses_sql() -> str:
+    """The same rules over words between three spaces each, of which a match takes two or three before and one after its words; suppression by pairs."""
+    every = [*licenses.RULES, *(licenses.Rule(p.split(" ")[0], 0, label, p) for p, label in licenses.BASE)]
+    wide = lambda body: re.sub(r" (\??)", lambda m: "(?: {2,3})?" if m[1] else " {2,3}", body) + " "
+    values = ", ".join(f"({i}, '{r.keyword}', {r.priority}, '{r.label}', '{wide(r.body)}')" for i, r in enumerate(every))
+    scores = ", ".join(map(str, licenses.SCORES))
+    return f"""
+WITH rule(i, keyword, priority, label, pat) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+t AS (SELECT r, '   ' || array_to_string(w, '   ') || '   ' AS s FROM d),
+m AS (SELECT r, i, string_split(regexp_replace(s, '(' || pat || ')', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM t JOIN rule ON contains(s, '   ' || keyword || '   ') WHERE regexp_matches(s, pat)),
+q AS (SELECT r, i, k, p[k] AS piece, len(regexp_extract_all(p[k], '[^ \x01\x02]+')) AS n FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM m)),
+f AS (SELECT *, sum(n) OVER (PARTITION BY r, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS first FROM q),
+found AS (SELECT r, i, priority, label, cast(first AS bigint) AS first, cast(first + len(regexp_extract_all(split_part(piece, chr(2), 1), '[^ \x01\x02]+')) - 1 AS bigint) AS last FROM f JOIN rule USING (i) WHERE k > 1),
+base AS (SELECT * FROM found WHERE priority = 0),
+own AS (SELECT * FROM found WHERE priority > 0),
+kept AS (SELECT * FROM own a WHERE NOT EXISTS (SELECT 1 FROM own b WHERE b.r = a.r AND b.first <= a.first AND b.last >= a.last AND b.priority <= a.priority AND (b.first < a.first OR b.last > a.last OR b.priority < a.priority OR b.i < a.i))),
+bs AS (SELECT r, count(*) AS n, min(first) AS lo, max(first) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS l FROM base GROUP BY r),
+al AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max([0.0, {scores}][priority + 1]) AS s FROM (SELECT r, label, priority FROM base UNION ALL SELECT r, label, priority FROM kept) GROUP BY r)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n, 0) AS bigint) AS n_base, lo AS first_word, hi AS last_word, coalesce(bs.l, '') AS base_labels, coalesce(al.l, '') AS labels, cast(coalesce(s, 0) AS double) AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN al USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_resampling": f"""
+WITH sw AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS word FROM documents),
+tw AS (SELECT unnest(regexp_extract_all({_LOWER}, {_ALNUM})) AS word FROM benchmark),
+words AS (SELECT word FROM sw UNION ALL SELECT word FROM tw), {_CRC},
+sk AS (SELECT k, count(*) AS s FROM sw JOIN crc USING (word) GROUP BY k),
+tk AS (SELECT k, count(*) AS t FROM tw JOIN crc USING (word) GROUP BY k),
+tot AS (SELECT (SELECT count(*) FROM sw) AS s_all, (SELECT count(*) FROM tw) AS t_all),
+g AS (SELECT k, cast(floor(1000 * ln(cast(coalesce(t, 0) + 1 AS double) * (s_all + 10000) / (cast(s + 1 AS double) * (t_all + 10000)))) AS bigint) AS gain FROM sk LEFT JOIN tk USING (k), tot),
+w AS (SELECT doc_id, count(*) AS n, cast(sum(gain) AS bigint) AS weight FROM sw JOIN crc USING (word) JOIN g USING (k) GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint AS h FROM documents LEFT JOIN w USING (doc_id)),
+s AS (SELECT *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) AS bigint) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM s WHERE n >= 20)
+SELECT doc_id, cast(n AS bigint) AS n_features, cast(weight AS bigint) AS weight, cast(score AS bigint) AS score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)""",
+        "op12_licenses": _licenses_sql(),
+        "op13_fill_in_middle": r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS x FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, ('0x' || substr(x, 1, 8))::ubigint AS h1, ('0x' || substr(x, 9, 8))::ubigint AS h2, ('0x' || substr(x, 17, 8))::ubigint AS h3, ('0x' || substr(x, 25, 8))::ubigint AS h4 FROM h),
+r AS (SELECT *, len(l) AS n, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM u),
+c AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, cast(n AS bigint) AS n, form, CASE WHEN form <> 'plain' THEN cast(length(p) AS bigint) END AS prefix_chars, CASE WHEN form <> 'plain' THEN cast(length(m) AS bigint) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c""",
         "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
