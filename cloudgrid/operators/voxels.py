@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.scalar import cell
+from ..functions.lineage import settle
+from ..functions.scalar import cell, morton
+from . import bricks
 
 CELL = ["x", "y", "z"]
 #: value of cells that are only structure
@@ -39,14 +42,58 @@ def coarser(voxels: DataFrame, by: int = 1, sums: tuple[str, ...] = ("n", "val")
     return voxels.groupBy(*[F.shiftright(a, by).alias(a) for a in CELL]).agg(*[F.sum(s).alias(s) for s in sums])
 
 
+#: levels that one sorted pass rolls up: a group of it holds 8^SPAN cells at most, so none is hot
+SPAN = 5
+
+
+def by_prefix(cells: DataFrame, span: int) -> DataFrame:
+    """Cells with ``_m``, their Morton key, and its prefixes ``_m1`` to ``_m<span>`` of 1 to ``span`` levels above, dealt to tasks by the last: whatever is grouped by any of them needs no further shuffle."""
+    keyed = cells.withColumn("_m", morton("x", "y", "z"))
+    return keyed.withColumns({f"_m{i}": F.shiftright("_m", 3 * i) for i in range(1, span + 1)}).repartition(f"_m{span}")
+
+
+def _inside(i: int, span: int):
+    """Window of the cells below one prefix; all of them share one sort, as each one's order begins with the next one's."""
+    return Window.partitionBy(*[f"_m{k}" for k in range(span, i - 1, -1)])
+
+
+def _rolled(cells: DataFrame, depth: int, top: int, sums: tuple[str, ...]) -> DataFrame:
+    """The levels depth to top of a tree from its finest cells, by one shuffle: the first cell of each prefix stands for it, with the sum over it."""
+    span = depth - top
+    if not span:
+        return cells.select(F.lit(depth).alias("lvl"), *CELL, *sums)
+    out, order = by_prefix(cells, span), [f"_m{k}" for k in range(span, 0, -1)]
+    first = Window.partitionBy(f"_m{span}").orderBy(*order[1:], "_m")
+    out = out.withColumns({f"_p{i}": F.lag(f"_m{i}").over(first) for i in range(1, span + 1)})
+    for i in range(1, span + 1):
+        out = out.withColumns({f"_{c}{i}": F.sum(c).over(_inside(i, span)) for c in sums})
+    level = lambda i: F.struct(F.lit(depth - i).alias("lvl"), *[F.shiftright(a, i).alias(a) for a in CELL], *[F.col(f"_{c}{i}" if i else c).alias(c) for c in sums])
+    begins = [level(0), *[F.when(F.col(f"_p{i}").isNull() | (F.col(f"_p{i}") != F.col(f"_m{i}")), level(i)) for i in range(1, span + 1)]]
+    return out.select(F.explode(F.filter(F.array(*begins), lambda e: e.isNotNull())).alias("_e")).select("_e.*")
+
+
+def roll_up(cells: DataFrame, depth: int, least: int, sums: tuple[str, ...] = ("n", "val")) -> DataFrame:
+    """(lvl, x, y, z, sums) of all levels from depth down to least.
+
+    ``SPAN`` levels at a time come from one shuffle by Morton prefix; where there are more, each block is a table, from whose coarsest level the next one is made.
+    """
+    out = None
+    while True:
+        top = max(least, depth - SPAN)
+        block = _rolled(cells, depth, top, sums)
+        if top > least:
+            block = settle(block)
+            cells = block.where(F.col("lvl") == top).drop("lvl")
+            block = block.where(F.col("lvl") > top)
+        out = block if out is None else out.unionByName(block)
+        if top == least:
+            return out
+        depth = top
+
+
 def octree(points: DataFrame, depth: int, least: int, value: str | None = None) -> DataFrame:
-    """All levels from depth down to least; each level is made from the one below it."""
-    v = voxelize(points, depth, value)
-    out = v.withColumn("lvl", F.lit(depth))
-    for level in range(depth - 1, least - 1, -1):
-        v = coarser(v)
-        out = out.unionByName(v.withColumn("lvl", F.lit(level)))
-    return out.select("lvl", *CELL, "n", "val")
+    """All levels from depth down to least; points are read and shuffled once, as partial sums of the finest cells."""
+    return roll_up(voxelize(points, depth, value), depth, least)
 
 
 def level_stats(tree: DataFrame) -> DataFrame:
@@ -72,13 +119,24 @@ def filter_outliers(points: DataFrame, level: int = 7, least: int = 6) -> DataFr
 
 
 def density(points: DataFrame, level: int, levels: int = 6) -> DataFrame:
-    """Own count plus 2^-i of the count of each ancestor i."""
+    """Own count plus 2^-i of the count of each ancestor i: sums over the prefixes of one sorted pass, no join.
+
+    Ancestors beyond ``SPAN`` levels up are joined from a table of the coarser levels.
+    """
     v = voxelize(points, level).select(*CELL, "n")
-    out = v.withColumn("density", F.col("n").cast("double"))
-    above = v
-    for i in range(1, levels):
-        above = coarser(above, sums=("n",))
-        up = above.select(*[F.col(a).alias(f"_{a}") for a in CELL], F.col("n").alias("_n"))
+    span = min(levels - 1, SPAN)
+    if not span:
+        return v.withColumn("density", F.col("n").cast("double"))
+    if levels - 1 > span:
+        v = settle(v)
+    near = F.col("n").cast("double")
+    out = by_prefix(v, span)
+    for i in range(1, span + 1):
+        out = out.withColumn(f"_n{i}", F.sum("n").over(_inside(i, span)))
+        near = near + F.col(f"_n{i}") * 0.5**i
+    out = out.select(*CELL, "n", near.alias("density"))
+    for i in range(span + 1, levels):
+        up = coarser(v, by=i, sums=("n",)).select(*[F.col(a).alias(f"_{a}") for a in CELL], F.col("n").alias("_n"))
         out = out.join(up, [F.shiftright(a, i) == F.col(f"_{a}") for a in CELL]).withColumn("density", F.col("density") + F.col("_n") * 0.5**i).drop("_x", "_y", "_z", "_n")
     return out
 
@@ -103,6 +161,16 @@ def neighbours(voxels: DataFrame, r: int = 1, flat: bool = False) -> DataFrame:
     return at.join(voxels.select(*[F.col(a).alias(f"n{a}") for a in CELL], F.col("val").alias("nval")), ["nx", "ny", "nz"])
 
 
+def neighbour_sums(voxels: DataFrame, r: int = 1) -> DataFrame:
+    """(x, y, z, k, total): how many cells there are about each (itself too), and their values; by bricks."""
+
+    def kernel(around):
+        there = ~np.isnan(around)
+        return {"k": there.sum(1), "total": np.where(there, around, 0.0).sum(1)}
+
+    return bricks.neighbourhoods(voxels, CELL, "val", r, kernel, "k long, total double", fill=np.nan)
+
+
 def child_parents(fine: DataFrame) -> DataFrame:
     return fine.select(*[F.shiftright(a, 1).alias(a) for a in CELL]).distinct()
 
@@ -175,27 +243,29 @@ _SIX = (("xx", "dx", "dx"), ("yy", "dy", "dy"), ("zz", "dz", "dz"), ("xy", "dx",
 
 
 def covariances(voxels: DataFrame, r: int = 2) -> DataFrame:
-    """Second moments of the neighbourhood (offsets weighted by value over squared length) and its support."""
-    n = neighbours(voxels, r)
-    l2 = F.greatest(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"), F.lit(1)).cast("double")
-    return n.groupBy(*CELL).agg(*[F.sum(F.col("nval") * F.col(a) * F.col(b) / l2).alias(c) for c, a, b in _SIX], F.sum("nval").alias("support"))
+    """Second moments of the neighbourhood (offsets weighted by value over squared length) and its support; by bricks."""
+    d = dict(zip(("dx", "dy", "dz"), bricks.offsets(3, r), strict=True))
+    l2 = np.maximum(sum(o * o for o in d.values()), 1).astype(float)
+    names = [c for c, _, _ in _SIX] + ["support"]
+    weights = np.stack([d[a] * d[b] / l2 for _, a, b in _SIX] + [np.ones(len(l2))], 1)
+    kernel = lambda around: dict(zip(names, (around @ weights).T.copy(), strict=True))
+    return bricks.neighbourhoods(voxels, CELL, "val", r, kernel, ", ".join(f"{c} double" for c in names))
 
 
 def covariances_multilevel(voxels: DataFrame, levels: int = 3, support: float = 4.0) -> DataFrame:
     """Own sums plus those of ancestors by 4^-level, where they have support; supports add up."""
-    v, total = voxels.select(*CELL, "val"), None
-    base = v.select(*CELL)
+    tree = settle(roll_up(voxels.select(*CELL, "val"), levels - 1, 0, ("val",)))  # levels by their height above the coarsest one
+    base, total = tree.where(F.col("lvl") == levels - 1).select(*CELL), None
     for i in range(levels):
-        c = covariances(v).select(*[F.col(a).alias(f"_{a}") for a in CELL], *[F.when(F.col("support") > support, F.col(k) * 0.25**i).otherwise(0.0).alias(k) for k, _, _ in _SIX], "support")
+        c = covariances(tree.where(F.col("lvl") == levels - 1 - i)).select(*[F.col(a).alias(f"_{a}") for a in CELL], *[F.when(F.col("support") > support, F.col(k) * 0.25**i).otherwise(0.0).alias(k) for k, _, _ in _SIX], "support")
         part = base.join(c, [F.shiftright(a, i) == F.col(f"_{a}") for a in CELL]).select(*CELL, *[k for k, _, _ in _SIX], "support")
         total = part if total is None else total.unionByName(part)
-        v = coarser(v, sums=("val",))
     return total.groupBy(*CELL).agg(*[F.sum(k).alias(k) for k, _, _ in _SIX], F.sum("support").alias("support"))
 
 
 def layer_support(voxels: DataFrame, r: int = 2, least: float = 40.0) -> DataFrame:
     """(x, y, z, support): the value of the (2r+1)^2 cells about each at its height, null where that is ``least`` at most."""
-    n = neighbours(voxels, r, flat=True).groupBy(*CELL).agg(F.sum("nval").alias("support"))
+    n = bricks.neighbourhoods(voxels, CELL, "val", r, lambda around: {"support": around.sum(1)}, "support double", flat="z")
     return n.select(*CELL, F.when(F.col("support") > least, F.col("support")).alias("support"))
 
 
@@ -220,12 +290,12 @@ def normals(cov: DataFrame, support: float = 4.0) -> DataFrame:
 
 def normals_multilevel(voxels: DataFrame, levels: int = 3) -> DataFrame:
     """L3: normals of ancestors added by 2^-level, scaled to length 1; null where nothing adds up."""
-    v, total, base = voxels.select(*CELL, "val"), None, voxels.select(*CELL)
+    tree = settle(roll_up(voxels.select(*CELL, "val"), levels - 1, 0, ("val",)))
+    base, total = tree.where(F.col("lvl") == levels - 1).select(*CELL), None
     for i in range(levels):
-        n = normals(covariances(v)).where("normal is not null").select(*[F.col(a).alias(f"_{a}") for a in CELL], *[(F.element_at("normal", k + 1) * 0.5**i).alias(f"n{a}") for k, a in enumerate(CELL)])
+        n = normals(covariances(tree.where(F.col("lvl") == levels - 1 - i))).where("normal is not null").select(*[F.col(a).alias(f"_{a}") for a in CELL], *[(F.element_at("normal", k + 1) * 0.5**i).alias(f"n{a}") for k, a in enumerate(CELL)])
         part = base.join(n, [F.shiftright(a, i) == F.col(f"_{a}") for a in CELL]).select(*CELL, "nx", "ny", "nz")
         total = part if total is None else total.unionByName(part)
-        v = coarser(v, sums=("val",))
     s = total.groupBy(*CELL).agg(*[F.sum(f"n{a}").alias(f"n{a}") for a in CELL])
     length = F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2)
     return s.select(*CELL, *[F.when(length > 0, F.col(f"n{a}") / length).alias(f"n{a}") for a in CELL])
@@ -236,18 +306,71 @@ RAYS = ((0, 0), (-1, -1), (1, -1), (1, 1), (-1, 1))
 STEPS, RISE = 20, 5
 
 
+#: edge of the squares of columns that a step of the sky mask takes, and bits of a word of a column
+COLUMNS, WORD = 64, 64
+
+
+def _shifted(words: np.ndarray, by: int) -> np.ndarray:
+    """Rows of words as long bit strings, moved down by ``by`` places."""
+    skip, bits = divmod(by, WORD)
+    out = np.zeros_like(words)
+    if skip < words.shape[1]:
+        out[:, : words.shape[1] - skip] = words[:, skip:] >> np.uint64(bits)
+        if bits and skip + 1 < words.shape[1]:
+            out[:, : words.shape[1] - skip - 1] |= words[:, skip + 1 :] << np.uint64(WORD - bits)
+    return out
+
+
 def visibility(voxels: DataFrame, rays=RAYS, steps: int = STEPS, rise: int = RISE) -> DataFrame:
     """Bit i of the mask falls if ray i meets a cell above.
 
-    Heights of a column are packed into runs of ``rise``: a ray's step needs one equi-join per run it touches, not one per cell.
+    A column's heights are words of bits, made by one aggregation.  Squares of columns see the columns that rays reach beyond their
+    borders (a column is in under four squares), and a step of a ray is one shift and one OR of whole columns, whatever they hold.
     """
-    col = voxels.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), F.expr(f"z div {rise}").alias("_r"))
-    probe = voxels.select(*CELL).withColumn("_i", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(rays)])))
-    probe = probe.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("_up", F.explode(F.array(F.lit(0), F.lit(1))))
-    probe = probe.select(*CELL, F.col("_i.i").alias("i"), (F.col("x") + F.col("_i.dx") * F.col("_p")).alias("_x"), (F.col("y") + F.col("_i.dy") * F.col("_p")).alias("_y"), (F.col("z") + F.col("_p") * rise).alias("_lo"), F.expr(f"(z + _p * {rise}) div {rise} + _up").alias("_r"))
-    hit = probe.join(col, ["_x", "_y", "_r"]).where(f"_z >= _lo and _z < _lo + {rise} and _z > z")
-    bits = hit.groupBy(*CELL).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("i"))).alias("_m"))
-    return voxels.select(*CELL).join(bits, CELL, "left").select(*CELL, (F.lit(255) - F.coalesce("_m", F.lit(0))).cast("int").alias("mask"))
+    word = F.floor(F.col("z") / WORD).cast("int").alias("w")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("z"), F.lit(WORD)).cast("int"))
+    columns = voxels.groupBy("x", "y", word).agg(F.bit_or(bit).alias("bits"))
+    r = (steps - 1) * max([abs(d) for ray in rays for d in ray] or [0])
+    edge = max(COLUMNS, r)
+    wide = edge + 2 * r
+
+    def one(key, at, w, bits):
+        low = int(w.min())
+        spots, row = np.unique(at, return_inverse=True)
+        words = np.zeros((len(spots) + 1, int(w.max()) - low + 1), np.uint64)  # the last row is a column without cells
+        words[row, w - low] = bits
+        x, y = spots // wide, spots % wide
+        mine = np.flatnonzero((x >= r) & (x < r + edge) & (y >= r) & (y < r + edge))
+        where = np.full(wide * wide, len(spots))
+        where[spots] = np.arange(len(spots))
+        above = np.zeros_like(words)  # bit z: a cell among the heights z + 1 to z + rise - 1; with it, z as well
+        for h in range(1, rise):
+            above |= _shifted(words, h)
+        run = words | above
+        own = words[mine]
+        # cells of the own columns: set bits, word by word
+        c, k = np.nonzero(own)
+        held = (own[c, k][:, None] >> np.arange(WORD, dtype=np.uint64) & np.uint64(1)).astype(bool)
+        e, b = np.nonzero(held)
+        c, k = c[e], k[e]
+        mask = np.full(len(c), 255, np.int32)
+        for i, (dx, dy) in enumerate(rays):
+            hit = above[mine]
+            for p in range(1, steps):
+                hit |= _shifted(run[where[(x[mine] + dx * p) * wide + y[mine] + dy * p]], rise * p)
+            mask -= ((hit[c, k] >> b.astype(np.uint64)) & np.uint64(1)).astype(np.int32) << i
+        bx, by = bricks.corner(np.array([key]), 2, edge)
+        out = [bx[0] + x[mine][c] - r, by[0] + y[mine][c] - r, (k + low) * WORD + b, mask]
+        return pa.table([pa.array(o.astype(np.int32)) for o in out], [*CELL, "mask"])
+
+    def step(table):
+        key, at, w = (table.column(n).to_numpy() for n in ("_b", "_i", "w"))
+        bits = table.column("bits").to_numpy().view(np.uint64)
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
+        starts = np.append(0, ends[:-1])
+        return pa.concat_tables([one(key[s], at[s:e], w[s:e], bits[s:e]) for s, e in zip(starts, ends, strict=True)])
+
+    return bricks.by_key(bricks.deal(columns, ["x", "y"], r, edge), step, "x int, y int, z int, mask int")
 
 
 def combine_visibility(masks: dict[int, DataFrame]) -> DataFrame:

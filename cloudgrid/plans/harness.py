@@ -312,8 +312,8 @@ _OFF = lambda r: f"off AS (SELECT cast(a.r - {r} AS int) AS dx, cast(b.r - {r} A
 
 @query(f"{VOX}, {_OFF(1)} SELECT v.x, v.y, v.z, count(*) AS k, cast(sum(u.n) AS bigint) AS total FROM vox v, off JOIN vox u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3")
 def neighbors27(spark, d):
-    n = voxels.neighbours(vox(spark, d))
-    return n.groupBy("x", "y", "z").agg(F.count("*").alias("k"), F.sum("nval").cast("long").alias("total"))
+    n = voxels.neighbour_sums(vox(spark, d))
+    return n.select("x", "y", "z", "k", F.col("total").cast("long").alias("total"))
 
 
 _TWO = f"{VOX}, fine AS (SELECT x, y, z FROM vox WHERE n >= 4), coarse AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, cast(sum(n) AS double) AS val FROM vox GROUP BY 1, 2, 3)"
@@ -365,14 +365,14 @@ def _r0(*cols):
     return [(F.round(c, 6) + 0.0).alias(c) for c in cols]
 
 
-@query(f"{VOX}, big AS (SELECT * FROM vox WHERE n >= 3), {_OFF(2)}, {_cov('big', 'c')} SELECT x, y, z, {_SIX6}, cast(support AS double) AS support FROM c")
+@query(f"{VOX}, {_OFF(2)}, {_cov('vox', 'c')} SELECT x, y, z, {_SIX6}, cast(support AS double) AS support FROM c")
 def cov_sums(spark, d):
-    return voxels.covariances(vox(spark, d).where("n >= 3")).select("x", "y", "z", *_r0("xx", "yy", "zz", "xy", "xz", "yz"), "support")
+    return voxels.covariances(vox(spark, d)).select("x", "y", "z", *_r0("xx", "yy", "zz", "xy", "xz", "yz"), "support")
 
 
-@query(f"{VOX}, b0 AS (SELECT x, y, z, n FROM vox WHERE n >= 3), b1 AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM b0 GROUP BY 1, 2, 3), {_OFF(2)}, {_cov('b0', 'c0')}, {_cov('b1', 'c1')} SELECT b.x, b.y, b.z, " + ", ".join(f"round(CASE WHEN c0.support > 4 THEN c0.{k} ELSE 0 END + CASE WHEN c1.support > 4 THEN c1.{k} * 0.25 ELSE 0 END, 6) + 0.0 AS {k}" for k, _, _ in voxels._SIX) + ", cast(c0.support + c1.support AS double) AS support FROM b0 b JOIN c0 ON c0.x = b.x AND c0.y = b.y AND c0.z = b.z JOIN c1 ON c1.x = b.x >> 1 AND c1.y = b.y >> 1 AND c1.z = b.z >> 1")
+@query(f"{VOX}, b0 AS (SELECT x, y, z, n FROM vox), b1 AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM b0 GROUP BY 1, 2, 3), {_OFF(2)}, {_cov('b0', 'c0')}, {_cov('b1', 'c1')} SELECT b.x, b.y, b.z, " + ", ".join(f"round(CASE WHEN c0.support > 4 THEN c0.{k} ELSE 0 END + CASE WHEN c1.support > 4 THEN c1.{k} * 0.25 ELSE 0 END, 6) + 0.0 AS {k}" for k, _, _ in voxels._SIX) + ", cast(c0.support + c1.support AS double) AS support FROM b0 b JOIN c0 ON c0.x = b.x AND c0.y = b.y AND c0.z = b.z JOIN c1 ON c1.x = b.x >> 1 AND c1.y = b.y >> 1 AND c1.z = b.z >> 1")
 def cov_multilevel(spark, d):
-    return voxels.covariances_multilevel(vox(spark, d).where("n >= 3"), 2).select("x", "y", "z", *_r0("xx", "yy", "zz", "xy", "xz", "yz"), "support")
+    return voxels.covariances_multilevel(vox(spark, d), 2).select("x", "y", "z", *_r0("xx", "yy", "zz", "xy", "xz", "yz"), "support")
 
 
 @query(f"{VOX}, c AS (SELECT v.x, v.y, v.z, sum(u.n) AS support FROM vox v JOIN vox u ON u.x BETWEEN v.x - 2 AND v.x + 2 AND u.y BETWEEN v.y - 2 AND v.y + 2 AND u.z = v.z GROUP BY 1, 2, 3) SELECT x, y, z, CASE WHEN support > 40 THEN cast(support AS double) END AS support FROM c")
@@ -382,13 +382,13 @@ def support_filter(spark, d):
 
 @query()
 def normals(spark, d):
-    n = voxels.normals(voxels.covariances_multilevel(vox(spark, d).where("n >= 3"), 2))
+    n = voxels.normals(voxels.covariances_multilevel(vox(spark, d), 2))
     return n.select("x", "y", "z", *[F.round(F.element_at("normal", k + 1), 6).alias(f"n{a}") for k, a in enumerate("xyz")])
 
 
 @query()
 def normals_multilevel(spark, d):
-    return voxels.normals_multilevel(vox(spark, d).where("n >= 3"), 2)
+    return voxels.normals_multilevel(vox(spark, d), 2)
 
 
 _VIS = lambda src, name: f"{name} AS (SELECT v.x, v.y, v.z, 255 - coalesce(sum(DISTINCT (1 << cast(r.i AS int))), 0) AS mask FROM {src} v LEFT JOIN (SELECT v2.x, v2.y, v2.z, r.i FROM {src} v2, r JOIN {src} u ON u.x = v2.x + r.dx * r.p AND u.y = v2.y + r.dy * r.p AND u.z >= v2.z + r.p * 5 AND u.z < v2.z + r.p * 5 + 5 AND u.z > v2.z) r ON r.x = v.x AND r.y = v.y AND r.z = v.z GROUP BY 1, 2, 3)"
@@ -402,7 +402,7 @@ def visibility_mask(spark, d):
 
 @query(f"{VOX}, {_RAYS}, up AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z FROM vox GROUP BY 1, 2, 3), {_VIS('vox', 'm0')}, {_VIS('up', 'm1')} SELECT m0.x, m0.y, m0.z, cast(m0.mask & m1.mask AS int) AS mask, (m0.mask & m1.mask) = 255 AS open FROM m0 JOIN m1 ON m1.x = m0.x >> 1 AND m1.y = m0.y >> 1 AND m1.z = m0.z >> 1")
 def visibility_combine(spark, d):
-    v = vox(spark, d)
+    v = settle(vox(spark, d))
     m = voxels.combine_visibility({0: voxels.visibility(v), 1: voxels.visibility(voxels.coarser(v))})
     return m.withColumn("open", F.col("mask") == 255)
 
@@ -723,18 +723,51 @@ def bfs_hops(spark, d):
     return graphs.hops(gedges(spark, d), 0)
 
 
-def _flow(spark, d) -> DataFrame:
-    return graphs.max_flow(gedges(spark, d).withColumn("g", F.lit(0)), "g", 0, 24)
+#: a network of orders: the source 0 to customers, customers to the suppliers of their lines, suppliers to the sink 1
+_NET = "li AS (SELECT o_custkey * 2 + 2 AS cu, l_suppkey * 2 + 3 AS su FROM lineitem JOIN orders ON o_orderkey = l_orderkey), net AS (SELECT cu AS u, su AS v, count(*) AS c FROM li GROUP BY 1, 2 UNION ALL SELECT 0, cu, (count(*) * 3 + 3) // 4 FROM li GROUP BY cu UNION ALL SELECT su, 1, CASE WHEN su % 4 = 1 THEN count(*) * 2 ELSE count(*) // 4 END FROM li GROUP BY su)"
 
 
-@query()
-def maxflow(spark, d):
-    return _flow(spark, d)
+def network(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = li.groupBy((F.col("o_custkey") * 2 + 2).cast("long").alias("u"), (F.col("l_suppkey") * 2 + 3).cast("long").alias("v")).agg(F.count("*").alias("c"))
+    lines = settle(lines)
+    give = lines.groupBy(F.col("u").alias("v")).agg(F.expr("(sum(c) * 3 + 3) div 4").alias("c")).select(F.lit(0).cast("long").alias("u"), "v", "c")
+    take = lines.groupBy(F.col("v").alias("u")).agg(F.sum("c").alias("n")).select("u", F.lit(1).cast("long").alias("v"), F.expr("CASE WHEN u % 4 = 1 THEN n * 2 ELSE n div 4 END").alias("c"))
+    return lines.unionByName(give).unionByName(take)
 
 
-@query()
+def _checks(flow: DataFrame, **exprs) -> DataFrame:
+    """A row (check, n) for each of these aggregates of one row."""
+    one = flow.agg(*[F.coalesce(e, F.lit(0)).cast("long").alias(k) for k, e in exprs.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("n")) for k in exprs])).alias("x")).select("x.*")
+
+
+@query(f"{_NET}, n AS (SELECT count(*) AS arcs, sum(c) AS c FROM net) SELECT 'arcs' AS \"check\", arcs AS n FROM n UNION ALL SELECT 'capacity', cast(c AS bigint) FROM n UNION ALL SELECT 'beyond capacity', 0 UNION ALL SELECT 'unbalanced nodes', 0 UNION ALL SELECT 'flow less cut', 0")
+def maxflow(spark, d):
+    """The flow's proof, a row for each check: its arcs are the network's, none carries too much, nodes pass on what they get, and it equals a cut."""
+    arcs = settle(network(spark, d))
+    f = settle(graphs.max_flow(arcs, 0, 1))
+    side = graphs.cut_sides(f, 0)
+    at = lambda c: side.select(F.col("node").alias(c), F.col("side").alias(f"s{c}"))
+    both = arcs.withColumnRenamed("c", "cap").join(f, ["u", "v"], "full").join(at("u"), "u", "left").join(at("v"), "v", "left")
+    value = F.sum(F.when(F.col("v") == 1, F.col("flow")))
+    cut = F.sum(F.when((F.col("su") == "S") & (F.col("sv") == "T"), F.col("cap")))
+    bad = F.col("flow").isNull() | F.col("cap").isNull() | (F.col("flow") < 0) | (F.col("flow") > F.col("cap"))
+    first = _checks(both, **{"arcs": F.count("cap"), "capacity": F.sum("cap"), "beyond capacity": F.count_if(bad), "flow less cut": value - cut})
+    ends = f.select(F.explode(F.array(F.struct(F.col("u").alias("node"), (-F.col("flow")).alias("d")), F.struct(F.col("v").alias("node"), F.col("flow").alias("d")))).alias("x")).groupBy("x.node").agg(F.sum("x.d").alias("d"))
+    return first.unionByName(_checks(ends, **{"unbalanced nodes": F.count_if((F.col("d") != 0) & ~F.col("node").isin(0, 1))}))
+
+
+@query(f"{_NET}, node AS (SELECT u AS node FROM net UNION SELECT v FROM net) SELECT 'nodes' AS \"check\", count(*) AS n FROM node UNION ALL SELECT 'source in S', 1 UNION ALL SELECT 'sink in T', 1 UNION ALL SELECT 'arcs from S to T with room', 0 UNION ALL SELECT 'arcs from T to S with flow', 0")
 def mincut_sets(spark, d):
-    return graphs.cut_sides(_flow(spark, d), 0)
+    """The cut's proof: every node has a side, and no arc between the sides could carry more to the sink."""
+    f = settle(graphs.max_flow(network(spark, d), 0, 1))
+    side = settle(graphs.cut_sides(f, 0))
+    at = lambda c: side.select(F.col("node").alias(c), F.col("side").alias(f"s{c}"))
+    both = f.join(at("u"), "u").join(at("v"), "v")
+    across = _checks(both, **{"arcs from S to T with room": F.count_if((F.col("su") == "S") & (F.col("sv") == "T") & (F.col("flow") < F.col("c"))), "arcs from T to S with flow": F.count_if((F.col("su") == "T") & (F.col("sv") == "S") & (F.col("flow") > 0))})
+    sides = _checks(side, **{"nodes": F.count_distinct("node"), "source in S": F.count_if((F.col("node") == 0) & (F.col("side") == "S")), "sink in T": F.count_if((F.col("node") == 1) & (F.col("side") == "T"))})
+    return across.unionByName(sides)
 
 
 @query(_EDGES + " SELECT 'digraph {' || chr(10) || string_agg('  ' || u || ' -> ' || v || ' [label=\"0/' || c || '\"];', chr(10) ORDER BY u, v) || chr(10) || '}' AS dot FROM e")

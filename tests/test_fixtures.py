@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudgrid.functions import scalar
-from cloudgrid.operators import graphs, images, points, surfaces, tiles3d, voxels
+from cloudgrid.operators import bricks, graphs, images, points, surfaces, tiles3d, voxels
 from cloudgrid.sources import gltf, las, raster, tileset
 from cloudgrid.streaming import counts
 
@@ -143,14 +143,166 @@ def test_shifted_image_is_found(spark):
     assert (p.dx.abs() == 5).mean() > 0.7 and (p.dy == 0).mean() > 0.7
 
 
-def test_flow_equals_cut(spark):
-    e = [(0, 1, 16), (0, 2, 13), (1, 2, 10), (2, 1, 4), (1, 3, 12), (3, 2, 9), (2, 4, 14), (4, 3, 7), (3, 5, 20), (4, 5, 4)]
-    f = graphs.max_flow(frame(spark, [(0, *x) for x in e], "g int, u int, v int, c int"), "g", 0, 5)
+def augmented(edges, s, t):
+    """Value of the largest flow, by shortest augmenting paths."""
+    left = {}
+    for u, v, c in edges:
+        left.setdefault(u, {})[v] = left.get(u, {}).get(v, 0) + c
+        left.setdefault(v, {}).setdefault(u, 0)
+    value = 0
+    while True:
+        back, queue = {s: s}, [s]
+        for u in queue:
+            for v, c in left.get(u, {}).items():
+                if c > 0 and v not in back:
+                    back[v] = u
+                    queue.append(v)
+        if t not in back:
+            return value
+        path = [t]
+        while path[-1] != s:
+            path.append(back[path[-1]])
+        steps = list(zip(path[1:], path, strict=False))
+        least = min(left[u][v] for u, v in steps)
+        for u, v in steps:
+            left[u][v] -= least
+            left[v][u] += least
+        value += least
+
+
+def proven(spark, e, s, t):
+    """The flow's value, after checks of capacity, balance and cut."""
+    f = graphs.max_flow(frame(spark, e, "u int, v int, c int"), s, t)
     r = f.toPandas()
-    assert r[r.u == 0].flow.sum() == r[r.cut].c.sum() == 23
-    sides = {x.node: x.side for x in graphs.cut_sides(f, 0).collect()}
-    assert sides[0] == "S" and sides[5] == "T" and len(sides) == 6
+    assert dict(f.dtypes) == {"u": "int", "v": "int", "c": "int", "flow": "int"} and len(r) == len(e)
+    assert ((r.flow >= 0) & (r.flow <= r.c)).all()
+    out, into = r.groupby("u").flow.sum(), r.groupby("v").flow.sum()
+    for node in set(r.u) | set(r.v):
+        if node not in (s, t):
+            assert out.get(node, 0) == into.get(node, 0)
+    side = {x.node: x.side for x in graphs.cut_sides(f, s).collect()}
+    assert side[s] == "S" and side[t] == "T" and set(side) == set(r.u) | set(r.v)
+    across = r[(r.u.map(side) == "S") & (r.v.map(side) == "T")]
+    value = into.get(t, 0) - out.get(t, 0)
+    assert value == across.c.sum()
     assert "0 -> 1" in graphs.dot(f).first().dot
+    return value
+
+
+def test_flow_of_hubs_dead_ends_and_ways_back(spark):
+    r = np.random.default_rng(5)
+    e = {(0, 1): 3}
+    for _ in range(60):
+        u, v = (int(x) for x in r.integers(0, 14, 2))
+        if u != v:
+            e[u, v] = int(r.integers(0, 9))
+    e |= {(1, k): 1 for k in range(20, 90)} | {(k, 13): 1 for k in range(20, 60)} | {(0, 1): 60, (5, 200): 4, (201, 5): 7}
+    e = [(u, v, c) for (u, v), c in e.items()]
+    assert proven(spark, e, 0, 13) == augmented(e, 0, 13) > 20
+
+
+def test_no_flow_where_nothing_leads_to_the_sink(spark):
+    assert proven(spark, [(0, 1, 5), (1, 2, 5), (3, 4, 1)], 0, 4) == 0
+
+
+# --- bricks, prefixes and columns -----------------------------------------------------------------------------------------------------
+
+
+def scattered(seed, n, span, low=0):
+    r = np.random.default_rng(seed)
+    c = np.unique(r.integers(low, low + span, (n, 3)), axis=0)
+    return {tuple(int(v) for v in row): float(k % 7 + 1) for k, row in enumerate(c)}
+
+
+def cells(spark, held):
+    return frame(spark, [(*c, v) for c, v in held.items()], "x int, y int, z int, val double").repartition(5)
+
+
+@pytest.mark.parametrize("low", [0, -21])
+def test_neighbourhoods_by_bricks_are_the_direct_ones(spark, low):
+    held = scattered(1, 3000, 40, low)
+    got = {(r.x, r.y, r.z): r for r in voxels.covariances(cells(spark, held)).collect()}
+    sums = {(r.x, r.y, r.z): (r.k, r.total) for r in voxels.neighbour_sums(cells(spark, held)).collect()}
+    assert set(got) == set(sums) == set(held)
+    around = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3)]
+    for c in list(held)[:400]:
+        near = [(d, held[t]) for d in around if (t := tuple(np.add(c, d).tolist())) in held]
+        assert got[c].support == sum(v for _, v in near)
+        for name, a, b in (("xx", 0, 0), ("yz", 1, 2), ("xz", 0, 2)):
+            assert got[c][name] == pytest.approx(sum(v * d[a] * d[b] / max(sum(q * q for q in d), 1) for d, v in near), abs=1e-9)
+        one = [v for d, v in near if max(map(abs, d)) <= 1]
+        assert sums[c] == (len(one), sum(one))
+
+
+def test_a_brick_sees_few_more_rows_than_its_own(spark):
+    full = spark.range(64**3).selectExpr("cast(id % 64 as int) x", "cast(id div 64 % 64 as int) y", "cast(id div 4096 as int) z", "1D val")
+    dealt = bricks.deal(full, ["x", "y", "z"], 2)
+    assert dealt.count() < 2 * 64**3
+    sizes = dealt.groupBy("_b").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] == 20**3 and sizes[1] == 6**3  # those beside the cube see its border
+    assert [r.n for r in voxels.neighbour_sums(full).groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()] == [8, 12 * 62, 6 * 62**2, 62**3]
+
+
+def test_median_by_squares(spark):
+    r = np.random.default_rng(2)
+    img = r.random((150, 140))
+    i = frame(spark, [(int(y), int(x), float(img[y, x])) for y in range(150) for x in range(140)], "y int, x int, v double").repartition(4)
+    got = images.median(i, 5).toPandas().set_index(["y", "x"]).v
+    for y, x in ((0, 0), (127, 127), (128, 128), (149, 139), (70, 1), (126, 130)):
+        assert got[y, x] == pytest.approx(np.median(img[max(y - 2, 0) : y + 3, max(x - 2, 0) : x + 3]))
+
+
+def test_morton_keys_hold_their_parents(spark):
+    r = np.random.default_rng(3)
+    c = r.integers(-(1 << 20), 1 << 20, (200, 3)).tolist()
+    p = frame(spark, c, "x int, y int, z int").select("x", "y", "z", scalar.morton("x", "y", "z").alias("m"), scalar.morton(F.shiftright("x", 4), F.shiftright("y", 4), F.shiftright("z", 4)).alias("up"))
+    kept = (1 << 51) - 1
+    for r in p.collect():
+        assert r.m == sum(((r.x >> k & 1) | (r.y >> k & 1) << 1 | (r.z >> k & 1) << 2) << 3 * k for k in range(21))
+        assert r.m >> 12 == r.up & kept
+
+
+def test_deep_trees_are_those_of_each_level(spark):
+    """More levels than one block takes, against a grouping of each level."""
+    r = np.random.default_rng(4)
+    pts = np.clip(np.concatenate([r.random((300, 3)), 0.3 + r.normal(0, 1e-3, (600, 3))]), 0, 0.999)
+    p = frame(spark, pts.tolist(), "x double, y double, z double").repartition(3)
+    got = {(t.lvl, t.x, t.y, t.z): (t.n, t.val) for t in voxels.octree(p, 13, 0).collect()}
+    want = {}
+    for lv in range(14):
+        for c in np.floor(pts * (1 << lv)).astype(int).tolist():
+            n, v = want.get((lv, *c), (0, 0.0))
+            want[(lv, *c)] = (n + 1, v + 1.0)
+    assert got == want
+    dens = {(t.x, t.y, t.z): t.density for t in voxels.density(p, 9, 8).collect()}
+    for c in list(dens)[:100]:
+        assert dens[c] == pytest.approx(sum(want[(9 - i, *[v >> i for v in c])][0] * 0.5**i for i in range(8)))
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_levels_come_from_one_scan_and_one_shuffle_of_points(spark):
+    p = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_quantity / 64 x", "l_discount y", "l_tax z")
+    plans = [voxels.octree(p, 6, 2), voxels.level_stats(voxels.octree(p, 6, 2)), voxels.density(p, 5)]
+    assert [scans(x) for x in plans] == [1, 1, 1]
+    # partial sums of points by cell, and cells by prefix
+    assert [x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (plans[0], plans[2])] == [2, 2]
+
+
+def test_sky_masks_by_columns_are_the_direct_ones(spark):
+    """Columns of several words, squares with halos, and cells below 0."""
+    held = set(scattered(6, 900, 30)) | {(x, y, z * 9 - 100) for x, y, z in scattered(7, 500, 50)} | {(x, y, z + 400) for x, y, z in scattered(8, 300, 100, -40)}
+    got = {(r.x, r.y, r.z): r.mask for r in voxels.visibility(cells(spark, dict.fromkeys(held, 1.0))).collect()}
+    assert set(got) == held
+    for x, y, z in held:
+        mask = 255
+        for i, (dx, dy) in enumerate(voxels.RAYS):
+            if any((x + dx * p, y + dy * p, h) in held for p in range(voxels.STEPS) for h in range(z + p * voxels.RISE, z + (p + 1) * voxels.RISE) if h > z):
+                mask -= 1 << i
+        assert got[x, y, z] == mask, (x, y, z)
+    assert voxels.visibility(cells(spark, {(0, 0, 0): 1.0}).limit(0)).collect() == []
 
 
 def test_a_chain_of_a_hundred(spark):
