@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in column functions alone.
 
 A text is reduced to its words (A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``), each between single spaces.  A rule is a keyword, a
-priority, a label and a regular expression over those words.  A text is asked which keywords it holds as words, and only the rules of
+priority, a label and a regular expression over those words.  A text is asked which keywords it holds, and only the rules of
 those are tried; the rules found are located by marking their matches and reading the marks' places off the words, so the work for a
 rule grows with the text's length, however many matches there are.
 
@@ -276,15 +276,19 @@ RULES: tuple[Rule, ...] = tuple(Rule(k, int(p), label, x) for k, p, label, x in
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: the only sign beyond ASCII whose small letter is an ASCII one, and one of no word in a rule to stand for it
+_KELVIN, _OTHER = "\u212a", "\u03a9"
 _DETECTION = "array<struct<rule:int,first:bigint,last:bigint>>"
 
 
 def normal(text: Column) -> Column:
-    """The words, lower-cased, each between single spaces: `` w0 w1 .. ``."""
+    """The words, lower-cased, each between single spaces: `` w0 w1 .. ``.
+
+    lower() is right for A-Z and much faster than translate(); what it does to letters beyond ASCII can't make up a word of a rule,
+    but for the Kelvin sign, which goes first.
+    """
     spaced = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), _BETWEEN, " ")
-    # lower() is exact where all is ASCII, and much faster
-    return F.when(F.octet_length(spaced) == F.char_length(spaced), F.lower(spaced)).otherwise(F.translate(spaced, _UPPER, _LOWER))
+    return F.lower(F.replace(spaced, F.lit(_KELVIN), F.lit(_OTHER)))
 
 
 def _located(text: Column, bodies: Column, rule: Column) -> Column:
@@ -305,7 +309,8 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keywords = sorted({r.keyword for r in every})
     text, held = F.col("_text"), F.col("_held")
     rows = docs.select(F.col(id_col), normal(F.col(text_col)).alias("_text"))
-    asked = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(text, F.concat(F.lit(" "), k, F.lit(" "))))
+    # a longer word that ends with a keyword lets its rules be tried in vain; without a space before it, texts are searched by a rarer byte
+    asked = F.array_compact(F.array(*[F.when(text.contains(k + " "), F.lit(k)) for k in keywords]))
     rows = rows.select(id_col, "_text", asked.alias("_held"))
     tried = [F.when(F.array_contains(held, r.keyword) & text.rlike(r.body + "(?= )"), F.lit(i)) for i, r in enumerate(every)]
     none = F.array().cast("array<int>")

@@ -178,9 +178,12 @@ def test_repeated_rows_and_no_rows_of_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_licenses_stay_in_the_jvm(spark, notices):
-    plan = licenses.detections(table(spark, notices[:3]))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("== Physical Plan ==")[1].split("RoundRobin")[0]
+def test_licenses_stay_in_the_jvm(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for df in (licenses.detections(docs), licenses.scan(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "InArrow", "InPandas", "ExternalRDD"))
+    assert "Exchange" not in licenses.detections(docs)._jdf.queryExecution().executedPlan().toString()
 
 
 # --- fill in the middle ---------------------------------------------------------------------------------------------------------------
