@@ -1,6 +1,8 @@
 """All registered queries of the reference's operators against their SQL in DuckDB, on the smallest tables that give rows."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -45,3 +47,13 @@ def test_entry_and_names(spark):
     found = entry.entry(spark)
     assert found.columns == ["y", "x", "v", "w"] and found.where("w = 1").count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("blocked", ["ahocorasick", "cloudgrid.llm", "corpus_pipeline"])
+def test_the_rest_stands_without(blocked):
+    """Neither a missing dependency of the training-data operators nor their absence takes other queries away."""
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len([n for n in q if not n.startswith('op') and n != 'pipeline']), 'op13_fill_in_middle' in q, 'pipeline' in q)"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120, check=True).stdout.split()
+    operators = blocked == "corpus_pipeline" and "op13_fill_in_middle" in entry.queries()
+    assert out == [str(len(harness.queries())), str(operators), "False"]
