@@ -30,17 +30,30 @@ def voxel_part(key: Column, part: str) -> Column:
     return F.shiftright(key, {"x": 0, "y": AXIS_BITS, "z": 2 * AXIS_BITS}[part]).bitwiseAND(mask).cast("int")
 
 
-def morton(x, y, z) -> Column:
-    """Interleaved bits of three indices of 21 bits each (two's complement below 0): a cell's key moved right by three bits is its parent's."""
+def interleaved(*axes) -> Column:
+    """Interleaved bits of whole numbers, the first axis lowest: of two, 31 bits each, of three 21 (two's complement below 0).
+
+    A cell's key moved right by one bit for each axis is its parent's.
+    """
+    n = len(axes)
+    bits = 63 // n
 
     def spread(c) -> Column:
-        v = (F.col(c) if isinstance(c, str) else c).cast("long").bitwiseAND(F.lit((1 << 21) - 1))
-        for half in (16, 8, 4, 2, 1):  # groups of twice that many bits part in two, so that groups lie three times their size apart
-            kept = sum(1 << (k % half + k // half * half * 3) for k in range(21))
-            v = v.bitwiseOR(F.shiftleft(v, 2 * half)).bitwiseAND(F.lit(kept))
+        v = (F.col(c) if isinstance(c, str) else c).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+        for half in (16, 8, 4, 2, 1):  # groups of twice that many bits part in two, so that groups lie n times their size apart
+            kept = sum(1 << (k % half + k // half * half * n) for k in range(bits))
+            v = v.bitwiseOR(F.shiftleft(v, (n - 1) * half)).bitwiseAND(F.lit(kept))
         return v
 
-    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1)).bitwiseOR(F.shiftleft(spread(z), 2))
+    out = spread(axes[0])
+    for k, c in enumerate(axes[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(spread(c), k))
+    return out
+
+
+def morton(x, y, z) -> Column:
+    """The key of a cell of an octree; see ``interleaved``."""
+    return interleaved(x, y, z)
 
 
 def vertex_signature(x: Column, y: Column, z: Column) -> Column:

@@ -23,9 +23,13 @@ def area(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataF
 
 
 def stride_sample(points: DataFrame, stride: int, part: str, order: list[str]) -> DataFrame:
-    """Every stride-th point of each file, by its order there (all columns, where rows have no key)."""
-    n = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return points.withColumn("_n", n).where((F.col("_n") - 1) % stride == 0).drop("_n")
+    """Every stride-th point of each file, by its order there (all columns, where rows have no key).
+
+    Points are ranked over all files, so a file's points are ordered by several tasks; a file's first rank is taken off.
+    """
+    placed = ranked(points, part, *order)
+    first = placed.groupBy(F.col(part).alias("_part")).agg(F.min("rank").alias("_first"))
+    return placed.join(first, placed[part].eqNullSafe(F.col("_part"))).where((F.col("rank") - F.col("_first")) % stride == 0).select(*points.columns)
 
 
 def ranked(rows: DataFrame, *cols: str) -> DataFrame:

@@ -7,10 +7,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .images import height_steps
+from .points import ranked
 
 #: The bit of each face direction, in the order +z, -z, +x, -x, +y, -y.
 FACE_BITS = (1, 2, 4, 8, 16, 32)
@@ -64,17 +65,10 @@ def quads(nodes: DataFrame) -> DataFrame:
 
 
 def vertices(nodes: DataFrame, size: int) -> DataFrame:
-    """Distinct corners, with positions in the unit cube; numbered in the order z, y, x.
-
-    Numbers come from one row count per z slice and a window within slices, so no task sees all vertices.
-    """
-    v = quads(nodes).select("vx", "vy", "vz").distinct()
-    n = v.groupBy("vz").agg(F.count("*").alias("n"))
-    start = n.select("vz", F.coalesce(F.sum("n").over(Window.orderBy("vz").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("vz").orderBy("vy", "vx"))
-    v = v.withColumn("r", rank).join(start, "vz")
+    """Distinct corners, with positions in the unit cube; numbered in the order z, y, x by ranges, so a flat surface is no task's alone."""
+    v = ranked(quads(nodes).select("vx", "vy", "vz").distinct(), "vz", "vy", "vx")
     g = float(size)
-    return v.select((F.col("s") + F.col("r") - 1).alias("vid"), "vx", "vy", "vz", (F.col("vx") / g).alias("x"), (F.col("vy") / g).alias("y"), (F.col("vz") / g).alias("z"))
+    return v.select(F.col("rank").alias("vid"), "vx", "vy", "vz", (F.col("vx") / g).alias("x"), (F.col("vy") / g).alias("y"), (F.col("vz") / g).alias("z"))
 
 
 def triangles(nodes: DataFrame, size: int) -> DataFrame:
@@ -90,11 +84,8 @@ def triangles(nodes: DataFrame, size: int) -> DataFrame:
 
 
 def numbered(tris: DataFrame) -> DataFrame:
-    """Triangles with ids in the order z, y, x, k, t (z slices counted first)."""
-    n = tris.groupBy("z").agg(F.count("*").alias("n"))
-    start = n.select("z", F.coalesce(F.sum("n").over(Window.orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    r = F.row_number().over(Window.partitionBy("z").orderBy("y", "x", "k", "t"))
-    return tris.withColumn("r", r).join(start, "z").select((F.col("s") + F.col("r") - 1).alias("tid"), "x", "y", "z", "k", "t", "a", "b", "c")
+    """Triangles with ids in the order z, y, x, k, t, by ranges."""
+    return ranked(tris, "z", "y", "x", "k", "t").select(F.col("rank").alias("tid"), "x", "y", "z", "k", "t", "a", "b", "c")
 
 
 def vertex_colors(verts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import scalar as S
 from ..functions.lineage import fresh, settle
 from ..operators import points, surfaces, tiles3d, voxels
 from ..sources import files as single
-from ..sources import gltf, las, raster, tileset
+from ..sources import gltf, las, raster, store, tileset
 from ..streaming import counts
 from .harness import _CORNERS, _MESH, _S, _TWO, LEVEL, MAP, PTS, _nodes, files, img, pts, query, r6, table, vox
 
@@ -62,6 +62,25 @@ def las_tile_load(spark, d):
     return las.load_tile(spark, _las(spark, d), 3, 2, 0.125, 2).select(_name(), "pt_idx", "x", "y", "z")
 
 
+def _store(spark, d) -> str:
+    """The points as a store of small files and pages, as the tables are small."""
+    at = fresh(spark, "store")
+    store.write(pts(spark, d, "inten"), at, rows=4000, page=200)
+    return at
+
+
+@query(f"{PTS} SELECT x, y, z, inten FROM pts WHERE x >= 0.25 AND x <= 0.5 AND y >= 0.125 AND y <= 0.75")
+def store_area(spark, d):
+    """A3, C2 over points in the order of a curve."""
+    return store.area(spark, _store(spark, d), 0.25, 0.125, 0.5, 0.75)
+
+
+@query(f"{PTS} SELECT x, y, z, inten FROM pts WHERE x >= 0.375 AND x <= 0.5 AND y >= 0.25 AND y <= 0.375")
+def store_tile(spark, d):
+    """X2 over points in the order of a curve."""
+    return store.tile(spark, _store(spark, d), 3, 2, 0.125)
+
+
 _GRID8 = f"{PTS}, f AS (SELECT file_id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM fpts GROUP BY file_id), t AS (SELECT a.r AS tx, b.r AS ty, a.r / 8.0::double AS x0, b.r / 8.0::double AS y0 FROM range(8) a(r), range(8) b(r)), pairs AS (SELECT file_id, cast(tx AS bigint) AS tx, cast(ty AS bigint) AS ty FROM f, t WHERE min_x <= x0 + 0.125 AND max_x >= x0 AND min_y <= y0 + 0.125 AND max_y >= y0)"
 
 

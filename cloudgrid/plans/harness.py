@@ -302,9 +302,9 @@ def density_pyramid(spark, d):
     return voxels.density(pts(spark, d), LEVEL)
 
 
-@query(f"{VOX}, a AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM vox GROUP BY 1, 2, 3), d AS (SELECT v.x, v.y, v.z, v.n + a.n * 0.5::double AS density FROM vox v JOIN a ON a.x = v.x >> 1 AND a.y = v.y >> 1 AND a.z = v.z >> 1) SELECT * FROM d WHERE density > 12")
+@query(f"{VOX}, a AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM vox GROUP BY 1, 2, 3), d AS (SELECT v.x, v.y, v.z, v.n + a.n * 0.5::double AS density FROM vox v JOIN a ON a.x = v.x >> 1 AND a.y = v.y >> 1 AND a.z = v.z >> 1) SELECT * FROM d WHERE density > 2")
 def density_threshold(spark, d):
-    return voxels.density(pts(spark, d), LEVEL, 2).drop("n").where("density > 12")
+    return voxels.density(pts(spark, d), LEVEL, 2).drop("n").where("density > 2")
 
 
 _OFF = lambda r: f"off AS (SELECT cast(a.r - {r} AS int) AS dx, cast(b.r - {r} AS int) AS dy, cast(c.r - {r} AS int) AS dz FROM range({2 * r + 1}) a(r), range({2 * r + 1}) b(r), range({2 * r + 1}) c(r))"
@@ -705,17 +705,21 @@ def trs_compose(spark, d):
 _EDGES = "ge AS (SELECT c_nationkey AS u, s_nationkey AS v, count(*) AS c FROM (SELECT o_custkey, l_suppkey FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2), e AS (SELECT cast(u AS int) AS u, cast(v AS int) AS v, cast(c AS int) AS c FROM ge WHERE u <> v)"
 
 
-def gedges(spark, d) -> DataFrame:
+def gedges(spark, d, *more: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    j = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("p")), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("u")), F.col("c_custkey") == F.col("o_custkey"))
     j = j.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("v")), F.col("s_suppkey") == F.col("l_suppkey"))
-    return j.where("u <> v").groupBy("u", "v").agg(F.count("*").cast("int").alias("c"))
+    return j.where("u <> v").groupBy("u", "v", *more).agg(F.count("*").cast("int").alias("c"))
 
 
-@query(_EDGES + " SELECT * FROM e")
+_MANY = "me AS (SELECT c_nationkey AS u, s_nationkey AS v, o_orderpriority AS p, count(*) AS c FROM (SELECT o_custkey, o_orderpriority, l_suppkey FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)"
+
+
+@query(_MANY + ", r AS (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY c, p) AS k FROM me WHERE u <> v) SELECT cast(u AS int) AS u, cast(v AS int) AS v, p, cast(c AS int) AS c FROM r WHERE k = 1")
 def graph_edges(spark, d):
-    return graphs.distinct_edges(gedges(spark, d).select("u", "v", "c"), "c")
+    """Of the edges of each priority between two nations, the least."""
+    return graphs.distinct_edges(gedges(spark, d, "p").select("u", "v", "p", "c"), "c", "p")
 
 
 @query(_EDGES + ", b AS (SELECT 0 AS node, 0 AS hop UNION SELECT e.v, hop + 1 FROM b JOIN e ON e.u = b.node WHERE hop < (SELECT count(*) FROM nation)) SELECT cast(node AS int) AS node, cast(min(hop) AS int) AS hop FROM b GROUP BY node", recursive=True)
