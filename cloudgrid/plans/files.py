@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions.lineage import fresh, settle
 from ..operators import points, surfaces, tiles3d, voxels
-from ..sources import files as single
-from ..sources import gltf, las, raster, store, tileset
+from ..sources import gltf, las, raster, store, tiff, tileset
+from ..sources import sink as single
 from ..streaming import counts
 from .harness import _CORNERS, _MESH, _S, _TWO, LEVEL, MAP, PTS, _nodes, files, img, pts, query, r6, table, vox
 
@@ -27,7 +27,7 @@ _FILES = f"{PTS}, lp AS (SELECT file_id || '.las' AS file, row_number() OVER (PA
 def _las(spark, d) -> str:
     """A folder of LAS files, one for each file_id; the points are multiples of the scale, so nothing is rounded."""
     at = fresh(spark, "las")
-    las.write_files(pts(spark, d, "inten", "file_id"), at, "file_id", _ORDER, 1 / 4096, "inten").count()
+    las.write_files(pts(spark, d, "inten", "file_id"), at, "file_id", _ORDER, 1 / 4096, "inten")
     return at
 
 
@@ -142,7 +142,7 @@ def _image_file(spark, d, name: str, make) -> DataFrame:
         v[t.column("y").to_numpy(), t.column("x").to_numpy()] = t.column("v").to_numpy()
         return pa.table({"name": pa.array([name]), "content": pa.array([make(v)], pa.binary())})
 
-    single.write_each(img(spark, d).select("y", "x", "v").groupBy(F.lit(0).alias("image")).applyInArrow(one, "name string, content binary"), at).count()
+    single.write_each(img(spark, d).select("y", "x", "v").groupBy(F.lit(0).alias("image")).applyInArrow(one, "name string, content binary"), at)
     return spark.read.format("binaryFile").load(at).where(F.col("path").endswith(name))
 
 
@@ -188,6 +188,31 @@ def png_decode(spark, d):
     return raster.read_png(_image_file(spark, d, "map.png", lambda v: raster.png_bytes(np.floor(v * 64).astype(np.uint8)[:, :, None], (0, 1, 2, 3, 4)))).select(_name(), "y", "x", "band", "v")
 
 
+def _mosaic(spark, d) -> str:
+    """The heightmap as four tiled files with two overviews."""
+    at = fresh(spark, "mosaic")
+    single.write_each(tiff.mosaic(img(spark, d), 32, 16, 2, 0.5), at)
+    return at
+
+
+@query("SELECT r || '_' || c || '.tif' AS file, cast(l AS int) AS lvl, cast(32 // (1 << l) AS int) AS width, cast(32 // (1 << l) AS int) AS height, 1 AS bands, 16 AS block_w, c * 16::double AS a, 0.5::double AS b, r * -16::double AS d, -0.5::double AS f FROM (SELECT DISTINCT (l_orderkey % 2) AS r FROM lineitem), (SELECT DISTINCT (l_orderkey % 2) AS c FROM lineitem), range(3) x(l)")
+def tiff_levels(spark, d):
+    """The levels of every file of a folder."""
+    return tiff.scan(spark, _mosaic(spark, d), levels=True).select(_name(), "lvl", "width", "height", "bands", "block_w", "a", "b", "d", "f")
+
+
+@query(f"{MAP} SELECT y // 32 || '_' || x // 32 || '.tif' AS file, cast((y % 32) // 16 AS int) AS by_, cast((x % 32) // 16 AS int) AS bx, cast(y % 32 AS int) AS y, cast(x % 32 AS int) AS x, v FROM img WHERE (y % 32) // 16 = 1")
+def tiff_blocks(spark, d):
+    """A row of blocks of every file, by byte ranges."""
+    return tiff.scan(spark, _mosaic(spark, d)).where("lvl = 0 and by = 1").select(_name(), F.col("by").alias("by_"), "bx", "y", "x", "v")
+
+
+@query(f"{MAP}, o AS (SELECT cast(a.r AS int) AS oy, cast(b.r AS int) AS ox FROM range(6) a(r), range(6) b(r)) SELECT oy, ox, coalesce(v, 0::double) AS v FROM o LEFT JOIN img ON img.x = 2 * (ox + 3) AND img.y = 32 + 2 * (oy + 2)")
+def tiff_window(spark, d):
+    """A window of one file at half its resolution comes from its first overview."""
+    return tiff.window(spark, f"{_mosaic(spark, d)}/1_0.tif", 6, 4, 18, 16, 6, 6)
+
+
 # --- text, tilesets and models ------------------------------------------------------------------------------------------------------
 
 
@@ -196,7 +221,7 @@ def text_files(spark, d):
     """Whole files as text and as bytes."""
     at = fresh(spark, "text")
     rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])).alias("t"))
-    single.write_each(rows.select(F.concat("n_regionkey", F.lit(".txt")).alias("name"), F.encode("t", "UTF-8").alias("content")), at).count()
+    single.write_each(rows.select(F.concat("n_regionkey", F.lit(".txt")).alias("name"), F.encode("t", "UTF-8").alias("content")), at)
     text = spark.read.text(at, wholetext=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), F.col("value").alias("text"))
     size = spark.read.format("binaryFile").load(at).select(_name(), "length")
     return text.join(size, "file").select("file", "text", "length")
@@ -219,7 +244,7 @@ def tileset_tiles(spark, d):
     r = r.select(F.col("r_regionkey").alias("k"), F.struct(ball("r_regionkey"), F.lit(16.0).alias("geometricError"), F.lit("ADD").alias("refine"), "children").alias("tile"))
     root = kids(r, []).select(F.to_json(F.struct(F.struct(F.lit("1.0").alias("version")).alias("asset"), F.struct(ball(""), F.lit(64.0).alias("geometricError"), F.lit("REPLACE").alias("refine"), "children").alias("root"))).alias("j"))
     at = fresh(spark, "tileset")
-    single.write_each(root.select(F.lit("tileset.json").alias("name"), F.encode("j", "UTF-8").alias("content")), at).count()
+    single.write_each(root.select(F.lit("tileset.json").alias("name"), F.encode("j", "UTF-8").alias("content")), at)
     t = tileset.read_tilesets(spark.read.format("binaryFile").load(at))
     return t.select("tile_id", "parent_id", "depth", "geo_error", "refine", "uri", F.col("bv.type").alias("kind"), F.element_at("bv.vals", 1).alias("cx"), F.element_at("bv.vals", 4).alias("radius"))
 
@@ -251,7 +276,7 @@ def _models(spark, d, end: str = "glb") -> DataFrame:
     made = settle(gltf.from_tables(*_entity_tables(spark, d)))
     packed = gltf.write_models(made) if end != "gltf" else made.select("model_id", F.encode("json", "UTF-8").alias("content"))
     packed = gltf.as_b3dm(packed) if end == "b3dm" else packed
-    single.write_each(packed.select(F.concat("model_id", F.lit(f".{end}")).alias("name"), "content"), at).count()
+    single.write_each(packed.select(F.concat("model_id", F.lit(f".{end}")).alias("name"), "content"), at)
     return settle(gltf.read_models(spark.read.format("binaryFile").load(at)).withColumn("model_id", F.substring_index("model_id", "/", -1)))
 
 
@@ -298,7 +323,7 @@ def gltf_resolve(spark, d):
     """Data URIs and names of files."""
     n = table(spark, d, "nation").select("n_name", F.concat(F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("name"), F.encode("n_name", "UTF-8").alias("content"), (F.col("n_nationkey") % 2 == 0).alias("inline"))
     at = fresh(spark, "names")
-    single.write_each(n, at).count()
+    single.write_each(n, at)
     uris = n.select(F.when(F.col("inline"), F.concat(F.lit("data:text/plain;base64,"), F.base64("content"))).otherwise(F.concat(F.lit("names/"), "name")).alias("uri"))
     return gltf.resolve(uris, spark.read.format("binaryFile").load(at)).select("uri", F.decode("content", "UTF-8").alias("text"))
 

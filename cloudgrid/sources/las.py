@@ -10,11 +10,13 @@ from the driver and the executors by path (local or mounted); a file: address is
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import struct
-import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from .sink import write_each
+
 SCHEMA = "path string, pt_idx long, x double, y double, z double, intensity int, scan_angle int"
 HEADERS = "path string, n_points long, min_x double, min_y double, max_x double, max_y double, scale struct<x:double,y:double,z:double>, offset struct<x:double,y:double,z:double>"
 #: Fixed values of the format: where a point record holds its scan angle, and how.
@@ -31,8 +35,12 @@ RANGE = 1 << 20
 
 
 def local(path: str) -> str:
-    """The path of a file: address."""
-    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+    """The path of a file: address; any other scheme is refused, as its name would pass for a folder of the worker's."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        raise ValueError(f"{path}: only local or mounted folders are read as LAS")
+    return path
 
 
 def list_files(path: str) -> list[str]:
@@ -137,7 +145,7 @@ class LasSource(DataSource):
         return (PruningLasReader if push else LasReader)(dict(self.options))
 
 
-def write_las(path: str, xyz: np.ndarray, intensity: np.ndarray | None = None, scale: float = 0.001, form: int = 0) -> None:
+def write_las(path: str | io.BytesIO, xyz: np.ndarray, intensity: np.ndarray | None = None, scale: float = 0.001, form: int = 0) -> None:
     """A small LAS 1.2 writer, for fixtures and exports of one file."""
     size = {0: 20, 1: 28, 2: 26, 3: 34}[form]
     off = np.floor(xyz.min(0))
@@ -153,7 +161,7 @@ def write_las(path: str, xyz: np.ndarray, intensity: np.ndarray | None = None, s
     struct.pack_into("<HI", h, 105, size, len(xyz))
     struct.pack_into("<6d", h, 131, scale, scale, scale, *off)
     struct.pack_into("<6d", h, 179, hi[0], lo[0], hi[1], lo[1], hi[2], lo[2])
-    with open(path, "wb") as f:
+    with open(path, "wb") if isinstance(path, str) else nullcontext(path) as f:
         f.write(bytes(h) + rec.tobytes())
 
 
@@ -181,19 +189,13 @@ def load_tile(spark: SparkSession, path: str, tx: int, ty: int, edge: float, str
     return P.tile_points(scan(spark, path), pairs, tx, ty, edge, "path", "pt_idx", stride)
 
 
-def write_files(points: DataFrame, folder: str, file: str, order: list[str], scale: float = 0.001, intensity: str | None = None) -> DataFrame:
-    """Points (x, y, z) as one LAS file for each value of a column, <value>.las, in an order; (file, n) is returned.
-
-    A file is written under another name and moved when it is whole, so a task that runs again replaces it.  Files are as large as their groups.
-    """
-    at = local(folder)
+def write_files(points: DataFrame, folder: str, file: str, order: list[str], scale: float = 0.001, intensity: str | None = None) -> None:
+    """Points (x, y, z) as one LAS file for each value of a column, <value>.las, in an order, through the sink with commit.  Files are as large as their groups."""
 
     def one(key, t):
-        os.makedirs(at, exist_ok=True)
         t = t.sort_by([(c, "ascending") for c in order])
-        name, tmp = f"{at}/{key[0].as_py()}.las", f"{at}/.{uuid.uuid4().hex}"
-        write_las(tmp, np.stack([t.column(a).to_numpy() for a in "xyz"], 1), None if intensity is None else t.column(intensity).to_numpy() % 65536, scale)
-        os.replace(tmp, name)
-        return pa.table({"file": pa.array([str(key[0].as_py())]), "n": pa.array([t.num_rows])})
+        out = io.BytesIO()
+        write_las(out, np.stack([t.column(a).to_numpy() for a in "xyz"], 1), None if intensity is None else t.column(intensity).to_numpy() % 65536, scale)
+        return pa.table({"name": pa.array([f"{key[0].as_py()}.las"]), "content": pa.array([out.getvalue()], pa.binary())})
 
-    return points.groupBy(F.col(file)).applyInArrow(one, "file string, n long")
+    write_each(points.groupBy(F.col(file)).applyInArrow(one, "name string, content binary"), folder)

@@ -26,25 +26,31 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 _KINDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 12: (8, "d")}
 
 
-def _directories(data: bytes) -> tuple[str, list[dict]]:
-    """(byte order, the tags of each image directory: the raster, then its overviews)."""
-    end = "<" if data[:2] == b"II" else ">"
-    if data[:2] not in (b"II", b"MM") or struct.unpack_from(end + "H", data, 2)[0] != 42:
+def directories(read) -> tuple[str, list[dict]]:
+    """(byte order, the tags of each image directory: the raster, then its overviews); ``read(at, n)`` gives n bytes of the file, or what there is of them."""
+    head = read(0, 8)
+    end = "<" if head[:2] == b"II" else ">"
+    if head[:2] not in (b"II", b"MM") or len(head) < 8 or struct.unpack_from(end + "H", head, 2)[0] != 42:
         raise ValueError("no TIFF")
-    at, out = struct.unpack_from(end + "I", data, 4)[0], []
+    at, out = struct.unpack_from(end + "I", head, 4)[0], []
     while at and len(out) < 64:
-        tags, n = {}, struct.unpack_from(end + "H", data, at)[0]
+        tags, n = {}, struct.unpack(end + "H", read(at, 2))[0]
+        body = read(at + 2, 12 * n + 4)
         for k in range(n):
-            tag, kind, count = struct.unpack_from(end + "2HI", data, at + 2 + 12 * k)
+            tag, kind, count = struct.unpack_from(end + "2HI", body, 12 * k)
             size, code = _KINDS.get(kind, (0, ""))
             if size:
-                where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(end + "I", data, at + 10 + 12 * k)[0]
-                tags[tag] = struct.unpack_from(f"{end}{count}{code}", data, where)
+                held = body[12 * k + 8 : 12 * k + 12] if size * count <= 4 else read(struct.unpack_from(end + "I", body, 12 * k + 8)[0], size * count)
+                tags[tag] = struct.unpack_from(f"{end}{count}{code}", held)
         out.append(tags)
-        at = struct.unpack_from(end + "I", data, at + 2 + 12 * n)[0] if at + 6 + 12 * n <= len(data) else 0
+        at = struct.unpack_from(end + "I", body, 12 * n)[0] if len(body) >= 12 * n + 4 else 0
     return end, out
 
 
+def _directories(data: bytes) -> tuple[str, list[dict]]:
+    return directories(lambda at, n: data[at : at + n])
+
+
 def tiff_meta(data: bytes) -> tuple:
     """(width, height, bands, bits, a..f, levels, block width, block height) of a TIFF; its geotransform is that of scale and tie point, its
     levels are its directories, and its blocks are tiles, or strips of whole rows."""
@@ -71,7 +77,7 @@ def tiff_pixels(data: bytes, level: int = 0) -> np.ndarray:
     end, ifds = _directories(data)
     tags = ifds[level]
     if tags.get(259, (1,))[0] != 1 or 273 not in tags:
-        raise ValueError("only uncompressed strips are read")
+        raise ValueError("only uncompressed strips are read from bytes; the tiff source reads blocks")
     w, h, bands, bits = tags[256][0], tags[257][0], tags.get(277, (1,))[0], tags.get(258, (8,))[0]
     kind = {(8, 1): "u1", (16, 2): "i2", (16, 1): "u2", (32, 3): "f4"}.get((bits, tags.get(339, (1,))[0]))
     if kind is None:
