@@ -310,7 +310,7 @@ def density_threshold(spark, d):
 _OFF = lambda r: f"off AS (SELECT cast(a.r - {r} AS int) AS dx, cast(b.r - {r} AS int) AS dy, cast(c.r - {r} AS int) AS dz FROM range({2 * r + 1}) a(r), range({2 * r + 1}) b(r), range({2 * r + 1}) c(r))"
 
 
-@query(f"{VOX}, {_OFF(1)} SELECT v.x, v.y, v.z, count(*) AS k, cast(sum(u.n) AS bigint) AS total FROM vox v, off JOIN vox u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3")
+@query(f"{VOX}, {_OFF(1)} SELECT v.x, v.y, v.z, count(*) AS k, cast(sum(u.n) AS bigint) AS total FROM (SELECT * FROM vox CROSS JOIN off) v JOIN vox u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3")
 def neighbors27(spark, d):
     n = voxels.neighbour_sums(vox(spark, d))
     return n.select("x", "y", "z", "k", F.col("total").cast("long").alias("total"))
@@ -355,7 +355,7 @@ def node_centers(spark, d):
 
 
 def _cov(src: str, name: str, r: int = 2) -> str:
-    return f"{name} AS (SELECT v.x, v.y, v.z, " + ", ".join(f"sum(u.n * {a} * {b} / cast(greatest(dx * dx + dy * dy + dz * dz, 1) AS double)) AS {k}" for k, a, b in voxels._SIX) + f", sum(u.n) AS support FROM {src} v, off JOIN {src} u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3)"
+    return f"{name} AS (SELECT v.x, v.y, v.z, " + ", ".join(f"sum(u.n * {a} * {b} / cast(greatest(dx * dx + dy * dy + dz * dz, 1) AS double)) AS {k}" for k, a, b in voxels._SIX) + f", sum(u.n) AS support FROM (SELECT * FROM {src} CROSS JOIN off) v JOIN {src} u ON u.x = v.x + dx AND u.y = v.y + dy AND u.z = v.z + dz GROUP BY 1, 2, 3)"
 
 
 _SIX6 = ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k, _, _ in voxels._SIX)
@@ -391,7 +391,7 @@ def normals_multilevel(spark, d):
     return voxels.normals_multilevel(vox(spark, d), 2)
 
 
-_VIS = lambda src, name: f"{name} AS (SELECT v.x, v.y, v.z, 255 - coalesce(sum(DISTINCT (1 << cast(r.i AS int))), 0) AS mask FROM {src} v LEFT JOIN (SELECT v2.x, v2.y, v2.z, r.i FROM {src} v2, r JOIN {src} u ON u.x = v2.x + r.dx * r.p AND u.y = v2.y + r.dy * r.p AND u.z >= v2.z + r.p * 5 AND u.z < v2.z + r.p * 5 + 5 AND u.z > v2.z) r ON r.x = v.x AND r.y = v.y AND r.z = v.z GROUP BY 1, 2, 3)"
+_VIS = lambda src, name: f"{name} AS (SELECT v.x, v.y, v.z, 255 - coalesce(sum(DISTINCT (1 << cast(r.i AS int))), 0) AS mask FROM {src} v LEFT JOIN (SELECT v2.x, v2.y, v2.z, v2.i FROM (SELECT x, y, z, i, x + dx * p AS ux, y + dy * p AS uy, z + p * 5 + h AS uz FROM {src} CROSS JOIN r CROSS JOIN range(5) t(h)) v2 JOIN {src} u ON u.x = ux AND u.y = uy AND u.z = uz WHERE uz > v2.z) r ON r.x = v.x AND r.y = v.y AND r.z = v.z GROUP BY 1, 2, 3)"
 _RAYS = "r AS (SELECT i, dx, dy, p.r AS p FROM (VALUES (0, 0, 0), (1, -1, -1), (2, 1, -1), (3, 1, 1), (4, -1, 1)) t(i, dx, dy), range(20) p(r))"
 
 
