@@ -386,6 +386,27 @@ def normals(spark, d):
     return n.select("x", "y", "z", *[F.round(F.element_at("normal", k + 1), 6).alias(f"n{a}") for k, a in enumerate("xyz")])
 
 
+#: moments of two levels as ``cov_multilevel`` has them, and the eigenvalues of a symmetric matrix by its characteristic cubic
+_EIGEN = f"{VOX}, b1 AS (SELECT x >> 1 AS x, y >> 1 AS y, z >> 1 AS z, sum(n) AS n FROM vox GROUP BY 1, 2, 3), {_OFF(2)}, {_cov('vox', 'c0')}, {_cov('b1', 'c1')}, m AS (SELECT c0.x, c0.y, c0.z, c0.support + c1.support AS support, " + ", ".join(f"CASE WHEN c0.support > 4 THEN c0.{k} ELSE 0 END + CASE WHEN c1.support > 4 THEN c1.{k} * 0.25 ELSE 0 END AS {k}" for k, _, _ in voxels._SIX) + " FROM c0 JOIN c1 ON c1.x = c0.x >> 1 AND c1.y = c0.y >> 1 AND c1.z = c0.z >> 1), q AS (SELECT *, (xx + yy + zz) / 3 AS mid FROM m), s AS (SELECT *, sqrt(((xx - mid) ** 2 + (yy - mid) ** 2 + (zz - mid) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q), t AS (SELECT *, CASE WHEN p > 0 THEN acos(least(greatest((((xx - mid) * ((yy - mid) * (zz - mid) - yz * yz) - xy * (xy * (zz - mid) - yz * xz) + xz * (xy * yz - (yy - mid) * xz)) / (p * p * p)) / 2, -1), 1)) / 3 END AS phi FROM s), e AS (SELECT *, mid + 2 * p * cos(phi) AS high, mid + 2 * p * cos(phi + 2 * pi() / 3) AS low FROM t)"
+
+
+@query(f"{_EIGEN} SELECT x, y, z, support > 4 AND p > 0 AND coalesce(3 * mid - high - 2 * low > 1e-6 * greatest(high, 1e-30), FALSE) AS determined, TRUE AS proper FROM e")
+def normals_proven(spark, d):
+    """L1, L2: which cells have a normal, and that it is one: of length 1, its largest component positive, and an eigenvector of the moments (residual by the least eigenvalue, as Rayleigh's quotient has it)."""
+    moments = settle(voxels.covariances_multilevel(vox(spark, d), 2))
+    n = voxels.normals(moments).select("x", "y", "z", "normal").join(moments, ["x", "y", "z"])
+    v = [F.element_at("normal", k + 1) for k in range(3)]
+    rows = [("xx", "xy", "xz"), ("xy", "yy", "yz"), ("xz", "yz", "zz")]
+    image = [sum((F.col(c) * x for c, x in zip(r[1:], v[1:], strict=True)), F.col(r[0]) * v[0]) for r in rows]
+    least = sum((a * b for a, b in zip(image[1:], v[1:], strict=True)), image[0] * v[0])
+    scale = F.col("xx") + F.col("yy") + F.col("zz")
+    apart = F.greatest(*[F.abs(a - least * b) for a, b in zip(image, v, strict=True)]) <= 1e-9 * scale
+    unit = F.abs(sum((x * x for x in v[1:]), v[0] * v[0]) - 1) <= 1e-9
+    lead = F.greatest(*v) >= F.greatest(*[-x for x in v]) - 1e-9
+    lowest = least <= scale / 3 + 1e-9 * scale
+    return n.select("x", "y", "z", F.col("normal").isNotNull().alias("determined"), F.coalesce(apart & unit & lead & lowest, F.lit(True)).alias("proper"))
+
+
 @query()
 def normals_multilevel(spark, d):
     return voxels.normals_multilevel(vox(spark, d), 2)
