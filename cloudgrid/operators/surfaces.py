@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settle
 from .images import height_steps
 from .points import ranked
 
@@ -100,12 +101,17 @@ def slots(tris: DataFrame, adjacency: str = "last") -> DataFrame:
     return v.groupBy("vid", "k", "t").agg(F.max("tid").alias("tid")) if adjacency == "last" else v.select("vid", "k", "t", "tid")
 
 
+def corners_beside(slot: DataFrame, tris: DataFrame) -> DataFrame:
+    """(vid, o, m): the corners of a vertex's slots' triangles, with how often each counts."""
+    return slot.select("vid", "tid").join(tris.select("tid", F.explode(F.array("a", "b", "c")).alias("o")), "tid").groupBy("vid", "o").agg(F.count("*").alias("m"))
+
+
 def smooth(verts: DataFrame, slot: DataFrame, tris: DataFrame, alpha: float = 0.98, rounds: int = 1) -> DataFrame:
-    """v' = alpha v + (1 - alpha) mean of its slots' triangles' corners, all at once in a round.
+    """v' = alpha v + (1 - alpha) mean of its slots' triangles' corners, all at once in a round; a few rounds, each a join.
 
-    The corner lists don't change, so they are made once: a vertex with its corners and their counts.
+    The corner lists don't change, so they are made once.
     """
-    near = slot.select("vid", "tid").join(tris.select("tid", F.explode(F.array("a", "b", "c")).alias("o")), "tid").groupBy("vid", "o").agg(F.count("*").alias("m"))
+    near = corners_beside(slot, tris)
     v = verts.select("vid", "x", "y", "z")
     for _ in range(rounds):
         o = v.select(F.col("vid").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
@@ -114,27 +120,55 @@ def smooth(verts: DataFrame, slot: DataFrame, tris: DataFrame, alpha: float = 0.
     return v
 
 
-def smooth_tiles(verts: DataFrame, edges: DataFrame, tile: str, alpha: float = 0.98, rounds: int = 200) -> DataFrame:
-    """J1 for many rounds: a tile's mesh (with its halo) is smoothed in one array program.
+def mesh_tiles(verts: DataFrame, near: DataFrame, cells: int, rings: int) -> DataFrame:
+    """(tile, vid, ring): the vertices of each cube of ``cells`` grid cells, ring 0, and those that their corner lists reach in up to ``rings`` steps.
 
-    ``verts``: tile, vid, x, y, z, own; ``edges``: tile, vid, o, m.  Rows that are not ``own`` are halo and are not returned.
+    A tile's own corners are distinct places of the grid, so it holds (cells)^3 of them at most; its halo grows with the rings.
     """
-
-    def one(key, v, e):
-        ids = v.column("vid").to_numpy()
-        order = np.argsort(ids)
-        at = lambda c: order[np.searchsorted(ids[order], c)]
-        p = np.stack([v.column(a).to_numpy() for a in "xyz"], 1).copy()
-        i, o, m = at(e.column("vid").to_numpy()), at(e.column("o").to_numpy()), e.column("m").to_numpy().astype(float)
-        total = np.bincount(i, m, len(ids))
-        for _ in range(rounds):
-            s = np.stack([np.bincount(i, m * p[o, a], len(ids)) for a in range(3)], 1)
-            p = np.where(total[:, None] > 0, alpha * p + (1 - alpha) * s / np.maximum(total, 1)[:, None], p)
-        own = v.column("own").to_numpy(zero_copy_only=False)
-        return pa.table({tile: v.column(tile), "vid": v.column("vid"), "x": pa.array(p[:, 0]), "y": pa.array(p[:, 1]), "z": pa.array(p[:, 2])}).filter(pa.array(own))
-
-    kind = dict(verts.dtypes)[tile]
-    return verts.groupBy(tile).cogroup(edges.groupBy(tile)).applyInArrow(one, f"{tile} {kind}, vid long, x double, y double, z double")
+    tile = F.concat_ws(",", *[F.floor(F.col(c) / cells) for c in ("vx", "vy", "vz")])
+    last = settle(verts.select(tile.alias("tile"), "vid", F.lit(0).alias("ring")))
+    held = last
+    for ring in range(1, rings + 1):
+        step = last.select("tile", "vid").join(near, "vid").select("tile", F.col("o").alias("vid"), F.lit(ring).alias("ring")).distinct()
+        last = settle(step.join(held.select("tile", "vid"), ["tile", "vid"], "left_anti"))
+        held = held.unionByName(last)
+    return settle(held)
+
+
+def smooth_tiles(verts: DataFrame, slot: DataFrame, tris: DataFrame, alpha: float = 0.98, rounds: int = 200, cells: int = 32, rings: int = 10) -> DataFrame:
+    """J1 for many rounds: (vid, x, y, z) after ``rounds`` rounds, ``rings`` at a time.
+
+    A tile of the mesh with a halo of that many rings makes its rounds in one array program, after which its own vertices are right
+    and the halo, whose borders lack neighbours, is taken from the tiles it belongs to; so 200 rounds are 20 exchanges of vertices.
+    ``verts``: vid, vx, vy, vz (places on the grid) and x, y, z.
+    """
+    near = settle(corners_beside(slot, tris))
+    tiles = mesh_tiles(verts, near, cells, rings)
+    edges = settle(tiles.select("tile", "vid").join(near, "vid").join(tiles.select("tile", F.col("vid").alias("o")), ["tile", "o"]).select("tile", "vid", "o", "m"))
+    whole = near.groupBy("vid").agg(F.sum("m").alias("total"))
+    member = settle(tiles.join(whole, "vid", "left").select("tile", "vid", (F.col("ring") == 0).alias("own"), F.coalesce("total", F.lit(0)).alias("total")))
+
+    def one(steps: int):
+        def run(key, v, e):
+            ids = v.column("vid").to_numpy()
+            order = np.argsort(ids)
+            at = lambda c: order[np.searchsorted(ids[order], c)]
+            p = np.stack([v.column(a).to_numpy() for a in "xyz"], 1).copy()
+            i, o, m = at(e.column("vid").to_numpy()), at(e.column("o").to_numpy()), e.column("m").to_numpy().astype(float)
+            total = v.column("total").to_numpy().astype(float)  # at the halo's border some neighbours are missing; what comes of it stays in the halo
+            for _ in range(steps):
+                s = np.stack([np.bincount(i, m * p[o, a], len(ids)) for a in range(3)], 1)
+                p = np.where(total[:, None] > 0, alpha * p + (1 - alpha) * s / np.maximum(total, 1)[:, None], p)
+            own = v.column("own").to_numpy(zero_copy_only=False)
+            return pa.table({"vid": v.column("vid"), "x": pa.array(p[:, 0]), "y": pa.array(p[:, 1]), "z": pa.array(p[:, 2])}).filter(pa.array(own))
+
+        return run
+
+    v = verts.select(F.col("vid").cast("long").alias("vid"), "x", "y", "z")
+    for done in range(0, rounds, rings):
+        here = member.join(v, "vid")
+        v = settle(here.groupBy("tile").cogroup(edges.groupBy("tile")).applyInArrow(one(min(rings, rounds - done)), "vid long, x double, y double, z double"))
+    return v
 
 
 def wireframe(tris: DataFrame) -> DataFrame:

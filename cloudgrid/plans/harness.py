@@ -588,6 +588,18 @@ def smooth2(spark, d):
     return surfaces.smooth(surfaces.vertices(n, _S), surfaces.slots(t), t, 0.98, 2).select("vid", *[F.floor(F.col(a) * 100000 + 0.37).alias(a) for a in "xyz"])
 
 
+_NEAR = f"{_SLOT}, near AS MATERIALIZED (SELECT vid, o, count(*) AS m FROM (SELECT s.vid, unnest([a, b, c]) AS o FROM slot s JOIN tri USING (tid)) GROUP BY vid, o), deg AS MATERIALIZED (SELECT vid, sum(m) AS t FROM near GROUP BY vid)"
+
+
+@query(f"{_NEAR}, go AS (SELECT 0 AS k, vid, x, y, z FROM vert UNION ALL SELECT any_value(g.k) + 1, n.vid, " + ", ".join(f"0.98 * sum(CASE WHEN n.o = -1 THEN g.{a} ELSE 0 END) + 0.02 * sum(CASE WHEN n.o = -1 THEN 0 ELSE n.m * g.{a} END) / any_value(d.t)" for a in "xyz") + " FROM (SELECT vid, o, m, o AS src FROM near UNION ALL SELECT vid, -1, 0, vid FROM deg) n JOIN go g ON g.vid = n.src JOIN deg d ON d.vid = n.vid WHERE g.k < 200 GROUP BY n.vid) SELECT vid, cast(floor(x * 100000 + 0.37) AS bigint) AS x, cast(floor(y * 100000 + 0.37) AS bigint) AS y, cast(floor(z * 100000 + 0.37) AS bigint) AS z FROM go WHERE k = 200", recursive=True)
+def smooth200(spark, d):
+    """J1 with all its rounds, by tiles with halos."""
+    n = _nodes(spark, d)
+    t = settle(surfaces.numbered(surfaces.triangles(n, _S)))
+    done = surfaces.smooth_tiles(settle(surfaces.vertices(n, _S)), surfaces.slots(t), t, 0.98, 200, cells=8, rings=25)
+    return done.select("vid", *[F.floor(F.col(a) * 100000 + 0.37).alias(a) for a in "xyz"])
+
+
 @query(f"{_MESH} SELECT tid, a AS u, b AS v FROM tri UNION ALL SELECT tid, b, c FROM tri UNION ALL SELECT tid, c, a FROM tri")
 def wireframe(spark, d):
     return surfaces.wireframe(settle(surfaces.numbered(surfaces.triangles(_nodes(spark, d), _S))))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudgrid.functions import scalar
+from cloudgrid.functions.lineage import settle
 from cloudgrid.operators import bricks, graphs, images, points, surfaces, tiles3d, voxels
 from cloudgrid.sources import gltf, las, raster, tileset
 from cloudgrid.streaming import counts
@@ -127,13 +128,23 @@ def test_pillar_mesh_is_closed_at_its_sides(spark):
 
 
 def test_long_smoothing_equals_rounds(spark):
-    n = surfaces.surface_nodes(points.grid(spark, 4, 4).withColumn("v", (F.col("x") * F.col("y")) / 16.0), 4)
-    t = surfaces.numbered(surfaces.triangles(n, 4))
-    v, s = surfaces.vertices(n, 4), surfaces.slots(t)
-    near = s.select("vid", "tid").join(t.select("tid", F.explode(F.array("a", "b", "c")).alias("o")), "tid").groupBy("vid", "o").agg(F.count("*").alias("m"))
-    one = surfaces.smooth(v, s, t, 0.9, 2).orderBy("vid").toPandas()
-    two = surfaces.smooth_tiles(v.selectExpr("0 tile", "vid", "x", "y", "z", "true own"), near.selectExpr("0 tile", "vid", "o", "m"), "tile", 0.9, 2).orderBy("vid").toPandas()
-    assert np.allclose(one[["x", "y", "z"]], two[["x", "y", "z"]])
+    """Tiles with halos, several exchanges and a last one of fewer rounds, against a round at a time."""
+    n = surfaces.surface_nodes(points.grid(spark, 9, 9).withColumn("v", (F.col("x") * F.col("y")) / 64.0), 9)
+    t = settle(surfaces.numbered(surfaces.triangles(n, 9)))
+    v, s = settle(surfaces.vertices(n, 9)), surfaces.slots(t)
+    near = surfaces.corners_beside(s, t).toPandas()
+    p = v.orderBy("vid").toPandas()
+    now, ids = p[["x", "y", "z"]].to_numpy(), p.vid.to_numpy()
+    weight = np.zeros((len(ids), len(ids)))
+    weight[np.searchsorted(ids, near.vid), np.searchsorted(ids, near.o)] = near.m
+    weight /= weight.sum(1, keepdims=True)
+    for _ in range(7):
+        now = 0.9 * now + 0.1 * weight @ now
+    tiled = surfaces.smooth_tiles(v, s, t, 0.9, 7, cells=4, rings=3).orderBy("vid").toPandas()
+    assert (tiled.vid == ids).all() and np.allclose(tiled[["x", "y", "z"]], now, atol=1e-12)
+    two = surfaces.smooth(v, s, t, 0.9, 2).orderBy("vid").toPandas()
+    assert np.allclose(two[["x", "y", "z"]], surfaces.smooth_tiles(v, s, t, 0.9, 2, 4, 3).orderBy("vid").toPandas()[["x", "y", "z"]], atol=1e-12)
+    assert surfaces.mesh_tiles(v, surfaces.corners_beside(s, t), 4, 3).where("ring = 0").count() == len(ids)
 
 
 def test_shifted_image_is_found(spark):
