@@ -38,9 +38,10 @@ def move_volume(kind: Column, vals: Column, xform: Column) -> Column:
     return F.when(kind == "sphere", sphere).when(kind == "box", box).otherwise(vals)
 
 
-def distance(kind: Column, vals: Column, eye: tuple[float, float, float]) -> Column:
-    """From the eye to the centre of a sphere or box; 1 for regions."""
-    d = F.sqrt(sum(((F.element_at(vals, k + 2) - float(eye[k + 1])) ** 2 for k in range(2)), (F.element_at(vals, 1) - float(eye[0])) ** 2))
+def distance(kind: Column, vals: Column, eye: tuple[float | Column, float | Column, float | Column]) -> Column:
+    """From the eye (numbers, or columns of a camera path) to the centre of a sphere or box; 1 for regions."""
+    at = [e if isinstance(e, Column) else F.lit(float(e)) for e in eye]
+    d = F.sqrt(sum(((F.element_at(vals, k + 2) - at[k + 1]) ** 2 for k in range(2)), (F.element_at(vals, 1) - at[0]) ** 2))
     return F.when(kind == "region", 1.0).otherwise(d)
 
 
@@ -65,6 +66,51 @@ def visited(tiles: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
             out = settle(out)
 
 
+#: roots that are told to all tasks at most; more are joined
+ROOTS = 100_000
+
+
+def along(tiles: DataFrame, frames: DataFrame, height: float, u: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """K3 over a camera path: (tileset, frame, tile_id, depth, open) of the tiles that are open or on the frontier in each frame; all others are closed.
+
+    In a frame, a tile opens its children where its error reaches the tolerance, and closes all below it where it doesn't; only tiles whose
+    parent was open before are looked at, so a tree opens by one level a frame.  Hence a tile is open if its error reaches the tolerance
+    and its parent is open in this frame and was in the one before, and the tree is gone down once, for all frames together: a join by parent
+    and one by (tile, frame) a level, over no more than the tiles that are looked at.  A root, once open, stays on the frontier.
+    ``tiles``: tileset, tile_id, parent_id, depth, geo_error, bv; ``frames``: tileset, frame (0, 1, 2.. without gaps), ex, ey, ez.
+    """
+    tiles, frames = settle(tiles), settle(frames)
+    opens = screen_error(distance(F.col("bv.type"), F.col("bv.vals"), (F.col("ex"), F.col("ey"), F.col("ez"))), F.col("geo_error"), height, u) >= tolerance
+    roots = tiles.where("parent_id is null")
+    small = roots.limit(ROOTS + 1).count() <= ROOTS
+    out = ["tileset", "frame", "tile_id", "depth", "ex", "ey", "ez", "open"]
+    level = settle(frames.join(F.broadcast(roots) if small else roots, "tileset").withColumn("open", opens).select(*out))
+    first = level.where("open").groupBy("tileset", "tile_id").agg(F.min("frame").alias("_first"))
+    states = level.join(first, ["tileset", "tile_id"]).where(F.col("frame") >= F.col("_first")).select(*out)
+    d = 0
+    while True:
+        d += 1
+        now = level.where("open").select("tileset", "frame", F.col("tile_id").alias("parent_id"), "ex", "ey", "ez")
+        before = now.select("tileset", (F.col("frame") + 1).alias("frame"), "parent_id", F.lit(True).alias("_was"))
+        up = now.join(before, ["tileset", "frame", "parent_id"], "left")
+        level = settle(tiles.join(up, ["tileset", "parent_id"]).withColumn("open", F.coalesce(F.col("_was"), F.lit(False)) & opens).select(*out))
+        if level.isEmpty():
+            return states.select("tileset", "frame", "tile_id", "depth", "open")
+        states = states.unionByName(level)
+        if d % 16 == 0:
+            states = settle(states)
+
+
+def transitions(states: DataFrame) -> DataFrame:
+    """(tileset, frame, tile_id, opened): tiles that open in a frame, and those that were open in the one before and are no longer."""
+    key = ["tileset", "frame", "tile_id"]
+    last = states.groupBy("tileset").agg(F.max("frame").alias("_last"))
+    now = states.where("open").select(*key, F.lit(True).alias("_now"))
+    before = now.select("tileset", (F.col("frame") + 1).alias("frame"), "tile_id", F.lit(True).alias("_was"))
+    both = now.join(before, key, "full").join(last, "tileset").where(F.col("frame") <= F.col("_last"))
+    return both.where("_now is null or _was is null").select(*key, F.col("_now").isNotNull().alias("opened"))
+
+
 def drawn(seen: DataFrame) -> DataFrame:
     """ADD tiles always, REPLACE tiles without a visited child."""
     parents = seen.where("parent_id is not null").select(F.col("parent_id").alias("tile_id")).distinct()

@@ -714,6 +714,39 @@ def lod_render_set(spark, d):
     return tiles3d.drawn(tiles3d.visited(_errors(spark, d))).select("tile_id", "depth", "refine")
 
 
+#: a camera that goes up and down over the tiles, a frame for each hour of events
+_PATH = "hours AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1), fr AS (SELECT row_number() OVER (ORDER BY h) - 1 AS frame, n FROM hours), eye AS (SELECT frame, cast(8 + n % 3 AS double) AS ex, 8::double AS ey, cast(4 + abs(frame * 3 % 80 - 40) + n % 3 AS double) AS ez FROM fr)"
+# what is open is told by runs of frames: a tile d levels down opens when its ancestor at level j has had a large error for d - j + 1 frames
+_OPEN = (
+    f"{_INH}, {_PATH}, mv AS (SELECT *, s * cx + tx AS mx, s * cy AS my, s * cz AS mz FROM inh), big AS (SELECT frame, tile_id, parent_id, depth, 20 * geo_error * 1.5::double / sqrt((mx - ex) * (mx - ex) + (my - ey) * (my - ey) + (mz - ez) * (mz - ez)) >= 10 AS b FROM mv CROSS JOIN eye), "
+    "run AS (SELECT frame, tile_id, parent_id, depth, CASE WHEN b THEN frame - coalesce(max(CASE WHEN NOT b THEN frame END) OVER (PARTITION BY tile_id ORDER BY frame), -1) ELSE 0 END AS r FROM big), "
+    "least_ AS (SELECT frame, tile_id, depth, r AS m FROM run WHERE parent_id IS NULL UNION ALL SELECT c.frame, c.tile_id, c.depth, least(p.m, c.r + c.depth) FROM run c JOIN least_ p ON p.frame = c.frame AND p.tile_id = c.parent_id), "
+    "op AS MATERIALIZED (SELECT frame, tile_id, depth, m > depth AS open FROM least_)"
+)
+
+
+def _path(spark, d) -> DataFrame:
+    t = tiles3d.inherit(tile_tree(spark, d))
+    moved = tiles3d.move_volume(F.col("bv.type"), F.col("bv.vals"), F.col("xform"))
+    t = t.withColumns({"bv": F.struct(F.col("bv.type").alias("type"), moved.alias("vals")), "tileset": F.lit(0)})
+    hours = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
+    f, n = F.col("rank"), F.col("n")
+    frames = points.ranked(hours, "h").select(F.lit(0).alias("tileset"), f.alias("frame"), (8 + n % 3).cast("double").alias("ex"), F.lit(8.0).alias("ey"), (4 + F.abs(f * 3 % 80 - 40) + n % 3).cast("double").alias("ez"))
+    return tiles3d.along(t, frames, _H, _U)
+
+
+@query(f"{_OPEN}, st AS (SELECT o.frame, o.tile_id, o.depth, o.open FROM op o LEFT JOIN t3 USING (tile_id) LEFT JOIN op p ON p.tile_id = t3.parent_id AND p.frame = o.frame LEFT JOIN (SELECT tile_id, min(frame) AS f FROM op WHERE open GROUP BY tile_id) b ON b.tile_id = o.tile_id WHERE CASE WHEN t3.parent_id IS NULL THEN o.frame >= b.f ELSE p.open END) SELECT frame, tile_id, depth, open FROM st", recursive=True)
+def lod_path(spark, d):
+    """K3: the states of tiles in every frame of a camera path."""
+    return _path(spark, d).select("frame", "tile_id", "depth", "open")
+
+
+@query(f"{_OPEN}, ch AS (SELECT frame, tile_id, open, lag(open, 1, FALSE) OVER (PARTITION BY tile_id ORDER BY frame) AS was FROM op) SELECT frame, tile_id, open AS opened FROM ch WHERE open <> was", recursive=True)
+def lod_transitions(spark, d):
+    """K3: what opens and closes from frame to frame."""
+    return tiles3d.transitions(_path(spark, d)).select("frame", "tile_id", "opened")
+
+
 @query("m AS (SELECT n_nationkey::double AS n FROM nation) SELECT n, n * 2 AS m00, n + 1 AS m03, 2 * n AS m11, n * n + 2 AS px FROM m")
 def mat_mul(spark, d):
     n = F.col("n_nationkey").cast("double")
