@@ -447,10 +447,5 @@ def stream_voxel_counts(spark, d):
     pts(spark, d).repartition(6).write.parquet(f"{at}/in")
     points_ = spark.readStream.schema("x double, y double, z double").option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
 
-    def keep(batch: DataFrame, k: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/{k % 2}")
-
-    run = counts.voxel_counts(points_, LEVEL).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    last = run.lastProgress["batchId"]
-    return spark.read.parquet(f"{at}/out/{last % 2}").select("x", "y", "z", "n")
+    counts.keep_counts(points_, LEVEL, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("x", "y", "z", "n")

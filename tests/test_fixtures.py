@@ -449,3 +449,23 @@ def test_streaming_counts(spark, tmp_path):
         assert sorted(r.n for r in spark.table("vox_counts").collect()) == [16] * 4
     finally:
         q.stop()
+
+
+def test_streaming_counts_write_only_what_changes(spark, tmp_path):
+    """A second batch touches one part of the table; the other parts' files stay, and a run again of the same batch changes nothing."""
+    at = str(tmp_path)
+    read = lambda: {(r.x, r.y, r.z): r.n for r in spark.read.parquet(f"{at}/out").collect()}
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.glob("out/part=*/*.parquet")}
+    spark.range(64).selectExpr("id / 64D x", "0.5D y", "0.5D z").write.parquet(f"{at}/in")
+    points_ = spark.readStream.schema("x double, y double, z double").parquet(f"{at}/in")
+    run = lambda: counts.keep_counts(points_, 4, f"{at}/out", f"{at}/state", 2).awaitTermination()
+    run()
+    assert read() == {(x, 8, 8): 4 for x in range(16)} and len({p.parent for p in files()}) == 4
+    before = files()
+    spark.range(3).selectExpr("0.01D x", "0.5D y", "0.5D z").write.mode("append").parquet(f"{at}/in")
+    run()
+    assert read() == {(x, 8, 8): 7 if x == 0 else 4 for x in range(16)}
+    after = files()
+    assert len({p.parent for p in before if p not in after}) == 1 and len({p.parent for p in after}) == 4
+    run()
+    assert files() == after
