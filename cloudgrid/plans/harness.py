@@ -527,6 +527,32 @@ def align_offsets(spark, d):
     return images.align(i, moved, G, G, 32, 8)
 
 
+#: the map, and another image: the map moved by (3, 1), mixed with the lowest heights
+_PAIR = f"{MAP}, low AS (SELECT cast(least(greatest(floor(y * {G} + 0.5), 0), {G - 1}) AS int) AS y, cast(least(greatest(floor(x * {G} + 0.5), 0), {G - 1}) AS int) AS x, min(z) AS v FROM pts GROUP BY 1, 2), img2 AS (SELECT i.y, i.x, coalesce(m.v, 0::double) * 0.75::double + coalesce(low.v, 0::double) * 0.25::double AS v FROM img i LEFT JOIN img m ON m.y = i.y - 1 AND m.x = i.x - 3 LEFT JOIN low ON low.y = i.y AND low.x = i.x)"
+
+
+def _edges_of(src: str, name: str) -> str:
+    """Sobel magnitudes of an image, and its patches of 48 pixels (32 and an overlap of 8) under their windows."""
+    return (
+        f"{name}_t AS (SELECT i.y + a.r - 1 AS y, i.x + b.r - 1 AS x, 1 - a.r AS dy, 1 - b.r AS dx, v FROM {src} i, range(3) a(r), range(3) b(r)), "
+        f"{name}_g AS (SELECT y, x, sum(-dx * (CASE WHEN dy = 0 THEN 2 ELSE 1 END) * v) / 4 AS gx, sum(-dy * (CASE WHEN dx = 0 THEN 2 ELSE 1 END) * v) / 4 AS gy FROM {name}_t GROUP BY y, x), "
+        f"{name}_s AS (SELECT y, x, CASE WHEN y = 0 OR x = 0 THEN 0::double ELSE sqrt(gx * gx + gy * gy) END AS v FROM {name}_g WHERE y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63), "
+        f"{name} AS MATERIALIZED (SELECT a.r AS qy, b.r AS qx, y - a.r * 32 AS ly, x - b.r * 32 AS lx, v * least(1, least(x, 64 - x) / 32::double) * least(1, least(y, 64 - y) / 32::double) * pow(sin(pi() * (x - b.r * 32) / 48::double), 2) * pow(sin(pi() * (y - a.r * 32) / 48::double), 2) AS v FROM range(2) a(r), range(2) b(r) JOIN {name}_s ON y - a.r * 32 BETWEEN 0 AND 47 AND x - b.r * 32 BETWEEN 0 AND 47)"
+    )
+
+
+@query(f"{_PAIR}, {_edges_of('img', 'pa')}, {_edges_of('img2', 'pb')}, corr AS (SELECT pa.qy, pa.qx, pa.ly - pb.ly AS dy, pa.lx - pb.lx AS dx, sum(pa.v * pb.v) AS c FROM pa JOIN pb ON pb.qy = pa.qy AND pb.qx = pa.qx GROUP BY 1, 2, 3, 4), best AS (SELECT *, row_number() OVER (PARTITION BY qy, qx ORDER BY c DESC) AS k FROM corr) SELECT cast(qy AS int) AS qy, cast(qx AS int) AS qx, cast(dx AS int) AS dx, cast(dy AS int) AS dy, round(c, 6) AS peak FROM best WHERE k = 1")
+def align_images(spark, d):
+    """The offset of each patch of one image against another one, by direct sums over all pairs of pixels in SQL."""
+    first = settle(img(spark, d).select("y", "x", "v"))
+    at = lambda c: F.least(F.greatest(F.floor(F.col(c) * float(G) + 0.5), F.lit(0)), F.lit(G - 1)).cast("int")
+    low = pts(spark, d).groupBy(at("y").alias("y"), at("x").alias("x")).agg(F.min("z").alias("low"))
+    moved = first.select((F.col("y") + 1).alias("y"), (F.col("x") + 3).alias("x"), F.col("v").alias("m"))
+    both = first.select("y", "x").join(moved, ["y", "x"], "left").join(low, ["y", "x"], "left")
+    second = settle(both.select("y", "x", (F.coalesce("m", F.lit(0.0)) * 0.75 + F.coalesce("low", F.lit(0.0)) * 0.25).alias("v")))
+    return images.align(first, second, G, G, 32, 8).select("qy", "qx", "dx", "dy", *r6("peak"))
+
+
 # --- surfaces -----------------------------------------------------------------------------------------------------------------------
 
 _S = 16
