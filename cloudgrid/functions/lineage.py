@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -31,3 +32,12 @@ def settle(df: DataFrame) -> DataFrame:
     at = fresh(spark, "settled")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by settle() that no plan reads any more."""
+    for df in tables:
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for at in {os.path.dirname(f) for f in df.inputFiles()[:1]}:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(conf).delete(path, True)

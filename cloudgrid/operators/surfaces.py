@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settle
+from ..functions.lineage import drop, settle
 from .images import height_steps
 from .points import ranked
 
@@ -127,12 +128,15 @@ def mesh_tiles(verts: DataFrame, near: DataFrame, cells: int, rings: int) -> Dat
     """
     tile = F.concat_ws(",", *[F.floor(F.col(c) / cells) for c in ("vx", "vy", "vz")])
     last = settle(verts.select(tile.alias("tile"), "vid", F.lit(0).alias("ring")))
-    held = last
+    steps = [last]
     for ring in range(1, rings + 1):
+        held = reduce(DataFrame.unionByName, steps).select("tile", "vid")
         step = last.select("tile", "vid").join(near, "vid").select("tile", F.col("o").alias("vid"), F.lit(ring).alias("ring")).distinct()
-        last = settle(step.join(held.select("tile", "vid"), ["tile", "vid"], "left_anti"))
-        held = held.unionByName(last)
-    return settle(held)
+        last = settle(step.join(held, ["tile", "vid"], "left_anti"))
+        steps.append(last)
+    out = settle(reduce(DataFrame.unionByName, steps))
+    drop(*steps)
+    return out
 
 
 def smooth_tiles(verts: DataFrame, slot: DataFrame, tris: DataFrame, alpha: float = 0.98, rounds: int = 200, cells: int = 32, rings: int = 10) -> DataFrame:
@@ -167,7 +171,11 @@ def smooth_tiles(verts: DataFrame, slot: DataFrame, tris: DataFrame, alpha: floa
     v = verts.select(F.col("vid").cast("long").alias("vid"), "x", "y", "z")
     for done in range(0, rounds, rings):
         here = member.join(v, "vid")
-        v = settle(here.groupBy("tile").cogroup(edges.groupBy("tile")).applyInArrow(one(min(rings, rounds - done)), "vid long, x double, y double, z double"))
+        old, v = v, settle(here.groupBy("tile").cogroup(edges.groupBy("tile")).applyInArrow(one(min(rings, rounds - done)), "vid long, x double, y double, z double"))
+        if done:
+            drop(old)
+    if rounds:
+        drop(near, tiles, edges, member)
     return v
 
 

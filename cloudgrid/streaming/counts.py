@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.lineage import settle
+from ..functions.lineage import drop, settle
 from ..functions.scalar import morton
 from ..operators.voxels import CELL, voxelize
 
@@ -26,15 +26,15 @@ def keep_counts(stream: DataFrame, level: int, path: str, checkpoint: str, coars
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        now = settle(batch.select(part, *CELL, "n", "val"))
-        if now.isEmpty():
-            return
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            old = spark.read.schema(now.schema).parquet(path)
-            near = old.join(F.broadcast(now.select("part").distinct()), "part", "left_semi")  # 8^coarse parts at most
-            now = settle(near.join(now.select(*CELL), CELL, "left_anti").unionByName(now))
-        now.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        made = [settle(batch.select(part, *CELL, "n", "val"))]
+        now = made[0]
+        if not now.isEmpty():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+                old = spark.read.schema(now.schema).parquet(path)
+                near = old.join(F.broadcast(now.select("part").distinct()), "part", "left_semi")  # 8^coarse parts at most
+                made.append(settle(near.join(now.select(*CELL), CELL, "left_anti").unionByName(now)))
+            made[-1].repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        drop(*made)
 
     return voxel_counts(stream, level).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(merge).start()

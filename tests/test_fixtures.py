@@ -2,6 +2,7 @@
 
 import json
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,7 +141,11 @@ def test_long_smoothing_equals_rounds(spark):
     weight /= weight.sum(1, keepdims=True)
     for _ in range(7):
         now = 0.9 * now + 0.1 * weight @ now
-    tiled = surfaces.smooth_tiles(v, s, t, 0.9, 7, cells=4, rings=3).orderBy("vid").toPandas()
+    kept = lambda: set(Path(v.inputFiles()[0].removeprefix("file:")).parents[1].iterdir())
+    before = kept()
+    tiled = surfaces.smooth_tiles(v, s, t, 0.9, 7, cells=4, rings=3)
+    assert len(kept() - before) == 1  # the result; what led to it is gone
+    tiled = tiled.orderBy("vid").toPandas()
     assert (tiled.vid == ids).all() and np.allclose(tiled[["x", "y", "z"]], now, atol=1e-12)
     two = surfaces.smooth(v, s, t, 0.9, 2).orderBy("vid").toPandas()
     assert np.allclose(two[["x", "y", "z"]], surfaces.smooth_tiles(v, s, t, 0.9, 2, 4, 3).orderBy("vid").toPandas()[["x", "y", "z"]], atol=1e-12)
