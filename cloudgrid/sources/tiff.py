@@ -4,7 +4,8 @@
     tiff.window(spark, path, x0, y0, x1, y1, 512, 512)
 
 A file's directories are read once for the plan; blocks that the filters on lvl, by and bx leave are dealt to tasks, and only their bytes are
-read.  Samples: 8-bit, 16-bit and 32-bit float, as they are or deflated, chunky.
+read (``scan`` turns spark.sql.python.filterPushdown.enabled on, which the source needs).  Samples: 8-bit, 16-bit and 32-bit float, as they are or
+deflated, chunky.
 """
 
 from __future__ import annotations
