@@ -379,6 +379,24 @@ def test_delaunay_spheres_are_empty():
         assert (((p - c) ** 2).sum(1) >= ((a - c) ** 2).sum() - 1e-9).all()
 
 
+def test_delaunay_of_sets_beside_each_other():
+    """Sets of any sizes and orders get what each gets alone, and the whole convex hull of points in it is filled."""
+    r = np.random.default_rng(7)
+    sets = [r.random((n, 3)) for n in (60, 3, 0, 25, 61, 200, 4)]
+    sets.append(np.unique(np.floor(r.random((150, 3)) * (4096, 4096, 4)) / (4096, 4096, 4), axis=0))  # in few planes
+    got = surfaces.tetrahedra_of(sets)
+    assert [len(t) for t in got[1:3]] == [0, 0]
+    for p, t in zip(sets, got, strict=True):
+        assert (t == surfaces.tetrahedra(p)).all()
+        for q in t:
+            a = p[q[0]]
+            c = np.linalg.solve(2 * (p[q[1:]] - a), (p[q[1:]] ** 2).sum(1) - (a**2).sum())
+            assert (((p - c) ** 2).sum(1) >= ((a - c) ** 2).sum() - 1e-9 * ((a - c) ** 2).sum().clip(1)).all()
+    corners = np.concatenate([np.array(np.meshgrid([0, 1], [0, 1], [0, 1])).reshape(3, 8).T, r.random((80, 3))])
+    t = surfaces.tetrahedra(corners)
+    assert abs(np.abs(np.linalg.det(corners[t[:, 1:]] - corners[t[:, :1]])).sum() / 6 - 1) < 1e-9
+
+
 def test_las_round_trip_and_pruning(spark, tmp_path):
     r = np.random.default_rng(0)
     a, b = r.random((500, 3)) * 10, r.random((300, 3)) * 10 + 100
