@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, sample_rows
+from .shared import map_arrow, sample_rows, trim
 from .wordcode import U, Words, counts_between, mix, slices, text_bytes
 
 SAMPLE, BUCKETS, EPOCHS, RATE, BATCH, KEEP = 4000, 1 << 16, 6, 20.0, 32, 0.3
@@ -99,6 +99,12 @@ def pattern(v: np.ndarray) -> np.ndarray:
     return ((v.astype(np.int64) + 1) * 3 ** np.arange(v.shape[1])).sum(1)
 
 
+def patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts' numbers, by slices, so that memory is a slice's and not the texts'."""
+    out = [pattern(votes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in slices(offsets)]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def posterior(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(NAMES), rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
     """(P(good) of each pattern, share of good, P(vote | class) as [class, labeller, vote + 1]) by expectation-maximisation."""
     v = patterns[:, None] // 3 ** np.arange(labellers) % 3
@@ -154,7 +160,11 @@ class Scorer:
 
 def train(texts: list[str], targets: np.ndarray, seed: int = 3, buckets: int = BUCKETS) -> Scorer:
     data, off = text_bytes(pa.array(texts, pa.large_string()))
-    x, b = features(data, off, buckets)
+    # by slices, as all texts' words at once are many times the text
+    parts = [features(data[off[i] : off[j]], off[i : j + 1] - off[i], buckets) for i, j in slices(off)]
+    x = np.concatenate([p[0].astype(np.int32) for p in parts]) if parts else np.zeros((0, 3), np.int32)
+    b = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))]) if parts else np.zeros(1, np.int64)
+    del data, parts
     w, bias, r = np.zeros(buckets), 0.0, np.random.default_rng(seed)
     steps, done = EPOCHS * (len(texts) // BATCH + 1), 0
     for _ in range(EPOCHS):
@@ -176,9 +186,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     docs = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
 
     def vote(batch):
-        data, off = text_bytes(batch.column("t"))
-        p = np.concatenate([pattern(votes(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in slices(off)])
-        u, c = np.unique(p, return_counts=True)
+        u, c = np.unique(patterns(*text_bytes(batch.column("t"))), return_counts=True)
         return pa.record_batch({"p": pa.array(u), "n": pa.array(c)})
 
     counted = map_arrow(docs, vote, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).toArrow()  # 3 ** labellers rows at most
@@ -188,8 +196,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     good, _, _ = posterior(p, n) if len(p) else (np.zeros(0), 0.5, None)
     texts = [t or "" for t in sample_rows(docs, "i", sample, "t").column("t").to_pylist()]
     if texts:
-        d, o = text_bytes(pa.array(texts, pa.large_string()))
-        scorer = train(texts, good[np.searchsorted(p, pattern(votes(d, o)))])
+        seen = patterns(*text_bytes(pa.array(texts, pa.large_string())))
+        scorer = train(texts, good[np.searchsorted(p, seen)])
+        del texts
+        trim()
     else:
         scorer = Scorer(np.zeros(BUCKETS), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast((p, good, scorer))

@@ -148,3 +148,22 @@ def test_rows_without_an_id_are_scored(spark, fit):
     labels = spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, grade int")
     got = toxicity.score(df, toxicity.fit(df, labels)) if fit == "toxicity" else quality.classify(df)
     assert sorted(str(r.doc_id) for r in got.select(F.col("doc_id")).collect()) == ["1", "None", "None"]
+
+
+def test_training_quality_holds_little_beside_the_text():
+    """The driver's arrays over all words of its sample are a few times the text, not tens of times."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 1 << 40, 60))) for _ in range(8000)]
+    d, o = text_bytes(pa.array(texts, pa.large_string()))
+    tracemalloc.start()
+    try:
+        p = quality.patterns(d, o)
+        scorer = quality.train(texts, np.arange(8000) % 2 * 1.0)
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(d)
+    finally:
+        tracemalloc.stop()
+    assert (p == quality.pattern(quality.votes(d, o))).all()
+    x, b = quality.features(d, o)
+    assert np.allclose(scorer.score(d, o), 1 / (1 + np.exp(-(np.add.reduceat(scorer.weights[x].sum(1), b[:-1]) / np.diff(b) + scorer.bias))))
