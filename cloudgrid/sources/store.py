@@ -19,6 +19,8 @@ from ..functions.scalar import interleaved
 BITS, RANGES = 24, 64
 #: rows of a page, which is the least that is read
 PAGE = 20_000
+#: tasks that write, at most, as long as one's rows are no more than this
+TASKS, TASK_ROWS = 256, 2_000_000
 
 
 def _place(v: Column, low: float, high: float) -> Column:
@@ -34,7 +36,8 @@ def _cell(v: float, low: float, high: float) -> int:
 def write(points: DataFrame, path: str, rows: int = 2_000_000, page: int = PAGE) -> None:
     """Writes points (x, y, ...) as files of about ``rows`` rows in the curve's order; those without a finite place are kept, and in no rectangle.
 
-    Sorted by ranges of keys, with rows of one key spread over ranges too, so no place is one task's, however many points lie there.
+    Sorted by ranges of keys, with rows of one key spread over ranges too, so no place is one task's, however many points lie there.  Small
+    files are several of one task, as each task's report and share of the ranges' sample come to the driver.
     """
     known = lambda a: F.when(~F.col(a).isin(*map(float, ("nan", "inf", "-inf"))), F.col(a).cast("double"))
     points.agg(F.count("*").alias("n"), *[F.coalesce(f(known(a)), F.lit(0.0)).alias(f"{n}_{a}") for a in "xy" for n, f in (("min", F.min), ("max", F.max))]).write.parquet(f"{path}/box")
@@ -44,8 +47,9 @@ def write(points: DataFrame, path: str, rows: int = 2_000_000, page: int = PAGE)
         return
     key = interleaved(_place(F.col("x"), b.min_x, b.max_x), _place(F.col("y"), b.min_y, b.max_y))
     own = points.withColumn("_m", key).withColumn("_tie", F.monotonically_increasing_id())
-    own = own.repartitionByRange(max(1, -(-b.n // rows)), "_m", "_tie").sortWithinPartitions("_m").drop("_tie")
-    own.write.option("parquet.page.row.count.limit", page).option("parquet.block.size", max(64 * page, 1 << 16)).parquet(f"{path}/points")
+    files, tasks = -(-b.n // rows), max(TASKS, -(-b.n // TASK_ROWS))
+    own = own.repartitionByRange(min(files, tasks), "_m", "_tie").sortWithinPartitions("_m").drop("_tie")
+    own.write.option("maxRecordsPerFile", 0 if files <= tasks else rows).option("parquet.page.row.count.limit", page).option("parquet.block.size", max(64 * page, 1 << 16)).parquet(f"{path}/points")
     kept = points.sparkSession.read.parquet(f"{path}/points").select("_m", F.col("_metadata.file_name").alias("file"))
     kept.groupBy("file").agg(F.min("_m").alias("low"), F.max("_m").alias("high"), F.count("*").alias("n")).write.parquet(f"{path}/ranges")
 

@@ -57,6 +57,23 @@ def test_a_rectangle_reads_less_than_twice_its_points(spark):
     assert len(ranges) == 10 and sum(r.n for r in ranges) == n
 
 
+def test_many_small_files_are_written_by_few_tasks(spark):
+    """What comes to the driver is a task's, so tasks don't grow with the number of small files; the files are as small, and lose nothing."""
+    n = 60_000
+    p = spark.range(n).selectExpr("id * 7919 % 4096 / 4096 x", "id * 104729 % 4093 / 4093 y", "id")
+    at = fresh(spark, "store")
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    store.write(p, at, rows=100, page=50)
+    ranges = spark.read.parquet(f"{at}/ranges").collect()
+    assert 600 <= len(ranges) < 900 and max(r.n for r in ranges) <= 100 and sum(r.n for r in ranges) == n
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [i.numTasks for k in range(before, spark.sparkContext._jsc.sc().dagScheduler().nextStageId()) if (i := tracker.getStageInfo(k))]
+    assert tasks and max(tasks) <= store.TASKS
+    spans = sorted((r.low, r.high) for r in ranges)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert store.area(spark, at, 0.25, 0.125, 0.5, 0.75).count() == points.area(p, 0.25, 0.125, 0.5, 0.75).count()
+
+
 def test_one_place_holding_a_third_is_many_files(spark):
     p = spark.range(9000).selectExpr("case when id % 3 = 0 then 0.5 else id / 9000 end x", "case when id % 3 = 0 then 0.5 else id * 7 % 9000 / 9000 end y", "id")
     at = fresh(spark, "store")
