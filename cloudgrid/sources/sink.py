@@ -49,13 +49,24 @@ class BlobWriter(DataSourceWriter):
         disk, at = place(self.path)
         own = posixpath.join(at, self.job, uuid.uuid4().hex)
         disk.create_dir(own, recursive=False)
-        files = []
-        for k, r in enumerate(rows):
-            if not r.name or r.name.startswith((".", "_")) or "/" in r.name:
-                raise ValueError(f"{r.name!r} is no name of a file")
-            files.append((r.name, posixpath.join(own, str(k))))
-            with disk.open_output_stream(files[-1][1]) as out:
+        files, out = [], None
+        try:
+            for r in rows:
+                if not r.name or r.name.startswith((".", "_")) or "/" in r.name:
+                    raise ValueError(f"{r.name!r} is no name of a file")
+                if nth := getattr(r, "piece", 0):
+                    if not files or (r.name, nth) != (files[-1][0], last + 1):
+                        raise ValueError(f"piece {nth} of {r.name!r} doesn't follow the one before")
+                else:
+                    if out:
+                        out.close()
+                    files.append((r.name, posixpath.join(own, str(len(files)))))
+                    out = disk.open_output_stream(files[-1][1])
                 out.write(bytes(r.content or b""))
+                last = nth
+        finally:
+            if out:
+                out.close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -106,3 +117,9 @@ def write_each(rows: DataFrame, folder: str) -> None:
     """Rows (name, content) as one file each."""
     rows.sparkSession.dataSource.register(Blobs)
     rows.select("name", "content").write.format("blobs").mode("append").save(folder)
+
+
+def write_pieces(rows: DataFrame, folder: str) -> None:
+    """Rows (name, content, piece) as files of several rows: a file's pieces 0, 1, 2, ... lie one after another in one partition, and only one is held."""
+    rows.sparkSession.dataSource.register(Blobs)
+    rows.select("name", "content", "piece").write.format("blobs").mode("append").save(folder)

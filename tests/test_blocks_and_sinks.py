@@ -58,6 +58,32 @@ def test_files_come_back(spark, tmp_path):
     assert left(tmp_path / "none") == []
 
 
+def test_las_files_are_written_by_pieces(spark, tmp_path, monkeypatch):
+    """No call sees a whole file's points; the files are those of the writer of one file, byte for byte."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        p = spark.range(2000).selectExpr("id % 3 f", "id * 7919 % 4096 / 4096 x", "id * 6151 % 4096 / 4096 - 3 y", "id % 50 / 64 z", "id i")
+        whole, most = las.write_pieces, []
+        monkeypatch.setattr(las, "write_pieces", lambda rows, to: (most.append(rows.agg(F.max(F.length("content"))).first()[0]), whole(rows, to)))
+        las.write_files(p, f"{tmp_path}/las", "f", ["x", "y", "z", "i"], 1 / 4096, "i")
+        assert most[0] <= 227 + 100 * 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    t = p.toPandas()
+    for f, g in t.groupby("f"):
+        g = g.sort_values(["x", "y", "z", "i"])
+        las.write_las(f"{tmp_path}/one.las", g[["x", "y", "z"]].to_numpy(), g.i.to_numpy() % 65536, 1 / 4096)
+        assert open(f"{tmp_path}/one.las", "rb").read() == open(f"{tmp_path}/las/{f}.las", "rb").read()
+    assert las.scan(spark, f"{tmp_path}/las", headers=True).agg(F.sum("n_points")).first()[0] == 2000
+
+
+def test_pieces_out_of_order_fail_the_job(spark, tmp_path):
+    for rows in ([("a", b"1", 1)], [("a", b"1", 0), ("b", b"2", 1)], [("a", b"1", 0), ("a", b"2", 2)]):
+        with pytest.raises(Exception, match="doesn't follow"):
+            sink.write_pieces(spark.createDataFrame(rows, "name string, content binary, piece long").coalesce(1), str(tmp_path / "p"))
+        assert not [f for f in os.listdir(tmp_path / "p") if f in "ab"]
+
+
 def test_folders_that_no_file_system_is_known_for_are_refused(spark):
     with pytest.raises(ValueError, match="no file system"):
         sink.place("nowhere://node/a")
