@@ -217,6 +217,26 @@ def test_flow_of_hubs_dead_ends_and_ways_back(spark):
     assert proven(spark, e, 0, 13) == augmented(e, 0, 13) > 20
 
 
+def test_rounds_look_at_downhill_arcs_only(spark, monkeypatch):
+    """What a round reads is the arcs that lead one lower, once for each search, and hubs' arcs go in several buckets."""
+    e = [(0, k, 3) for k in range(2, 42)] + [(k, 42 + k % 7, 2) for k in range(2, 42)] + [(42 + k, 1, 9) for k in range(7)]
+    monkeypatch.setattr(graphs, "BUCKET_ARCS", 2)
+    found, down, handed = [], graphs._downhill, graphs._handed_out
+
+    def seen(pairs, nodes):
+        h = {r.node: r.h for r in nodes.collect()}
+        arcs, out = down(pairs, nodes)
+        found.append([(r.u, r.v) for r in arcs.collect()])
+        assert found[-1] and all(h[u] == h[v] + 1 for u, v in found[-1]) and len(found[-1]) < 2 * len(e)
+        return arcs, out
+
+    monkeypatch.setattr(graphs, "_downhill", seen)
+    most = []
+    monkeypatch.setattr(graphs, "_handed_out", lambda arcs: (most.append(arcs.agg(F.max("many")).first()[0]), handed(arcs))[1])
+    assert proven(spark, [(u, v, c) for u, v, c in e], 0, 1) == augmented(e, 0, 1) == 63
+    assert len(found) <= 3 and max(most) > 1
+
+
 def test_no_flow_where_nothing_leads_to_the_sink(spark):
     assert proven(spark, [(0, 1, 5), (1, 2, 5), (3, 4, 1)], 0, 4) == 0
 
