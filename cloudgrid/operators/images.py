@@ -194,14 +194,15 @@ def correlate(a: DataFrame, b: DataFrame, pitch: int) -> DataFrame:
 
 
 def align(first: DataFrame, second: DataFrame, width: int, height: int, step: int = 256, overlap: int = 64, gradients: bool = True) -> DataFrame:
-    """Offset of each patch of the second image against the first: (qy, qx, dx, dy, peak)."""
+    """Offset of each patch of the second image against the first: (qy, qx, dx, dy, peak); equal peaks: the first offset in row order."""
     if gradients:
         first, second = sobel(first), sobel(second)
-    pitch = 2 * (step + 2 * overlap)
+    full = step + 2 * overlap
+    pitch = 2 * full
     a = patch_window(first, width, height, step, overlap)
     b = patch_window(second, width, height, step, overlap, flip=True)
-    c = correlate(a, b, pitch)
-    p = peaks(c, ["qy", "qx"], pitch, pitch)
     # the flip turns pixel i into pitch - 1 - i: without a shift the peak lies one before the origin
-    move = lambda k: F.pmod(F.col(k) + 1 + pitch // 2, F.lit(pitch)) - pitch // 2
-    return p.select("qy", "qx", move("dx").cast("int").alias("dx"), move("dy").cast("int").alias("dy"), "peak")
+    c = correlate(a, b, pitch).withColumns({k: F.pmod(F.col(k) + 1, F.lit(pitch)) for k in ("y", "x")})
+    # only offsets between pixels of both patches, of which those at the far border are cut: without gradients all sums are equal
+    real = lambda k, q, n: F.abs(F.col(k) - full) < F.least(F.lit(full), F.lit(n) - F.col(q) * step)
+    return peaks(c.where(real("y", "qy", height) & real("x", "qx", width)), ["qy", "qx"], pitch, pitch)
